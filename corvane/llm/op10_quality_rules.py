@@ -52,11 +52,12 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def ratio_weights(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
     """log p_target - log p_raw of each bucket; a vector of fixed length, whatever the corpus."""
     text = docs.select("doc_id", "text")
+    # labels grow with the corpus, so they are never broadcast: the one shuffle of the texts is the same at every size
     if labels is None:
         marked = text.select("text", F.lit(False).alias("trusted"))
     else:
         good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
-        marked = text.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("trusted"))
+        marked = text.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("trusted"))
     counts = marked.mapInArrow(count_buckets, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
     table = counts.toArrow()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -50,7 +50,7 @@ def superminhash(h: np.ndarray, doc: np.ndarray, n_docs: int, m: int = SLOTS) ->
     sig = np.full(n_docs * m, 0xFFFFFFFF, np.uint32)
     rows = ranks = None
     for j in range(m):
-        r = tv.mix(h + np.uint64(j + 1) * tv.MULT)
+        r = tv.mix(h + np.uint64((j + 1) * int(tv.MULT) & (1 << 64) - 1))
         k = j + ((r >> np.uint64(32)) % np.uint64(m - j)).astype(np.int64)
         if ranks is None:
             slot = k

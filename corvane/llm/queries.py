@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = (
-    "op10_quality_rules"
+    "op9_near_dedup op10_quality_rules"
 ).split()
 
 
