@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = (
-    "op1_decontamination op2_license_scan op3_quality_classifier op7_byte_bpe op8_pii op9_near_dedup op10_quality_rules"
+    "op1_decontamination op2_license_scan op3_quality_classifier op4_token_output op7_byte_bpe op8_pii op9_near_dedup op10_quality_rules"
 ).split()
 
 
