@@ -1 +1 @@
-
+"""Scalar expressions and predicates."""
