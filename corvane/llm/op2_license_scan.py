@@ -60,7 +60,7 @@ def pairs(words: Column) -> Column:
 def templates(spark: SparkSession) -> DataFrame:
     """template, label, base, n_pairs, h, at: a row for each 2-gram of each template."""
     rows = [(f"phrase {text}", text, label, True) for text, label in PHRASES.items()] + [(f"notice {label}", text, label, False) for label, text in NOTICES.items()]
-    table = spark.createDataFrame(rows, "template string, text string, label string, base boolean")
+    table = spark.sql("VALUES " + ", ".join(f"('{name}', '{text}', '{label}', {base})" for name, text, label, base in rows)).toDF("template", "text", "label", "base")
     of = table.withColumn("pairs", pairs(words(F.col("text")))).withColumn("n_pairs", F.size("pairs"))
     return of.select("template", "label", "base", "n_pairs", F.posexplode("pairs").alias("at", "h"))
 
@@ -74,15 +74,15 @@ def diagonals(hits: DataFrame) -> DataFrame:
 
 
 def verified(voted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(r1, r2, label, base, first, share) of base phrases and merged notice spans."""
+    """(r1, r2, label, base, first, share) of base phrases and merged notice spans. A phrase's
+    diagonal with all its votes stays alone; both kinds go through one window."""
     key = ["r1", "r2", "template", "label", "base", "n_pairs"]
-    phrases = voted.where("base and bit_count(votes) = n_pairs").select("r1", "r2", "label", "base", F.col("diagonal").alias("first"), F.lit(1.0).alias("share"))
     along = Window.partitionBy("r1", "r2", "template").orderBy("first", "last", "diagonal")
-    far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > SHIFT) | (F.col("first") - F.lag("last").over(along) > GAP)
-    pieces = voted.where(f"not base and bit_count(votes) >= least({LEAST}, n_pairs)")
-    merged = pieces.withColumn("part", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(along)).groupBy(*key, "part").agg(F.bit_or("votes").alias("votes"), F.min("first").alias("first"))
-    notices = merged.select("r1", "r2", "label", "base", "first", (F.bit_count("votes") / F.col("n_pairs")).alias("share"))
-    return phrases.unionByName(notices.where(F.col("share") >= threshold))
+    far = F.col("base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > SHIFT) | (F.col("first") - F.lag("last").over(along) > GAP)
+    pieces = voted.where(f"bit_count(votes) >= if(base, n_pairs, least({LEAST}, n_pairs))")
+    parts = pieces.withColumn("part", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(along))
+    merged = parts.groupBy(*key, "part").agg(F.bit_or("votes").alias("votes"), F.min("first").alias("first"))
+    return merged.select("r1", "r2", "label", "base", "first", (F.bit_count("votes") / F.col("n_pairs")).alias("share")).where(F.col("share") >= threshold)
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
