@@ -1,5 +1,120 @@
-"""To come."""
+"""Call-graph traversals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
 
 from ..catalog import Plan
+from ..fixtures import ctes, view
+from ..operators import graph as G
 
 PLAN = Plan()
+CALLS = ctes("calls")
+# (seed, node, depth) by DuckDB; UNION stops at repeated rows, depth bounds the rest
+INNER = "SELECT src, dst FROM calls WHERE etype IN ('CALLS', 'SELF_CALLS', 'SYS_UTIL_CALLS') AND dst LIKE 'M%'"
+
+
+def walk(edges: str, seeds: str, most: int) -> str:
+    return f"e AS ({edges}), walk AS ({seeds} UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < {most}), near AS (SELECT seed, node, min(depth)::INT AS depth FROM walk GROUP BY 1, 2)"
+
+
+METHODS = "SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM calls"
+
+
+def calls(spark, sf_dir):
+    return view(spark, sf_dir, "calls")
+
+
+def methods(spark, sf_dir):
+    return calls(spark, sf_dir).select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
+
+
+def inner(spark, sf_dir):
+    return calls(spark, sf_dir).where(F.col("etype").isin("CALLS", "SELF_CALLS", "SYS_UTIL_CALLS") & F.col("dst").startswith("M"))
+
+
+@PLAN.query("op_gr06_boundary_targets", f"{CALLS}, {walk(INNER, METHODS, 7)} SELECT DISTINCT n.seed, c.dst AS target, CASE WHEN c.etype = 'DAO_CALLS' THEN 'TABLE' ELSE 'SERVICE' END AS kind FROM near n JOIN calls c ON c.src = n.node WHERE c.dst NOT LIKE 'M%'")
+def gr06(spark, sf_dir):
+    return G.boundary_targets(calls(spark, sf_dir), methods(spark, sf_dir))
+
+
+@PLAN.query("op_gr07_dao_tables", f"{CALLS}, {walk(INNER.replace(chr(39) + 'SELF_CALLS' + chr(39) + ', ' + chr(39) + 'SYS_UTIL_CALLS' + chr(39), chr(39) + 'SELF_CALLS' + chr(39)), METHODS, 8)} SELECT DISTINCT n.seed, c.dst AS target FROM near n JOIN calls c ON c.src = n.node WHERE c.etype = 'DAO_CALLS'")
+def gr07(spark, sf_dir):
+    return G.dao_tables(calls(spark, sf_dir), methods(spark, sf_dir))
+
+
+@PLAN.query("op_gr05_step_reach", f"{CALLS}, {walk(INNER, METHODS, 24)} SELECT seed, node, depth FROM near")
+def gr05(spark, sf_dir):
+    return G.reach(inner(spark, sf_dir), methods(spark, sf_dir), 24)
+
+
+@PLAN.query("op_gr10_chain_methods", f"{CALLS}, {walk(INNER, METHODS, 8)} SELECT DISTINCT seed, node FROM near")
+def gr10(spark, sf_dir):
+    return G.reach(inner(spark, sf_dir), methods(spark, sf_dir), 8).select("seed", "node")
+
+
+PATHS = """, e AS (SELECT {src} AS src, {dst} AS dst, etype || ':' || line_no AS eid FROM calls WHERE {test}), p AS (SELECT DISTINCT src AS start, src AS at, []::VARCHAR[] AS used, [src] AS nodes, 0 AS length FROM calls
+  UNION ALL SELECT p.start, e.dst, list_append(p.used, e.eid), list_append(p.nodes, e.dst), p.length + 1 FROM p JOIN e ON e.src = p.at WHERE p.length < {most} AND NOT list_contains(p.used, e.eid)) SELECT start, length::INT AS length, array_to_string(nodes, ',') AS nodes FROM p WHERE length > 0"""
+
+
+def _edges(df):
+    return df.select(F.concat("etype", F.lit(":"), F.col("line_no").cast("string")).alias("eid"), "src", "dst")
+
+
+@PLAN.query("op_gr01_forward_paths", CALLS + PATHS.format(src="src", dst="dst", test="true", most=5))
+def gr01(spark, sf_dir):
+    return G.paths(_edges(calls(spark, sf_dir)), methods(spark, sf_dir), 5)
+
+
+@PLAN.query("op_gr02_reverse_paths", CALLS + PATHS.format(src="dst", dst="src", test="etype IN ('CALLS', 'SELF_CALLS')", most=4))
+def gr02(spark, sf_dir):
+    back = calls(spark, sf_dir).where("etype IN ('CALLS', 'SELF_CALLS')")
+    turned = _edges(back).select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.paths(turned, methods(spark, sf_dir), 4)
+
+
+@PLAN.query("op_gr04_subgraph", CALLS + PATHS.format(src="src", dst="dst", test="etype IN ('CALLS', 'DAO_CALLS')", most=6))
+def gr04(spark, sf_dir):
+    return G.paths(_edges(calls(spark, sf_dir).where("etype IN ('CALLS', 'DAO_CALLS')")), methods(spark, sf_dir), 6)
+
+
+@PLAN.query("op_gr03_weighted_calls", f"""{CALLS}, p AS (SELECT DISTINCT src AS seed, src AS node, 0 AS length FROM calls UNION ALL SELECT p.seed, c.dst, p.length + 1 FROM p JOIN calls c ON c.src = p.node AND c.etype = 'CALLS' WHERE p.length < 15)
+  SELECT seed, c.dst AS target, count(*) AS call_count FROM p JOIN calls c ON c.src = p.node AND c.etype = 'DAO_CALLS' GROUP BY 1, 2""")
+def gr03(spark, sf_dir):
+    return G.weighted_dao_calls(calls(spark, sf_dir), methods(spark, sf_dir), 15)
+
+
+CLASSES = CALLS + ", impl AS (SELECT src, 'I' || (line_no % 9) AS dst FROM calls WHERE etype = 'SYS_UTIL_CALLS'), ext AS (SELECT src, dst FROM calls WHERE etype = 'CALLS')"
+
+
+@PLAN.query("op_gr20_implementers", CLASSES + ", w AS (SELECT dst AS iface, src AS node, 0 AS depth FROM impl UNION SELECT w.iface, ext.src, w.depth + 1 FROM w JOIN ext ON ext.dst = w.node WHERE w.depth < 6) SELECT DISTINCT iface, node AS cls FROM w")
+def gr20(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    impl = c.where("etype = 'SYS_UTIL_CALLS'").select("src", F.concat(F.lit("I"), (F.col("line_no") % 9).cast("string")).alias("dst"))
+    return G.implementers(impl, c.where("etype = 'CALLS'").select("src", "dst"))
+
+
+@PLAN.query("op_set02_implementers_union", CLASSES + " SELECT src, dst FROM impl UNION SELECT ext.src, impl.dst FROM ext JOIN impl ON impl.src = ext.dst")
+def set02(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    impl = c.where("etype = 'SYS_UTIL_CALLS'").select("src", F.concat(F.lit("I"), (F.col("line_no") % 9).cast("string")).alias("dst"))
+    ext = c.where("etype = 'CALLS'").select("src", F.col("dst").alias("parent"))
+    return impl.union(ext.join(impl.withColumnRenamed("src", "parent"), "parent").select("src", "dst")).distinct()
+
+
+@PLAN.query("op_gr21_neighbourhood", CALLS + """, e AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), w AS (SELECT 'M13' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3), near AS (SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1)
+  SELECT node, depth, (SELECT count(*) FROM near) > 200 AS truncated FROM near ORDER BY depth, node LIMIT 200""")
+def gr21(spark, sf_dir):
+    """At most 200 nodes within three hops."""
+    return G.neighbourhood(calls(spark, sf_dir), "M13", 9, 200)[0]
+
+
+@PLAN.query("op_agg30_graph_stats", CALLS + " SELECT etype, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM calls GROUP BY 1")
+def agg30(spark, sf_dir):
+    return G.counts(calls(spark, sf_dir))
+
+
+@PLAN.query("op_snk08_merged_edges", CALLS + " SELECT etype, src, dst, min(line_no) AS line_no FROM (SELECT * FROM calls UNION ALL SELECT etype, src, dst, line_no + 1 FROM calls) GROUP BY 1, 2, 3")
+def snk08(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    return G.merged_edges(c.unionByName(c.withColumn("line_no", F.col("line_no") + 1)))

@@ -1,5 +1,108 @@
-"""To come."""
+"""Impact analysis over all transactions and all roots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
 
 from ..catalog import Plan
+from ..fixtures import ctes, view
+from ..operators import graph as G
+from ..operators import impact as I
 
 PLAN = Plan()
+BASE = ctes("tx_steps", "svc_svc", "svc_comp", "comp_comp", "comp_table", "svc_table")
+DOWN = """, sdown AS (SELECT DISTINCT svc AS root, svc FROM tx_steps UNION SELECT d.root, e.dst FROM sdown d JOIN svc_svc e ON e.src = d.svc)"""
+CDOWN = """, cdown AS (SELECT DISTINCT dst AS comp, dst AS other FROM svc_comp UNION SELECT d.comp, e.dst FROM cdown d JOIN comp_comp e ON e.src = d.other)"""
+MODEL = BASE + DOWN + CDOWN + """, rc AS (SELECT DISTINCT root, other AS comp FROM sdown JOIN svc_comp s ON s.src = sdown.svc JOIN cdown ON cdown.comp = s.dst),
+named AS (SELECT root, 'SERVICE' AS kind, svc AS code FROM sdown UNION ALL SELECT root, 'COMPONENT', comp FROM rc), model AS (SELECT DISTINCT tx, kind, code FROM (SELECT DISTINCT tx, svc AS root FROM tx_steps) JOIN named USING (root))"""
+CC = """, cboth AS (SELECT src, dst FROM comp_comp UNION SELECT dst, src FROM comp_comp), cclose AS (SELECT comp, comp AS other FROM (SELECT dst AS comp FROM svc_comp UNION SELECT src FROM comp_table) UNION SELECT c.comp, e.dst FROM cclose c JOIN cboth e ON e.src = c.other)"""
+UP = """, sup AS (SELECT svc, svc AS caller FROM (SELECT svc FROM tx_steps UNION SELECT src FROM svc_svc UNION SELECT dst FROM svc_svc UNION SELECT src FROM svc_comp UNION SELECT src FROM svc_table) UNION SELECT u.svc, e.src FROM sup u JOIN svc_svc e ON e.dst = u.caller)"""
+TABLES = BASE + CC + UP + """, closed AS (SELECT DISTINCT t.dst AS tab, c.other AS comp FROM comp_table t JOIN cclose c ON c.comp = t.src),
+matched AS (SELECT dst AS tab, src AS svc FROM svc_table UNION SELECT tab, s.src FROM closed JOIN svc_comp s ON s.dst = closed.comp), services AS (SELECT DISTINCT tab, caller AS svc FROM matched JOIN sup USING (svc))"""
+TX = "SELECT {root}, min(tx) AS tx, tx_name, arg_min(domain_key, tx) AS domain_key, count(DISTINCT svc) AS n_services FROM {services} JOIN tx_steps USING (svc) GROUP BY {root}, tx_name"
+
+
+def layers(spark, sf_dir):
+    v = lambda name: view(spark, sf_dir, name)
+    return I.Layers(v("tx_steps"), v("svc_svc"), v("svc_comp"), v("comp_comp"), v("comp_table"), v("svc_table"))
+
+
+@PLAN.query("op_gr08_transaction_model", MODEL + " SELECT * FROM model")
+def gr08(spark, sf_dir):
+    return I.model(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr09_layer_counts", MODEL + " SELECT tx, count(*) FILTER (kind = 'SERVICE') AS n_services, count(*) FILTER (kind = 'COMPONENT') AS n_components FROM model GROUP BY 1")
+def gr09(spark, sf_dir):
+    return I.layer_counts(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr11_component_closure", BASE + CC + " SELECT comp, other FROM cclose")
+def gr11(spark, sf_dir):
+    return I.component_closure(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr12_caller_closure", BASE + UP + " SELECT svc AS root, caller AS svc FROM sup WHERE svc IN (SELECT src FROM svc_table)")
+def gr12(spark, sf_dir):
+    x = layers(spark, sf_dir)
+    mine = x.svc_table.select(F.col("src").alias("root"), F.col("src").alias("svc")).distinct()
+    return I.callers(x, mine, "root")
+
+
+@PLAN.query("op_gr13_callable_upstream", BASE + ", e AS (SELECT src, dst FROM svc_svc WHERE src % 4 <> 0), u AS (SELECT DISTINCT src AS root, src AS svc FROM svc_table UNION SELECT u.root, e.src FROM u JOIN e ON e.dst = u.svc) SELECT root, svc FROM u")
+def gr13(spark, sf_dir):
+    """Only callable services are followed: every fourth one stands for a plain method."""
+    x = layers(spark, sf_dir)
+    back = x.svc_svc.where("src % 4 <> 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seeds = x.svc_table.select(F.col("src").alias("root"), F.col("src").alias("node"))
+    return G.reach(back, seeds, tag="root").select("root", F.col("node").alias("svc"))
+
+
+@PLAN.query("op_gr14_table_impact", TABLES + " " + TX.format(root="tab", services="services"))
+def gr14(spark, sf_dir):
+    return I.table_impact(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr15_component_impact", BASE + UP + ", services AS (SELECT DISTINCT s.dst AS comp, caller AS svc FROM svc_comp s JOIN sup ON sup.svc = s.src) " + TX.format(root="comp", services="services"))
+def gr15(spark, sf_dir):
+    return I.component_impact(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr16_service_impact", BASE + UP + ", services AS (SELECT svc AS root, caller AS svc FROM sup) " + TX.format(root="root", services="services"))
+def gr16(spark, sf_dir):
+    return I.service_impact(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr17_named_transactions", BASE + " SELECT tx_name, min(tx) AS tx, arg_min(domain_key, tx) AS domain_key, count(DISTINCT svc) AS n_services FROM tx_steps GROUP BY 1")
+def gr17(spark, sf_dir):
+    steps = view(spark, sf_dir, "tx_steps")
+    named = steps.groupBy("tx_name").agg(F.min(F.struct("tx", "domain_key")).alias("first"), F.count_distinct("svc").alias("n_services"))
+    return named.select("tx_name", F.col("first.tx").alias("tx"), F.col("first.domain_key").alias("domain_key"), "n_services")
+
+
+EDGES = TABLES + """, edges AS (SELECT dst AS tab, 'T' || dst AS src, 'C' || src AS dst, 1 AS phase FROM comp_table
+  UNION ALL SELECT a.tab, 'C' || e.src, 'C' || e.dst, 2 FROM closed a JOIN comp_comp e ON e.src = a.comp JOIN closed b ON b.tab = a.tab AND b.comp = e.dst WHERE e.src <> e.dst
+  UNION ALL SELECT dst, 'T' || dst, 'S' || src, 3 FROM svc_table UNION ALL SELECT tab, 'C' || comp, 'S' || s.src, 4 FROM closed JOIN svc_comp s ON s.dst = closed.comp
+  UNION ALL SELECT a.tab, 'S' || e.src, 'S' || e.dst, 5 FROM services a JOIN svc_svc e ON e.src = a.svc JOIN services b ON b.tab = a.tab AND b.svc = e.dst WHERE e.src <> e.dst),
+once AS (SELECT tab, src, dst, min(phase)::INT AS phase FROM edges GROUP BY 1, 2, 3)"""
+
+
+@PLAN.query("op_gr18_edge_set", EDGES + " SELECT * FROM once")
+def gr18(spark, sf_dir):
+    return I.table_edges(layers(spark, sf_dir))
+
+
+@PLAN.query("op_gr19_all_roots", TABLES + ", t AS (" + TX.format(root="tab", services="services") + ") SELECT tab, count(*) AS n_transactions, count(DISTINCT domain_key) AS n_domains FROM t GROUP BY 1")
+def gr19(spark, sf_dir):
+    return I.table_impact(layers(spark, sf_dir)).groupBy("tab").agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
+
+
+@PLAN.query("op_agg32_export_summary", EDGES + " SELECT tab, count(*) AS n_edges, count(*) FILTER (phase IN (2, 5)) AS n_inner FROM once GROUP BY 1")
+def agg32(spark, sf_dir):
+    return I.table_edges(layers(spark, sf_dir)).groupBy("tab").agg(F.count("*").alias("n_edges"), F.count_if(F.col("phase").isin(2, 5)).alias("n_inner"))
+
+
+@PLAN.query("op_prj05_catalog", BASE + " SELECT tx_name AS name, domain_key, count(*) AS n FROM tx_steps WHERE lower(tx_name) LIKE '%urgent%' GROUP BY 1, 2")
+def prj05(spark, sf_dir):
+    steps = view(spark, sf_dir, "tx_steps").where(F.lower("tx_name").contains("URGENT ".strip().lower()))
+    return steps.groupBy(F.col("tx_name").alias("name"), "domain_key").agg(F.count("*").alias("n")).orderBy("name", "domain_key")
