@@ -36,7 +36,7 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!#$%&()*+,-./:;<=>?@[]^_`{|}~")] = True
 #: First bytes of the white space beyond ASCII.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
-MAX_CACHED, MAX_MOVES, MAX_HOPES = 120_000, 300_000, 48
+MAX_CACHED, MAX_MOVES, MAX_HOPES, ASKED = 300_000, 300_000, 48, 16
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ class Transducer:
         self.states = [(-1, (((), b""),))]
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.asked: set[int] = set()
+        self.asked: dict[int, int] = {}
 
     def merged(self, token: bytes) -> list[tuple[int, int, int]]:
         """The merges of BPE over a token's own bytes: (place of the left part, rank, place after)."""
@@ -200,7 +200,10 @@ class Transducer:
         return [*before[at], *out[::-1]]
 
     def encode(self, piece: bytes) -> list[int]:
-        """A move is determinised when it is asked for again."""
+        """A move is determinised when it has been asked for ASKED times."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
         if len(self.moves) > MAX_MOVES:
             self.reset()
         out: list[int] = []
@@ -209,10 +212,11 @@ class Transducer:
             key = state << 8 | byte
             step = moves.get(key)
             if step is None:
-                if key not in self.asked:
+                times = self.asked.get(key, 0)
+                if times < ASKED:
                     if len(self.asked) > MAX_MOVES:
                         self.asked.clear()
-                    self.asked.add(key)
+                    self.asked[key] = times + 1
                     return out + self.simulate(state, piece[i:])
                 step = moves[key] = self.move(state, piece[i : i + 1])
             state = step[0]
