@@ -141,7 +141,8 @@ def rating(failed: Column, skipped: Column, seq_scan: Column, rows: Column, many
 def worst_of(*ratings: Column | str) -> Column:
     """The worst rating; not applicable and null are neutral."""
     rank = [F.when(col(r) == "POOR", 1).when(col(r) == "GOOD", 2).when(col(r) == "EXCELLENT", 3) for r in ratings]
-    return F.element_at(F.array(*map(F.lit, ("POOR", "GOOD", "EXCELLENT"))), F.least(*rank))
+    worst = F.least(*rank)
+    return F.when(worst == 1, "POOR").when(worst == 2, "GOOD").when(worst == 3, "EXCELLENT")
 
 
 def size_bucket(rows: Column | str) -> Column:

@@ -1 +1 @@
-
+"""Structured Streaming front-ends of the stateful operators."""
