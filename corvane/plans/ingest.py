@@ -1,5 +1,268 @@
-"""To come."""
+"""Parsers over texts made from the test tables, and write modes."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
 
 from ..catalog import Plan
+from ..fixtures import ctes, table, view
+from ..operators import writes
+from ..session import shared_dir
+from ..sources import parsers as P
 
 PLAN = Plan()
+
+
+def made(spark, sf_dir, sql):
+    text, _, name = sql.rpartition(" FROM ")
+    return spark.sql(text.replace("{", "{{").replace("}", "}}") + " FROM {src}", src=table(spark, sf_dir, name))
+
+
+N = "CAST({} AS VARCHAR(20))".format
+CELLS = f"SELECT event_id AS k, event_type AS a, CASE WHEN event_id % 3 = 0 THEN concat('x->[', {N('user_id')}) ELSE ' ' END AS b, CASE WHEN event_id % 2 = 0 THEN {N('event_id')} ELSE ' ' END AS c, 'z' AS d FROM events"
+
+
+@PLAN.query("op_src13_raw_cell", f"WITH s AS ({CELLS}) SELECT k, CASE WHEN trim(c) <> '' THEN c WHEN contains(b, '->[') THEN b WHEN trim(b) <> '' THEN concat_ws(' ', a, b, d) ELSE concat_ws(' ', a, d) END AS cell FROM s")
+def src13(spark, sf_dir):
+    return made(spark, sf_dir, CELLS).select("k", P.raw_cell(["a", "b", "c", "d"]).alias("cell"))
+
+
+@PLAN.query("op_src12_csv", f"WITH s AS ({CELLS}) SELECT k::VARCHAR AS k, a, trim(b) AS b, trim(c) AS c FROM s")
+def src12(spark, sf_dir):
+    """Written as CSV, read back with trimmed cells; missing ones are empty."""
+    path = f"{shared_dir(spark)}/corvane/csv-{uuid.uuid4().hex}"
+    made(spark, sf_dir, CELLS).select("k", "a", "b", "c").write.option("header", True).csv(path)
+    return P.csv_rows(spark, path)
+
+
+JAVA = f"SELECT c_custkey AS k, concat('public class Cls', {N('c_custkey')}, CASE WHEN c_custkey % 2 = 0 THEN ' extends Base' ELSE '' END, ' implements Api', {N('c_nationkey')}, ' {{ @Statement(sql = \"select \" + \"', {N('c_custkey')}, '\") void m() {{ // throw A.E9999(1)', chr(10), 'throw Err.E', {N('1000 + c_custkey % 50')}, '(x); }} }}') AS content FROM customer".replace("{{", "{").replace("}}", "}")
+
+
+@PLAN.query("op_src03_declarations", f"WITH s AS ({JAVA}) SELECT k, 'class' AS kind, 'Cls' || k AS name, CASE WHEN k % 2 = 0 THEN 'Base' ELSE '' END AS parent, 'Api' || regexp_extract(content, 'Api([0-9]+)', 1) AS interfaces FROM s")
+def src03(spark, sf_dir):
+    return made(spark, sf_dir, JAVA).select("k", F.explode(P.declarations("content")).alias("d")).select("k", "d.kind", "d.name", "d.parent", "d.interfaces")
+
+
+CALLS = "SELECT event_id AS k, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SysUtil.getInstance(Api.class)' WHEN 2 THEN 'pkg.AccountDao' WHEN 3 THEN 'helper' ELSE '' END AS scope, CASE event_id % 7 WHEN 0 THEN 'toString' ELSE 'run' END AS name FROM events"
+
+
+@PLAN.query("op_src04_call_kinds", f"WITH s AS ({CALLS}) SELECT k, CASE WHEN coalesce(scope, '') = '' AND name <> 'toString' THEN 'SELF_CALLS' WHEN coalesce(scope, '') = '' THEN NULL WHEN k % 5 = 1 THEN 'SYS_UTIL_CALLS' WHEN k % 5 = 2 THEN 'DAO_CALLS' ELSE 'CALLS' END AS kind FROM s")
+def src04(spark, sf_dir):
+    return made(spark, sf_dir, CALLS).select("k", P.call_kind(F.col("scope"), F.col("name")).alias("kind"))
+
+
+@PLAN.query("op_src10_statements", f"WITH s AS ({JAVA}) SELECT k, 'select ' || k AS q FROM s")
+def src10(spark, sf_dir):
+    return made(spark, sf_dir, JAVA).select("k", F.explode(P.statements("content")).alias("q"))
+
+
+@PLAN.query("op_src20_throws", f"WITH s AS ({JAVA}) SELECT k, 'E' || (1000 + k % 50) AS code FROM s")
+def src20(spark, sf_dir):
+    return made(spark, sf_dir, JAVA).select("k", F.explode(P.throws("content")).alias("code"))
+
+
+FLOW = f"SELECT o_orderkey AS k, concat('<flow id=\"TX', {N('o_orderkey')}, '\"><block><step id=\"a', {N('o_custkey')}, '\"/></block><step id=\"b\"/><case><when><step id=\"c\"/></when></case></flow>') AS xml FROM orders"
+
+
+@PLAN.query("op_src05_flow_edges", f"WITH s AS ({FLOW}) SELECT 'TX' || k AS tx, regexp_extract(xml, 'id=.(a[0-9]+)', 1) AS src, 'b' AS dst FROM s UNION ALL SELECT 'TX' || k, 'b', 'c' FROM s")
+def src05(spark, sf_dir):
+    return P.next_edges(P.flow_steps(made(spark, sf_dir, FLOW)))
+
+
+@PLAN.query("op_src21_tx_id", f"WITH s AS ({FLOW}) SELECT k, 'TX' || k AS tx FROM s")
+def src21(spark, sf_dir):
+    return made(spark, sf_dir, FLOW).select("k", F.xpath_string("xml", F.lit("/flow/@id")).alias("tx"))
+
+
+FILES = f"SELECT p_partkey AS k, concat('/m', {N('p_size')}, '-bcc', CASE WHEN p_partkey % 5 = 0 THEN '/target' ELSE '' END, '/src/main/resources/f', {N('p_partkey')}, CASE p_partkey % 3 WHEN 0 THEN '.pbs.xml' WHEN 1 THEN '.pbcb.xml' ELSE '.txt' END) AS path FROM part"
+
+
+@PLAN.query("op_src06_service_kinds", f"WITH s AS ({FILES}) SELECT k, CASE k % 3 WHEN 0 THEN 'pbs' WHEN 1 THEN 'pbcb' ELSE '' END AS kind FROM s")
+def src06(spark, sf_dir):
+    return made(spark, sf_dir, FILES).select("k", P.service_kind("path").alias("kind"))
+
+
+@PLAN.query("op_src24_roots", f"WITH s AS ({FILES}) SELECT regexp_extract(path, '^/([^/]+)/', 1) AS module, min(regexp_extract(path, '^(.*/src/main/resources)/', 1)) AS root FROM s WHERE NOT contains(path, '/target/') GROUP BY 1")
+def src24(spark, sf_dir):
+    return P.metadata_roots(made(spark, sf_dir, FILES))
+
+
+@PLAN.query("op_src07_first_table", ctes("slow_raw") + " SELECT abstract_sql, arg_min(seq, seq) AS seq FROM slow_raw GROUP BY 1")
+def src07(spark, sf_dir):
+    """The first definition of a table counts."""
+    return P.first_seen(view(spark, sf_dir, "slow_raw").select("abstract_sql", "seq"), ["abstract_sql"], "seq")
+
+
+MODULES = ctes("slow_raw") + ", m AS (SELECT abstract_sql AS id, seq, service_name || (seq % 2) AS module FROM slow_raw)"
+
+
+@PLAN.query("op_src08_last_module", MODULES + " SELECT id, arg_max(module, seq) AS module, count(DISTINCT module) > 1 AS conflict FROM m GROUP BY 1")
+def src08(spark, sf_dir):
+    """The last scanned counts; conflicts are reported."""
+    m = view(spark, sf_dir, "slow_raw").select(F.col("abstract_sql").alias("id"), "seq", F.concat("service_name", (F.col("seq") % 2).cast("string")).alias("module"))
+    last, several = P.last_put(m, ["id"], "seq")
+    return last.join(several, "id", "left").select("id", "module", F.col("n_modules").isNotNull().alias("conflict"))
+
+
+@PLAN.query("op_src09_exact_then_lower", ctes("slow_raw") + ", k AS (SELECT seq, CASE WHEN seq % 2 = 0 THEN upper(service_name) ELSE service_name END AS name FROM slow_raw), i AS (SELECT DISTINCT service_name AS name, 'm-' || service_name AS module FROM slow_raw) SELECT seq, coalesce(a.module, b.module) AS module FROM k LEFT JOIN i a ON a.name = k.name LEFT JOIN i b ON b.name = lower(k.name)")
+def src09(spark, sf_dir):
+    raw = view(spark, sf_dir, "slow_raw")
+    names = raw.select("seq", F.when(F.col("seq") % 2 == 0, F.upper("service_name")).otherwise(F.col("service_name")).alias("name"))
+    index = raw.select(F.col("service_name").alias("name")).distinct().withColumn("module", F.concat(F.lit("m-"), "name"))
+    exact = names.join(index.withColumnRenamed("module", "_a"), "name", "left")
+    lower = exact.join(index.select(F.col("name").alias("low"), F.col("module").alias("_b")), F.lower("name") == F.col("low"), "left")
+    return lower.select("seq", F.coalesce("_a", "_b").alias("module"))
+
+
+@PLAN.query("op_src22_symbols", ctes("slow_raw") + " SELECT service_name AS name, arg_min(abstract_sql, seq) AS first_fqn, arg_max(abstract_sql, seq) AS last_fqn FROM slow_raw GROUP BY 1")
+def src22(spark, sf_dir):
+    """Simple names keep the first symbol, full ones the last."""
+    return view(spark, sf_dir, "slow_raw").groupBy(F.col("service_name").alias("name")).agg(F.min(F.struct("seq", "abstract_sql"))["abstract_sql"].alias("first_fqn"), F.max(F.struct("seq", "abstract_sql"))["abstract_sql"].alias("last_fqn"))
+
+
+DEFS = ctes("slow_raw") + ", d AS (SELECT abstract_sql AS id, seq, seq % 3 AS priority, CASE WHEN seq % 4 > 0 THEN exec_params ELSE ' ' END AS title, 'p' || seq AS path, CASE WHEN seq % 5 > 0 THEN 'i' || seq END AS impl FROM slow_raw)"
+
+
+@PLAN.query("op_src25_merged_definitions", DEFS + " SELECT id, arg_max(title, seq) FILTER (trim(title) <> '') AS title, arg_max(path, priority * 100000000 + seq) AS path, arg_min(impl, seq) FILTER (impl IS NOT NULL) AS impl FROM d GROUP BY 1")
+def src25(spark, sf_dir):
+    s = F.col("seq")
+    d = view(spark, sf_dir, "slow_raw").select(F.col("abstract_sql").alias("id"), "seq", (s % 3).alias("priority"), F.when(s % 4 > 0, F.col("exec_params")).otherwise(" ").alias("title"), F.concat(F.lit("p"), s.cast("string")).alias("path"), F.when(s % 5 > 0, F.concat(F.lit("i"), s.cast("string"))).alias("impl"))
+    return P.merged_definitions(d)
+
+
+@PLAN.query("op_src26_cached_operations", ctes("reached") + ", t AS (SELECT DISTINCT class_fqn AS type_id, 't' || class_fqn AS type_name FROM reached), o AS (SELECT DISTINCT class_fqn AS type_id, method_name AS op_id, CASE WHEN method_name <> 'm1' THEN 'o' || method_name END AS op_name FROM reached WHERE class_fqn < 'C3') SELECT concat_ws('.', type_id, op_id) AS key, coalesce(op_name, type_name) AS name FROM t LEFT JOIN o USING (type_id)")
+def src26(spark, sf_dir):
+    r = view(spark, sf_dir, "reached")
+    types = r.select(F.col("class_fqn").alias("type_id"), F.concat(F.lit("t"), "class_fqn").alias("type_name")).distinct()
+    ops = r.where("class_fqn < 'C3'").select(F.col("class_fqn").alias("type_id"), F.col("method_name").alias("op_id"), F.when(F.col("method_name") != "m1", F.concat(F.lit("o"), "method_name")).alias("op_name")).distinct()
+    return P.cached_operations(types, ops)
+
+
+COLS = "WITH c AS (SELECT s_suppkey AS oid, unnest([1, 2, 3])::INT AS attnum FROM supplier), cols AS (SELECT oid, attnum, 'c' || attnum AS attname FROM c), idx AS (SELECT s_suppkey AS oid, CASE s_suppkey % 4 WHEN 0 THEN '1 3' WHEN 1 THEN '2' WHEN 2 THEN '3 0' ELSE '1 9' END AS indkey FROM supplier)"
+
+
+def catalog(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    cols = s.select(F.col("s_suppkey").alias("oid"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attnum")).withColumn("attname", F.concat(F.lit("c"), F.col("attnum").cast("string")))
+    k = F.col("s_suppkey") % 4
+    return s.select(F.col("s_suppkey").alias("oid"), F.when(k == 0, "1 3").when(k == 1, "2").when(k == 2, "3 0").otherwise("1 9").alias("indkey")), cols
+
+
+@PLAN.query("op_src14_columns", COLS + " SELECT oid, count(*) AS n, max(attname) AS last_name FROM cols GROUP BY 1")
+def src14(spark, sf_dir):
+    return catalog(spark, sf_dir)[1].groupBy("oid").agg(F.count("*").alias("n"), F.max("attname").alias("last_name"))
+
+
+@PLAN.query("op_src15_key_columns", COLS + " SELECT oid, CASE oid % 4 WHEN 0 THEN 'c1,c3' ELSE 'c2' END AS names, CASE oid % 4 WHEN 0 THEN 2 ELSE 1 END::INT AS n FROM idx WHERE oid % 4 < 2")
+def src15(spark, sf_dir):
+    return P.key_columns(*catalog(spark, sf_dir))
+
+
+@PLAN.query("op_src16_index_columns", COLS + " SELECT oid, CASE oid % 4 WHEN 0 THEN 'c1,c3' WHEN 1 THEN 'c2' WHEN 2 THEN 'c3,<expr>' ELSE 'c1,<unknown#9>' END AS names FROM idx")
+def src16(spark, sf_dir):
+    return P.index_columns(*catalog(spark, sf_dir))
+
+
+STAT = "SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(*) FILTER ({c} IS NULL) / count(*) AS null_frac, (SELECT max(n) FROM (SELECT count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY {c})) / count(*) AS top_frac FROM items"
+
+
+@PLAN.query("op_src17_column_stats", ctes("items") + " " + " UNION ALL ".join(STAT.format(c=c) for c in ("project", "rating", "env")))
+def src17(spark, sf_dir):
+    return P.column_stats(view(spark, sf_dir, "items"), ["project", "rating", "env"])
+
+
+@PLAN.query("op_src23_column_sample", ctes("items") + " SELECT task_id, min(rating) AS sample FROM items GROUP BY 1")
+def src23(spark, sf_dir):
+    """One value that isn't null a group; the smallest, so that it is always the same."""
+    return view(spark, sf_dir, "items").groupBy("task_id").agg(F.min("rating").alias("sample"))
+
+
+@PLAN.query("op_src18_git_log", "SELECT o_orderkey % 16 AS repo, 'src/F' || (l_partkey % 300) || '.java' AS path, 'u' || (o_custkey % 50) || '@b' AS email, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_quantity::BIGINT END)::BIGINT AS adds, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END)::BIGINT AS dels, count(DISTINCT o_orderkey) AS commits FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
+def src18(spark, sf_dir):
+    """Logs of sixteen repositories: a header for each order, a line for each of its items."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    head = orders.select((F.col("o_orderkey") % 16).alias("repo"), (F.col("o_orderkey") * 100000).alias("line_no"), F.concat(F.lower(F.hex("o_orderkey")), F.lit("|U"), (F.col("o_custkey") % 50).cast("string"), F.lit("@b")).alias("line"))
+    tab, dash = F.lit("\t"), F.col("l_linenumber") == 1
+    cell = lambda c: F.when(dash, "-").otherwise(F.col(c).cast("long").cast("string"))
+    line = F.concat(cell("l_quantity"), tab, cell("l_linenumber"), tab, F.lit("src/F"), (F.col("l_partkey") % 300).cast("string"), F.lit(".java"))
+    body = items.select((F.col("l_orderkey") % 16).alias("repo"), (F.col("l_orderkey") * 100000 + 1 + F.col("l_partkey") % 90000).alias("line_no"), line.alias("line"))
+    return P.git_numstat(head.unionByName(body))
+
+
+@PLAN.query("op_src19_git_blame", "SELECT o_orderkey % 16 AS repo, 'F' || (o_custkey % 200) AS path, 'u' || (o_custkey % 50) || '@b' AS email, sum(1 + o_orderkey % 90)::BIGINT AS owned_lines FROM orders GROUP BY 1, 2, 3")
+def src19(spark, sf_dir):
+    """A block of three lines for each order."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    lines = F.array(text("abcdef 1 1 ", 1 + key % 90), text("author-mail <U", cust % 50, "@b>"), text("filename F", cust % 200))
+    rows = table(spark, sf_dir, "orders").select((key % 16).alias("repo"), key.alias("o"), F.posexplode(lines).alias("i", "line"))
+    return P.git_blame(rows.select("repo", (F.col("o") * 10 + F.col("i")).alias("line_no"), "line"))
+
+
+SQLS = f"SELECT o_orderkey AS k, concat('select * from t where a = ? and b in (?) -- x = ?', chr(10), ' and c between ? and 9 and d = ''e = ?'' and f', {N('o_custkey % 9')}, ' like ?') AS q, o_custkey % 9 AS n FROM orders"
+
+
+@PLAN.query("op_sc13_parameter_columns", f"WITH s AS ({SQLS}) SELECT k, 'a,b,c,f' || n AS names FROM s")
+def sc13(spark, sf_dir):
+    return made(spark, sf_dir, SQLS).select("k", P.parameter_columns("q").alias("names"))
+
+
+@PLAN.query("op_sc15_filled", f"WITH s AS ({SQLS}) SELECT k, 'select * from t where a = 1 and b in (1) -- x = ?' || chr(10) || ' and c between 1 and 9 and d = ''e = ?'' and f' || n || ' like 1' AS q FROM s")
+def sc15(spark, sf_dir):
+    return made(spark, sf_dir, SQLS).select("k", P.filled("q", "1").alias("q"))
+
+
+PLANS = f"SELECT o_orderkey AS k, concat('{{\"Plan\": {{\"Node Type\": \"', CASE WHEN o_orderkey % 2 = 0 THEN 'Hash Join' ELSE 'Sort' END, '\", \"Plans\": [{{\"Node Type\": \"Seq Scan\", \"Relation Name\": \"t', {N('o_custkey % 5')}, '\"}}, {{\"Node Type\": \"Index Scan\", \"Relation Name\": \"a\"}}]}}}}') AS plan, o_custkey % 5 AS n FROM orders".replace("{{", "{").replace("}}", "}")
+
+
+@PLAN.query("op_sc23_plan_facts", f"WITH s AS ({PLANS}) SELECT k, CASE WHEN k % 2 = 0 THEN 'Hash Join' ELSE 'Sort' END || ',Seq Scan,Index Scan' AS nodes, 'a,t' || n AS tables, true AS seq_scan, true AS index_scan, k % 2 = 1 AS sorts, k % 2 = 0 AS joins FROM s")
+def sc23(spark, sf_dir):
+    return made(spark, sf_dir, PLANS).select("k", P.plan_facts("plan").alias("f")).select("k", "f.*")
+
+
+@PLAN.query("op_src27_plan_input", f"WITH s AS ({PLANS}) SELECT n, count(*) AS plans FROM s GROUP BY 1")
+def src27(spark, sf_dir):
+    """Plans are an input column; here those that read each table."""
+    facts = made(spark, sf_dir, PLANS).select("n", P.plan_facts("plan")["seq_scan"].alias("seq"))
+    return facts.where("seq").groupBy("n").agg(F.count("*").alias("plans"))
+
+
+ANSWERS = f"SELECT o_orderkey AS k, concat('<think>{{no}}</think> ```json ', CASE o_orderkey % 3 WHEN 0 THEN concat('{{\"a\": ', {N('o_custkey')}, '}} ``` done') WHEN 1 THEN concat('{{\"a\": {{\"b\": ', {N('o_custkey')}) ELSE 'nothing' END) AS t, o_custkey AS n FROM orders".replace("{{", "{").replace("}}", "}")
+
+
+@PLAN.query("op_sc27_salvaged", f"WITH s AS ({ANSWERS}) SELECT k, CASE k % 3 WHEN 0 THEN '{{\"a\": ' || n || '}}' WHEN 1 THEN '{{\"a\": {{\"b\": ' || n || '}}' || '}}' END AS json FROM s".replace("{{", "{").replace("}}", "}"))
+def sc27(spark, sf_dir):
+    return made(spark, sf_dir, ANSWERS).select("k", P.salvaged("t").alias("json"))
+
+
+REP = ctes("slow_raw")
+
+
+@PLAN.query("op_snk01_full_rebuild", REP + " SELECT service_name, count(*) AS n FROM slow_raw GROUP BY 1")
+def snk01(spark, sf_dir):
+    """Written twice; the second overwrites the first."""
+    path = f"{shared_dir(spark)}/corvane/full-{uuid.uuid4().hex}"
+    counted = view(spark, sf_dir, "slow_raw").groupBy("service_name").agg(F.count("*").alias("n"))
+    writes.published(counted.limit(0), path)
+    writes.published(counted, path)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
+@PLAN.query("op_snk02_partition_overwrite", REP + ", d AS (SELECT service_name, abstract_sql, count(*) AS n FROM slow_raw GROUP BY 1, 2) SELECT service_name, abstract_sql, CASE WHEN service_name = 'click' THEN n + 1000 ELSE n END AS n FROM d")
+def snk02(spark, sf_dir):
+    """Only the partitions of the second write are replaced."""
+    path = f"{shared_dir(spark)}/corvane/parts-{uuid.uuid4().hex}"
+    counted = view(spark, sf_dir, "slow_raw").groupBy("service_name", "abstract_sql").agg(F.count("*").alias("n"))
+    writes.published(counted, path, "service_name")
+    writes.published(counted.where("service_name = 'click'").withColumn("n", F.col("n") + 1000), path, "service_name")
+    return spark.read.schema("abstract_sql string, n long, service_name string").parquet(path)
+
+
+@PLAN.query("op_snk13_export", REP + " SELECT service_name, abstract_sql, max(cost_ms)::VARCHAR AS max_cost FROM slow_raw GROUP BY 1, 2")
+def snk13(spark, sf_dir):
+    path = f"{shared_dir(spark)}/corvane/export-{uuid.uuid4().hex}"
+    top = view(spark, sf_dir, "slow_raw").groupBy("service_name", "abstract_sql").agg(F.max("cost_ms").alias("max_cost"))
+    writes.exported(top, path, ["service_name", "abstract_sql", "max_cost"])
+    return P.csv_rows(spark, path)
