@@ -65,8 +65,11 @@ def valid_round(name: Column | str) -> Column:
 
 
 def location(raw: Column | str) -> Column:
-    """Trimmed, without balanced brackets around it, empty as null, at most 512 characters."""
-    inner = F.regexp_replace(F.trim(col(raw)), r"^\[\[(.*)\]\]$|^\[([^\[].*|)\]$", "$1$2")
+    """Trimmed, without the brackets around it that close at its end, however many, empty as null,
+    at most 512 characters."""
+    text = F.trim(col(raw))
+    pairs = F.least(F.length(F.regexp_extract(text, r"^(\[*)", 1)), F.length(F.regexp_extract(text, r"(\]*)$", 1)))
+    inner = F.substring(text, pairs + 1, F.length(text) - 2 * pairs)
     return F.substring(F.nullif(F.trim(inner), F.lit("")), 1, 512)
 
 

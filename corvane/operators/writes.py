@@ -58,3 +58,30 @@ def exported(df: DataFrame, path: str, columns: list[Column | str]) -> None:
 def once_a_day(spark: SparkSession, runs: DataFrame, env: str, day: str) -> bool:
     """Whether a run may begin: none of the environment is running on that day."""
     return runs.where((F.col("env") == env) & (F.col("day") == day) & (F.col("status") == "RUNNING")).isEmpty()
+
+
+def staged(df: DataFrame, path: str, wanted: Column | None = None) -> bool:
+    """Writes a new version below path and publishes it if all its rows are wanted. A version counts
+    once its folder has Spark's _SUCCESS mark, which is the last thing a write does."""
+    spark = df.sparkSession
+    version = f"v{int((current(spark, path) or 'v0')[1:]) + 1:06d}"
+    draft = f"{path}/draft-{version}"
+    df.write.mode("overwrite").parquet(draft)
+    if wanted is not None and not spark.read.schema(df.schema).parquet(draft).where(~F.coalesce(wanted, F.lit(False))).isEmpty():
+        return False
+    files, at = _folder(spark, path)
+    return files.rename(at(draft), at(f"{path}/{version}"))
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The newest published version, null if none."""
+    files, at = _folder(spark, path)
+    if not files.exists(at(path)):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(at(path))]
+    return max((n for n in names if n.startswith("v")), default=None)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at

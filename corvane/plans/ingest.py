@@ -266,3 +266,52 @@ def snk13(spark, sf_dir):
     top = view(spark, sf_dir, "slow_raw").groupBy("service_name", "abstract_sql").agg(F.max("cost_ms").alias("max_cost"))
     writes.exported(top, path, ["service_name", "abstract_sql", "max_cost"])
     return P.csv_rows(spark, path)
+
+
+@PLAN.query("op_src01_java_files", f"WITH s AS ({JAVA}) SELECT count(*) AS n FROM s WHERE k % 3 = 0")
+def src01(spark, sf_dir):
+    """Files written below src/main/java and src/test/java; only the first are read."""
+    path = f"{shared_dir(spark)}/corvane/java-{uuid.uuid4().hex}"
+    files = made(spark, sf_dir, JAVA)
+    for k, folder in enumerate(("src/main/java", "src/test/java", "docs")):
+        # one text file a partition; a file has many classes
+        files.where(F.col("k") % 3 == k).select("content").write.option("lineSep", "\u0001").text(f"{path}/{folder}")
+    spark_files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    kept = spark_files.where(P.java_path("path"))
+    return kept.select(F.explode(P.declarations("value")).alias("d")).agg(F.count("*").alias("n"))
+
+
+@PLAN.query("op_src11_first_sheet", REP + " SELECT abstract_sql, exec_params, max(cost_ms) AS cost FROM slow_raw GROUP BY 1, 2")
+def src11(spark, sf_dir):
+    """A sheet's five columns as CSV, its header skipped."""
+    path = f"{shared_dir(spark)}/corvane/sheet-{uuid.uuid4().hex}"
+    view(spark, sf_dir, "slow_raw").select("service_name", "abstract_sql", "exec_params", "cost_raw", "source_location").write.option("header", True).csv(path)
+    from ..functions.scalar import cost
+
+    return P.csv_rows(spark, path).groupBy("abstract_sql", "exec_params").agg(F.max(cost("cost_raw")).alias("cost"))
+
+
+@PLAN.query("op_snk11_all_or_nothing", REP + " SELECT service_name, count(*) AS n FROM slow_raw GROUP BY 1")
+def snk11(spark, sf_dir):
+    """A write that fails on one row leaves the table as it was."""
+    path = f"{shared_dir(spark)}/corvane/whole-{uuid.uuid4().hex}"
+    counted = view(spark, sf_dir, "slow_raw").groupBy("service_name").agg(F.count("*").alias("n"))
+    writes.staged(counted, path)
+    writes.staged(counted.withColumn("n", F.col("n") + 1), path, F.col("n") < 0)
+    return spark.read.schema(counted.schema).parquet(f"{path}/{writes.current(spark, path)}")
+
+
+@PLAN.query("op_snk12_snapshot", REP + " SELECT round, count(*) AS n FROM slow_raw GROUP BY 1")
+def snk12(spark, sf_dir):
+    """Two snapshots; readers take the newest that is complete."""
+    path = f"{shared_dir(spark)}/corvane/snap-{uuid.uuid4().hex}"
+    counted = view(spark, sf_dir, "slow_raw").groupBy("round").agg(F.count("*").alias("n"))
+    writes.staged(counted.where("n < 0"), path)
+    writes.staged(counted, path)
+    return spark.read.schema(counted.schema).parquet(f"{path}/{writes.current(spark, path)}")
+
+
+@PLAN.query("op_snk10_once_a_day", ctes("tasks") + " SELECT env, count(*) FILTER (status = 'RUNNING') = 0 AS may_begin FROM tasks GROUP BY 1")
+def snk10(spark, sf_dir):
+    """Environments in which a run may begin."""
+    return view(spark, sf_dir, "tasks").groupBy("env").agg((F.count_if(F.col("status") == "RUNNING") == 0).alias("may_begin"))

@@ -167,3 +167,53 @@ def agg25(spark, sf_dir):
     text = lambda p, n: F.concat(F.lit(p), (F.col("id") % n).cast("string"))
     s = view(spark, sf_dir, "items").select("id", F.when(F.col("id") % 4 == 0, "SQL").otherwise("TABLE").alias("scope"), F.when(F.col("id") % 5 > 0, text("idx_", 17)).alias("ddl"), F.concat(text("r", 3), "lang").alias("reason"), (F.col("n_chars") > 2000).cast("int").alias("risk"))
     return X.advice(s)
+
+
+STEPS = "SELECT CAST(o_orderkey AS BIGINT) AS tx, o_custkey % 30 AS src_field, o_custkey % 17 AS dst_field FROM orders"
+
+
+@PLAN.query("op_join13_field_mappings", f"WITH m AS ({STEPS}), f AS (SELECT o_orderkey AS tx, unnest(range(0, 20)) AS field FROM orders) SELECT m.tx, 'SOURCE_OF' AS edge, m.src_field AS field FROM m JOIN f ON f.tx = m.tx AND f.field = m.src_field UNION ALL SELECT m.tx, 'TARGETS', m.dst_field FROM m JOIN f ON f.tx = m.tx AND f.field = m.dst_field")
+def join13(spark, sf_dir):
+    """Mappings whose field exists in the same transaction, at either end."""
+    orders = view(spark, sf_dir, "orders")
+    maps = orders.select(F.col("o_orderkey").alias("tx"), (F.col("o_custkey") % 30).alias("src_field"), (F.col("o_custkey") % 17).alias("dst_field"))
+    fields = orders.select(F.col("o_orderkey").alias("tx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("field"))
+    ends = F.explode(F.array(F.struct(F.lit("SOURCE_OF").alias("edge"), F.col("src_field").alias("field")), F.struct(F.lit("TARGETS").alias("edge"), F.col("dst_field").alias("field")))).alias("x")
+    return maps.select("tx", ends).select("tx", "x.edge", "x.field").join(fields, ["tx", "field"]).select("tx", "edge", "field")
+
+
+@PLAN.query("op_join12_backfilled", ctes("calls", "reached") + ", known AS (SELECT DISTINCT src AS node FROM calls) SELECT DISTINCT dst AS node, split_part(dst, ':', 1) AS label FROM calls WHERE dst NOT IN (SELECT node FROM known)")
+def join12(spark, sf_dir):
+    """Nodes that edges point to but no scan has declared."""
+    calls = view(spark, sf_dir, "calls")
+    missing = calls.select(F.col("dst").alias("node")).distinct().join(calls.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    return missing.select("node", F.substring_index("node", ":", 1).alias("label"))
+
+
+@PLAN.query("op_srt09_sorted_batch", ctes("slow_raw") + " SELECT service_name, abstract_sql, arg_max(seq, round || lpad(seq::VARCHAR, 12, '0')) AS seq FROM slow_raw GROUP BY 1, 2")
+def srt09(spark, sf_dir):
+    """Sorted by name and text; of equal ones the latest round, and of that the last."""
+    rows = view(spark, sf_dir, "slow_raw").select("service_name", "abstract_sql", "round", "seq")
+    newest = rows.groupBy("service_name", "abstract_sql").agg(F.max(F.struct("round", "seq"))["seq"].alias("seq"))
+    return newest.orderBy("service_name", "abstract_sql")
+
+
+@PLAN.query("op_gr24_source_pointers", ctes("calls", "reached", "throws") + ", c AS (SELECT class_fqn, min(throw_seq) AS line FROM throws GROUP BY 1), r AS (SELECT class_fqn, min(tx_id) AS tx FROM reached GROUP BY 1) SELECT t.throw_seq, CASE WHEN t.line_no IS NOT NULL THEN t.class_fqn || ':' || t.line_no WHEN r.tx IS NOT NULL THEN 'xml:' || r.tx ELSE t.class_fqn END AS pointer FROM throws t LEFT JOIN r USING (class_fqn)")
+def gr24(spark, sf_dir):
+    """The line where it is known, else the transaction's file, else the class."""
+    r = view(spark, sf_dir, "reached").groupBy("class_fqn").agg(F.min("tx_id").alias("tx"))
+    line = F.when(F.col("line_no").isNotNull(), F.concat("class_fqn", F.lit(":"), F.col("line_no").cast("string")))
+    xml = F.when(F.col("tx").isNotNull(), F.concat(F.lit("xml:"), "tx"))
+    return view(spark, sf_dir, "throws").join(r, "class_fqn", "left").select("throw_seq", F.coalesce(line, xml, F.col("class_fqn")).alias("pointer"))
+
+
+@PLAN.query("op_gr25_snippets", "SELECT source, doc_id, CASE WHEN length(text) > 300 THEN left(text, 297) || '...' ELSE text END AS snippet FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
+def gr25(spark, sf_dir):
+    """The three longest texts of each source, cut to 300 characters. Ids are ranked before texts
+    are read, so that no text is shuffled to be dropped."""
+    from ..functions.scalar import ellipsis
+    from ..operators.windows import top_per
+
+    docs = view(spark, sf_dir, "documents")
+    top = top_per(docs.select("source", "doc_id", "n_chars"), ["source"], 3, F.desc("n_chars"), F.asc("doc_id"))
+    return docs.select("doc_id", ellipsis("text", 300).alias("snippet")).join(top.select("source", "doc_id"), "doc_id").select("source", "doc_id", "snippet")

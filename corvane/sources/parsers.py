@@ -14,8 +14,12 @@ MAX_KB = 500
 def java_files(spark: SparkSession, roots: list[str], max_kb: int = MAX_KB) -> DataFrame:
     """path, content of Java files outside tests; content is null where a file is too large."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(roots)
-    kept = raw.where(~F.col("path").contains("/test/") & (F.col("path").contains("/src/main/java/") | F.col("path").contains("/target/gen/")))
-    return kept.select("path", F.when(F.col("length") <= max_kb * 1024, F.decode("content", F.lit("UTF-8"))).alias("content"))
+    return raw.where(java_path("path")).select("path", F.when(F.col("length") <= max_kb * 1024, F.decode("content", F.lit("UTF-8"))).alias("content"))
+
+
+def java_path(path: str) -> Column:
+    p = F.col(path)
+    return ~p.contains("/test/") & (p.contains("/src/main/java/") | p.contains("/target/gen/"))
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
