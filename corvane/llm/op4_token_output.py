@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from . import textvec as tv
 
-END, BLOCK_TOKENS, ROUNDS, LEAST, MAX_CACHED = 2, 1 << 20, 8, 8, 200_000
+END, BLOCK_TOKENS, ROUNDS, LEAST = 2, 1 << 20, 5, 8
+MAX_CACHED, RULED, BLOCK_BYTES = 400_000, 2000, 4 << 20
 SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, no_id binary, lengths binary, base int, rules binary, expansions binary, sequence binary"
-_LETTER = np.zeros(256, bool)
-_LETTER[range(0x61, 0x7B)] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b"!#$%&()*+,-./:;<=>?@[]^_`{|}~")] = True
+_RULE = b"|"
+#: 1: a letter, 2: a mark that ends a word.
+_KIND = np.zeros(256, np.uint8)
+_KIND[range(0x61, 0x7B)] = 1
+_KIND[list(b"!#$%&()*+,-./:;<=>?@[]^_`{|}~")] = 2
 
 
 class PieceEncoder:
@@ -44,12 +46,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        (self.rule,) = self.ids(["|"])[0]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.young) > MAX_CACHED:
-            self.old, self.young = self.young, {}
         new = []
         for p in pieces:
             ids = self.old.get(p)
@@ -57,24 +58,62 @@ class PieceEncoder:
                 new.append(p)
             else:
                 self.young[p] = ids
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)):
-            self.young[p] = np.array(e.ids, np.uint32).tobytes()
+        # many pieces as one text: a rule between them shows where each one's ids end
+        plain = [p for p in new if _RULE not in p]
+        for k in range(0, len(plain), RULED):
+            part = plain[k : k + RULED]
+            text = b" | ".join([b"", *part, b""]).decode("utf-8", "replace")
+            ids = np.array(self.ids([text])[0], np.uint32)
+            at = (4 * np.flatnonzero(ids == self.rule)).tolist()
+            raw = ids.tobytes()
+            if len(at) == len(part) + 1:
+                self.young.update(zip(part, (raw[i + 4 : j] for i, j in zip(at, at[1:]))))
+            else:  # a piece that gives the rule's id without having it
+                self.alone(part)
+        self.alone([p for p in new if _RULE in p])
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def alone(self, pieces: list[bytes]) -> None:
+        for p, ids in zip(pieces, self.ids([p.decode("utf-8", "replace") for p in pieces])):
+            self.young[p] = np.array(ids, np.uint32).tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         data, off = tv.text_bytes(texts)
         data = tv.LOWER[data]
-        spans = tv.words(data, off)
-        cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
-        cut = cut[~np.isin(cut, off, assume_unique=False)] if len(cut) else cut
-        start, end = np.sort(np.concatenate([spans.start, cut]), kind="stable"), np.sort(np.concatenate([spans.end, cut]), kind="stable")
+        # a piece ends at white space, at the text's end and between a letter and a mark
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~tv.SPACE[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[off] = True
+        kind = _KIND[data]
+        cut[1:-1] |= (kind[:-1] == 1) & (kind[1:] == 2)
+        start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
         raw = data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        # each distinct piece of the block is looked up once
+        _, some, which = np.unique(tv.span_hash(tv.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
+        if len(self.young) > MAX_CACHED:
+            self.old, self.young = self.young, {}
         unknown = set(pieces).difference(self.young)
         if unknown:
             self.learn(unknown)
-        ids = list(map(self.young.__getitem__, pieces))
-        first = np.searchsorted(start, off).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(first, first[1:])]
+        found = list(map(self.young.__getitem__, pieces))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, size = (np.cumsum(size) - size)[which], size[which]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), np.uint32)[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(start, off)]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+_SLOT_BITS = 20
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key * tv.MULT) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,31 +129,35 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST)
         times = np.diff(np.append(at, len(ordered)))
         often = times >= least
         pairs, times = ordered[at[often]], times[often]
-        left, right = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
+        slots: set[int] = set()
         taken = []
-        for k in np.argsort(-times, kind="stable").tolist():
-            a, b = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
-            if a != b and not right[a] and not left[b]:
-                left[a] = right[b] = True
+        commonest = np.argsort(-times, kind="stable")
+        a_s, b_s = (pairs[commonest] >> np.uint64(32)).tolist(), (pairs[commonest] & np.uint64(0xFFFFFFFF)).tolist()
+        left, right, slot = bytearray(len(sizes)), bytearray(len(sizes)), _slot(pairs[commonest]).tolist()
+        for k, (a, b, s) in enumerate(zip(a_s, b_s, slot)):
+            # pairs that share a slot wait for the next round
+            if a != b and not right[a] and not left[b] and s not in slots:
+                left[a] = right[b] = 1
+                slots.add(s)
                 taken.append(k)
         if not taken:
             break
-        chosen = np.sort(pairs[taken])
+        chosen = pairs[commonest[taken]]
         first, second = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        maybe = np.flatnonzero(left[seq[:-1].astype(np.int64)] & right[seq[1:].astype(np.int64)])
-        rank = np.minimum(np.searchsorted(chosen, key[maybe]), len(chosen) - 1)
-        hit = chosen[rank] == key[maybe]
-        seq[maybe[hit]] = (len(sizes) + rank[hit]).astype(np.uint64)
+        table = np.zeros(1 << _SLOT_BITS, np.int32)
+        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        rank = table[_slot(key)]
+        hit = np.flatnonzero(chosen[rank] == key)
+        seq[hit] = (len(sizes) + rank[hit]).astype(np.uint64)
         stay = np.ones(len(seq), bool)
-        stay[maybe[hit] + 1] = False
+        stay[hit + 1] = False
         seq = seq[stay]
         rules = np.concatenate([rules, np.stack([first, second], axis=1).astype(np.uint64)])
         sizes = np.concatenate([sizes, sizes[first] + sizes[second]])
     return rules.astype(np.uint32), sizes[base:].astype(np.uint32), seq.astype(np.uint32)
 
 
-def expand(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols, all rules applied side by side, level by level."""
+def _levels(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
     out = sequence.astype(np.int64)
     while True:
         deep = out >= base
@@ -127,6 +170,39 @@ def expand(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
         out = wide
 
 
+def expand(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
+    """The ids of a sequence of symbols: the rules that it uses are expanded level by level, then
+    copied to their places."""
+    deep = sequence >= base
+    if not deep.any():
+        return sequence.astype(np.uint32)
+    ends_in = np.zeros(len(rules) + 1, np.int64)
+    ends_in[1:] = np.cumsum(_sizes(rules, base))
+    flat = _levels(rules, base, np.arange(base, base + len(rules)))
+    rule = sequence[deep].astype(np.int64) - base
+    size = np.ones(len(sequence), np.int64)
+    size[deep] = ends_in[rule + 1] - ends_in[rule]
+    ends = np.cumsum(size)
+    out = np.repeat(sequence.astype(np.uint32), size)
+    n, at = size[deep], (ends - size)[deep]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at, n) + inner] = flat[np.repeat(ends_in[rule], n) + inner]
+    return out
+
+
+def _sizes(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each rule gives; a rule's parts are earlier ones."""
+    sizes = np.zeros(len(rules), np.int64)
+    todo = np.arange(len(rules))
+    while len(todo):
+        parts = rules[todo].astype(np.int64) - base
+        size = np.where(parts < 0, 1, sizes[np.maximum(parts, 0)])
+        ready = (size > 0).all(axis=1)
+        sizes[todo[ready]] = size[ready].sum(axis=1)
+        todo = todo[~ready]
+    return sizes
+
+
 def decode_range(rules: np.ndarray, expansions: np.ndarray, base: int, sequence: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Ids lo..hi of a block; only the symbols that cover them are expanded."""
     size = np.ones(len(sequence), np.int64)
@@ -171,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
             columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs[0]), pa.array([base], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs[1])]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in tv.blocks(batches):
+        for batch in tv.blocks(batches, size=BLOCK_BYTES):
             for doc_id, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 held.append(got + last)
                 ids.append(doc_id)
