@@ -2,17 +2,20 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
 doc_id. Documents are written once as a table of shards of about SHARD_BYTES, bucketed by shard,
-so that every later pass reads its shards without shuffling texts. Two passes decide:
+so that every later pass reads its shards without shuffling texts. Copies of whole texts are
+found by digest and take no further part. Three passes decide the rest:
 
 1. The anchor of a string is the smallest hash of its ANCHOR-byte substrings, so equal strings
-   have equal anchors and neighbouring strings mostly share one. Shards send their sorted
-   anchors, cut by range; a range's runs are merged and each learns which of its anchors
-   another shard has.
-2. Only strings with an anchor seen elsewhere (or in two documents of the shard) can repeat. A
-   shard builds a suffix array over the regions that they cover, by Larsson-Sadakane refinement,
-   and Kasai common prefixes, so that equal strings stand together; it sends each distinct
-   string's 64-bit hash and smallest doc_id once, sorted and cut by range. Runs are merged and
-   each learns, by binary search, which of its strings start in a smaller document.
+   have equal anchors and neighbouring strings mostly share one: they form a stretch. Shards send
+   their sorted anchors, cut by range; a range's runs are merged and each learns which of its
+   anchors another shard has.
+2. Of anchors seen elsewhere, or in two documents of the shard, stretches are compared as wholes:
+   whether an anchor has different stretches anywhere, and whether a smaller document has the
+   same stretch. Inside long repeats this settles everything.
+3. For what is left a shard builds a suffix array over its distinct stretches, by
+   Larsson-Sadakane refinement, and Kasai common prefixes, so that equal strings stand together;
+   it sends each distinct string's 64-bit hash and smallest doc_id once, sorted and cut by range.
+   Runs are merged and each learns, by binary search, which strings start in a smaller document.
 
 Nothing depends on how often a string occurs: a shard sends it once. Null or empty text: no
 bytes. Null doc_id: after all others. Repeated rows: a row each, none removes bytes of its twin.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ from ..session import keep, shared_dir
 from . import textvec as tv
 
 LENGTH, ANCHOR, SHARD_BYTES = 50, 32, 4 << 20
-_LAST = np.iinfo(np.int64).max
-RUN = "p int, shard long, n long, keys binary, docs binary"
+_LAST, _CHUNK = np.iinfo(np.int64).max, 1 << 15
+RUN = "pass int, p int, shard long, n long, keys binary, values binary"
 REPLY = "shard long, pass int, p int, n long, bits binary"
 RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
@@ -42,10 +46,16 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Order of the suffixes of all regions; end[i] is where position i's region ends. Equal
     suffixes stand in the order of their regions."""
     n = len(data)
-    key, left = np.zeros(n, np.int64), end - np.arange(n)
+    left = end - np.arange(n)
+    wide = np.zeros(n + 6, np.int64)
+    wide[:n] = data
+    wide[:n] += 1
+    key = np.zeros(n, np.int64)
     for j in range(7):
         key *= 257
-        key[: n - j] += np.where(left[: n - j] > j, data[j:].astype(np.int64) + 1, 0)
+        key += wide[j : n + j]
+    near = np.flatnonzero(left < 7)
+    key[near] -= key[near] % 257 ** (7 - left[near])  # nothing beyond the region's end
     order = np.argsort(key, kind="stable")
     sorted_key, h = key[order], 7
     first = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
@@ -86,12 +96,28 @@ def common_prefixes(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.
     mine, theirs = measured, before[measured]
     has = theirs >= 0
     mine, theirs = mine[has], theirs[has]
-    sums = tv.prefix_hash(data)
-    lo, hi = np.zeros(len(mine), np.int64), np.minimum(end[mine] - mine, end[theirs] - theirs)
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = tv.span_hash(sums, mine, mine + mid) == tv.span_hash(sums, theirs, theirs + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    most = np.minimum(end[mine] - mine, end[theirs] - theirs)
+    lo, open_ = np.zeros(len(mine), np.int64), np.arange(len(mine))
+    wide = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.zeros(n + 9, np.uint64)
+    for j in range(8):
+        words[: n + 8] |= wide[j : n + 8 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
+    for _ in range(12):  # eight bytes at a time; few prefixes are longer
+        differ = words[mine[open_] + lo[open_]] ^ words[theirs[open_] + lo[open_]]
+        high = differ & ~(differ >> np.uint64(1))  # so that rounding can't reach the next power of two
+        equal = np.where(differ == 0, 8, 7 - (np.frexp(high.astype(np.float64))[1] - 1) // 8)
+        lo[open_] += equal
+        open_ = open_[(differ == 0) & (lo[open_] < most[open_])]
+        if not len(open_):
+            break
+    lo = np.minimum(lo, most)
+    if len(open_):
+        sums, low, high = tv.prefix_hash(data), lo[open_], most[open_]
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = tv.span_hash(sums, mine[open_], mine[open_] + mid) == tv.span_hash(sums, theirs[open_], theirs[open_] + mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        lo[open_] = low
     shared = np.zeros(n, np.int64)
     shared[mine] = lo
     known = np.full(n, -n, np.int64)
@@ -100,7 +126,7 @@ def common_prefixes(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.
     return out
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, off: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(48-bit anchor, first string start, end of starts) of each stretch of neighbouring strings
     with one anchor inside a document."""
     n = len(data) - length + 1
@@ -109,14 +135,23 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         return none.astype(np.uint64), none, none
     k = min(ANCHOR, length)
     _, down = tv.powers(len(data) + 1)
-    sums = tv.prefix_hash(data)
-    low = tv.mix((sums[k:] - sums[:-k]) * down[: len(data) - k + 1])
-    width, reach = length - k + 1, 1
-    while reach < width:
-        step = min(reach, width - reach)
-        low = np.minimum(low[:-step], low[step:])
-        reach += step
-    low >>= np.uint64(16)
+    width, low = length - k + 1, np.empty(n, np.uint64)
+    for a in range(0, n, _CHUNK):  # pieces that stay in the processor's cache
+        b = min(n, a + _CHUNK)
+        m = b - a + width - 1
+        h = sums[a + k : a + k + m] - sums[a : a + m]
+        h *= down[a : a + m]
+        h ^= h >> np.uint64(32)
+        h *= tv.MULT
+        h ^= h >> np.uint64(29)
+        h *= tv.MULT
+        reach = 1
+        while reach < width:
+            step = min(reach, width - reach)
+            h = np.minimum(h[:-step], h[step:])
+            reach += step
+        h *= tv.MULT  # minima are small; ranges must hold equally many
+        np.right_shift(h, np.uint64(16), out=low[a:b])
     edge = np.zeros(n + 1, bool)
     edge[0] = True
     edge[1:-1] = low[1:] != low[:-1]
@@ -141,23 +176,27 @@ def _numbers(raw: bytes, n: int, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _runs(shard: int, keys: np.ndarray, bits: int, ranges: int, docs: np.ndarray | None = None) -> list[tuple]:
-    """A shard's sorted keys, cut at the borders of the ranges by binary search."""
+def _runs(shard: int, keys: np.ndarray, bits: int, turn: int, ranges: int, values: np.ndarray | None = None) -> list[tuple]:
+    """A shard's sorted keys, and values if any, cut at the borders of the ranges by binary search."""
     borders = np.array([(p << bits) // ranges for p in range(1, ranges)], np.uint64)
     cut = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
     out = []
     for p in np.flatnonzero(np.diff(cut)).tolist():
         a, b = cut[p], cut[p + 1]
         blob = b""
-        if docs is not None:
-            base = int(docs[a:b].min())
-            spread = (docs[a:b].astype(np.uint64)) - np.uint64(base)
+        if values is not None:
+            base = int(values[a:b].min())
+            spread = values[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)
             size = max(1, (int(spread.max()).bit_length() + 7) // 8)
             blob = np.int64(base).tobytes() + bytes([size]) + _planes(spread, size)
-        out.append((p, shard, int(b - a), _planes(keys[a:b], bits // 8), blob))
+        out.append((turn, p, shard, int(b - a), _planes(keys[a:b], bits // 8), blob))
     return out
 
 
+def _values(raw: bytes, n: int) -> np.ndarray:
+    return (_numbers(raw[9:], n, raw[8]) + np.frombuffer(raw, np.int64, 1).astype(np.uint64)).astype(np.int64)
+
+
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
@@ -165,53 +204,95 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(list(values), kinds[kind]) for (name, kind), values in zip(fields, columns)})
 
 
+def _least(which: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, _LAST)
+    np.minimum.at(out, which, rank)
+    return out
+
+
 class Shard:
-    """A shard's rows in a fixed order, and its anchors."""
-
-    def __init__(self, table: pa.Table, length: int):
-        order = table.column("row").combine_chunks().to_numpy().argsort()
-        table = table.take(pa.array(order))
-        self.number = table.column("shard")[0].as_py()
-        ids = table.column("doc_id").combine_chunks()
-        self.ids, self.rank = ids, ids.fill_null(_LAST).to_numpy()
+    """A shard's rows in a fixed order and, of those that aren't copies, the anchors."""
+
+    def __init__(self, table: pa.Table, replies: pa.Table, length: int):
+        table = table.take(pa.array(table.column("row").to_numpy().argsort()))
+        self.number, self.length = table.column("shard")[0].as_py(), length
+        self.ids, self.sizes = table.column("doc_id").combine_chunks(), np.diff(tv.text_bytes(table.column("text"))[1])
+        mine = replies.filter(pc.equal(replies.column("pass"), 0))
+        self.copy = np.isin(table.column("row").to_numpy(), mine.column("p").to_numpy())
+        table = table.filter(pa.array(~self.copy))
+        self.rank = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
         self.data, self.off = tv.text_bytes(table.column("text"))
-        self.anchor, self.start, self.stop = anchors(self.data, self.off, length)
+        self.sums = tv.prefix_hash(self.data)
+        self.anchor, self.start, self.stop = anchors(self.data, self.off, self.sums, length)
         self.keys, self.which = np.unique(self.anchor, return_inverse=True)
-        rank = self.rank[np.searchsorted(self.off, self.start, "right") - 1]
-        least, most = np.full(len(self.keys), _LAST), np.full(len(self.keys), -1 - _LAST)
-        np.minimum.at(least, self.which, rank)
-        np.maximum.at(most, self.which, rank)
-        self.several = least < most
-
-
-class Regions:
-    """What the strings with anchors seen elsewhere cover, and the groups of equal strings."""
-
-    def __init__(self, shard: Shard, elsewhere: np.ndarray, length: int):
-        wanted = (elsewhere | shard.several)[shard.which]
-        start, stop = shard.start[wanted], shard.stop[wanted]
-        doc = np.searchsorted(shard.off, start, "right") - 1
-        new = np.ones(len(start), bool)
-        new[1:] = (start[1:] != stop[:-1]) | (doc[1:] != doc[:-1])
-        start, stop = start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)] if len(start) else stop
-        size = stop - start + length - 1
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        self.place = np.arange(total) + np.repeat(start - (ends - size), size)
-        data, end = shard.data[self.place], np.repeat(ends, size)
-        order = suffix_array(data, end)
-        group = np.cumsum(common_prefixes(data, end, order) < length)
-        whole = order[end[order] - order >= length]
-        group = group[end[order] - order >= length]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        self.at = self.place[whole]  # string starts in the shard, equal strings together
-        self.group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
-        rank = shard.rank[np.searchsorted(shard.off, self.at, "right") - 1]
-        least = np.minimum.reduceat(rank, first) if len(first) else rank[:0]
-        self.later = rank > least[self.group] if len(first) else np.zeros(0, bool)
-        hashed = tv.span_hash(tv.prefix_hash(shard.data), self.at[first], self.at[first] + length)
-        self.order = np.argsort(hashed)
-        self.keys, self.least = hashed[self.order], least[self.order]
+        self.doc = self.rank[np.searchsorted(self.off, self.start, "right") - 1]
+        self.several = _least(self.which, self.doc, len(self.keys)) < -_least(self.which, -self.doc, len(self.keys))
+
+
+class Stretches:
+    """Of anchors seen elsewhere or in several documents: distinct stretches and anchors."""
+
+    def __init__(self, shard: Shard, replies: pa.Table):
+        wanted = (_bits(replies, 1, len(shard.keys)) | shard.several)[shard.which]
+        self.start, self.stop, self.doc = shard.start[wanted], shard.stop[wanted], shard.doc[wanted]
+        self.keys, self.key = np.unique(shard.anchor[wanted], return_inverse=True)
+        hashed = tv.span_hash(shard.sums, self.start, self.stop + shard.length - 1)
+        self.spans, self.first, self.span = np.unique(hashed, return_index=True, return_inverse=True)
+        self.least = _least(self.span, self.doc, len(self.spans))
+        # a 48-bit mark of an anchor's one stretch; 0 where the shard has several
+        low, high = np.full(len(self.keys), ~np.uint64(0)), np.zeros(len(self.keys), np.uint64)
+        mark = (hashed >> np.uint64(16)) | np.uint64(1)
+        np.minimum.at(low, self.key, mark)
+        np.maximum.at(high, self.key, mark)
+        self.mark = np.where(low == high, low, np.uint64(0))
+
+    def settle(self, replies: pa.Table) -> None:
+        """open: stretches whose strings must be looked at; gone: those that a smaller document has."""
+        multi, smaller = _bits(replies, 2, len(self.keys)), _bits(replies, 3, len(self.spans))
+        self.gone = smaller[self.span] | (self.doc > self.least[self.span])
+        self.open = multi[self.key] & ~self.gone
+
+
+def _strings(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Every string start of the stretches."""
+    size = stop - start
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def distinct_strings(shard: Shard, stretches: Stretches) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, smallest document), by hash, of the distinct strings in open stretches."""
+    length = shard.length
+    one = np.zeros(len(stretches.start), bool)
+    opened = np.flatnonzero(stretches.open)
+    one[opened[np.unique(stretches.span[opened], return_index=True)[1]]] = True
+    start, stop = stretches.start[one], stretches.stop[one]
+    doc = np.searchsorted(shard.off, start, "right")
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != stop[:-1]) | (doc[1:] != doc[:-1])
+    start, stop = start[new], stop[np.append(new[1:], True)] if len(start) else stop
+    size = stop - start + length - 1
+    place, end = _strings(start, stop + length - 1), np.repeat(np.cumsum(size), size)
+    data = shard.data[place]
+    order = suffix_array(data, end)
+    whole = end[order] - order >= length
+    group = np.cumsum(common_prefixes(data, end, order) < length)[whole]
+    at = place[order[whole]]
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    least = np.minimum.reduceat(shard.rank[np.searchsorted(shard.off, at, "right") - 1], first)
+    hashed = tv.span_hash(shard.sums, at[first], at[first] + length)
+    by_hash = np.argsort(hashed)
+    return hashed[by_hash], least[by_hash]
+
+
+def removed_starts(shard: Shard, stretches: Stretches, replies: pa.Table) -> np.ndarray:
+    """Starts of all strings that also start in a smaller document."""
+    at = _strings(stretches.start[stretches.open], stretches.stop[stretches.open])
+    keys, which = np.unique(tv.span_hash(shard.sums, at, at + shard.length), return_inverse=True)
+    rank = shard.rank[np.searchsorted(shard.off, at, "right") - 1]
+    smaller = _bits(replies, 4, len(keys))[which] | (rank > _least(which, rank, len(keys))[which])
+    return np.concatenate([_strings(stretches.start[stretches.gone], stretches.stop[stretches.gone]), at[smaller]])
 
 
 def _bits(replies: pa.Table, turn: int, n: int) -> np.ndarray:
@@ -225,13 +306,28 @@ def _bits(replies: pa.Table, turn: int, n: int) -> np.ndarray:
     return out
 
 
-def _merge_anchors(runs: pa.Table) -> pa.Table:
-    """Which keys of each run another run of the range has."""
+def _merge(runs: pa.Table) -> pa.Table:
+    """The answers to the runs of one pass and range. 1: which keys another run has. 2: which have
+    more than one mark in all runs. 3 and 4: which have a smaller value in another run."""
     rows = runs.to_pylist()
-    keys = [_numbers(r["keys"], r["n"], 6) for r in rows]
-    merged = np.sort(np.concatenate(keys), kind="stable")
-    again = merged[1:][merged[1:] == merged[:-1]]
-    return _table([(r["shard"], 1, r["p"], r["n"], np.packbits(_among(k, again)).tobytes()) for r, k in zip(rows, keys)], REPLY)
+    turn = rows[0]["pass"]
+    keys = [_numbers(r["keys"], r["n"], 6 if turn < 3 else 8) for r in rows]
+    if turn == 1:
+        merged = np.sort(np.concatenate(keys), kind="stable")
+        again = merged[1:][merged[1:] == merged[:-1]]
+        bits = [_among(k, again) for k in keys]
+    else:
+        values = [_values(r["values"], r["n"]) for r in rows]
+        all_keys, all_values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(all_keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], all_keys[order[1:]] != all_keys[order[:-1]]]))
+        known, low = all_keys[order[first]], np.minimum.reduceat(all_values[order], first)
+        if turn == 2:
+            several = (np.maximum.reduceat(all_values[order], first) > low) | (low == 0)
+            bits = [several[np.searchsorted(known, k)] for k in keys]
+        else:
+            bits = [low[np.searchsorted(known, k)] < v for k, v in zip(keys, values)]
+    return _table([(r["shard"], turn, r["p"], r["n"], np.packbits(x).tobytes()) for r, x in zip(rows, bits)], REPLY)
 
 
 def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -240,22 +336,6 @@ def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-def _merge_strings(runs: pa.Table) -> pa.Table:
-    """Which strings of each run start in a smaller document of another run."""
-    rows, keys, docs = runs.to_pylist(), [], []
-    for r in rows:
-        keys.append(_numbers(r["keys"], r["n"], 8))
-        base, size = np.frombuffer(r["docs"], np.int64, 1)[0], r["docs"][8]
-        docs.append((_numbers(r["docs"][9:], r["n"], size) + base.astype(np.uint64)).astype(np.int64))
-    all_keys, all_docs = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(all_keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], all_keys[order[1:]] != all_keys[order[:-1]]]))
-    least, known = np.minimum.reduceat(all_docs[order], first), all_keys[order[first]]
-    del all_keys, all_docs, order
-    bits = [np.packbits(least[np.searchsorted(known, k)] < d).tobytes() for k, d in zip(keys, docs)]
-    return _table([(r["shard"], 2, r["p"], r["n"], b) for r, b in zip(rows, bits)], REPLY)
-
-
 def _shard_table(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """docs(doc_id, text) with shard and row, kept as a table bucketed by shard."""
 
@@ -269,62 +349,89 @@ def _shard_table(docs: DataFrame, shard_bytes: int) -> DataFrame:
                 shard, held = shard + 1, 0
             held += size
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(row, row + n)), batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string())], ["shard", "row", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(row, row + n, dtype=np.int32)), batch.column("doc_id"), *(batch.column(c) for c in ("text", "digest", "size"))], ["shard", "row", "doc_id", "text", "digest", "size"])
             row += n
 
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"corvane_shards_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", "text").mapInArrow(cut, "shard long, row long, doc_id long, text string")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"digest": F.md5("text"), "size": F.octet_length("text")})
+    rows = known.mapInArrow(cut, "shard long, row int, doc_id long, text string, digest string, size int")
     rows.write.bucketBy(buckets, "shard").option("compression", "zstd").option("path", f"{shared_dir(spark)}/corvane/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def _copies(shards: DataFrame, length: int) -> DataFrame:
+    """REPLY rows of pass 0: the rows whose whole text, no shorter than length, a smaller document has."""
+    rank = F.coalesce("doc_id", F.lit(_LAST)).alias("rank")
+    rows = shards.where(F.col("size") >= length).select("shard", "row", "digest", rank)
+    first = rows.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
+    found = rows.join(first, "digest").where("rank > least")
+    return found.selectExpr("shard", "0 as pass", "row as p", "0L as n", "cast('' as binary) as bits")
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """RESULT for each row of docs(doc_id, text): the removed byte spans and what is left."""
     spark = docs.sparkSession
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = _shard_table(docs, shard_bytes)
 
-    def send_anchors(table: pa.Table) -> pa.Table:
-        shard = Shard(table, length)
-        return _table(_runs(shard.number, shard.keys, 48, ranges), RUN)
-
-    def send_strings(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _table([], RUN)
-        shard = Shard(table, length)
-        regions = Regions(shard, _bits(replies, 1, len(shard.keys)), length)
-        return _table(_runs(shard.number, regions.keys, 64, ranges, regions.least), RUN)
-
-    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _result([], [], [], [], [])
-        shard = Shard(table, length)
-        regions = Regions(shard, _bits(replies, 1, len(shard.keys)), length)
-        smaller = np.zeros(len(regions.keys), bool)
-        smaller[regions.order] = _bits(replies, 2, len(regions.keys))
-        at = regions.at[regions.later | smaller[regions.group]]
+    def visit(replies: DataFrame, f, schema: str) -> DataFrame:
+        empty = _result([], [], [], [], []) if schema == RESULT else _table([], schema)
+
+        def one(table: pa.Table, known: pa.Table) -> pa.Table:
+            return f(Shard(table, known, length), known) if table.num_rows else empty
+
+        texts = shards.select("shard", "row", "doc_id", "text")
+        return texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(one, schema)
+
+    def answered(runs: DataFrame, name: str) -> DataFrame:
+        return keep(runs.groupBy("pass", "p").applyInArrow(_merge, REPLY), name)
+
+    def send_anchors(shard: Shard, known: pa.Table) -> pa.Table:
+        return _table(_runs(shard.number, shard.keys, 48, 1, ranges), RUN)
+
+    def send_stretches(shard: Shard, known: pa.Table) -> pa.Table:
+        s = Stretches(shard, known)
+        marked = _runs(shard.number, s.keys, 48, 2, ranges, s.mark.astype(np.int64))
+        return _table(marked + _runs(shard.number, s.spans, 64, 3, ranges, s.least), RUN)
+
+    def send_strings(shard: Shard, known: pa.Table) -> pa.Table:
+        s = Stretches(shard, known)
+        s.settle(known)
+        hashed, least = distinct_strings(shard, s)
+        return _table(_runs(shard.number, hashed, 64, 4, ranges, least), RUN)
+
+    def remove(shard: Shard, known: pa.Table) -> pa.Table:
+        s = Stretches(shard, known)
+        s.settle(known)
+        at = removed_starts(shard, s, known)
         cover = np.zeros(len(shard.data) + 1, np.int32)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
         gone = np.cumsum(cover)[:-1] > 0
+        # copies stand among the others again
+        live = np.flatnonzero(~shard.copy)
+        size = np.where(shard.copy, 0, shard.sizes)
+        off = np.concatenate([[0], np.cumsum(size)])
         edge = np.zeros(len(gone) + 1, bool)
-        edge[shard.off] = True
+        edge[off] = True
         before, after = np.concatenate([[False], gone]), np.concatenate([gone, [False]])
-        start = np.flatnonzero(after & (~before | edge))
-        end = np.flatnonzero(before & (~after | edge))
-        doc = np.searchsorted(shard.off, start, "right") - 1
-        base = shard.off[doc]
+        start, end = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
+        doc = live[np.searchsorted(shard.off, start, "right") - 1]
+        whole = np.flatnonzero(shard.copy)
+        start, end = np.concatenate([start - off[doc], np.zeros(len(whole), np.int64)]), np.concatenate([end - off[doc], shard.sizes[whole]])
+        doc = np.concatenate([doc, whole])
+        order = np.argsort(doc, kind="stable")
         kept = shard.data[~gone]
-        left = np.concatenate([[0], np.cumsum(~gone)])[shard.off]
-        return _result(shard.ids, np.diff(shard.off), (start - base, end - base, np.searchsorted(doc, np.arange(len(shard.ids) + 1))), kept, left)
-
-    runs = shards.groupBy("shard").applyInArrow(send_anchors, RUN)
-    one = keep(runs.groupBy("p").applyInArrow(_merge_anchors, REPLY), "anchor-replies")
-    runs = shards.groupBy("shard").cogroup(one.groupBy("shard")).applyInArrow(send_strings, RUN)
-    two = keep(runs.groupBy("p").applyInArrow(_merge_strings, REPLY), "string-replies")
-    return shards.groupBy("shard").cogroup(one.unionByName(two).groupBy("shard")).applyInArrow(remove, RESULT)
+        left = np.concatenate([[0], np.cumsum(~gone)])[off]
+        return _result(shard.ids, shard.sizes, (start[order], end[order], np.searchsorted(doc[order], np.arange(len(shard.ids) + 1))), kept, left)
+
+    zero = keep(_copies(shards, length), "copies")
+    one = zero.unionByName(answered(visit(zero, send_anchors, RUN), "anchor-replies"))
+    two = one.unionByName(answered(visit(one, send_stretches, RUN), "stretch-replies"))
+    three = two.unionByName(answered(visit(two, send_strings, RUN), "string-replies"))
+    return visit(three, remove, RESULT)
 
 
 def _result(ids, sizes, spans, kept, left) -> pa.Table:
