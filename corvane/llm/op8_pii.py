@@ -241,8 +241,9 @@ def pii_spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """docs with [KIND] in place of every span in text; of overlapping spans the first to start
     names the whole. A null text stays null."""
-    proposed = candidates(docs)
-    out = select_spans(proposed, train(candidates(docs.select("text")), precision))
+    # a row goes along as one value, so that no column of it can clash
+    held = docs.select(F.struct("*").alias("_row"), "text")
+    out = select_spans(candidates(held), train(candidates(docs.select("text")), precision))
     spans = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     text = F.col("text")
     redacted = F.aggregate(
@@ -254,7 +255,8 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         ),
         lambda acc: F.concat(acc["done"], text.substr(acc["at"] + 1, F.char_length(text))),
     )
-    return out.withColumn("text", F.when(F.size("spans") > 0, redacted).otherwise(text)).select(docs.columns)
+    changed = F.when(F.size("spans") > 0, redacted).otherwise(F.col("_row.text"))
+    return out.select(F.col("_row").withField("text", changed).alias("_row")).select("_row.*")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
