@@ -6,29 +6,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep, keep_counted
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, tag: str = "seed") -> DataFrame:
     """(tag, node, depth): what each seed of seeds(tag, node) reaches over edges(src, dst), itself
     at depth 0, with the least number of steps; at most `most` steps, or to the fixpoint."""
-    seen = keep(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
-    frontier, depth = seen, 0
-    parts = [seen]
-    while most is None or depth < most:
+    steps = keep(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
+    known = frontier = keep(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
+    depth, found = 0, 1
+    while found and (most is None or depth < most):
         depth += 1
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(tag, F.col("dst").alias("node")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        frontier = keep(step.join(known.select(tag, "node"), [tag, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        step = frontier.join(steps, "node").select(tag, F.col("dst").alias("node")).distinct()
+        frontier, found = keep_counted(step.join(known.select(tag, "node"), [tag, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        known = known.unionByName(frontier)
+    return known
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs with a path of one edge or more. Known paths are joined with each
+    other, so their length doubles each round; for all nodes at once that is fewer rounds than
+    levels. Use reach where few nodes are asked for or distances count."""
+    pairs, found = keep_counted(edges.select("src", "dst").distinct(), "closure")
+    while True:
+        longer = pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        pairs, more = keep_counted(pairs.union(longer).distinct(), "closure")
+        if more == found:
+            return pairs
+        found = more
+
+
+def reach_all(edges: DataFrame, seeds: DataFrame, tag: str = "seed") -> DataFrame:
+    """(tag, node): what each seed reaches, itself included, by way of the closure."""
+    start = seeds.select(tag, "node").distinct()
+    return start.union(start.join(closure(edges), F.col("node") == F.col("src")).select(tag, "dst")).distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .graph import both_ways, reach
+from .graph import both_ways, reach_all
 
 
 @dataclass
@@ -32,13 +32,13 @@ def _seeds(df: DataFrame, column: str) -> DataFrame:
 
 def service_closure(layers: Layers) -> DataFrame:
     """(root, svc): services that each root service reaches, itself included."""
-    return reach(layers.svc_svc, _seeds(layers.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
+    return reach_all(layers.svc_svc, _seeds(layers.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
 
 
 def model(layers: Layers) -> DataFrame:
     """(tx, kind, code): the nodes of each transaction's model."""
     of_root = keep(service_closure(layers), "model")
-    comps = reach(layers.comp_comp, _seeds(layers.svc_comp, "dst")).select(F.col("seed").alias("dst"), F.col("node").alias("comp"))
+    comps = reach_all(layers.comp_comp, _seeds(layers.svc_comp, "dst")).select(F.col("seed").alias("dst"), F.col("node").alias("comp"))
     root_comp = of_root.join(layers.svc_comp.select(F.col("src").alias("svc"), "dst"), "svc").join(comps, "dst").select("root", "comp").distinct()
     named = of_root.select("root", F.lit("SERVICE").alias("kind"), F.col("svc").alias("code")).unionByName(root_comp.select("root", F.lit("COMPONENT").alias("kind"), F.col("comp").alias("code")))
     return layers.steps.select("tx", F.col("svc").alias("root")).distinct().join(named, "root").select("tx", "kind", "code").distinct()
@@ -50,14 +50,14 @@ def layer_counts(layers: Layers) -> DataFrame:
 
 def component_closure(layers: Layers) -> DataFrame:
     """(comp, other): components connected over calls in either direction, itself included."""
-    return reach(both_ways(layers.comp_comp), _seeds(layers.svc_comp.select(F.col("dst").alias("c")).union(layers.comp_table.select("src")), "c")).select(F.col("seed").alias("comp"), F.col("node").alias("other"))
+    return reach_all(both_ways(layers.comp_comp), _seeds(layers.svc_comp.select(F.col("dst").alias("c")).union(layers.comp_table.select("src")), "c")).select(F.col("seed").alias("comp"), F.col("node").alias("other"))
 
 
 def callers(layers: Layers, matched: DataFrame, root: str) -> DataFrame:
     """(root, svc): matched(root, svc) and all services that call them, directly or not. The closure
     is taken once a distinct service, not once a root."""
     back = layers.svc_svc.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = reach(back, _seeds(matched, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
+    up = reach_all(back, _seeds(matched, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
     return matched.join(up, "svc").select(root, F.col("caller").alias("svc")).distinct()
 
 

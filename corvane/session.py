@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "corvane", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -34,16 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: the lineage ends
-    there, and a lost executor costs no recomputation. The table goes when the program ends."""
+    there, and a lost executor costs no recomputation. The table goes when the program ends.
+    small: rows are few for the tasks that make them, so they are first rebalanced into files of
+    Spark's advisory size; every file costs calls to the store, and several processes on a local one."""
     spark = df.sparkSession
+    if small:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """keep, and how many rows it wrote; the write itself counts them."""
+    rows = Observation()
+    kept = keep(df.observe(rows, F.count(F.lit(1)).alias("n")), name, small=True)
+    return kept, rows.get["n"]
+
+
 def drop(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
