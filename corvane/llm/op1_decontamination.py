@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-SEED, TILE, THRESHOLD, BLOCK_CHARS = 5, 5, 0.8, 20_000_000
+SEED, TILE, THRESHOLD, BLOCK_CHARS = 5, 5, 0.6, 20_000_000
 SCHEMA = "doc_id long, item_id long, n_item_words long, n_tiled long, n_tiles long, longest_tile long, coverage double"
 
 
