@@ -140,18 +140,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view, or a test table by its name."""
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A fixture view, or a test table by its name. given: tables to use instead, such as streams."""
+    if given and name in given:
+        return given[name]
     if name in TABLES:
         return table(spark, sf_dir, name)
     sql = _written(VIEWS[name], "spark")
     inputs = {}
     for need in _needs[name]:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{need}\b", rf"\1 {{{need}}}", sql)
-        inputs[need] = view(spark, sf_dir, need)
+        inputs[need] = view(spark, sf_dir, need, given)
     return spark.sql(sql, **inputs)
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a test table as a stream, one a micro-batch."""
+    source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return source.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
 def ctes(*names: str) -> str:
     """WITH ...: the views and what they need, for DuckDB; more can follow after a comma."""
     order: list[str] = []

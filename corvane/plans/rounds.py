@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Plan
-from ..fixtures import ctes, view
+from ..fixtures import ctes, stream, view
 from ..functions import scalar as S
 from ..operators import rounds as R
 from ..operators import windows as W
+from ..streaming.rounds import regressions_to_end
 
 PLAN = Plan()
 
@@ -71,6 +72,13 @@ def st01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.regressions(view(spark, sf_dir, "slow_raw"), view(spark, sf_dir, "slow_state"))
 
 
+@PLAN.query("op_st01_regressions_stream", STATE + " SELECT service_name, abstract_sql, optimized_round, status, reappeared_round FROM next_state")
+def st01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of the table's files."""
+    raw = view(spark, sf_dir, "slow_raw", {"events": stream(spark, sf_dir, "events")})
+    return regressions_to_end(raw, view(spark, sf_dir, "slow_state"))
+
+
 @PLAN.query("op_join03_stamped_facts", STATE + ", " + REP + " SELECT f.round, f.service_name, f.abstract_sql, f.exec_count, n.status AS optimize_status, n.optimized_round, n.reappeared_round FROM facts f LEFT JOIN next_state n USING (service_name, abstract_sql)")
 def join03(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = R.regressions(view(spark, sf_dir, "slow_raw"), view(spark, sf_dir, "slow_state"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import Plan
-from ..fixtures import ctes, table, view
+from ..fixtures import ctes, stream, table, view
 from ..operators import workflow as W
 from ..streaming import approvals as S
 
@@ -24,9 +24,8 @@ def st05(spark, sf_dir):
 @PLAN.query("op_st05_approvals_stream", FOLD)
 def st05_stream(spark, sf_dir):
     """The same over a stream of the table's files."""
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    kind = F.element_at(F.array(*map(F.lit, ("SUBMIT", "APPROVE_L1", "APPROVE_L2", "REJECT_L1", "REJECT_L2", "CANCEL"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return S.run_to_end(S.approvals(events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("app_id"), kind.alias("action"))), ["app_id"])
+    actions = view(spark, sf_dir, "actions", {"events": stream(spark, sf_dir, "events")})
+    return S.run_to_end(S.approvals(actions), ["app_id"])
 
 
 @PLAN.query("op_st06_submitted", ctes("applications") + ", a AS (SELECT sql_hash, min(id) AS first_id FROM applications WHERE status IN ('PENDING_L1', 'PENDING_L2', 'APPROVED') GROUP BY 1) SELECT id, CASE WHEN first_id < id THEN 'DUPLICATE' WHEN applicant = l1_approver THEN 'PENDING_L2' ELSE 'PENDING_L1' END AS first_status FROM applications LEFT JOIN a USING (sql_hash)")
