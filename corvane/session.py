@@ -38,11 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: the lineage ends
     there, and a lost executor costs no recomputation. The table goes when the program ends.
-    small: rows are few for the tasks that make them, so they are first rebalanced into files of
-    Spark's advisory size; every file costs calls to the store, and several processes on a local one."""
+    small: rows are few and narrow for the tasks that would write them, so an eighth of the
+    partitions do it; every file costs calls to the store, and several processes on a local one."""
     spark = df.sparkSession
     if small:
-        df = df.hint("rebalance")
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(drop, spark, path)
@@ -52,7 +52,7 @@ def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """keep, and how many rows it wrote; the write itself counts them."""
     rows = Observation()
-    kept = keep(df.observe(rows, F.count(F.lit(1)).alias("n")), name, small=True)
+    kept = keep(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
     return kept, rows.get["n"]
 
 
