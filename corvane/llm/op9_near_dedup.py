@@ -171,7 +171,7 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
     rows = signed.join(classes.select("h1", "h2", F.col("cid").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     placed = keep(rows.select(F.col("doc_id").alias("cid"), F.explode("keys").alias("key")), "placed")
     full = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
-    placed = keep(placed.join(full, "key"), "buckets")
+    placed = keep(placed.join(full, "key"), "buckets", small=True)
     members = placed.select("cid").distinct()
     texts = keep(docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
     labels = members.select("cid", F.col("cid").alias("label"))
@@ -182,15 +182,17 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
         both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
-    def merged(found: DataFrame, so_far: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        found = keep(found, "links")
+    def merged(found: DataFrame, so_far: DataFrame | None, labels: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        found = keep(found.distinct(), "links", small=True)
+        if found.isEmpty():
+            return so_far, labels
         so_far = found if so_far is None else so_far.unionByName(found)
         new = components(so_far)
         return so_far, members.join(new.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
 
     for turn in range(3):
         if turn:
-            here = keep(placed.select("key", "cid", "members").join(labels, "cid"), "here")
+            here = keep(placed.select("key", "cid", "members").join(labels, "cid"), "here", small=True)
             # the pivot comes from the bucket's largest label or another each turn: a hash decides
             spread = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot"))
             spread = spread.where("low <> high")
@@ -198,8 +200,8 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
             pairs = here.where("members > 2").join(named.select("key", "pivot", "of"), "key").where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         else:
             pairs = placed.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-        edges, labels = merged(verified(pairs.distinct()), edges)
-    edges, labels = merged(_full_compare(placed, labels, texts, shingle, threshold), edges)
+        edges, labels = merged(verified(pairs.distinct()), edges, labels)
+    edges, labels = merged(_full_compare(placed, labels, texts, shingle, threshold), edges, labels)
     joined = classes.join(labels, "cid", "left").select("h1", "h2", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
     return sets, joined
 
@@ -207,7 +209,7 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
 def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """Links between components inside buckets of three and more members: those outside the
     bucket's largest component against all, block by block."""
-    here = keep(placed.where("members > 2").select("key", "cid", "members").join(labels, "cid"), "here")
+    here = keep(placed.where("members > 2").select("key", "cid", "members").join(labels, "cid"), "here", small=True)
     by_label = here.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = by_label.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels")).where("labels > 1")
     # equal buckets of several bands are one
@@ -235,5 +237,22 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+#: All pairs that share a shingle are counted here, so this is for small tables only.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
