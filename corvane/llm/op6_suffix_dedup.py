@@ -386,7 +386,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
         return texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(one, schema)
 
     def answered(runs: DataFrame, name: str) -> DataFrame:
-        return keep(runs.groupBy("pass", "p").applyInArrow(_merge, REPLY), name)
+        return keep(runs.groupBy("pass", "p").applyInArrow(_merge, REPLY), name, small=True)
 
     def send_anchors(shard: Shard, known: pa.Table) -> pa.Table:
         return _table(_runs(shard.number, shard.keys, 48, 1, ranges), RUN)
@@ -427,7 +427,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
         left = np.concatenate([[0], np.cumsum(~gone)])[off]
         return _result(shard.ids, shard.sizes, (start[order], end[order], np.searchsorted(doc[order], np.arange(len(shard.ids) + 1))), kept, left)
 
-    zero = keep(_copies(shards, length), "copies")
+    zero = keep(_copies(shards, length), "copies", small=True)
     one = zero.unionByName(answered(visit(zero, send_anchors, RUN), "anchor-replies"))
     two = one.unionByName(answered(visit(one, send_stretches, RUN), "stretch-replies"))
     three = two.unionByName(answered(visit(two, send_strings, RUN), "string-replies"))
