@@ -2,10 +2,12 @@
 
 Documents are dealt to shards by ranges of doc_id and encoded in ascending doc_id order, each
 followed by END. A shard is written as blocks of about BLOCK_TOKENS ids. In a block frequent
-pairs of neighbouring symbols are replaced by new symbols, round by round: a round takes pairs
-from the commonest down, as long as no symbol is both a left and a right one, so that no two
-replacements overlap. A block row of the Parquet files has the rules, the lengths to which they
-expand (so that any range of ids can be decoded alone) and what is left of the sequence.
+pairs of neighbouring symbols are replaced by new symbols, round by round until no pair has LEAST
+places: a round takes pairs from the commonest down, as long as no symbol is both a left and a
+right one, so that no two replacements overlap; a pair of equal symbols is taken where no other
+pair has the symbol, at every other place of a run from the left. A block row of the Parquet files
+has the rules, the lengths to which they expand (so that any range of ids can be decoded alone)
+and what is left of the sequence.
 
 Texts are encoded by the tokenizers library; pieces between white space, and between a letter and
 a mark, don't influence each other there and are encoded once for many places. Strings of special
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from . import textvec as tv
 
-END, BLOCK_TOKENS, ROUNDS, LEAST = 2, 1 << 20, 5, 8
+END, BLOCK_TOKENS, LEAST = 2, 1 << 20, 8
 MAX_CACHED, RULED, BLOCK_BYTES = 400_000, 2000, 4 << 20
 SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, no_id binary, lengths binary, base int, rules binary, expansions binary, sequence binary"
 _RULE = b"|"
@@ -116,91 +118,109 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return ((key * tv.MULT) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansions, sequence): rule k replaces symbol base + k by two earlier symbols and
-    expands to expansions[k] ids."""
-    seq, rules, sizes = ids.astype(np.uint64), np.zeros((0, 2), np.uint64), np.ones(base, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+    expands to expansions[k] ids. No pair is left that could be replaced at `least` places."""
+    seq, rules, sizes = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], np.ones(base, np.int64)
+    # a pair gets rarer only, so places of rare pairs are left out until a new symbol comes to them
+    live = np.ones(max(len(seq) - 1, 0), bool)
+    while True:
+        # of a run of one symbol every other place, from the left
+        at = np.flatnonzero(live)
+        same = at[seq[at] == seq[at + 1]]
+        nth = np.arange(len(same))
+        head = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, nth, 0))
+        odd = same[(nth - head) % 2 == 1]
+        if len(odd):
+            even = live.copy()
+            even[odd] = False
+            at = np.flatnonzero(even)
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        slot = _slot(key)
+        some = np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= least
+        live[at[~some]] = False
+        at, key = at[some], key[some]
         ordered = np.sort(key)
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        times = np.diff(np.append(at, len(ordered)))
+        first_at = np.flatnonzero(np.concatenate([[len(ordered) > 0], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(first_at, len(ordered)))
         often = times >= least
-        pairs, times = ordered[at[often]], times[often]
+        pairs, times = ordered[first_at[often]], times[often]
+        if not len(pairs):
+            break
         slots: set[int] = set()
         taken = []
         commonest = np.argsort(-times, kind="stable")
         a_s, b_s = (pairs[commonest] >> np.uint64(32)).tolist(), (pairs[commonest] & np.uint64(0xFFFFFFFF)).tolist()
         left, right, slot = bytearray(len(sizes)), bytearray(len(sizes)), _slot(pairs[commonest]).tolist()
         for k, (a, b, s) in enumerate(zip(a_s, b_s, slot)):
-            # pairs that share a slot wait for the next round
-            if a != b and not right[a] and not left[b] and s not in slots:
+            # pairs that share a slot wait for the next round; a pair of equal symbols has them alone
+            if not right[a] and not left[b] and (a != b or not (left[a] or right[b])) and s not in slots:
                 left[a] = right[b] = 1
                 slots.add(s)
                 taken.append(k)
-        if not taken:
-            break
         chosen = pairs[commonest[taken]]
         first, second = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         table = np.zeros(1 << _SLOT_BITS, np.int32)
         table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
         rank = table[_slot(key)]
-        hit = np.flatnonzero(chosen[rank] == key)
-        seq[hit] = (len(sizes) + rank[hit]).astype(np.uint64)
+        found = chosen[rank] == key
+        hit = at[found]
+        seq[hit] = (len(sizes) + rank[found]).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
-        seq = seq[stay]
-        rules = np.concatenate([rules, np.stack([first, second], axis=1).astype(np.uint64)])
+        live[hit] = True
+        live[np.maximum(hit - 1, 0)] = True
+        # the place after a pair becomes its new symbol's
+        seq, live = seq[stay], np.append(live, False)[stay]
+        live = live[:-1]
+        rules.append(np.stack([first, second], axis=1).astype(np.uint32))
         sizes = np.concatenate([sizes, sizes[first] + sizes[second]])
-    return rules.astype(np.uint32), sizes[base:].astype(np.uint32), seq.astype(np.uint32)
-
-
-def _levels(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
-    out = sequence.astype(np.int64)
-    while True:
-        deep = out >= base
-        if not deep.any():
-            return out.astype(np.uint32)
-        wide = np.repeat(out, 1 + deep)
-        at = (np.cumsum(1 + deep) - 1 - deep)[deep]
-        pair = rules[out[deep] - base].astype(np.int64)
-        wide[at], wide[at + 1] = pair[:, 0], pair[:, 1]
-        out = wide
+    return np.concatenate(rules), sizes[base:].astype(np.uint32), seq
 
 
 def expand(rules: np.ndarray, base: int, sequence: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols: the rules that it uses are expanded level by level, then
-    copied to their places."""
+    """The ids of a sequence of symbols: the rules are expanded, then copied to their places."""
     deep = sequence >= base
     if not deep.any():
         return sequence.astype(np.uint32)
-    ends_in = np.zeros(len(rules) + 1, np.int64)
-    ends_in[1:] = np.cumsum(_sizes(rules, base))
-    flat = _levels(rules, base, np.arange(base, base + len(rules)))
+    ends_in, flat = _expanded(rules, base)
     rule = sequence[deep].astype(np.int64) - base
     size = np.ones(len(sequence), np.int64)
     size[deep] = ends_in[rule + 1] - ends_in[rule]
     ends = np.cumsum(size)
     out = np.repeat(sequence.astype(np.uint32), size)
-    n, at = size[deep], (ends - size)[deep]
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(at, n) + inner] = flat[np.repeat(ends_in[rule], n) + inner]
+    _copy(flat, ends_in[rule], out, (ends - size)[deep], size[deep])
     return out
 
 
-def _sizes(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule gives; a rule's parts are earlier ones."""
-    sizes = np.zeros(len(rules), np.int64)
-    todo = np.arange(len(rules))
+def _copy(source: np.ndarray, begin: np.ndarray, target: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+    """Copies n[k] ids from begin[k] of source to at[k] of target, for all k."""
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    target[np.repeat(at, n) + inner] = source[np.repeat(begin, n) + inner]
+
+
+def _expanded(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, ids): rule k gives ids[bounds[k] : bounds[k + 1]]. A rule's parts are earlier ones;
+    it is copied together from theirs, so that each is expanded once."""
+    sizes, levels, todo = np.zeros(len(rules), np.int64), [], np.arange(len(rules))
     while len(todo):
         parts = rules[todo].astype(np.int64) - base
         size = np.where(parts < 0, 1, sizes[np.maximum(parts, 0)])
         ready = (size > 0).all(axis=1)
         sizes[todo[ready]] = size[ready].sum(axis=1)
+        levels.append(todo[ready])
         todo = todo[~ready]
-    return sizes
+    bounds = np.append(0, np.cumsum(sizes))
+    out = np.zeros(bounds[-1], np.uint32)
+    for level in levels:
+        at = bounds[level]
+        for symbol in rules[level].astype(np.int64).T:
+            plain = symbol < base
+            out[at[plain]] = symbol[plain]
+            part = symbol[~plain] - base
+            _copy(out, bounds[part], out, at[~plain], sizes[part])
+            at = at + np.where(plain, 1, sizes[np.maximum(symbol - base, 0)])
+    return bounds, out
 
 
 def decode_range(rules: np.ndarray, expansions: np.ndarray, base: int, sequence: np.ndarray, lo: int, hi: int) -> np.ndarray:
