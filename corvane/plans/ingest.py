@@ -76,6 +76,26 @@ def src21(spark, sf_dir):
     return made(spark, sf_dir, FLOW).select("k", F.xpath_string("xml", F.lit("/flow/@id")).alias("tx"))
 
 
+FLOWTRAN = f"SELECT o_orderkey AS k, concat('<', CASE WHEN o_orderkey % 10 = 0 THEN 'flow' ELSE 'flowtran' END, ' id=\"TX', {N('o_orderkey')}, '\"><flow id=\"f\"><method id=\"a', {N('o_custkey')}, '\" method=\"m\"/><loop><service id=\"s\" serviceName=\"T', {N('o_custkey % 7')}, '.op\"/><method id=\"n\"/></loop><case id=\"c\"><when id=\"w1\" test=\"x\"><method id=\"x\"/><service id=\"y\"/></when><when id=\"w2\"><if><method id=\"z\"/></if></when></case><method id=\"e\"/></flow>', CASE WHEN o_orderkey % 10 = 1 THEN '' WHEN o_orderkey % 10 = 0 THEN '</flow>' ELSE '</flowtran>' END) AS xml FROM orders"
+_FLOWTRAN = f"SELECT 'TX' || k AS tx, 'TX:TX' || k AS t, regexp_extract(xml, 'id=.(a[0-9]+)', 1) AS a, regexp_extract(xml, '(T[0-9]+)[.]op', 1) AS s FROM ({FLOWTRAN}) WHERE k % 10 > 1"
+
+
+@PLAN.query("op_src05_flow_graph", f"WITH s AS ({_FLOWTRAN}) SELECT tx, edge, replace(t || src, '$a', a) AS src, CASE WHEN edge = 'CALLS_SERVICE' THEN replace(dst, '$s', s) ELSE replace(t || dst, '$a', a) END AS dst FROM s CROSS JOIN (VALUES ('HAS_FLOW', '', ':FLOW'), ('HAS_STEP', ':FLOW', ':METHOD:1:$a'), ('HAS_STEP', ':FLOW', ':SERVICE:1:s'), ('HAS_STEP', ':FLOW', ':METHOD:2:n'), ('HAS_STEP', ':FLOW', ':CASE:2:c'), ('HAS_STEP', ':FLOW', ':METHOD:3:e'), ('CALLS_SERVICE', ':SERVICE:1:s', 'SVOP:$s.op'), ('NEXT', ':SERVICE:1:s', ':METHOD:2:n'), ('NEXT', ':METHOD:1:$a', ':CASE:2:c'), ('NEXT', ':CASE:2:c', ':METHOD:3:e'), ('HAS_BRANCH', ':CASE:2:c', ':CASE:2:c:WHEN:1:w1'), ('HAS_BRANCH', ':CASE:2:c', ':CASE:2:c:WHEN:2:w2'), ('EXECUTES', ':CASE:2:c:WHEN:1:w1', ':METHOD:1:x'), ('EXECUTES', ':CASE:2:c:WHEN:1:w1', ':SERVICE:2:y'), ('NEXT', ':METHOD:1:x', ':SERVICE:2:y'), ('CALLS_SERVICE', ':SERVICE:2:y', 'SVOP:null.y'), ('EXECUTES', ':CASE:2:c:WHEN:2:w2', ':METHOD:1:z')) AS e(edge, src, dst)")
+def src05_graph(spark, sf_dir):
+    """Flow files as the reference reads them; a tenth has another root, a tenth is broken off."""
+    return P.flow_edges(made(spark, sf_dir, FLOWTRAN))
+
+
+@PLAN.query("op_src05_flow_nodes", f"WITH s AS ({_FLOWTRAN}) SELECT tx, t || replace(key, '$a', a) AS key, kind, replace(id, '$a', a) AS id, NULL::VARCHAR AS longname, test, method, CASE WHEN id = 's' THEN s || '.op' END AS service_name, ord::BIGINT AS ord FROM s CROSS JOIN (VALUES (':FLOW', 'flow', 'f', NULL, NULL, NULL), (':METHOD:1:$a', 'method', '$a', NULL, 'm', 1), (':SERVICE:1:s', 'service', 's', NULL, NULL, 1), (':METHOD:2:n', 'method', 'n', NULL, NULL, 2), (':CASE:2:c', 'case', 'c', NULL, NULL, 2), (':CASE:2:c:WHEN:1:w1', 'when', 'w1', 'x', NULL, 1), (':CASE:2:c:WHEN:2:w2', 'when', 'w2', NULL, NULL, 2), (':METHOD:1:x', 'method', 'x', NULL, NULL, 1), (':SERVICE:2:y', 'service', 'y', NULL, NULL, 2), (':METHOD:1:z', 'method', 'z', NULL, NULL, 1), (':METHOD:3:e', 'method', 'e', NULL, NULL, 3)) AS e(key, kind, id, test, method, ord)")
+def src05_nodes(spark, sf_dir):
+    return P.flow_nodes(made(spark, sf_dir, FLOWTRAN))
+
+
+@PLAN.query("op_src21_flowtran_id", f"SELECT k, CASE WHEN k % 10 > 1 THEN 'TX' || k END AS tx FROM ({FLOWTRAN})")
+def src21_flowtran(spark, sf_dir):
+    return made(spark, sf_dir, FLOWTRAN).select("k", P.flow_tx("xml").alias("tx"))
+
+
 FILES = f"SELECT p_partkey AS k, concat('/m', {N('p_size')}, '-bcc', CASE WHEN p_partkey % 5 = 0 THEN '/target' ELSE '' END, '/src/main/resources/f', {N('p_partkey')}, CASE p_partkey % 3 WHEN 0 THEN '.pbs.xml' WHEN 1 THEN '.pbcb.xml' ELSE '.txt' END) AS path FROM part"
 
 

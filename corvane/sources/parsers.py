@@ -3,8 +3,14 @@ format nests, XPath or a regular expression finds the parts and posexplode makes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.windows import best, carried
 
@@ -69,8 +75,107 @@ def throws(content: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\bthrow\s+\w+\.([A-Z]\d{3,4})\s*\("), F.lit(1))
 
 
+def _root(xml: str | None) -> tuple[str, dict, list] | None:
+    """The root (tag, attributes that aren't blank, children) of an XML text; None if it is broken."""
+    top: tuple[str, dict, list] = ("", {}, [])
+    open_ = [top]
+
+    def start(tag: str, attributes: dict) -> None:
+        element = (tag, {k: v.strip() for k, v in attributes.items() if v.strip()}, [])
+        open_[-1][2].append(element)
+        open_.append(element)
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, lambda tag: open_.pop()
+    try:
+        parser.Parse(xml or "", True)
+    except (expat.ExpatError, ValueError):
+        return None
+    return top[2][0]
+
+
+def _flow(xml: str | None) -> tuple[str | None, list[tuple], list[tuple]]:
+    """(tx, nodes, edges) of a flow file; tx is None where the root isn't a flowtran with an id."""
+    root = _root(xml)
+    if root is None or root[0] != "flowtran" or "id" not in root[1]:
+        return None, [], []
+    tx, nodes, edges = root[1]["id"], [], {}
+    text = lambda x: "null" if x is None else x  # as the reference joins its keys
+
+    def node(key: str, kind: str, attributes: dict, order: int | None) -> str:
+        nodes.append((tx, key, kind, *(attributes.get(c) for c in ("id", "longname", "test", "method", "serviceName")), order))
+        return key
+
+    def named(tag: str, order: int, attributes: dict) -> str:
+        return f"{tag}:{order}:{text(attributes.get('id'))}"
+
+    flow = next((x for x in root[2] if x[0] == "flow"), None)
+    if flow is not None:
+        key = node(f"TX:{tx}:FLOW", "flow", flow[1], None)
+        edges[("HAS_FLOW", f"TX:{tx}", key)] = None
+        # containers still to be walked: (parent's key, its edge to steps, element)
+        todo = [(key, "HAS_STEP", flow)]
+        while todo:
+            parent, relation, container = todo.pop()
+            before, order = None, 0
+            for child in container[2]:
+                tag, attributes, _ = child
+                if tag not in ("method", "service", "case"):
+                    todo.append((parent, relation, child))  # transparent: its steps are the parent's, in an order of their own
+                    continue
+                order += 1
+                key = node(f"TX:{tx}:{named(tag.upper(), order, attributes)}", tag, attributes, order)
+                edges[(relation, parent, key)] = None
+                if tag == "service":
+                    name = attributes.get("serviceName")
+                    kind, dot, operation = (name or "").partition(".")
+                    edges[("CALLS_SERVICE", key, f"SVOP:{text(kind if dot else name)}.{text(operation if dot else attributes.get('id'))}")] = None
+                elif tag == "case":
+                    for k, when in enumerate((x for x in child[2] if x[0] == "when"), 1):
+                        branch = node(f"{key}:{named('WHEN', k, when[1])}", "when", when[1], k)
+                        edges[("HAS_BRANCH", key, branch)] = None
+                        todo.append((branch, "EXECUTES", when))
+                if before:
+                    edges[("NEXT", before, key)] = None
+                before = key
+    return tx, nodes, [(tx, *e) for e in edges]
+
+
+def _flows(flows: DataFrame, part: int, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for xml in batch.column(0).to_pylist() for x in _flow(xml)[part]]
+            kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+
+    return flows.select("xml").mapInArrow(run, schema)
+
+
+def flow_nodes(flows: DataFrame) -> DataFrame:
+    """Flows, methods, services, cases and whens of flow files(xml) with their keys; ord counts the
+    steps of one element, or the branches of a case. Broken files and other roots give nothing."""
+    return _flows(flows, 1, "tx string, key string, kind string, id string, longname string, test string, method string, service_name string, ord long")
+
+
+def flow_edges(flows: DataFrame) -> DataFrame:
+    """Distinct (tx, edge, src, dst) of flow files(xml): HAS_FLOW, HAS_STEP, HAS_BRANCH from a case,
+    EXECUTES from a when, CALLS_SERVICE, and NEXT between steps that follow each other in one element.
+    Elements of other names pass their steps to their parent; NEXT neither enters nor leaves them."""
+    return _flows(flows, 2, "tx string, edge string, src string, dst string").distinct()
+
+
+@F.pandas_udf(StringType())
+def flow_tx(xml: pd.Series) -> pd.Series:
+    """The id of a flowtran root, else null."""
+    roots = xml.map(_root)
+    return roots.map(lambda x: x[1].get("id") if x and x[0] == "flowtran" else None)
+
+
 def flow_steps(flows: DataFrame) -> DataFrame:
-    """(tx, pos, step) of flow files(xml): steps at any depth, in the order of the file."""
+    """(tx, pos, step) of the simplified <flow> files of op_src05_flow_edges: steps at any depth, in
+    the order of the file. Real files: flow_nodes and flow_edges."""
     step = F.posexplode(F.xpath("xml", F.lit("//step/@id"))).alias("pos", "step")
     return flows.select(F.xpath_string("xml", F.lit("/flow/@id")).alias("tx"), step)
 
