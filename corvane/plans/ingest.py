@@ -211,6 +211,22 @@ def src18(spark, sf_dir):
     return P.git_numstat(head.unionByName(body))
 
 
+@PLAN.query("op_src18_git_history", "SELECT repo, path, email, min_by(name, line_no) AS author_name, sum(adds)::BIGINT AS adds, sum(dels)::BIGINT AS dels, count(*) AS commits, min(epoch) AS first_epoch, max(epoch) AS last_epoch FROM (SELECT o_orderkey % 16 AS repo, CASE l_partkey % 3 WHEN 0 THEN 'src/F' WHEN 1 THEN 'src/new/F' ELSE 'lib/F' END || (l_partkey % 300) || '.java' AS path, 'U' || (o_custkey % 50) || '@b' AS email, 'n' || o_custkey AS name, o_orderkey * 100000 + l_linenumber AS line_no, l_quantity::BIGINT AS adds, l_linenumber AS dels, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 1000 END AS epoch FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber > 1) GROUP BY 1, 2, 3")
+def src18_history(spark, sf_dir):
+    """As op_src18_git_log, with binary first items, renames in two forms and headers of the
+    reference; a fifth of them without an epoch."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    tab, part = F.lit("\t"), F.col("l_partkey")
+    epoch = F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 1000).cast("string")).otherwise("?")
+    text = F.concat(F.lit(">>>COMMIT\t"), F.lower(F.hex("o_orderkey")), F.lit("\tn"), F.col("o_custkey").cast("string"), F.lit("\tU"), (F.col("o_custkey") % 50).cast("string"), F.lit("@b\t"), epoch)
+    head = orders.select((F.col("o_orderkey") % 16).alias("repo"), (F.col("o_orderkey") * 100000).alias("line_no"), text.alias("line"))
+    cell = lambda c: F.when(F.col("l_linenumber") == 1, "-").otherwise(F.col(c).cast("long").cast("string"))
+    folder = F.when(part % 3 == 0, "src/F").when(part % 3 == 1, "src/{old => new}/F").otherwise("src/X => lib/F")
+    line = F.concat(cell("l_quantity"), tab, cell("l_linenumber"), tab, folder, (part % 300).cast("string"), F.lit(".java"))
+    body = items.select((F.col("l_orderkey") % 16).alias("repo"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber")).alias("line_no"), line.alias("line"))
+    return P.git_history(head.unionByName(body))
+
+
 @PLAN.query("op_src19_git_blame", "SELECT o_orderkey % 16 AS repo, 'F' || (o_custkey % 200) AS path, 'u' || (o_custkey % 50) || '@b' AS email, sum(1 + o_orderkey % 90)::BIGINT AS owned_lines FROM orders GROUP BY 1, 2, 3")
 def src19(spark, sf_dir):
     """A block of three lines for each order."""

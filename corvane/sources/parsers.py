@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.scalar import renamed
 from ..operators.windows import best, carried
 
 MAX_KB = 500
@@ -232,7 +233,8 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def git_numstat(lines: DataFrame) -> DataFrame:
     """(repo, path, email, adds, dels, commits) of log lines(repo, line_no, line): a header
-    'hash|email' holds for the lines after it; binary files count no lines."""
+    'hash|email' holds for the lines after it; binary files count no lines. Shortened as the SQL of
+    op_src18_git_log is; git_history does the whole job."""
     header = F.rlike("line", F.lit(r"^[0-9a-f]+\|"))
     marked = lines.withColumn("email", F.when(header, F.lower(F.substring_index("line", "|", -1)))).withColumn("commit", F.when(header, F.substring_index("line", "|", 1)))
     along = carried(carried(marked, "email", ["repo"], "line_no"), "commit", ["repo"], "line_no").where(~header)
@@ -241,6 +243,22 @@ def git_numstat(lines: DataFrame) -> DataFrame:
     return along.groupBy("repo", F.get(parts, F.lit(2)).alias("path"), "email").agg(F.sum(count(0)).alias("adds"), F.sum(count(1)).alias("dels"), F.count_distinct("commit").alias("commits"))
 
 
+def git_history(lines: DataFrame) -> DataFrame:
+    """(repo, path, email, author_name, adds, dels, commits, first_epoch, last_epoch) of lines(repo,
+    line_no, line) of log --no-merges --numstat: a header '>>>COMMIT hash name email epoch', split by
+    tabs, holds for the lines after it. Lines whose counts aren't whole numbers (binary files) and
+    lines before the first header are skipped, renamed files have their new path, commits counts
+    the lines and author_name is the first in the log."""
+    cells, marker = F.split("line", "\t", -1), F.col("line").startswith(">>>COMMIT\t")
+    epoch = F.trim(F.get(cells, F.lit(4)))
+    header = F.struct(F.get(cells, F.lit(2)).alias("name"), F.get(cells, F.lit(3)).alias("email"), F.when(F.rlike(epoch, F.lit(r"^[+-]?\d+$")), epoch.try_cast("long")).alias("epoch"))
+    along = carried(lines.withColumn("h", F.when(marker & (F.size(cells) >= 5), header)), "h", ["repo"], "line_no").where(~marker & F.col("h").isNotNull())
+    parts = F.split("line", "\t", 3)
+    count = lambda k: F.when(F.rlike(F.trim(F.get(parts, F.lit(k))), F.lit(r"^[+-]?\d+$")), F.trim(F.get(parts, F.lit(k))).try_cast("int"))
+    whole = along.select("repo", "line_no", "h.*", count(0).alias("a"), count(1).alias("d"), F.trim(renamed(F.trim(F.get(parts, F.lit(2))))).alias("path")).where("a IS NOT NULL AND d IS NOT NULL AND path IS NOT NULL")
+    return whole.groupBy("repo", "path", "email").agg(F.min_by("name", "line_no").alias("author_name"), F.sum("a").alias("adds"), F.sum("d").alias("dels"), F.count("*").alias("commits"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+
+
 def git_blame(lines: DataFrame) -> DataFrame:
     """(repo, path, email, owned_lines) of incremental blame lines(repo, line_no, line): 'hash start
     result n' begins a block, author-mail and filename lines describe it."""
