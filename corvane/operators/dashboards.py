@@ -103,3 +103,24 @@ def access_patterns(rows: DataFrame, table: str, n: int) -> DataFrame:
     found = rows.where(F.col("involved_tables").contains(table)).groupBy(names.alias("tables"))
     out = found.agg(F.count("*").alias("n"), *(F.count_if(F.col("rating") == r).alias(r.lower()) for r in RATED))
     return out.orderBy(F.desc("n"), "tables").limit(n)
+
+
+def scan_preview(candidates: DataFrame, sample: int = 5) -> DataFrame:
+    """(part, ord, name, n, source_file, sql) over candidates(seq, project, class_fqn, source_file,
+    sql): the total, counts by project, the ten commonest classes (the first seen of equals) and
+    the first `sample` candidates (50 at most), SQL cut after 200 characters as the report shows it."""
+    none = lambda kind: F.lit(None).cast(kind)
+    named = lambda c: F.coalesce(F.col(c), F.lit("(unknown)")).alias("name")
+    shape = lambda df, part, order, name, n, file, sql: df.select(F.lit(part).alias("part"), order.cast("long").alias("ord"), name.alias("name"), n.alias("n"), file.alias("source_file"), sql.alias("sql"))
+    counted = lambda c: candidates.groupBy(named(c)).agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    text, n, name = none("string"), F.col("n"), F.col("name")
+    total = shape(candidates.agg(F.count("*").alias("n")), "total", none("long"), text, n, text, text)
+    projects = shape(counted("project"), "project", none("long"), name, n, text, text)
+    top = counted("class_fqn").orderBy(F.desc("n"), "seq", "name").limit(10)
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "seq", "name", "n"))).alias("x")).select(F.posexplode("x").alias("pos", "x")).select("pos", "x.*")
+    classes = shape(ranked, "class", F.col("pos") + 1, name, n, text, text)
+    first = candidates.orderBy("seq").limit(min(max(sample, 0), 50))
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("seq", "class_fqn", "source_file", "sql"))).alias("x")).select(F.posexplode("x").alias("pos", "x")).select("pos", "x.*")
+    cut = F.when(F.char_length("sql") > 200, F.concat(F.substring("sql", 1, 200), F.lit("..."))).otherwise(F.col("sql"))
+    samples = shape(listed, "sample", F.col("pos") + 1, F.col("class_fqn"), none("long"), F.col("source_file"), cut)
+    return total.unionByName(projects).unionByName(classes).unionByName(samples)

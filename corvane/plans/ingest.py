@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
-from ..operators import writes
+from ..operators import dashboards, writes
 from ..session import shared_dir
 from ..sources import parsers as P
 
@@ -96,6 +96,24 @@ def src21_flowtran(spark, sf_dir):
     return made(spark, sf_dir, FLOWTRAN).select("k", P.flow_tx("xml").alias("tx"))
 
 
+SCHEMAS = f"SELECT p_partkey AS seq, concat('/m/S', {N('p_partkey')}, '.tables.xml') AS path, concat('<schema id=\"S', {N('p_partkey')}, '\" package=\"k.p', {N('p_size')}, '\"><table id=\"t', {N('p_partkey % 50')}, '\" longname=\"L', {N('p_partkey')}, '\"/><x><table id=\"no\"/></x><Table id=\"u', {N('p_partkey')}, '\" name=\" \"/><table/>', CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '</schema>' END) AS xml FROM part"
+
+
+@PLAN.query("op_src07_schema_tables", f"WITH s AS (SELECT *, regexp_extract(xml, 'k[.]p[0-9]+') AS package_path, 'S' || seq AS schema_id FROM ({SCHEMAS}) WHERE seq % 7 > 0), t AS (SELECT *, 0::BIGINT AS pos, 't' || (seq % 50) AS table_id, 'L' || seq AS longname FROM s UNION ALL SELECT *, 1, 'u' || seq, 'u' || seq FROM s) SELECT seq, pos, path, table_id, longname, package_path, schema_id, package_path || '.' || schema_id AS outer_class_fqn, upper(table_id[1]) || substr(table_id, 2) || 'Dao' AS dao_class FROM t QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY seq) = 1")
+def src07_tables(spark, sf_dir):
+    """Tables of schema files, the first of each DAO name; a seventh of the files is broken off."""
+    return P.first_tables(P.schema_tables(made(spark, sf_dir, SCHEMAS)), "dao_class")
+
+
+CANDIDATES = f"SELECT o_orderkey AS seq, CASE WHEN o_custkey % 16 > 0 THEN concat('p', {N('o_custkey % 16')}) END AS project, CASE WHEN o_custkey % 9 > 0 THEN concat('C', {N('o_custkey % 300')}) END AS class_fqn, concat('f', {N('o_orderkey')}) AS source_file, repeat('x', CAST(190 + o_orderkey % 20 AS INT)) AS sql FROM orders"
+
+
+@PLAN.query("op_src28_preview", f"WITH c AS ({CANDIDATES}), k AS (SELECT coalesce(class_fqn, '(unknown)') AS name, count(*) AS n, min(seq) AS seq FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, seq, name) AS ord FROM k), f AS (SELECT *, row_number() OVER (ORDER BY seq) AS ord FROM c) SELECT 'total' AS part, NULL::BIGINT AS ord, NULL::VARCHAR AS name, count(*) AS n, NULL::VARCHAR AS source_file, NULL::VARCHAR AS sql FROM c UNION ALL SELECT 'project', NULL, coalesce(project, '(unknown)') AS name, count(*), NULL, NULL FROM c GROUP BY 3 UNION ALL SELECT 'class', ord, name, n, NULL, NULL FROM r WHERE ord <= 10 UNION ALL SELECT 'sample', ord, class_fqn, NULL, source_file, CASE WHEN length(sql) > 200 THEN substr(sql, 1, 200) || '...' ELSE sql END FROM f WHERE ord <= 5")
+def src28_preview(spark, sf_dir):
+    """Total, counts by project, ten classes and five samples of a scan."""
+    return dashboards.scan_preview(made(spark, sf_dir, CANDIDATES))
+
+
 FILES = f"SELECT p_partkey AS k, concat('/m', {N('p_size')}, '-bcc', CASE WHEN p_partkey % 5 = 0 THEN '/target' ELSE '' END, '/src/main/resources/f', {N('p_partkey')}, CASE p_partkey % 3 WHEN 0 THEN '.pbs.xml' WHEN 1 THEN '.pbcb.xml' ELSE '.txt' END) AS path FROM part"
 
 

@@ -76,17 +76,23 @@ def throws(content: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\bthrow\s+\w+\.([A-Z]\d{3,4})\s*\("), F.lit(1))
 
 
-def _root(xml: str | None) -> tuple[str, dict, list] | None:
-    """The root (tag, attributes that aren't blank, children) of an XML text; None if it is broken."""
+def _root(xml: str | None, strict: bool = False) -> tuple[str, dict, list] | None:
+    """The root (tag, attributes that aren't blank, trimmed, and children) of an XML text; None if it
+    is broken. strict: attributes as they stand, and a DOCTYPE counts as broken."""
     top: tuple[str, dict, list] = ("", {}, [])
     open_ = [top]
 
     def start(tag: str, attributes: dict) -> None:
-        element = (tag, {k: v.strip() for k, v in attributes.items() if v.strip()}, [])
+        element = (tag, attributes if strict else {k: v.strip() for k, v in attributes.items() if v.strip()}, [])
         open_[-1][2].append(element)
         open_.append(element)
 
+    def refuse(*_) -> None:
+        raise ValueError("DOCTYPE")
+
     parser = expat.ParserCreate()
+    if strict:
+        parser.StartDoctypeDeclHandler = refuse
     parser.StartElementHandler, parser.EndElementHandler = start, lambda tag: open_.pop()
     try:
         parser.Parse(xml or "", True)
@@ -186,6 +192,67 @@ def next_edges(steps: DataFrame) -> DataFrame:
     return steps.select("tx", F.col("step").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
 
 
+_TABLES = "seq long, pos long, path string, table_id string, longname string, package_path string, schema_id string, outer_class_fqn string, dao_class string"
+
+
+def schema_tables(files: DataFrame) -> DataFrame:
+    """Tables (_TABLES) of files(seq, path, xml) whose root is a schema with id and package; pos
+    counts them within a file. Broken files give nothing."""
+    names = [c.split()[0] for c in _TABLES.split(", ")]
+    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in _TABLES.split(", ")]
+
+    def tables(row: dict) -> Iterator[tuple]:
+        tag, attributes, children = _root(row["xml"]) or ("", {}, [])
+        schema, package = attributes.get("id"), next((attributes[c] for c in ("package", "packagePath", "package_name") if c in attributes), None)
+        if tag.lower() != "schema" or not schema or not package:
+            return
+        found = [x[1] for x in children if x[0].lower() == "table" and "id" in x[1]]
+        for pos, x in enumerate(found):
+            t = x["id"]
+            yield row["seq"], pos, row["path"], t, x.get("longname", x.get("name", t)), package, schema, f"{package}.{schema}", f"{t[0].upper() if len(t[0].upper()) == 1 else t[0]}{t[1:]}Dao"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for row in batch.to_pylist() for x in tables(row)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+
+    return files.select(F.col("seq").cast("long").alias("seq"), "path", "xml").mapInArrow(run, _TABLES)
+
+
+def first_tables(tables: DataFrame, key: str) -> DataFrame:
+    """The first seen table of each dao_class or table_id."""
+    return best(tables, [key], F.asc("seq"), F.asc("path"), F.asc("pos"))
+
+
+@F.pandas_udf(StringType())
+def root_id(xml: pd.Series) -> pd.Series:
+    """The id of a file's root (<sqls id>, <schema id>), null where it is missing, empty or broken."""
+    roots = xml.map(lambda x: _root(x, strict=True))
+    return roots.map(lambda x: x[1].get("id") or None if x else None)
+
+
+def schema_id(xml: str, path: str) -> Column:
+    """The id of a schema file's root, else the file's name before .tables.xml."""
+    name = F.regexp_extract(path, r"([^/\\]*)\.tables\.xml$", 1)
+    return F.coalesce(root_id(xml), F.when(F.col(path).endswith(".tables.xml"), name))
+
+
+def looked_up(names: DataFrame, index: DataFrame, name: str = "name") -> DataFrame:
+    """module for names(name): by the id of index(id, module, seq) as it stands, else in lower case;
+    the last scanned counts."""
+    last = lambda key: index.groupBy(key.alias("_id")).agg(F.max_by("module", "seq").alias("_m"))
+    exact, lower = last(F.col("id")), last(F.lower("id")).select(F.col("_id").alias("_low"), F.col("_m").alias("_n"))
+    joined = names.join(exact, F.col(name) == F.col("_id"), "left").join(lower, F.lower(name) == F.col("_low"), "left")
+    return joined.withColumn("module", F.coalesce("_m", "_n")).drop("_id", "_m", "_low", "_n")
+
+
+def inferred_fqn(path: str) -> Column:
+    """Full name of the class of a large Java file, by its path."""
+    p = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    after = lambda marker: F.nullif(F.regexp_extract(p, f"^.*?/{marker}/(.*)\\.java$", 1), F.lit(""))
+    return F.replace(F.coalesce(*map(after, ("src/main/java", "target/gen", "generated-sources"))), F.lit("/"), F.lit("."))
+
+
 def first_seen(df: DataFrame, key: list[str], seq: str) -> DataFrame:
     return best(df, key, F.asc(seq))
 
