@@ -216,3 +216,49 @@ def starts_with_any(text: Column | str, prefixes: list[str]) -> Column:
 
 def contains_any(keyword: str, *columns: Column | str) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.lower(col(c)).contains(keyword.strip().lower()), F.lit(False)) for c in columns))
+
+
+WHITELIST_LABELS = {"PENDING_L1": "待一级", "PENDING_L2": "待二级", "APPROVED": "已通过", "REJECTED_L1": "一级退回", "REJECTED_L2": "二级退回", "CANCELLED": "已取消"}
+
+
+def _blank(x: Column) -> Column:
+    return F.coalesce(~F.rlike(x, F.lit(r"\S")), F.lit(True))
+
+
+def whitelist_label(status: Column | str) -> Column:
+    """Label of an approval state; one that isn't known stays as it is."""
+    s = col(status)
+    known = F.create_map(*(F.lit(x) for pair in WHITELIST_LABELS.items() for x in pair))
+    return F.when(_blank(s), "未申请").otherwise(F.coalesce(F.element_at(known, s), s))
+
+
+def optimise_label(status: Column | str, optimised: Column | str, reappeared: Column | str) -> Column:
+    """Label of an optimisation state with the rounds in which it was marked and came back."""
+    s, first, again = col(status), F.coalesce(col(optimised), F.lit("")), F.coalesce(col(reappeared), F.lit(""))
+    return F.when(_blank(s), "未处理").when(s == "OPTIMIZED", F.concat(F.lit("已优化@"), first)).when(s == "REGRESSED", F.concat(F.lit("优化未生效("), first, F.lit("标→"), again, F.lit("现)"))).otherwise(s)
+
+
+def optimise_operator(name: Column | str, number: Column | str) -> Column:
+    """name(number), or the one that there is."""
+    a, b = F.coalesce(col(name), F.lit("")), F.coalesce(col(number), F.lit(""))
+    return F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit("("), b, F.lit(")")))
+
+
+def build_status(stage: Column | str, status: Column | str) -> Column:
+    """(text, type) of a build: the stage of the asynchronous build before its status."""
+    n = F.regexp_replace(F.coalesce(col(stage), F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    s = F.upper(col(status))
+    good = F.struct(F.lit("成功").alias("text"), F.lit("success").alias("type"))
+    bad = F.struct(F.lit("失败").alias("text"), F.lit("error").alias("type"))
+    return F.when(n == "成功", good).when(n.contains("失败"), bad).when(s == "SUCCESS", good).when(s == "FAILED", bad).otherwise(F.struct(F.lit("构建中").alias("text"), F.lit("running").alias("type")))
+
+
+def chain_findings(services: Column | str, components: Column | str, tables: Column | str, snippets: Column | str) -> Column:
+    """Findings (key, severity, evidence) of a chain's counts; no count is 0."""
+    rules = [(services, "deep-service-chain", "medium", "serviceCount", 8), (components, "wide-component-fanout", "medium", "componentCount", 10), (tables, "multi-table-access", "medium", "tableCount", 8), (snippets, "missing-snippets", "info", "codeSnippets", None)]
+    found = []
+    for column, key, severity, name, least in rules:
+        n = F.coalesce(col(column).cast("long"), F.lit(0))
+        hit = n >= least if least else n == 0
+        found.append(F.when(hit, F.struct(F.lit(key).alias("key"), F.lit(severity).alias("severity"), F.concat(F.lit(f"{name}="), n.cast("string")).alias("evidence"))))
+    return F.array_compact(F.array(*found))

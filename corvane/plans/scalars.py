@@ -66,6 +66,8 @@ scalar("op_sc31_module", PATHS, "'loan-bcc' AS module", module=lambda: S.module_
 scalar("op_sc32_node_kind", f"SELECT s_suppkey AS k, concat(CASE s_suppkey % 5 WHEN 0 THEN 'PbcbX' WHEN 1 THEN 'pbcp' WHEN 2 THEN 'PBS' WHEN 3 THEN 'pcs' ELSE 'z' END, {N('s_suppkey')}) AS n FROM supplier", "CASE k % 5 WHEN 0 THEN 'pbcb' WHEN 1 THEN 'pbcp' WHEN 2 THEN 'pbs' WHEN 3 THEN 'pcs' ELSE 'service' END AS kind, k % 5 < 2 AS component", kind=lambda: S.node_kind("n"), component=lambda: S.is_component("n"))
 scalar("op_sc33_table_domain", "SELECT p_partkey AS k, lower(p_name) AS t FROM part", "CASE WHEN contains(replace(replace(t, '-', '_'), ' ', '_'), 'a_') THEN 'dept' WHEN contains(replace(replace(t, '-', '_'), ' ', '_'), 'e') THEN 'loan' END AS domain", domain=lambda: F.when(F.translate("t", "- ", "__").contains("a_"), "dept").when(F.translate("t", "- ", "__").contains("e"), "loan"))
 scalar("op_sc35_status_label", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'PENDING_L1' END AS s FROM orders", "coalesce(CASE s WHEN 'APPROVED' THEN 'approved' WHEN 'PENDING_L1' THEN 'first level' END, '-') AS label", label=lambda: F.coalesce(F.element_at(F.create_map(*map(F.lit, ("APPROVED", "approved", "PENDING_L1", "first level"))), F.col("s")), F.lit("-")))
+scalar("op_sc35_whitelist_label", "SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'PENDING_L1' WHEN 1 THEN 'PENDING_L2' WHEN 2 THEN 'APPROVED' WHEN 3 THEN 'REJECTED_L1' WHEN 4 THEN 'REJECTED_L2' WHEN 5 THEN 'CANCELLED' WHEN 6 THEN ' ' WHEN 7 THEN 'odd' END AS s FROM orders", "CASE k % 9 WHEN 0 THEN '待一级' WHEN 1 THEN '待二级' WHEN 2 THEN '已通过' WHEN 3 THEN '一级退回' WHEN 4 THEN '二级退回' WHEN 5 THEN '已取消' WHEN 7 THEN 'odd' ELSE '未申请' END AS label", label=lambda: S.whitelist_label("s"))
+scalar("op_sc37_build_type", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '成功' WHEN 1 THEN '触发失败' END AS a, CASE o_orderkey % 5 WHEN 0 THEN 'Failed' WHEN 1 THEN 'SUCCESS' END AS s FROM orders", "CASE WHEN k % 3 = 0 THEN 'success' WHEN k % 3 = 1 THEN 'error' WHEN k % 5 = 0 THEN 'error' WHEN k % 5 = 1 THEN 'success' ELSE 'running' END AS type", type=lambda: S.build_status("a", "s")["type"])
 scalar("op_sc37_build_status", "SELECT o_orderkey AS k, o_orderkey % 4 AS n FROM orders", "CASE n WHEN 0 THEN 'success' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'unknown' END AS status", status=lambda: F.when(F.col("n") == 0, "success").when(F.col("n") == 1, "running").when(F.col("n") == 2, "failed").otherwise("unknown"))
 scalar("op_sc38_keyword", "SELECT p_partkey AS k, p_name AS n FROM part", "lower(n) LIKE '%ar%' AS hit", hit=lambda: S.contains_any(" AR ", "n"))
 scalar("op_flt10_prefix_blocklist", SQLS, "upper(trim(q)) LIKE 'SELECT%' OR upper(trim(q)) LIKE 'DELETE%' AS blocked", blocked=lambda: S.starts_with_any("q", ["select", "Delete"]))
