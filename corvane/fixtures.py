@@ -115,9 +115,35 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT 'SELF_CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), concat('M', CAST(c_custkey - 5 AS VARCHAR(20))), c_custkey FROM customer WHERE c_custkey % 12 = 5
         UNION ALL SELECT 'SYS_UTIL_CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), concat('SVOP:', CAST(c_custkey % 40 AS VARCHAR(20))), c_custkey FROM customer WHERE c_custkey % 5 = 2
         UNION ALL SELECT 'DAO_CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), concat('D', CAST(c_nationkey AS VARCHAR(20)), '.m', CAST(c_custkey % 2 AS VARCHAR(20))), c_custkey FROM customer WHERE c_custkey % 3 = 1""",
+    # the same calls with what stands at their ends, calls of classes and interfaces by a method's
+    # name, and calls that lead from one block to the first method of another
+    "call_facts": """
+        SELECT etype, src, CASE WHEN etype = 'SYS_UTIL_CALLS' THEN 'ServiceOperation' ELSE 'Method' END AS label, dst, CAST(NULL AS VARCHAR(20)) AS method_name FROM calls WHERE etype <> 'DAO_CALLS'
+        UNION ALL SELECT 'DAO_CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), 'DaoMethod', CASE WHEN c_custkey % 21 = 4 THEN ' ' ELSE concat('D', CAST(c_nationkey AS VARCHAR(20))) END, CASE WHEN c_custkey % 15 = 1 THEN '' ELSE 'find' END FROM customer WHERE c_custkey % 3 = 1
+        UNION ALL SELECT 'CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), 'Class', concat('K', CAST(c_custkey % 12 AS VARCHAR(20))), concat('f', CAST(c_custkey % 3 AS VARCHAR(20))) FROM customer WHERE c_custkey % 7 = 3
+        UNION ALL SELECT 'SYS_UTIL_CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), 'Interface', concat('I', CAST(c_custkey % 20 AS VARCHAR(20))), concat('p', CAST(c_custkey % 4 AS VARCHAR(20))) FROM customer WHERE c_custkey % 11 = 4
+        UNION ALL SELECT 'CALLS', concat('M', CAST(c_custkey AS VARCHAR(20))), 'Method', concat('M', CAST(c_custkey % 12 * 12 AS VARCHAR(20))), NULL FROM customer WHERE c_custkey % 13 = 6""",
+    "impl_methods": """
+        SELECT concat('M', CAST(c_custkey AS VARCHAR(20))) AS signature, concat('K', CAST({div:c_custkey,12} % 12 AS VARCHAR(20))) AS class_fqn, concat('f', CAST({div:c_custkey,12} % 3 AS VARCHAR(20))) AS name FROM customer WHERE c_custkey % 12 = 0 OR c_custkey % 60 = 3""",
+    "implements": """
+        SELECT concat('SVOP:', CAST({div:c_custkey,12} AS VARCHAR(20))) AS code, concat('M', CAST(c_custkey AS VARCHAR(20))) AS signature FROM customer WHERE c_custkey < 480 AND (c_custkey % 12 = 0 OR c_custkey % 60 = 3)""",
+    "operations": """
+        SELECT concat('SVOP:', CAST(c_custkey AS VARCHAR(20))) AS code, CASE c_custkey % 4 WHEN 0 THEN 'pbcb' WHEN 1 THEN 'pbs' WHEN 2 THEN 'PBCP' END AS node_kind, concat('I', CAST(c_custkey % 20 AS VARCHAR(20))) AS interface_fqn, concat('p', CAST(c_custkey % 4 AS VARCHAR(20))) AS method_name FROM customer WHERE c_custkey < 40""",
+    # flow steps: operations with their methods, and every tenth a method step
+    "flow_steps": """
+        SELECT o_orderkey AS tx, concat('TX ', CAST(o_orderkey % 90 AS VARCHAR(20))) AS tx_name, CASE o_custkey % 2 WHEN 0 THEN 'dept' END AS domain_key, p.code, coalesce(p.node_kind, 'pbs') AS prefix, i.signature
+        FROM orders JOIN operations p ON p.code = concat('SVOP:', CAST(o_custkey % 40 AS VARCHAR(20))) LEFT JOIN implements i ON i.code = p.code
+        UNION ALL SELECT o_orderkey, concat('TX ', CAST(o_orderkey % 90 AS VARCHAR(20))), CASE o_custkey % 2 WHEN 0 THEN 'dept' END, concat('step', CAST(o_custkey % 50 AS VARCHAR(20))), 'method', concat('M', CAST(o_custkey AS VARCHAR(20))) FROM orders WHERE o_orderkey % 10 = 0""",
+    # direct references of flow steps to services: by operation, and by method
+    "service_steps": "SELECT concat('TX:', CAST(o_orderkey AS VARCHAR(20)), ':SERVICE:1') AS step_key, o_orderkey AS tx, o_custkey AS svc FROM orders WHERE o_orderkey % 5 <> 0",
+    "method_steps": "SELECT concat('TX:', CAST(o_orderkey AS VARCHAR(20)), ':METHOD:1') AS step_key, o_orderkey AS tx, concat('M', CAST(o_custkey AS VARCHAR(20))) AS signature FROM orders WHERE o_orderkey % 5 = 0",
+    "svc_methods": "SELECT c_custkey AS svc, concat('M', CAST(c_custkey AS VARCHAR(20))) AS signature FROM customer WHERE c_custkey % 4 <> 3",
+    "svc_domains": "SELECT c_custkey AS svc, CASE WHEN c_custkey % 6 = 0 THEN 'sett' END AS svc_domain FROM customer",
     # layers: a transaction is an order, a service a customer, a component a supplier, a table a part
     "tx_steps": """
         SELECT o_orderkey AS tx, concat('TX ', o_orderpriority, ' ', CAST(o_custkey % 100 AS VARCHAR(20))) AS tx_name, CASE o_custkey % 3 WHEN 0 THEN 'dept' WHEN 1 THEN 'loan' ELSE 'comm' END AS domain_key, o_custkey AS svc FROM orders""",
+    "comp_steps": """
+        SELECT o_orderkey AS tx, concat('TX ', o_orderpriority, ' ', CAST(o_custkey % 100 AS VARCHAR(20))) AS tx_name, CASE o_custkey % 3 WHEN 0 THEN 'dept' WHEN 1 THEN 'loan' ELSE 'comm' END AS domain_key, o_orderkey % (SELECT count(*) FROM supplier) AS comp FROM orders WHERE o_orderkey % 9 = 2""",
     "svc_svc": """
         SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 12 <> 11 AND c_custkey < (SELECT max(c_custkey) FROM customer)
         UNION ALL SELECT c_custkey, c_custkey - 5 FROM customer WHERE c_custkey % 12 = 5""",

@@ -3,43 +3,55 @@ level is written to the shared folder, so plans stay short and lost executors co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep, keep_counted
+from ..session import keep
+
+
+LEVELS, MERGE = 3, 4
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, tag: str = "seed") -> DataFrame:
     """(tag, node, depth): what each seed of seeds(tag, node) reaches over edges(src, dst), itself
-    at depth 0, with the least number of steps; at most `most` steps, or to the fixpoint."""
+    at depth 0, with the least number of steps; at most `most` steps, or to the fixpoint. Only
+    what the last level found new goes on; a table holds LEVELS levels, and every MERGE tables the
+    known ones become one, so that reads grow with the levels and not with their square."""
     steps = keep(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
     known = frontier = keep(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
-    depth, found = 0, 1
-    while found and (most is None or depth < most):
-        depth += 1
-        step = frontier.join(steps, "node").select(tag, F.col("dst").alias("node")).distinct()
-        frontier, found = keep_counted(step.join(known.select(tag, "node"), [tag, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        known = known.unionByName(frontier)
+    depth, tables = 0, 1
+    while (most is None or depth < most) and not frontier.isEmpty():
+        here, found = frontier.select(tag, "node"), None
+        for depth in range(depth + 1, min(depth + LEVELS, most or depth + LEVELS) + 1):
+            here = here.join(steps, "node").select(tag, F.col("dst").alias("node")).distinct()
+            level = here.withColumn("depth", F.lit(depth))
+            found = level if found is None else found.unionByName(level)
+        first = found.groupBy(tag, "node").agg(F.min("depth").alias("depth"))
+        new = keep(first.join(known.select(tag, "node"), [tag, "node"], "left_anti"), "reach")
+        frontier = new.where(F.col("depth") == depth)
+        known, tables = known.unionByName(new), tables + 1
+        if tables == MERGE:
+            known, tables = keep(known, "reached"), 1
     return known
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs with a path of one edge or more. Known paths are joined with each
-    other, so their length doubles each round; for all nodes at once that is fewer rounds than
-    levels. Use reach where few nodes are asked for or distances count."""
-    pairs, found = keep_counted(edges.select("src", "dst").distinct(), "closure")
+def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """edges(*by, a, b) -> (*by, v, label): the smallest id connected to every v with an edge, inside
+    each combination of by. Labels hook to the smallest label that an edge leads to, and pointers
+    are jumped, so that depths halve each round."""
+    cols = [F.col(c) for c in by]
+    both = keep(edges.select(*cols, F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(*cols, "b", "a")).distinct(), "both", small=True)
+    labels = keep(both.groupBy(*by, "v").agg(F.min("w").alias("w")).select(*by, "v", F.least("v", "w").alias("label")), "labels", small=True)
     while True:
-        longer = pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        pairs, more = keep_counted(pairs.union(longer).distinct(), "closure")
-        if more == found:
-            return pairs
-        found = more
-
-
-def reach_all(edges: DataFrame, seeds: DataFrame, tag: str = "seed") -> DataFrame:
-    """(tag, node): what each seed reaches, itself included, by way of the closure."""
-    start = seeds.select(tag, "node").distinct()
-    return start.union(start.join(closure(edges), F.col("node") == F.col("src")).select(tag, "dst")).distinct()
+        near, far = labels.withColumnRenamed("label", "near"), labels.select(*by, F.col("v").alias("w"), F.col("label").alias("far"))
+        cross = keep(both.where("v < w").join(near, [*by, "v"]).join(far, [*by, "w"]).where("near <> far").select(*by, "near", "far").distinct(), "cross", small=True)
+        if cross.isEmpty():
+            return labels
+        # what is left is a graph of labels; its smallest label, the component's smallest id, stays
+        hooks = cross.union(cross.select(*by, "far", "near")).groupBy(*by, F.col("near").alias("label")).agg(F.min("far").alias("low"))
+        hooked = labels.join(hooks, [*by, "label"], "left").select(*by, "v", F.least("label", "low").alias("label"))
+        jumped = hooked.join(hooked.select(*by, F.col("v").alias("label"), F.col("label").alias("up")), [*by, "label"])
+        labels = keep(jumped.select(*by, "v", F.least("label", "up").alias("label")), "labels", small=True)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -63,16 +75,6 @@ def paths(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def boundary_targets(calls: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
-    """(seed, target, kind) that methods within `most` - 1 calls of each seed refer to: tables over
-    DAO_CALLS, operations over SYS_UTIL_CALLS. Expansion goes on through CALLS and SELF_CALLS, so a
-    target `most` edges away is found and one further isn't."""
-    inner = calls.where(F.col("etype").isin("CALLS", "SELF_CALLS", "SYS_UTIL_CALLS") & F.col("dst").startswith("M"))
-    near = reach(inner, starts, most - 1)
-    out = near.join(calls.where("dst NOT LIKE 'M%'").select(F.col("src").alias("node"), "dst", "etype"), "node")
-    return out.select("seed", F.col("dst").alias("target"), F.when(F.col("etype") == "DAO_CALLS", "TABLE").otherwise("SERVICE").alias("kind")).distinct()
-
-
 def dao_tables(calls: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
     """(seed, target) over up to `most` CALLS or SELF_CALLS and then a DAO_CALLS; SYS_UTIL_CALLS
     are not followed."""
@@ -82,17 +84,30 @@ def dao_tables(calls: DataFrame, starts: DataFrame, most: int = 8) -> DataFrame:
 
 
 def weighted_dao_calls(calls: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """DAO calls of each seed counted over paths of up to `most` CALLS, not over edges: a number of
-    paths goes along instead of the paths. Right on graphs without cycles."""
-    step = calls.where("etype = 'CALLS'").groupBy(F.col("src").alias("node"), "dst").agg(F.count("*").alias("k"))
+    """DAO calls of each seed counted over paths of up to `most` CALLS that use no edge twice. Where
+    a seed meets no cycle of calls, a number of paths goes along instead of the paths; paths that
+    start before a cycle are followed one by one."""
+    inner = calls.where("etype = 'CALLS'").select(F.row_number().over(Window.partitionBy("src").orderBy("dst", "line_no")).alias("k"), "src", "dst")
+    inner = keep(inner.select(F.concat_ws("#", "src", F.col("k").cast("string")).alias("eid"), "src", "dst"), "calls")
     dao = calls.where("etype = 'DAO_CALLS'").groupBy(F.col("src").alias("node"), F.col("dst").alias("target")).agg(F.count("*").alias("k"))
-    here = starts.select("seed", "node").distinct().withColumn("n", F.lit(1).cast("long"))
+    # a node is on a cycle that counts if one of its callees leads back to it
+    callees = inner.select(F.col("src").alias("seed"), F.col("dst").alias("node")).distinct()
+    cyclic = reach(inner, callees, most - 1).where("seed = node").select("node").distinct()
+    near = reach(inner, starts, most)
+    winding = keep(near.join(cyclic, "node", "left_semi").select("seed").distinct(), "winding")
+    step = inner.groupBy(F.col("src").alias("node"), "dst").agg(F.count("*").alias("k"))
+    here = starts.join(winding, "seed", "left_anti").select("seed", "node").distinct().withColumn("n", F.lit(1).cast("long"))
     parts = here
     for _ in range(most):
         here = keep(here.join(step, "node").groupBy("seed", F.col("dst").alias("node")).agg(F.sum(F.col("n") * F.col("k")).alias("n")), "weights")
         parts = parts.unionByName(here)
         if here.isEmpty():
             break
+    followed = starts.join(winding, "seed", "left_semi").select("seed", "node").distinct()
+    if not followed.isEmpty():
+        ends = paths(inner, followed.select("node").distinct(), most).select("start", F.element_at(F.split("nodes", ","), -1).alias("end"))
+        per = ends.groupBy("start", "end").agg(F.count("*").alias("n")).unionByName(followed.select(F.col("node").alias("start"), F.col("node").alias("end"), F.lit(1).cast("long").alias("n")).distinct())
+        parts = parts.unionByName(followed.join(per, F.col("node") == F.col("start")).select("seed", F.col("end").alias("node"), "n"))
     return parts.join(dao, "node").groupBy("seed", "target").agg(F.sum(F.col("n") * F.col("k")).alias("call_count"))
 
 

@@ -1,122 +1,265 @@
 """Impact of a table, component or service on transactions, for all roots in one job.
 
-Inputs: steps(tx, tx_name, domain_key, svc) and the relations svc_svc, svc_comp, comp_comp(src,
-dst), comp_table and svc_table(src, dst). A transaction's model holds the services that its root
-services reach, and the components of those. Which services touch a root doesn't depend on the
-transaction but for being in its model, so closures are computed once for all transactions."""
+A transaction's model holds the services that its root services reach and the components that
+those services, or the transaction's own component steps, reach. Components are followed in both
+directions, but only inside one model and never from one model into another; services are followed
+to their callers, which all lie in the model. Nothing is computed twice for equal inputs:
+transactions with the same steps share a model, and tables with the same users share their rows."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .graph import both_ways, reach_all
+from .graph import components, reach
 
 
 @dataclass
 class Layers:
+    """steps(tx, tx_name, domain_key, svc), comp_steps(tx, tx_name, domain_key, comp) or None, and
+    relations (src, dst)."""
+
     steps: DataFrame
     svc_svc: DataFrame
     svc_comp: DataFrame
     comp_comp: DataFrame
     comp_table: DataFrame
     svc_table: DataFrame
+    comp_steps: DataFrame | None = None
+
+
+@dataclass
+class Models:
+    """of_tx(tx, m), roots(m, root), down(root, svc), services(m, svc), comps(m, comp, label): label
+    is the smallest of the components connected with comp inside the model."""
+
+    of_tx: DataFrame
+    roots: DataFrame
+    down: DataFrame
+    services: DataFrame
+    comps: DataFrame
 
 
-def _seeds(df: DataFrame, column: str) -> DataFrame:
+def _alike(df: DataFrame, key: str, *cols: str) -> DataFrame:
+    """(key, first): the smallest key with the same set of cols; sets are told apart by their size
+    and 128 bits of hashes."""
+    h = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), *cols))
+    marks = df.select(key, *cols).distinct().groupBy(key).agg(F.count("*").alias("n"), h("a").alias("h1"), h("b").alias("h2"))
+    same = marks.groupBy("n", "h1", "h2").agg(F.min(key).alias("first"))
+    return marks.join(same, ["n", "h1", "h2"]).select(key, "first")
+
+
+def _selves(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("seed"), F.col(column).alias("node")).distinct()
 
 
-def service_closure(layers: Layers) -> DataFrame:
-    """(root, svc): services that each root service reaches, itself included."""
-    return reach_all(layers.svc_svc, _seeds(layers.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
+def models(layers: Layers) -> Models:
+    seeds = layers.steps.select("tx", F.lit("S").alias("kind"), F.col("svc").alias("code"))
+    if layers.comp_steps is not None:
+        seeds = seeds.union(layers.comp_steps.select("tx", F.lit("C"), "comp"))
+    of_tx = keep(_alike(seeds, "tx", "kind", "code").withColumnRenamed("first", "m"), "models")
+    own = keep(seeds.distinct().join(of_tx.where("tx = m"), "tx").select("m", "kind", "code"), "seeds")
+    roots = own.where("kind = 'S'").select("m", F.col("code").alias("root"))
+    down = reach(layers.svc_svc, _selves(roots, "root")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
+    services = keep(roots.join(down, "root").select("m", "svc").distinct(), "services")
+    first = services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").select("m", "comp")
+    first = keep(first.union(own.where("kind = 'C'").select("m", "code")).distinct(), "first-components")
+    below = reach(layers.comp_comp, _selves(first, "comp")).select(F.col("seed").alias("comp"), F.col("node").alias("below"))
+    comps = keep(first.join(below, "comp").select("m", F.col("below").alias("comp")).distinct(), "components")
+    inner = layers.comp_comp.where("src <> dst").join(comps.withColumnRenamed("comp", "src"), "src").select("m", F.col("src").alias("a"), F.col("dst").alias("b"))
+    labels = components(inner, ("m",)).withColumnRenamed("v", "comp")
+    comps = keep(comps.join(labels, ["m", "comp"], "left").select("m", "comp", F.coalesce("label", "comp").alias("label")), "labelled")
+    return Models(of_tx, roots, down, services, comps)
 
 
 def model(layers: Layers) -> DataFrame:
-    """(tx, kind, code): the nodes of each transaction's model."""
-    of_root = keep(service_closure(layers), "model")
-    comps = reach_all(layers.comp_comp, _seeds(layers.svc_comp, "dst")).select(F.col("seed").alias("dst"), F.col("node").alias("comp"))
-    root_comp = of_root.join(layers.svc_comp.select(F.col("src").alias("svc"), "dst"), "svc").join(comps, "dst").select("root", "comp").distinct()
-    named = of_root.select("root", F.lit("SERVICE").alias("kind"), F.col("svc").alias("code")).unionByName(root_comp.select("root", F.lit("COMPONENT").alias("kind"), F.col("comp").alias("code")))
-    return layers.steps.select("tx", F.col("svc").alias("root")).distinct().join(named, "root").select("tx", "kind", "code").distinct()
+    """(tx, kind, code): the nodes of each transaction's model, its tables too."""
+    m = models(layers)
+    service, comp = m.services.select("m", F.col("svc").alias("code")), m.comps.select("m", F.col("comp").alias("code"))
+    used = service.join(layers.svc_table, F.col("code") == F.col("src")).select("m", "dst").union(comp.join(layers.comp_table, F.col("code") == F.col("src")).select("m", "dst")).distinct()
+    kinds = (("SERVICE", service), ("COMPONENT", comp), ("TABLE", used.withColumnRenamed("dst", "code")))
+    nodes = [df.select("m", F.lit(kind).alias("kind"), "code") for kind, df in kinds]
+    return m.of_tx.join(reduce(DataFrame.unionByName, nodes), "m").select("tx", "kind", "code")
 
 
 def layer_counts(layers: Layers) -> DataFrame:
-    return model(layers).groupBy("tx").agg(F.count_if(F.col("kind") == "SERVICE").alias("n_services"), F.count_if(F.col("kind") == "COMPONENT").alias("n_components"))
+    """One document a transaction: how many nodes its layers have, and the nodes, comma-joined in
+    order."""
+    nodes = model(layers).groupBy("tx", "kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("code")).cast("array<string>"), ",").alias("codes"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    cols = [x for kind, name in (("SERVICE", "services"), ("COMPONENT", "components"), ("TABLE", "tables")) for x in (F.coalesce(of(kind, "n"), F.lit(0)).alias(f"n_{name}"), F.coalesce(of(kind, "codes"), F.lit("")).alias(name))]
+    return nodes.groupBy("tx").agg(*cols)
 
 
 def component_closure(layers: Layers) -> DataFrame:
-    """(comp, other): components connected over calls in either direction, itself included."""
-    return reach_all(both_ways(layers.comp_comp), _seeds(layers.svc_comp.select(F.col("dst").alias("c")).union(layers.comp_table.select("src")), "c")).select(F.col("seed").alias("comp"), F.col("node").alias("other"))
+    """(tx, comp, label): components with one label are connected, over calls in either direction,
+    inside the transaction's model."""
+    m = models(layers)
+    return m.of_tx.join(m.comps, "m").select("tx", "comp", "label")
+
+
+def caller_closure(layers: Layers, matched: DataFrame) -> DataFrame:
+    """(tx, svc, caller): services of matched(svc) in a transaction's model, and the model's services
+    that call them, directly or not, themselves included."""
+    m = models(layers)
+    down = reach(layers.svc_svc, _selves(m.services, "svc")).select(F.col("seed").alias("caller"), F.col("node").alias("svc"))
+    pairs = down.join(matched.select("svc").distinct(), "svc", "left_semi")
+    return m.of_tx.join(m.services.withColumnRenamed("svc", "caller").join(pairs, "caller"), "m").select("tx", "svc", "caller")
+
+
+def transactions_of(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
+    """Transactions of the roots of hits(root, *on), one a name: the smallest id represents a name,
+    with its domain; items are counted over all transactions of the name. named(*on, tx_name, first)."""
+    once = hits.join(named, on).groupBy(root, "tx_name", item).agg(F.min("first").alias("first"))
+    one = once.groupBy(root, "tx_name").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    return one.select(root, F.col("first.tx").alias("tx"), "tx_name", F.col("first.domain_key").alias("domain_key"), "n")
+
+
+def _first() -> Column:
+    return F.min(F.struct("tx", "domain_key")).alias("first")
+
+
+class Tables:
+    """What the models hold of each class of tables: tables with the same users are one class, named
+    by its smallest table."""
+
+    def __init__(self, layers: Layers):
+        self.layers, self.models = layers, models(layers)
+        users = layers.comp_table.select(F.col("dst").alias("tab"), F.lit("C").alias("kind"), F.col("src").alias("user"))
+        users = users.union(layers.svc_table.select("dst", F.lit("S"), "src")).distinct()
+        self.classes = keep(_alike(users, "tab", "kind", "user").withColumnRenamed("first", "c"), "table-classes")
+        own = keep(users.join(self.classes.where("tab = c"), "tab").select("c", "kind", "user"), "users")
+        self.comps = own.where("kind = 'C'").select("c", F.col("user").alias("comp"))
+        self.svcs = own.where("kind = 'S'").select("c", F.col("user").alias("svc"))
+        m = self.models
+        #: (c, m, label): groups of connected components that use the tables
+        self.groups = keep(m.comps.join(self.comps, "comp").select("c", "m", "label").distinct(), "groups")
+        #: (m, svc, label): services of a model and the groups that they call
+        called = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc")
+        self.called = keep(called.join(m.comps, ["m", "comp"]).select("m", "svc", "label").distinct(), "called")
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A row for each table of the class of every row."""
+        return self.classes.join(df, "c").drop("c")
+
+    def hits(self) -> DataFrame:
+        """(c, m, root): root services from which a service is reached that uses the tables, or calls
+        a component connected to one that does."""
+        m = self.models
+        below = m.roots.join(m.down, "root").select("m", "root", "svc")
+        over = below.join(self.called, ["m", "svc"]).select("m", "root", "label").distinct()
+        return over.join(self.groups, ["m", "label"]).select("c", "m", "root").union(below.join(self.svcs, "svc").select("c", "m", "root")).distinct()
+
+    def impact(self) -> DataFrame:
+        named = self.layers.steps.join(self.models.of_tx, "tx").groupBy("m", F.col("svc").alias("root"), "tx_name").agg(_first())
+        return transactions_of(self.hits(), named, "c", ["m", "root"], "root")
+
+    def services(self) -> DataFrame:
+        """(c, m, svc): the services of a model from which the tables are reached."""
+        m, links = self.models, self.layers.svc_svc
+        direct = self.groups.join(self.called, ["m", "label"]).select("c", "m", "svc").union(m.services.join(self.svcs, "svc").select("c", "m", "svc"))
+        up = reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _selves(m.services, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
+        callers = direct.distinct().join(up, "svc").select("c", "m", F.col("caller").alias("svc")).distinct()
+        return keep(callers.join(m.services, ["m", "svc"], "left_semi"), "table-services")
+
+
+def table_impact(layers: Layers) -> DataFrame:
+    """(tab, tx, tx_name, domain_key, n_services): transactions whose root services a table touches."""
+    t = Tables(layers)
+    return t.spread(t.impact()).withColumnRenamed("n", "n_services")
 
 
-def callers(layers: Layers, matched: DataFrame, root: str) -> DataFrame:
-    """(root, svc): matched(root, svc) and all services that call them, directly or not. The closure
-    is taken once a distinct service, not once a root."""
-    back = layers.svc_svc.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = reach_all(back, _seeds(matched, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
-    return matched.join(up, "svc").select(root, F.col("caller").alias("svc")).distinct()
+def _below(layers: Layers) -> DataFrame:
+    """(root, svc) of all root services, whatever the transaction."""
+    return reach(layers.svc_svc, _selves(layers.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
 
 
-def transactions_of(layers: Layers, services: DataFrame, root: str) -> DataFrame:
-    """Transactions whose own steps are among the services of a root, one a name: the smallest id
-    represents a name, with its domain; services are counted over all of them."""
-    hit = services.join(layers.steps, "svc")
-    named = hit.groupBy(root, "tx_name").agg(F.min(F.struct("tx", "domain_key")).alias("first"), F.count_distinct("svc").alias("n_services"))
-    return named.select(root, F.col("first.tx").alias("tx"), "tx_name", F.col("first.domain_key").alias("domain_key"), "n_services")
+def component_impact(layers: Layers) -> DataFrame:
+    """Services that call the component directly, without its closure, and their callers."""
+    calls = layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))
+    hits = _below(layers).join(calls, "svc").select("comp", "root").distinct()
+    named = layers.steps.groupBy(F.col("svc").alias("root"), "tx_name").agg(_first())
+    return transactions_of(hits, named, "comp", ["root"], "root").withColumnRenamed("n", "n_services")
 
 
-def table_services(layers: Layers) -> DataFrame:
-    """(tab, svc): services that use a table, or call a component of the closure of those that do;
-    and all their callers."""
-    direct = layers.svc_table.select(F.col("dst").alias("tab"), F.col("src").alias("svc"))
-    c0 = layers.comp_table.select(F.col("dst").alias("tab"), F.col("src").alias("comp"))
-    closed = c0.join(component_closure(layers), "comp").select("tab", F.col("other").alias("comp")).distinct()
-    over = closed.join(layers.svc_comp.select(F.col("dst").alias("comp"), F.col("src").alias("svc")), "comp").select("tab", "svc")
-    return keep(callers(layers, direct.union(over).distinct(), "tab"), "table-services")
+def orchestration_refs(service_steps: DataFrame, method_steps: DataFrame, implements: DataFrame, transactions: DataFrame, domains: DataFrame) -> DataFrame:
+    """(svc, orch, step_type, tx, tx_name, domain_key): flow steps that lead to a service directly, by
+    calling its operation or by resolving to a method that implements it.
 
+    service_steps(step_key, tx, svc), method_steps(step_key, tx, signature), implements(svc,
+    signature), transactions(tx, tx_name, domain_key), domains(svc, svc_domain). A service step has
+    the operation's domain before the transaction's, a method step the other way round."""
+    by_method = method_steps.join(implements, "signature").select("step_key", "tx", "svc", F.lit("method").alias("step_type"))
+    steps = service_steps.select("step_key", "tx", "svc", F.lit("service").alias("step_type")).unionByName(by_method)
+    known = steps.join(transactions, "tx").join(domains, "svc", "left")
+    domain = F.when(F.col("step_type") == "service", F.coalesce("svc_domain", "domain_key")).otherwise(F.coalesce("domain_key", "svc_domain"))
+    return known.select("svc", F.concat(F.lit("ORCH:"), "step_key").alias("orch"), "step_type", "tx", F.coalesce("tx_name", F.col("tx").cast("string")).alias("tx_name"), domain.alias("domain_key")).distinct()
 
-def table_impact(layers: Layers) -> DataFrame:
-    return transactions_of(layers, table_services(layers), "tab")
 
+def upstream(layers: Layers, callable_: DataFrame) -> DataFrame:
+    """(root, svc): every service and the callable services that call it, directly or over other
+    callable ones, where a transaction reaches them. callable_(svc)."""
+    alive = _below(layers).select("svc").distinct().join(callable_.select("svc").distinct(), "svc", "left_semi")
+    back = layers.svc_svc.join(alive.withColumnRenamed("svc", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = layers.svc_svc.select("src").union(layers.svc_svc.select("dst")).union(layers.steps.select("svc")).toDF("svc")
+    return reach(back, _selves(nodes, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
 
-def component_impact(layers: Layers) -> DataFrame:
-    """Services that call the component directly, without its closure, and their callers."""
-    direct = layers.svc_comp.select(F.col("dst").alias("comp"), F.col("src").alias("svc")).distinct()
-    return transactions_of(layers, keep(callers(layers, direct, "comp"), "component-services"), "comp")
 
+def service_orchestrations(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
+    """(root, orch, step_type, tx, tx_name, domain_key): the orchestration layer of each service."""
+    return upstream(layers, callable_).join(refs, "svc").drop("svc").distinct()
 
-def service_impact(layers: Layers) -> DataFrame:
-    """Each service's callers and the transactions whose steps they are."""
-    nodes = layers.svc_svc.select("src").union(layers.svc_svc.select("dst")).union(layers.steps.select("svc")).distinct().toDF("svc")
-    mine = nodes.select(F.col("svc").alias("root"), "svc")
-    return transactions_of(layers, keep(callers(layers, mine, "root"), "service-services"), "root")
+
+def service_impact(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
+    """(root, tx, tx_name, domain_key, n_orchestrations): the transactions that a service or its
+    callers are orchestrated by."""
+    named = refs.groupBy("svc", "orch", "tx_name").agg(_first())
+    return transactions_of(upstream(layers, callable_), named, "root", ["svc"], "orch").withColumnRenamed("n", "n_orchestrations")
 
 
 def table_edges(layers: Layers) -> DataFrame:
     """Edges of every table's graph, each once with the phase that first gave it: table to component
-    (1), within components (2), table to service (3), component to service (4), within services (5).
-    Cross edges point away from the table, inner ones from caller to callee."""
-    c0 = layers.comp_table.select(F.col("dst").alias("tab"), F.col("src").alias("comp")).distinct()
-    closed = keep(c0.join(component_closure(layers), "comp").select("tab", F.col("other").alias("comp")).distinct(), "table-components")
-    services = table_services(layers)
-    edge = lambda df, a, pa, b, pb, phase: df.select("tab", F.concat(F.lit(pa), F.col(a).cast("string")).alias("src"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("dst"), F.lit(phase).alias("phase"))
-
-    def inside(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
-        one = nodes.select("tab", F.col(node).alias("src")).join(links.select("src", "dst").where("src <> dst").distinct(), "src")
-        return one.join(nodes.select("tab", F.col(node).alias("dst")), ["tab", "dst"], "left_semi")
-
-    direct = layers.svc_table.select(F.col("dst").alias("tab"), F.col("src").alias("svc"))
-    over = closed.join(layers.svc_comp.select(F.col("dst").alias("comp"), F.col("src").alias("svc")), "comp")
+    (1), within components (2), table to service (3), component to service (4), within services
+    (5), service to the transaction that represents its name (6). Cross edges point away from the
+    table, inner ones from caller to callee."""
+    t = Tables(layers)
+    m, code = t.models, lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+
+    def edge(df: DataFrame, src: Column | None, dst: Column, phase: int) -> DataFrame:
+        return df.select("c", (F.lit(None).cast("string") if src is None else src).alias("src"), dst.alias("dst"), F.lit(phase).alias("phase"))
+
+    links = layers.comp_comp.where("src <> dst").join(m.comps.withColumnRenamed("comp", "src"), "src").select("m", "label", "src", "dst")
+    calls = t.called.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").join(m.comps, ["m", "comp", "label"]).select("m", "label", "svc", "comp")
+    services = t.services()
+    both = services.join(layers.svc_svc.where("src <> dst").select(F.col("src").alias("svc"), "dst"), "svc").join(services.withColumnRenamed("svc", "dst"), ["c", "m", "dst"], "left_semi")
+    hits, impact = t.hits().select("c", "m", "root"), t.impact().select("c", "tx_name", "tx")
+    steps = layers.steps.join(m.of_tx, "tx").select("m", F.col("svc").alias("root"), "tx_name").distinct()
     parts = [
-        edge(c0, "tab", "T", "comp", "C", 1), edge(inside(closed, "comp", layers.comp_comp), "src", "C", "dst", "C", 2),
-        edge(direct, "tab", "T", "svc", "S", 3), edge(over, "comp", "C", "svc", "S", 4),
-        edge(inside(services, "svc", layers.svc_svc), "src", "S", "dst", "S", 5),
+        edge(t.comps.join(m.comps, "comp", "left_semi"), None, code("C", "comp"), 1),
+        edge(t.groups.join(links, ["m", "label"]), code("C", "src"), code("C", "dst"), 2),
+        edge(t.svcs.join(m.services, "svc", "left_semi"), None, code("S", "svc"), 3),
+        edge(t.groups.join(calls, ["m", "label"]), code("C", "comp"), code("S", "svc"), 4),
+        edge(both, code("S", "svc"), code("S", "dst"), 5),
+        edge(hits.join(steps, ["m", "root"]).join(impact, ["c", "tx_name"]), code("S", "root"), code("X", "tx"), 6),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("tab", "src", "dst").agg(F.min("phase").alias("phase"))
+    once = reduce(DataFrame.unionByName, parts).groupBy("c", "src", "dst").agg(F.min("phase").alias("phase"))
+    return t.spread(once).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
+
+
+def export_summary(layers: Layers) -> DataFrame:
+    """Sizes of the layers of every table's graph."""
+    edges = table_edges(layers)
+    ends = edges.select("tab", "src").union(edges.select("tab", "dst")).toDF("tab", "node").distinct()
+    count = lambda kind: F.count_if(F.col("node").startswith(kind))
+    return ends.groupBy("tab").agg(count("C").alias("n_components"), count("S").alias("n_services"), count("X").alias("n_transactions"))
+
+
+def all_roots(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
+    """(mode, root, n_transactions, n_domains) of every table, component and service with impact."""
+    by_mode = (("table", "tab", table_impact(layers)), ("component", "comp", component_impact(layers)), ("service", "root", service_impact(layers, callable_, refs)))
+    rows = [df.select(F.lit(mode).alias("mode"), F.col(root).alias("root"), "domain_key") for mode, root, df in by_mode]
+    return reduce(DataFrame.unionByName, rows).groupBy("mode", "root").agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..catalog import Plan
 from ..fixtures import ctes, view
 from ..operators import graph as G
+from ..operators import impact as I
+from ..operators import model as M
 
 PLAN = Plan()
 CALLS = ctes("calls")
@@ -33,9 +35,27 @@ def inner(spark, sf_dir):
     return calls(spark, sf_dir).where(F.col("etype").isin("CALLS", "SELF_CALLS", "SYS_UTIL_CALLS") & F.col("dst").startswith("M"))
 
 
-@PLAN.query("op_gr06_boundary_targets", f"{CALLS}, {walk(INNER, METHODS, 7)} SELECT DISTINCT n.seed, c.dst AS target, CASE WHEN c.etype = 'DAO_CALLS' THEN 'TABLE' ELSE 'SERVICE' END AS kind FROM near n JOIN calls c ON c.src = n.node WHERE c.dst NOT LIKE 'M%'")
+FACTS = ctes("call_facts", "impl_methods", "implements", "operations", "flow_steps")
+RESOLVED = f"""{FACTS}, inner_calls AS (SELECT src, dst FROM call_facts WHERE etype IN ('CALLS', 'SELF_CALLS', 'SYS_UTIL_CALLS') AND label = 'Method'),
+by_class AS (SELECT class_fqn, name, min(code) AS code FROM implements JOIN impl_methods USING (signature) GROUP BY 1, 2),
+code_of AS (
+  SELECT f.src, (SELECT min(i.code) FROM implements i WHERE i.signature = f.dst) AS code FROM call_facts f WHERE label = 'Method'
+  UNION ALL SELECT f.src, k.code FROM call_facts f JOIN by_class k ON k.class_fqn = f.dst AND k.name = f.method_name WHERE label = 'Class'
+  UNION ALL SELECT f.src, (SELECT min(p.code) FROM operations p WHERE p.interface_fqn = f.dst AND p.method_name = f.method_name) FROM call_facts f WHERE label = 'Interface'
+  UNION ALL SELECT f.src, p.code FROM call_facts f JOIN operations p ON p.code = f.dst WHERE label = 'ServiceOperation'),
+targets AS (
+  SELECT c.src, c.code AS target, CASE WHEN lower(p.node_kind) LIKE 'pbc%' THEN 'COMPONENT' ELSE 'SERVICE' END AS kind FROM code_of c JOIN operations p USING (code)
+  UNION SELECT src, dst, 'TABLE' FROM call_facts WHERE label = 'DaoMethod' AND trim(dst) <> '' AND trim(method_name) <> '')"""
+SEEN = """w1 AS (SELECT m AS seed, m AS node, 0 AS depth FROM starts UNION SELECT w.seed, e.dst, w.depth + 1 FROM w1 w JOIN inner_calls e ON e.src = w.node WHERE w.depth < 7), near1 AS (SELECT DISTINCT seed, node FROM w1)"""
+
+
+@PLAN.query("op_gr06_boundary_targets", f"{RESOLVED}, starts AS (SELECT DISTINCT src AS m FROM calls), {SEEN} SELECT DISTINCT seed, target, kind FROM near1 JOIN targets ON src = node")
 def gr06(spark, sf_dir):
-    return G.boundary_targets(calls(spark, sf_dir), methods(spark, sf_dir))
+    return M.direct_targets(facts(spark, sf_dir), methods(spark, sf_dir))
+
+
+def facts(spark, sf_dir):
+    return M.Facts(*(view(spark, sf_dir, x) for x in ("call_facts", "implements", "impl_methods", "operations")))
 
 
 @PLAN.query("op_gr07_dao_tables", f"{CALLS}, {walk(INNER.replace(chr(39) + 'SELF_CALLS' + chr(39) + ', ' + chr(39) + 'SYS_UTIL_CALLS' + chr(39), chr(39) + 'SELF_CALLS' + chr(39)), METHODS, 8)} SELECT DISTINCT n.seed, c.dst AS target FROM near n JOIN calls c ON c.src = n.node WHERE c.etype = 'DAO_CALLS'")
@@ -118,3 +138,14 @@ def agg30(spark, sf_dir):
 def snk08(spark, sf_dir):
     c = calls(spark, sf_dir)
     return G.merged_edges(c.unionByName(c.withColumn("line_no", F.col("line_no") + 1)))
+
+
+@PLAN.query("op_gr08_transaction_model", f"""{RESOLVED}, starts AS (SELECT signature AS m FROM implements UNION SELECT signature FROM flow_steps WHERE signature IS NOT NULL), {SEEN},
+w2 AS (SELECT m AS seed, m AS node, 0 AS depth FROM starts UNION SELECT w.seed, f.dst, w.depth + 1 FROM w2 w JOIN call_facts f ON f.src = w.node AND f.label = 'Method' AND f.etype IN ('CALLS', 'SELF_CALLS') WHERE w.depth < 8),
+leads AS (SELECT seed, target, kind FROM near1 JOIN targets ON src = node UNION SELECT seed, dst, 'TABLE' FROM w2 JOIN call_facts f ON f.src = w2.node WHERE f.label = 'DaoMethod' AND trim(dst) <> ''),
+nodes AS (SELECT tx, CASE WHEN prefix LIKE 'pbc%' OR prefix LIKE 'PBC%' THEN 'COMPONENT' ELSE 'SERVICE' END AS kind, CASE WHEN prefix = 'method' THEN code || '#' || signature ELSE code END AS code, signature FROM flow_steps
+  UNION SELECT n.tx, l.kind, l.target, i.signature FROM nodes n JOIN leads l ON l.seed = n.signature LEFT JOIN implements i ON i.code = l.target WHERE l.kind <> 'TABLE' AND (n.kind = 'SERVICE' OR l.kind = 'COMPONENT'))
+SELECT DISTINCT tx, kind, code FROM nodes UNION SELECT n.tx, 'TABLE', l.target FROM nodes n JOIN leads l ON l.seed = n.signature AND l.kind = 'TABLE'""")
+def gr08(spark, sf_dir):
+    """From call facts and flow steps to the services, components and tables of each transaction."""
+    return I.model(M.layers_of(facts(spark, sf_dir), view(spark, sf_dir, "flow_steps")))
