@@ -1,27 +1,7 @@
-"""Connected components of an edge table by distributed union-find: labels hook to the smallest
-label that an edge leads to, and pointers are jumped, so that depths halve. Each round is a table
-in the shared folder."""
+"""Connected components of the links between documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import components
 
-from ..session import keep
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (v, label): the smallest id reachable from every v with an edge. Empty
-    edges give an empty table; repeated edges and self edges change nothing."""
-    both = keep(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges", small=True)
-    labels = keep(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), "labels", small=True)
-    while True:
-        near, far = labels.withColumnRenamed("label", "near"), labels.select(F.col("v").alias("w"), F.col("label").alias("far"))
-        cross = keep(both.where("v < w").join(near, "v").join(far, "w").where("near <> far").select("near", "far").distinct(), "cross", small=True)
-        if cross.isEmpty():
-            return labels
-        # what is left is a graph of labels; its smallest label, the component's smallest id, stays
-        hooks = cross.union(cross.select("far", "near")).groupBy(F.col("near").alias("label")).agg(F.min("far").alias("low"))
-        hooked = labels.join(hooks, "label", "left").select("v", F.least("label", "low").alias("label"))
-        jumped = hooked.join(hooked.select(F.col("v").alias("label"), F.col("label").alias("up")), "label")
-        labels = keep(jumped.select("v", F.least("label", "up").alias("label")), "labels", small=True)
+__all__ = ["components"]

@@ -33,7 +33,7 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, tv.Spans]:
     data, off = tv.text_bytes(text)
     data = tv.LOWER[data]
     spans = tv.words(data, off, tv.NOT_ALNUM)
-    return tv.span_hash(tv.prefix_hash(data), spans.start, spans.end), spans
+    return tv.span_hash(data, spans.start, spans.end), spans
 
 
 @dataclass
@@ -73,34 +73,76 @@ class Items:
         return sorted(pairs)
 
 
+class _Runs:
+    """Karp-Rabin hashes of all runs of n words without a marked one, for any n."""
+
+    _BASE = 0x9FB21C651E98DF25
+
+    def __init__(self, words: np.ndarray, longest: int):
+        self.words, self.free = words, np.ones(len(words), bool)
+        self.power = np.multiply.accumulate(np.append(np.uint64(1), np.full(longest, self._BASE, np.uint64)))
+        self.sums = np.append(np.uint64(0), np.cumsum(words * self.power[: len(words)]))
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash), by start; powers make up for where a run starts."""
+        if len(self.words) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.append(0, np.cumsum(~self.free))
+        at = np.flatnonzero(marked[n:] == marked[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.power[len(self.power) - 1 - at]
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length) of the greedy tiling of two sequences of hashes."""
+    """(start in item, start in doc, length) of the greedy tiling of two sequences of word hashes.
+
+    The greatest length at which a run of the item is one of the document is found by halving, as
+    every longer match holds shorter ones; then all matches of that length are marked, the first
+    in the document first, of these the first in the item. Hashes that agree are compared word by
+    word. Memory stays within a few numbers a word, however often words repeat."""
     least = min(least, len(item))
-    if not least or len(doc) < least:
-        return []
-    a, b = tv.run_hash(item, least), tv.run_hash(doc, least)
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    times = hi - lo
-    j = np.repeat(np.arange(len(b)), times)
-    i = order[np.repeat(lo, times) + np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times)]
-    free_i, free_j, out = np.ones(len(item) + 1, bool), np.ones(len(doc) + 1, bool), []
-    while len(i):
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
-        at = np.flatnonzero(new)
-        length = np.diff(np.append(at, len(i))) + least - 1
-        longest = int(length.max())
-        best = at[length == longest]
-        for x, y in sorted(zip(j[best].tolist(), i[best].tolist())):
-            if free_j[x : x + longest].all() and free_i[y : y + longest].all():
-                free_j[x : x + longest] = free_i[y : y + longest] = False
-                out.append((y, x, longest))
-        ci, cj = np.concatenate([[0], np.cumsum(~free_i)]), np.concatenate([[0], np.cumsum(~free_j)])
-        left = (ci[i + least] == ci[i]) & (cj[j + least] == cj[j])
-        i, j = i[left], j[left]
+    out: list[tuple[int, int, int]] = []
+    if not least:
+        return out
+    longest = max(len(item), len(doc))
+    a, b = _Runs(item, longest), _Runs(doc, longest)
+
+    def matches(n: int) -> list[tuple[int, int]]:
+        """(start in doc, start in item) of matches of n free words, marked as they are found."""
+        (i, hi), (j, hj) = a.of(n), b.of(n)
+        order = np.argsort(hi, kind="stable")
+        hi, i = hi[order], i[order]
+        where = np.searchsorted(hi, hj)
+        has = np.flatnonzero(hi[np.minimum(where, max(len(hi) - 1, 0))] == hj) if len(hi) else np.zeros(0, np.int64)
+        found, next_at = [], {}
+        for x, at in zip(j[has].tolist(), where[has].tolist()):
+            if not (b.free[x] and b.free[x + n - 1]):
+                continue
+            k = next_at.get(at, at)
+            while k < len(hi) and hi[k] == hi[at] and not (a.free[i[k]] and a.free[i[k] + n - 1]):
+                k += 1
+            next_at[at] = k  # starts that are taken stay taken
+            while k < len(hi) and hi[k] == hi[at]:
+                y = int(i[k])
+                if a.free[y : y + n].all() and np.array_equal(item[y : y + n], doc[x : x + n]):
+                    found.append((x, y))
+                    a.free[y : y + n] = b.free[x : x + n] = False
+                    break
+                k += 1
+        return found
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(a.of(n)[1], b.of(n)[1]).any())
+
+    most = min(len(item), len(doc))
+    while most >= least and shared(least):
+        low, high = least, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if shared(mid) else (low, mid - 1)
+        found = matches(low)
+        out += [(y, x, low) for x, y in found]
+        # nothing of this length is left; without a true match its hash was a coincidence
+        most = low if found else low - 1
     return out
 
 

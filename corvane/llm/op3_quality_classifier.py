@@ -58,10 +58,10 @@ def statistics(text: pa.Array) -> np.ndarray:
     """One row of FEATURES per text."""
     data, off = tv.text_bytes(text)
     n = len(off) - 1
-    spans, sums = tv.words(data, off), tv.prefix_hash(data)
-    h = tv.span_hash(sums, spans.start, spans.end)
+    spans = tv.words(data, off)
+    h = tv.span_hash(data, spans.start, spans.end)
     size = np.diff(off).astype(float)
-    base = base_counts(data, off, spans, sums, h)
+    base = base_counts(data, off, spans, h)
     words, length = spans.count.astype(float), (spans.end - spans.start).astype(float)
     per = np.maximum(words, 1)
     out = [tv.per_doc(table[data], off) / np.maximum(size, 1) for table in _TABLES.values()]
@@ -155,9 +155,9 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(fold() != 1).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    share = int(min(1.0, max_rows / max(1, usable.count())) * 1_000_000)
+    share = int(min(1.0, max_rows / max(1, usable.count())) * (1 << 62))
     # at most about max_rows rows of 12 bytes, so this broadcast is bounded
-    sample = F.broadcast(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
+    sample = F.broadcast(usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < F.lit(share)))
     table = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "quality").mapInArrow(_featurise, "quality int, x array<float>").toArrow()
     if not table.num_rows:
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))

@@ -10,13 +10,19 @@ has the rules, the lengths to which they expand (so that any range of ids can be
 and what is left of the sequence.
 
 Texts are encoded by the tokenizers library; pieces between white space, and between a letter and
-a mark, don't influence each other there and are encoded once for many places. Strings of special
-tokens in a text are ordinary text. Null or empty text: END only. Null doc_id: before all others.
-Repeated rows: each is encoded, in a row. Empty tables: no rows."""
+a mark, don't influence each other there and are encoded once for many places; pieces are the same
+if their bytes are. A text that has the string of a special token (in this very case) is encoded
+by the library as a whole, so that it becomes that token's id, as the library does unless its
+encode_special_tokens is set; `special=False` sets it, and such strings are ordinary text.
+
+Order: doc_id, then a hash of the text, then the text, so rows of one doc_id, or of none, are cut
+into ranges too. Null or empty text: END only. Null doc_id: before all others. Repeated rows: each
+is encoded, one after another. Empty tables: no rows."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,11 +48,13 @@ _KIND[list(b"!#$%&()*+,-./:;<=>?@[]^_`{|}~")] = 2
 class PieceEncoder:
     """Ids of texts as bytes of unsigned 32-bit integers, by way of pieces."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, special: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.size = self.tokenizer.get_vocab_size()
         (self.rule,) = self.ids(["|"])[0]
         self.young: dict[bytes, bytes] = {}
@@ -83,6 +91,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         data, off = tv.text_bytes(texts)
+        whole = self.with_special(data, off)
         data = tv.LOWER[data]
         # a piece ends at white space, at the text's end and between a letter and a mark
         inside = np.zeros(len(data) + 2, bool)
@@ -95,7 +104,7 @@ class PieceEncoder:
         end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
         raw = data.tobytes()
         # each distinct piece of the block is looked up once
-        _, some, which = np.unique(tv.span_hash(tv.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        which, some = tv.exact_codes(data, start, end, tv.span_hash(data, start, end))
         pieces = [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
         if len(self.young) > MAX_CACHED:
             self.old, self.young = self.young, {}
@@ -108,7 +117,18 @@ class PieceEncoder:
         ends = np.cumsum(size)
         ids = np.frombuffer(b"".join(found), np.uint32)[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, off)]
-        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for k, got in zip(whole, self.ids([texts[k].as_py() for k in whole])):
+            out[k] = np.array(got, np.uint32).tobytes()
+        return out
+
+    def with_special(self, data: np.ndarray, off: np.ndarray) -> list[int]:
+        """The texts that have the string of a special token."""
+        if self.special is None:
+            return []
+        found = ((m.start(), m.end()) for m in self.special.finditer(memoryview(np.ascontiguousarray(data))))
+        docs = ((int(np.searchsorted(off, a, "right")) - 1, b) for a, b in found)
+        return sorted({d for d, b in docs if b <= off[d + 1]})
 
 
 _SLOT_BITS = 20
@@ -237,14 +257,14 @@ def decode_range(rules: np.ndarray, expansions: np.ndarray, base: int, sequence:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _encoder(file: bytes) -> PieceEncoder:
-    key = hashlib.sha256(file).hexdigest()
+def _encoder(file: bytes, special: bool) -> PieceEncoder:
+    key = f"{hashlib.sha256(file).hexdigest()} {special}"
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(file)
+        _encoders[key] = PieceEncoder(file, special)
     return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, block_tokens: int = BLOCK_TOKENS, special: bool = True) -> None:
     """Writes docs(doc_id, text) as block files (SCHEMA) under path."""
     import public_tokenizers
 
@@ -255,7 +275,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), _encoder(file.value)
+        shard, encoder = TaskContext.get().partitionId(), _encoder(file.value, special)
         last = np.array([end], np.uint32).tobytes()
         base, held, ids, n, block = max(encoder.size, end + 1), [], [], 0, 0
 
@@ -279,7 +299,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
             yield packed()
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    ordered = rows.repartitionByRange(shards, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

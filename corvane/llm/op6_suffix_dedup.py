@@ -14,15 +14,18 @@ found by digest and take no further part. Three passes decide the rest:
    same stretch. Inside long repeats this settles everything.
 3. For what is left a shard builds a suffix array over its distinct stretches, by
    Larsson-Sadakane refinement, and Kasai common prefixes, so that equal strings stand together;
-   it sends each distinct string's 64-bit hash and smallest doc_id once, sorted and cut by range.
-   Runs are merged and each learns, by binary search, which strings start in a smaller document.
+   it sends each distinct string's hash and smallest doc_id once, sorted and cut by range. Runs
+   are merged and each learns, by binary search, which strings start in a smaller document.
 
-Nothing depends on how often a string occurs: a shard sends it once. Null or empty text: no
+Inside a shard stretches and strings are compared byte by byte; between shards by two independent
+64-bit hashes. Nothing depends on how often a string occurs: a shard sends it once. Ranges and
+buckets are as many as the texts' bytes ask for, so that no task's share grows with them. Null or empty text: no
 bytes. Null doc_id: after all others. Repeated rows: a row each, none removes bytes of its twin.
 Texts under LENGTH bytes are never changed. Empty tables: no rows."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -32,12 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import keep, shared_dir
+from ..session import drop, keep, shared_dir
 from . import textvec as tv
 
 LENGTH, ANCHOR, SHARD_BYTES = 50, 32, 4 << 20
+BUCKET_BYTES, RANGE_BYTES = 64 << 20, 32 << 20
 _LAST, _CHUNK = np.iinfo(np.int64).max, 1 << 15
-RUN = "pass int, p int, shard long, n long, keys binary, values binary"
+RUN = "pass int, p int, shard long, n long, keys binary, checks binary, values binary"
 REPLY = "shard long, pass int, p int, n long, bits binary"
 RESULT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
@@ -82,7 +86,7 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> np.ndarray:
 def common_prefixes(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the prefix that each suffix of order shares with the one before. Kasai: where
     the bytes before two neighbours agree it is one less than their predecessors'; the rest are
-    measured by binary search over prefix hashes."""
+    measured eight bytes at a time, then in pieces."""
     n = len(data)
     out = np.zeros(n, np.int64)
     if n < 2:
@@ -111,13 +115,16 @@ def common_prefixes(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.
         if not len(open_):
             break
     lo = np.minimum(lo, most)
-    if len(open_):
-        sums, low, high = tv.prefix_hash(data), lo[open_], most[open_]
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = tv.span_hash(sums, mine[open_], mine[open_] + mid) == tv.span_hash(sums, theirs[open_], theirs[open_] + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        lo[open_] = low
+    for k in open_.tolist():  # the few long ones, in pieces that double
+        i, j, at_, size, limit = int(mine[k]), int(theirs[k]), int(lo[k]), 128, int(most[k])
+        while at_ < limit:
+            size = min(size, limit - at_)
+            same = data[i + at_ : i + at_ + size] == data[j + at_ : j + at_ + size]
+            if not same.all():
+                at_ += int(same.argmin())
+                break
+            at_, size = at_ + size, 2 * size
+        lo[k] = at_
     shared = np.zeros(n, np.int64)
     shared[mine] = lo
     known = np.full(n, -n, np.int64)
@@ -126,15 +133,30 @@ def common_prefixes(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.
     return out
 
 
-def anchors(data: np.ndarray, off: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_powers: dict[str, np.ndarray] = {}
+
+
+def _anchor_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MULT**i and MULT**-i modulo 2**64 for i <= n."""
+    if "up" not in _powers or len(_powers["up"]) <= n:
+        for key, base in (("up", int(tv.MULT)), ("down", pow(int(tv.MULT), -1, 1 << 64))):
+            table = np.full(max(n + 1, SHARD_BYTES + (1 << 20)), base, np.uint64)
+            table[0] = 1
+            _powers[key] = np.multiply.accumulate(table)
+    return _powers["up"], _powers["down"]
+
+
+def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(48-bit anchor, first string start, end of starts) of each stretch of neighbouring strings
-    with one anchor inside a document."""
+    with one anchor inside a document. Anchors only say what is worth comparing."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.astype(np.uint64), none, none
     k = min(ANCHOR, length)
-    _, down = tv.powers(len(data) + 1)
+    up, down = _anchor_powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     width, low = length - k + 1, np.empty(n, np.uint64)
     for a in range(0, n, _CHUNK):  # pieces that stay in the processor's cache
         b = min(n, a + _CHUNK)
@@ -176,8 +198,9 @@ def _numbers(raw: bytes, n: int, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _runs(shard: int, keys: np.ndarray, bits: int, turn: int, ranges: int, values: np.ndarray | None = None) -> list[tuple]:
-    """A shard's sorted keys, and values if any, cut at the borders of the ranges by binary search."""
+def _runs(shard: int, keys: np.ndarray, bits: int, turn: int, ranges: int, values: np.ndarray | None = None, checks: np.ndarray | None = None) -> list[tuple]:
+    """A shard's sorted keys, and checks and values if any, cut at the borders of the ranges by
+    binary search."""
     borders = np.array([(p << bits) // ranges for p in range(1, ranges)], np.uint64)
     cut = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
     out = []
@@ -189,7 +212,7 @@ def _runs(shard: int, keys: np.ndarray, bits: int, turn: int, ranges: int, value
             spread = values[a:b].astype(np.uint64) - np.uint64(base & (1 << 64) - 1)
             size = max(1, (int(spread.max()).bit_length() + 7) // 8)
             blob = np.int64(base).tobytes() + bytes([size]) + _planes(spread, size)
-        out.append((turn, p, shard, int(b - a), _planes(keys[a:b], bits // 8), blob))
+        out.append((turn, p, shard, int(b - a), _planes(keys[a:b], bits // 8), b"" if checks is None else checks[a:b].astype("<u8").tobytes(), blob))
     return out
 
 
@@ -222,8 +245,7 @@ class Shard:
         table = table.filter(pa.array(~self.copy))
         self.rank = table.column("doc_id").combine_chunks().fill_null(_LAST).to_numpy()
         self.data, self.off = tv.text_bytes(table.column("text"))
-        self.sums = tv.prefix_hash(self.data)
-        self.anchor, self.start, self.stop = anchors(self.data, self.off, self.sums, length)
+        self.anchor, self.start, self.stop = anchors(self.data, self.off, length)
         self.keys, self.which = np.unique(self.anchor, return_inverse=True)
         self.doc = self.rank[np.searchsorted(self.off, self.start, "right") - 1]
         self.several = _least(self.which, self.doc, len(self.keys)) < -_least(self.which, -self.doc, len(self.keys))
@@ -236,12 +258,17 @@ class Stretches:
         wanted = (_bits(replies, 1, len(shard.keys)) | shard.several)[shard.which]
         self.start, self.stop, self.doc = shard.start[wanted], shard.stop[wanted], shard.doc[wanted]
         self.keys, self.key = np.unique(shard.anchor[wanted], return_inverse=True)
-        hashed = tv.span_hash(shard.sums, self.start, self.stop + shard.length - 1)
-        self.spans, self.first, self.span = np.unique(hashed, return_index=True, return_inverse=True)
+        end = self.stop + shard.length - 1
+        hashed, check = (tv.span_hash(shard.data, self.start, end, lane) for lane in range(2))
+        code, first = tv.exact_codes(shard.data, self.start, end, hashed)
+        order = np.lexsort((check[first], hashed[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.span, self.spans, self.checks = place[code], hashed[first][order], check[first][order]
         self.least = _least(self.span, self.doc, len(self.spans))
-        # a 48-bit mark of an anchor's one stretch; 0 where the shard has several
+        # a 63-bit mark of an anchor's one stretch; 0 where the shard has several
         low, high = np.full(len(self.keys), ~np.uint64(0)), np.zeros(len(self.keys), np.uint64)
-        mark = (hashed >> np.uint64(16)) | np.uint64(1)
+        mark = (check >> np.uint64(1)) | np.uint64(1)
         np.minimum.at(low, self.key, mark)
         np.maximum.at(high, self.key, mark)
         self.mark = np.where(low == high, low, np.uint64(0))
@@ -259,8 +286,8 @@ def _strings(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def distinct_strings(shard: Shard, stretches: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, smallest document), by hash, of the distinct strings in open stretches."""
+def distinct_strings(shard: Shard, stretches: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, check, smallest document), by hash and check, of the distinct strings in open stretches."""
     length = shard.length
     one = np.zeros(len(stretches.start), bool)
     opened = np.flatnonzero(stretches.open)
@@ -278,20 +305,25 @@ def distinct_strings(shard: Shard, stretches: Stretches) -> tuple[np.ndarray, np
     group = np.cumsum(common_prefixes(data, end, order) < length)[whole]
     at = place[order[whole]]
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.minimum.reduceat(shard.rank[np.searchsorted(shard.off, at, "right") - 1], first)
-    hashed = tv.span_hash(shard.sums, at[first], at[first] + length)
-    by_hash = np.argsort(hashed)
-    return hashed[by_hash], least[by_hash]
+    hashed, check = (tv.window_hash(shard.data, at[first], length, lane) for lane in range(2))
+    by_hash = np.lexsort((check, hashed))
+    return hashed[by_hash], check[by_hash], least[by_hash]
 
 
 def removed_starts(shard: Shard, stretches: Stretches, replies: pa.Table) -> np.ndarray:
     """Starts of all strings that also start in a smaller document."""
     at = _strings(stretches.start[stretches.open], stretches.stop[stretches.open])
-    keys, which = np.unique(tv.span_hash(shard.sums, at, at + shard.length), return_inverse=True)
-    rank = shard.rank[np.searchsorted(shard.off, at, "right") - 1]
-    smaller = _bits(replies, 4, len(keys))[which] | (rank > _least(which, rank, len(keys))[which])
+    hashed, check = (tv.window_hash(shard.data, at, shard.length, lane) for lane in range(2))
+    order = np.lexsort((check, hashed))
+    new = np.ones(len(at), bool)
+    new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (check[order][1:] != check[order][:-1])
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    rank, n = shard.rank[np.searchsorted(shard.off, at, "right") - 1], int(new.sum())
+    smaller = _bits(replies, 4, n)[which] | (rank > _least(which, rank, n)[which])
     return np.concatenate([_strings(stretches.start[stretches.gone], stretches.stop[stretches.gone]), at[smaller]])
 
 
@@ -318,25 +350,37 @@ def _merge(runs: pa.Table) -> pa.Table:
         bits = [_among(k, again) for k in keys]
     else:
         values = [_values(r["values"], r["n"]) for r in rows]
-        all_keys, all_values = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(all_keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], all_keys[order[1:]] != all_keys[order[:-1]]]))
-        known, low = all_keys[order[first]], np.minimum.reduceat(all_values[order], first)
+        checks = [np.frombuffer(r["checks"], "<u8") if turn > 2 else np.zeros(r["n"], np.uint64) for r in rows]
+        all_keys, all_checks, all_values = np.concatenate(keys), np.concatenate(checks), np.concatenate(values)
+        order = np.lexsort((all_checks, all_keys)) if turn > 2 else np.argsort(all_keys, kind="stable")
+        sorted_keys, sorted_checks = all_keys[order], all_checks[order]
+        first = np.flatnonzero(np.concatenate([[True], (sorted_keys[1:] != sorted_keys[:-1]) | (sorted_checks[1:] != sorted_checks[:-1])]))
+        known, known_checks, low = sorted_keys[first], sorted_checks[first], np.minimum.reduceat(all_values[order], first)
         if turn == 2:
             several = (np.maximum.reduceat(all_values[order], first) > low) | (low == 0)
             bits = [several[np.searchsorted(known, k)] for k in keys]
         else:
-            bits = [low[np.searchsorted(known, k)] < v for k, v in zip(keys, values)]
+            bits = [low[_place(known, known_checks, k, c)] < v for k, c, v in zip(keys, checks, values)]
     return _table([(r["shard"], turn, r["p"], r["n"], np.packbits(x).tobytes()) for r, x in zip(rows, bits)], REPLY)
 
 
+def _place(known: np.ndarray, known_checks: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each key with its check stands; keys that agree stand together, by check."""
+    at = np.searchsorted(known, keys)
+    while True:
+        wrong = known_checks[at] != checks
+        if not wrong.any():
+            return at
+        at += wrong
+
+
 def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(keys), bool)
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-def _shard_table(docs: DataFrame, shard_bytes: int) -> DataFrame:
+def _shard_table(docs: DataFrame, shard_bytes: int, buckets: int) -> DataFrame:
     """docs(doc_id, text) with shard and row, kept as a table bucketed by shard."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +397,23 @@ def _shard_table(docs: DataFrame, shard_bytes: int) -> DataFrame:
             row += n
 
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"corvane_shards_{uuid.uuid4().hex}"
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"digest": F.md5("text"), "size": F.octet_length("text")})
     rows = known.mapInArrow(cut, "shard long, row int, doc_id long, text string, digest string, size int")
     rows.write.bucketBy(buckets, "shard").option("compression", "zstd").option("path", f"{shared_dir(spark)}/corvane/{name}").saveAsTable(name)
+    atexit.register(_dropped, spark, name)
     return spark.table(name)
 
 
+def _dropped(spark: SparkSession, name: str) -> None:
+    try:
+        path = f"{shared_dir(spark)}/corvane/{name}"
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(spark, path)
+    except Exception:  # the session has ended before
+        pass
+
+
 def _copies(shards: DataFrame, length: int) -> DataFrame:
     """REPLY rows of pass 0: the rows whose whole text, no shorter than length, a smaller document has."""
     rank = F.coalesce("doc_id", F.lit(_LAST)).alias("rank")
@@ -373,8 +426,10 @@ def _copies(shards: DataFrame, length: int) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """RESULT for each row of docs(doc_id, text): the removed byte spans and what is left."""
     spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = _shard_table(docs, shard_bytes)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, ranges = max(parts, -(-size // BUCKET_BYTES)), max(2 * parts, -(-size // RANGE_BYTES))
+    shards = _shard_table(docs, shard_bytes, buckets)
 
     def visit(replies: DataFrame, f, schema: str) -> DataFrame:
         empty = _result([], [], [], [], []) if schema == RESULT else _table([], schema)
@@ -386,7 +441,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
         return texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(one, schema)
 
     def answered(runs: DataFrame, name: str) -> DataFrame:
-        return keep(runs.groupBy("pass", "p").applyInArrow(_merge, REPLY), name, small=True)
+        dealt = runs.repartition(max(parts, ranges // 4), "pass", "p")
+        return keep(dealt.groupBy("pass", "p").applyInArrow(_merge, REPLY), name, small=True)
 
     def send_anchors(shard: Shard, known: pa.Table) -> pa.Table:
         return _table(_runs(shard.number, shard.keys, 48, 1, ranges), RUN)
@@ -394,13 +450,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     def send_stretches(shard: Shard, known: pa.Table) -> pa.Table:
         s = Stretches(shard, known)
         marked = _runs(shard.number, s.keys, 48, 2, ranges, s.mark.astype(np.int64))
-        return _table(marked + _runs(shard.number, s.spans, 64, 3, ranges, s.least), RUN)
+        return _table(marked + _runs(shard.number, s.spans, 64, 3, ranges, s.least, s.checks), RUN)
 
     def send_strings(shard: Shard, known: pa.Table) -> pa.Table:
         s = Stretches(shard, known)
         s.settle(known)
-        hashed, least = distinct_strings(shard, s)
-        return _table(_runs(shard.number, hashed, 64, 4, ranges, least), RUN)
+        hashed, check, least = distinct_strings(shard, s)
+        return _table(_runs(shard.number, hashed, 64, 4, ranges, least, check), RUN)
 
     def remove(shard: Shard, known: pa.Table) -> pa.Table:
         s = Stretches(shard, known)

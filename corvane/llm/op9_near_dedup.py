@@ -1,17 +1,21 @@
 """Near-duplicates by SuperMinHash, banding, verification on full sets and union-find.
 
-A document's set is its distinct word shingles; equal sets are one class, which only its
-smallest doc_id represents. SuperMinHash gives each shingle a random rank order of the
-signature's slots, so that slots are filled without repetition; levels run for all shingles of
-a block at once and a document stops once all its slots hold a smaller level. Bands of ROWS
-slots make buckets. In every bucket members are compared with a pivot, three pivots in turn
-while the bucket spans several components; what then still spans several is compared in full,
-in cells of two blocks of about CELL members each, so that no bucket is one task's work and no
-pair list is written. Links count if threshold[1] * intersection >= threshold[0] * union.
+A document's set is its distinct word shingles; equal sets (by size and two independent 64-bit
+hashes) are one class, which only its smallest doc_id represents. SuperMinHash gives each shingle
+a random rank order of the signature's slots, so that slots are filled without repetition; levels
+run for all shingles of a block at once and a document stops once all its slots hold a smaller
+level. Bands of ROWS slots make buckets. In every bucket members are compared with a pivot, three
+pivots in turn while the bucket spans several components. What then still spans several is
+compared in full, in cells of two blocks of about CELL members each. A bucket of more than one
+cell is first parted by prefixes: with shingles in one order, rare ones first, two sets at the
+threshold share one of the first |set| - ceil(threshold * |set|) + 1 of either, so only members
+that share one meet. No bucket is one task's work and no pair list is written. Links count if
+threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
 
 Banding misses a link at the threshold with a probability under 1e-6. Null or empty text, or
 without words: empty set, linked with nothing. Null doc_id: n_shingles, a null component_id,
-kept. Repeated rows: the same result on each."""
+kept. Repeated rows: the same result on each; of rows with one doc_id and several texts one stands
+for the doc_id. Empty tables: no rows."""
 
 from __future__ import annotations
 
@@ -26,22 +30,38 @@ from ..session import keep
 from . import textvec as tv
 from .graph import components
 
-SLOTS, ROWS, CELL = 64, 3, 256
+SLOTS, ROWS, CELL, CELL_SHINGLES = 64, 3, 256, 2_000_000
+SALTS, COUNTERS = 8, 1 << 20
 _LEVEL = np.uint32(25)
 
 
-def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hash, document) of the distinct shingles of a block, by document and hash; its documents."""
+def shingle_sets(text: pa.Array, n: int, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """(hashes, document) of the distinct shingles of a block, by document and first hash; its
+    documents. A hash for each lane."""
     data, off = tv.text_bytes(text)
     data = tv.LOWER[data]
     spans = tv.words(data, off)
-    h, doc = tv.shingles(tv.span_hash(tv.prefix_hash(data), spans.start, spans.end), spans, n)
+    (h, doc), *others = (tv.shingles(tv.span_hash(data, spans.start, spans.end, lane), spans, n) for lane in range(lanes))
     bits = max(1, int(len(off) - 1).bit_length())
     order = np.argsort((doc.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], doc[new], len(off) - 1
+    return [h[new], *(g[order][new] for g, _ in others)], doc[new], len(off) - 1
+
+
+def exact_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number, document) of the distinct shingles of a block, by document: two shingles have one
+    number, from 0, exactly if their words agree."""
+    data, off = tv.text_bytes(text)
+    data = tv.LOWER[data]
+    spans = tv.words(data, off)
+    code, _ = tv.exact_codes(data, spans.start, spans.end, tv.span_hash(data, spans.start, spans.end))
+    number, doc = tv.shingle_codes(code, spans, n)
+    number = np.unique(number, return_inverse=True)[1]
+    width = int(number.max()) + 1 if len(number) else 1
+    doc, number = np.divmod(np.unique(doc * width + number), width)
+    return number, doc, len(off) - 1
 
 
 def superminhash(h: np.ndarray, doc: np.ndarray, n_docs: int, m: int = SLOTS) -> np.ndarray:
@@ -86,15 +106,15 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(shingle: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.blocks(batches):
-            h, doc, n_docs = shingle_sets(batch.column("text"), shingle)
+            lanes, doc, n_docs = shingle_sets(batch.column("text"), shingle, 2)
             count = np.bincount(doc, minlength=n_docs)
             some = np.flatnonzero(count)
             at = (np.cumsum(count) - count)[some]
             sums = np.zeros((2, n_docs), np.uint64)
-            for i in range(2):
+            for total, h in zip(sums, lanes):
                 if len(some):
-                    sums[i, some] = np.add.reduceat(tv.mix(h ^ np.uint64(0xA5A5A5A5 + i)), at)
-            keys = bands(superminhash(h, doc, n_docs)).view(np.int64)
+                    total[some] = np.add.reduceat(tv.mix(h), at)
+            keys = bands(superminhash(lanes[0], doc, n_docs)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))],
                 ["doc_id", "n_shingles", "h1", "h2", "keys"],
@@ -108,13 +128,14 @@ def _verify(shingle: int, threshold: tuple[int, int]):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.blocks(batches, "text_a"):
-            ha, da, n = shingle_sets(batch.column("text_a"), shingle)
-            hb, db, _ = shingle_sets(batch.column("text_b"), shingle)
-            h, d = np.concatenate([ha, hb]), np.concatenate([da, db])
-            order = np.argsort(tv.mix(h + d.astype(np.uint64) * tv.MULT))
-            h, d = h[order], d[order]
-            same = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=n)
-            union = np.bincount(d, minlength=n) - same
+            pairs = batch.num_rows
+            both = pa.concat_arrays([batch.column("text_a").cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())])
+            number, doc, _ = exact_sets(both, shingle)
+            pair = doc % pairs
+            order = np.lexsort((number, pair))
+            number, pair = number[order], pair[order]
+            same = np.bincount(pair[1:][(number[1:] == number[:-1]) & (pair[1:] == pair[:-1])], minlength=pairs)
+            union = np.bincount(pair, minlength=pairs) - same
             yield batch.filter(pa.array(threshold[1] * same >= threshold[0] * union)).select(["a", "b"])
 
     return verify
@@ -126,16 +147,18 @@ def _compare_cell(shingle: int, threshold: tuple[int, int]):
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by([("cid", "ascending"), ("side", "ascending")])
         ids, label, side = (cell.column(c).to_numpy() for c in ("cid", "label", "side"))
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)]
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
         left, right = np.zeros(len(first), bool), np.zeros(len(first), bool)
-        which = np.cumsum(np.concatenate([[True], ids[1:] != ids[:-1]])) - 1
         left[which[side == 0]], right[which[side == 1]] = True, True
-        h, doc, n = shingle_sets(cell.column("text").take(pa.array(first)), shingle)
+        code, doc, n = exact_sets(cell.column("text").take(pa.array(first)), shingle)
         ids, label, size = ids[first], label[first], np.bincount(doc, minlength=len(first))
-        _, code = np.unique(h, return_inverse=True)
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order]
-        same, width = np.zeros((n, n), np.float32), 8192
+        # a shingle that one member alone has links nothing
+        shared = np.bincount(code)[code] > 1 if len(code) else np.zeros(0, bool)
+        code, doc = np.unique(code[shared], return_inverse=True)[1], doc[shared]
+        same, width = np.zeros((n, n), np.float32), 4096
         for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
             at = slice(*np.searchsorted(code, [lo, lo + width]))
             has = np.zeros((n, width), np.float32)
@@ -162,72 +185,129 @@ def _compare_cell(shingle: int, threshold: tuple[int, int]):
     return compare
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    """Each row for every salt: members of one bucket meet it in SALTS tasks."""
+    return df.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+
+
 def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): a row (doc_id, n_shingles, h1, h2) for each document, and of each class
-    with a set (h1, h2, n_shingles) the label of its component."""
+    (h1, h2, n_shingles) of several documents, or linked with another, the label of its component."""
     signed = keep(docs.select("doc_id", "text").mapInArrow(_sign(shingle), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signed")
     sets = signed.drop("keys")
-    classes = keep(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = keep(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
     rows = signed.join(classes.select("h1", "h2", F.col("cid").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    placed = keep(rows.select(F.col("doc_id").alias("cid"), F.explode("keys").alias("key")), "placed")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    placed = keep(rows.select(F.col("doc_id").alias("cid"), salt, "n_shingles", F.explode("keys").alias("key")), "placed")
     full = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
-    placed = keep(placed.join(full, "key"), "buckets", small=True)
+    placed = keep(placed.join(_salted(full), ["key", "salt"]), "buckets", small=True)
     members = placed.select("cid").distinct()
     texts = keep(docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
     labels = members.select("cid", F.col("cid").alias("label"))
-    edges = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
-    def merged(found: DataFrame, so_far: DataFrame | None, labels: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    def merged(found: DataFrame, labels: DataFrame) -> DataFrame:
+        """Only links between different labels go on, as links of the labels."""
         found = keep(found.distinct(), "links", small=True)
+        of = lambda end: labels.select(F.col("cid").alias(end), F.col("label").alias(f"label_{end}"))
+        new = found.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         if found.isEmpty():
-            return so_far, labels
-        so_far = found if so_far is None else so_far.unionByName(found)
-        new = components(so_far)
-        return so_far, members.join(new.withColumnRenamed("v", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
+            return labels
+        joined = components(new.distinct()).select(F.col("v").alias("label"), F.col("label").alias("low"))
+        return keep(labels.join(joined, "label", "left").select("cid", F.coalesce("low", "label").alias("label")), "labels", small=True)
 
     for turn in range(3):
         if turn:
-            here = keep(placed.select("key", "cid", "members").join(labels, "cid"), "here", small=True)
+            here = keep(placed.where("members > 2").select("key", "salt", "cid").join(labels, "cid"), "here", small=True)
             # the pivot comes from the bucket's largest label or another each turn: a hash decides
             spread = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot"))
             spread = spread.where("low <> high")
             named = spread.join(labels.select(F.col("cid").alias("pivot"), F.col("label").alias("of")), "pivot")
-            pairs = here.where("members > 2").join(named.select("key", "pivot", "of"), "key").where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+            pairs = here.join(_salted(named.select("key", "pivot", "of")), ["key", "salt"]).where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         else:
             pairs = placed.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-        edges, labels = merged(verified(pairs.distinct()), edges, labels)
-    edges, labels = merged(_full_compare(placed, labels, texts, shingle, threshold), edges, labels)
-    joined = classes.join(labels, "cid", "left").select("h1", "h2", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
-    return sets, joined
+        labels = merged(verified(pairs.distinct()), labels)
+    labels = merged(_full_compare(placed, labels, texts, shingle, threshold), labels)
+    joined = classes.join(labels, "cid", "left").withColumn("component_id", F.coalesce("label", "cid"))
+    return sets, joined.where("copies > 1 or component_id <> cid").select("h1", "h2", "n_shingles", "component_id")
+
+
+_OPEN = ["key", "salt", "cid", "n_shingles", "label"]
+
+
+def _open_rows(here: DataFrame) -> DataFrame:
+    """Rows of the buckets that span several labels, with the bucket's largest label, its members
+    and what they weigh; buckets with the same members count once."""
+    by_label = here.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("mark"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("mark2"))
+    buckets = by_label.groupBy("key").agg(
+        F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("weight").alias("weight"), F.count("*").alias("labels"), F.bit_xor("mark").alias("mark"), F.bit_xor("mark2").alias("mark2")
+    ).where("labels > 1")
+    once = buckets.groupBy("all", "mark", "mark2").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("most", "key").alias("most"), F.min_by("weight", "key").alias("weight"))
+    return here.select(*_OPEN).join(_salted(once.select("key", "main", "all", "most", "weight")), ["key", "salt"])
 
 
 def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """Links between components inside buckets of three and more members: those outside the
     bucket's largest component against all, block by block."""
-    here = keep(placed.where("members > 2").select("key", "cid", "members").join(labels, "cid"), "here", small=True)
-    by_label = here.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = by_label.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    # equal buckets of several bands are one
-    open_rows = here.select("key", "cid", "label").join(open_keys, "key")
-    alike = open_rows.groupBy("key").agg(F.sum(F.xxhash64("cid") % (1 << 40)).alias("sum"), F.count("*").alias("count")).groupBy("sum", "count").agg(F.min("key").alias("key"))
-    open_rows = open_rows.join(alike.select("key"), "key", "left_semi")
-    blocks, few = F.ceil(F.col("all") / CELL), F.ceil((F.col("all") - F.col("most")) / CELL)
+    here = placed.where("members > 2").select("key", "salt", "cid", "n_shingles").join(labels, "cid")
+    rows = keep(_open_rows(here), "open", small=True)
+    one_cell = (F.col("all") <= CELL) & (F.col("weight") <= CELL_SHINGLES)
+    wide = rows.where(~one_cell)
+    rows = rows.where(one_cell)
+    if not wide.isEmpty():
+        parted = _prefixes(wide.select(*_OPEN), texts, shingle, threshold)
+        rows = rows.unionByName(_open_rows(parted))
+    cells = F.greatest(F.ceil(F.col("all") / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
+    few = F.greatest(F.ceil((F.col("all") - F.col("most")) / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
     block = lambda n: F.pmod(F.xxhash64("cid"), n)
-    left = open_rows.where("label <> main").withColumn("i", block(few)).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
-    right = open_rows.withColumn("j", block(blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), few - 1))).withColumn("side", F.lit(1))
-    cells = left.select("key", "i", "j", "side", "cid", "label").unionByName(right.select("key", "i", "j", "side", "cid", "label"))
-    return cells.join(texts, "cid").groupBy("key", "i", "j").applyInArrow(_compare_cell(shingle, threshold), "a long, b long")
+    left = rows.where("label <> main").withColumn("i", block(few)).withColumn("j", F.explode(F.sequence(F.lit(0), cells - 1))).withColumn("side", F.lit(0))
+    right = rows.withColumn("j", block(cells)).withColumn("i", F.explode(F.sequence(F.lit(0), few - 1))).withColumn("side", F.lit(1))
+    both = left.select("key", "i", "j", "side", "cid", "label").unionByName(right.select("key", "i", "j", "side", "cid", "label"))
+    return both.join(texts, "cid").groupBy("key", "i", "j").applyInArrow(_compare_cell(shingle, threshold), "a long, b long")
+
+
+def _prefixes(wide: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """The rows of wide in smaller buckets, one for each shingle of a member's prefix. How often
+    shingles occur is known by COUNTERS counters, a table of fixed size; any order keeps all links,
+    this one keeps the buckets small."""
+    members = keep(texts.join(wide.select("cid").distinct(), "cid", "left_semi"), "wide")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in tv.blocks(batches):
+            (h,), _, _ = shingle_sets(batch.column("text"), shingle)
+            n += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(some, pa.int32()), "n": pa.array(n[some])})
+
+    table = members.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table["at"].to_numpy()] = table["n"].to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.blocks(batches):
+            (h,), doc, n_docs = shingle_sets(batch.column("text"), shingle)
+            order = np.lexsort((h, shared.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], doc))
+            h, size = h[order], np.bincount(doc, minlength=n_docs)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            chosen = place <= (size - -(-threshold[0] * size // threshold[1]))[doc]
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(doc[chosen])), pa.array(h[chosen].view(np.int64))], ["cid", "part"])
+
+    parts = members.select("cid", "text").mapInArrow(cut, "cid long, part long")
+    return wide.join(parts, "cid").withColumn("key", F.xxhash64("key", "part")).drop("part")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept for each row of docs."""
     sets, classes = class_labels(docs, shingle, threshold)
-    out = sets.join(classes, ["h1", "h2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    # copies of one text meet their class in SALTS tasks
+    spread = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = spread.join(_salted(classes), ["h1", "h2", "n_shingles", "salt"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

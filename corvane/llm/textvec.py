@@ -1,15 +1,15 @@
 """Vectorised text helpers for Arrow batches inside tasks: whole texts as one byte array with
-offsets, word spans from a byte table, and 64-bit polynomial hashes of any span."""
+offsets, word spans from a byte table, hashes of any span, and exact comparison of spans."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(int(MULT), -1, 1 << 64))
 BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -20,24 +20,9 @@ LOWER[65:91] += 32
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT**i and MULT**-i modulo 2**64 for i <= n."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        for key, base in (("up", MULT), ("down", _INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[key] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -107,17 +92,97 @@ def lines(data: np.ndarray, off: np.ndarray) -> Spans:
     return out
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return sums
+#: How many of eight bytes count, from the first, little-endian.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as one number; beyond the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; lanes are independent. Eight bytes at a time go through a
+    mixer that is not linear, spans of over 64 bytes through BLAKE2b, so that texts made of
+    repeated or exchanged parts don't collide. Where equal bytes decide a result, equal_spans
+    or exact_codes follows."""
+    n = end - start
+    h = mix(n.astype(np.uint64) + np.uint64((2 * lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    wide = _eights(data)
+    open_, at = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+    while len(open_):
+        left = n[open_] - at
+        part = wide[start[open_] + at] & _MASK[np.minimum(left, 8)]
+        h[open_] = mix((h[open_] ^ part) * MULT)
+        open_, at = open_[left > 8], at + 8
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        raw, salt = memoryview(np.ascontiguousarray(data)), bytes([lane])
+        digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=8, salt=salt).digest() for a, b in zip(start[long].tolist(), end[long].tolist()))
+        h[long] = np.frombuffer(digest, np.uint64)
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a and from b agree, for each."""
+    out, wide, at = np.ones(len(a), bool), _eights(data), 0
+    open_ = np.flatnonzero((n > 0) & (a != b))
+    while len(open_) and at < 512:
+        left = n[open_] - at
+        differ = ((wide[a[open_] + at] ^ wide[b[open_] + at]) & _MASK[np.minimum(left, 8)]) != 0
+        out[open_[differ]] = False
+        open_, at = open_[~differ & (left > 8)], at + 8
+    for k in open_.tolist():
+        i, j, m = int(a[k]), int(b[k]), int(n[k])
+        out[k] = np.array_equal(data[i + at : i + m], data[j + at : j + m])
+    return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each span's bytes that doesn't depend on where the span stands."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def exact_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, first): spans of these bytes have one code exactly if their bytes are equal; first[code]
+    is a span that has it. h: their hashes."""
+    _, first, code = np.unique(h, return_index=True, return_inverse=True)
+    n, like = end - start, first[code]
+    odd = np.flatnonzero((n != n[like]) | ~equal_spans(data, start, start[like], np.minimum(n, n[like])))
+    if len(odd):  # two texts share a hash
+        known: dict[bytes, int] = {}
+        more = []
+        for k in odd.tolist():
+            text = data[start[k] : end[k]].tobytes()
+            if text not in known:
+                known[text] = len(first) + len(more)
+                more.append(k)
+            code[k] = known[text]
+        first = np.concatenate([first, np.array(more, first.dtype)])
+    return code, first
+
+
+def window_hash(data: np.ndarray, at: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """span_hash of the spans of one length from each place, without BLAKE2b."""
+    wide = _eights(data)
+    h = np.full(len(at), np.uint64((2 * lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    for k in range(0, length, 8):
+        part = wide[at + k] & _MASK[min(8, length - k)]
+        h = mix((h ^ part) * MULT)
+    return h
+
+
+def shingle_codes(code: np.ndarray, spans: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, document) of every n-word run, equal exactly where all words are; a document with
+    fewer words, but some, has its whole sequence as one."""
+    last = spans.first[1:][spans.doc]
+    at = np.flatnonzero((np.arange(len(code)) + n <= last) | ((spans.count[spans.doc] < n) & (np.arange(len(code)) == spans.first[spans.doc])))
+    width = int(code.max()) + 2 if len(code) else 1
+    number = code[at].astype(np.int64) + 1
+    for j in range(1, n):
+        there = at + j < last[at]
+        word = np.where(there, code[np.minimum(at + j, max(len(code) - 1, 0))] + 1, 0)
+        if j > 1:
+            number = np.unique(number, return_inverse=True)[1]
+        number = number * width + word
+    return number, spans.doc[at]
 
 
 def run_hash(h: np.ndarray, n: int) -> np.ndarray:
