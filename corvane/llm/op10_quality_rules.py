@@ -2,11 +2,13 @@
 trusted-target and the raw-corpus multinomial.
 
 Target: the texts labelled quality 1 and not toxic. Raw: all texts. Word 1- and 2-grams are
-hashed to `buckets`; both multinomials are counted over all rows and smoothed by one. A text's
-score is the mean of log p_target - log p_raw over its n-grams, so length doesn't matter; every
-text with a score under `threshold` is rejected, always alike. The default stands between the
-labelled texts of TESTDATA's documents that pass the base rules: those of the target score above
--0.10, most others under -0.20.
+hashed to `buckets`; both multinomials are counted over all rows, raw smoothed by one a bucket
+and the target by as many n-grams as there are buckets, spread like raw, so that what the target
+is too small to know scores 0. A text's score is the mean of log p_target - log p_raw over its
+n-grams, so length doesn't matter; every text with a score under `threshold` is rejected, always
+alike. Of the test tables' labelled texts that pass the base rules the target's scores are above
+-0.06 at every size, and of those labelled 0 one in twenty is above -0.29 with 1 000 documents
+and above -0.40 with 10 000; the default stands between.
 
 Raw counts need one pass without a shuffle. For the target's, texts are joined to the labels;
 a table of BITS bits, set at the hashes of the labelled ids, keeps most others out of that
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 BUCKETS, BITS = 1 << 18, 1 << 24
-THRESHOLD = -0.15
+THRESHOLD = -0.25
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -90,7 +92,8 @@ def ratio_weights(docs: DataFrame, labels: DataFrame | None, buckets: int = BUCK
     if not target.sum():
         return np.zeros(buckets)
     raw = _counted(docs, buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    p_raw = (raw + 1) / (raw.sum() + buckets)
+    return np.log((target + buckets * p_raw) / (target.sum() + buckets)) - np.log(p_raw)
 
 
 def _repeated(code: np.ndarray, spans: tv.Spans, n: int) -> np.ndarray:
