@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import discard, keep
 
 
 LEVELS, MERGE = 3, 4
@@ -19,7 +19,7 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, tag: str
     known ones become one, so that reads grow with the levels and not with their square."""
     steps = keep(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
     known = frontier = keep(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
-    depth, tables = 0, 1
+    depth, parts = 0, [known]
     while (most is None or depth < most) and not frontier.isEmpty():
         here, found = frontier.select(tag, "node"), None
         for depth in range(depth + 1, min(depth + LEVELS, most or depth + LEVELS) + 1):
@@ -28,10 +28,15 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, tag: str
             found = level if found is None else found.unionByName(level)
         first = found.groupBy(tag, "node").agg(F.min("depth").alias("depth"))
         new = keep(first.join(known.select(tag, "node"), [tag, "node"], "left_anti"), "reach")
+        parts.append(new)
+        known = known.unionByName(new)
+        if len(parts) == MERGE:
+            known = keep(known, "reached")
+            discard(*parts)
+            parts = [known]
+            new = known
         frontier = new.where(F.col("depth") == depth)
-        known, tables = known.unionByName(new), tables + 1
-        if tables == MERGE:
-            known, tables = keep(known, "reached"), 1
+    discard(steps)
     return known
 
 
@@ -46,12 +51,14 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         near, far = labels.withColumnRenamed("label", "near"), labels.select(*by, F.col("v").alias("w"), F.col("label").alias("far"))
         cross = keep(both.where("v < w").join(near, [*by, "v"]).join(far, [*by, "w"]).where("near <> far").select(*by, "near", "far").distinct(), "cross", small=True)
         if cross.isEmpty():
+            discard(both, cross)
             return labels
         # what is left is a graph of labels; its smallest label, the component's smallest id, stays
         hooks = cross.union(cross.select(*by, "far", "near")).groupBy(*by, F.col("near").alias("label")).agg(F.min("far").alias("low"))
         hooked = labels.join(hooks, [*by, "label"], "left").select(*by, "v", F.least("label", "low").alias("label"))
         jumped = hooked.join(hooked.select(*by, F.col("v").alias("label"), F.col("label").alias("up")), [*by, "label"])
-        labels = keep(jumped.select(*by, "v", F.least("label", "up").alias("label")), "labels", small=True)
+        before, labels = labels, keep(jumped.select(*by, "v", F.least("label", "up").alias("label")), "labels", small=True)
+        discard(before, cross)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

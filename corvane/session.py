@@ -25,10 +25,13 @@ def local_session(name: str = "corvane", cores: str = "8", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset a new temporary one, but only
+    for a local master, whose executors share it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="corvane-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -45,8 +48,22 @@ def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._corvane_path = drop_at_exit(spark, path)
+    return kept
+
+
+def discard(*kept: DataFrame | None) -> None:
+    """Deletes tables that keep wrote and nothing will read again."""
+    for df in kept:
+        if path := getattr(df, "_corvane_path", None):
+            drop(df.sparkSession, path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the program ends."""
     atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
