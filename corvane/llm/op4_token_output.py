@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import drop_at_exit, shared_dir
 from . import textvec as tv
 
 END, BLOCK_TOKENS, LEAST = 2, 1 << 20, 8
@@ -342,6 +342,6 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/corvane/tokens-{uuid.uuid4().hex}"
+    path = drop_at_exit(spark, f"{shared_dir(spark)}/corvane/tokens-{uuid.uuid4().hex}")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read_tokens(spark, path)

@@ -4,7 +4,9 @@ Base kinds are found by pattern and check (see PATTERNS). High-recall generators
 overlapping spans: words with a digit and numbers with separators. A candidate has format and
 context features of a few values each, so all candidates of a corpus fall into at most
 prod(SIZES) cells. Cells are counted over all rows with a distant label (the span overlaps a
-checked base span, or stands in an assignment to a secret's name); boosted regression trees are
+checked base span, or a secret's name stands before it); no feature tells what a label rests on:
+the words that name secrets are no cue, and checks of base spans are not repeated. Boosted
+regression trees are
 fitted to the cells' weighted counts, their scores calibrated by pooling adjacent violators, and
 the threshold of each generator is the smallest score with a calibrated share of `precision`.
 The trees become one SQL expression. Selected candidates that overlap no base span are added as
@@ -37,7 +39,7 @@ GENERATORS = {
 #: A cheap test that must hold before a pattern is run at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[0-9][A-Za-z0-9_-]{5}|[A-Za-z0-9_-]{5}[0-9]", "number": r"[0-9][\x20().0-9-]{5}"}
 SECRET_NAMES = r"(?i)(?:token|secret|password|passwd|api_?key|access_?key|credential)\W{0,4}$"
-CUES = r"(?i)(?:tel|phone|call|fax|mobile|contact|card|account|iban|ssn|id|token|secret|password|passwd|key|host|server|address|mail)\W{0,4}$"
+CUES = r"(?i)(?:tel|phone|call|fax|mobile|contact|card|account|iban|ssn|host|server|address|mail)\W{0,4}$"
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
 FEATURES = ["generator", "size", "digits", "hex", "parts", "opens", "cue", "assigned", "quoted"]
 SIZES = [2, 4, 5, 2, 3, 2, 2, 2, 2]
@@ -243,7 +245,8 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     names the whole. A null text stays null."""
     # a row goes along as one value, so that no column of it can clash
     held = docs.select(F.struct("*").alias("_row"), "text")
-    out = select_spans(candidates(held), train(candidates(docs.select("text")), precision))
+    proposed = keep(candidates(held), "redact")  # found once, for the training and for the texts
+    out = select_spans(proposed, train(proposed, precision))
     spans = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     text = F.col("text")
     redacted = F.aggregate(
