@@ -8,8 +8,12 @@ are whole numbers, so sums don't depend on how they are grouped.
 
 Turns are sorted over range partitions and packed into blocks of at most BLOCK turns. A
 conversation inside one block is decoded there. One over several blocks, however long, is cut:
-each block becomes a max-plus matrix from its entry state to its exit state, the matrices are
-chained per conversation, and each block is decoded between the two states found.
+each block becomes a max-plus matrix from its entry state to its exit state, neighbouring matrices
+are multiplied in levels until few are left, and on the way back down every block gets its entry
+and exit state and is decoded between them. No task holds more than 1 << FAN_BITS matrices of a
+conversation.
+
+Starts and role changes are counted along that order, so turns may begin anywhere and have gaps.
 
 Null or empty text: an empty line. Null turn: before all others. Null conv_id: a conversation
 like any other. Ties and repeated rows: ordered by text, each kept. Null or unknown roles: never
@@ -25,13 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import keep
 
 ROLES = ["system", "user", "assistant"]
-BLOCK, BLOCK_CHARS, SCALE, PRIOR = 256, 1 << 20, 1000, 200.0
+BLOCK, BLOCK_CHARS, SCALE, PRIOR, FAN_BITS = 256, 1 << 20, 1000, 200.0, 8
 STATES = 2 * len(ROLES)  # 2 * role: first line of a turn; 2 * role + 1: a later line
 CELLS = 4 * 4 * 3 * 2
 
@@ -44,7 +48,7 @@ MARKERS = {
 _MARKER = re.compile(r"\s*(?:" + "|".join(f"(?P<{role}>{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})" for role, names in MARKERS.items()) + r")[ \t]*")
 
 BLOCKS = "conv_id long, at long, open boolean, texts array<string>, roles array<string>"
-PIECES = "conv_id long, at long, n_turns long, n_lines long, n_right long, n_known long, lines_crc long, rendered string"
+PIECES = "conv_id long, piece long, n_turns long, n_lines long, n_right long, n_known long, lines_crc long, rendered string"
 
 
 def observe(line: str) -> tuple[int, int]:
@@ -119,36 +123,44 @@ class Model:
         return out
 
 
-def train(turns: DataFrame) -> Model:
-    """Counts over all rows of turns(conv_id, turn, role, text): what reaches the driver is one
-    row a state and cell, and one a pair of roles."""
+def train(blocks: DataFrame) -> Model:
+    """Counts over all turns of blocks with known roles: what reaches the driver is one row a state
+    and cell, one a role, and one a pair of roles."""
+    n = len(ROLES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((STATES, CELLS), np.int64)
+        cells, pairs = np.zeros((STATES, CELLS), np.int64), np.zeros((n, n), np.int64)
         for batch in batches:
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                if role in ROLES:
-                    for k, line in enumerate(_lines(text)):
-                        n[2 * ROLES.index(role) + (k > 0), observe(line)[0]] += 1
-        state, cell = np.nonzero(n)
-        yield pa.RecordBatch.from_pydict({"state": pa.array(state), "cell": pa.array(cell), "n": pa.array(n[state, cell])})
-
-    emit, starts, pairs = np.zeros((STATES, CELLS)), np.zeros(len(ROLES)), np.zeros((len(ROLES), len(ROLES)))
-    counted = turns.select("role", "text").mapInArrow(count, "state long, cell long, n long").groupBy("state", "cell").agg(F.sum("n").alias("n"))
+            for roles, texts in zip(batch.column("roles").to_pylist(), batch.column("texts").to_pylist()):
+                known = [ROLES.index(r) if r in ROLES else None for r in roles]
+                for role, text in zip(known, texts):
+                    for k, line in enumerate(_lines(text) if role is not None else ()):
+                        cells[2 * role + (k > 0), observe(line)[0]] += 1
+                for a, b in zip(known, known[1:]):
+                    if a is not None and b is not None:
+                        pairs[a, b] += 1
+        for kind, table in (("emit", cells), ("pair", pairs)):
+            a, b = np.nonzero(table)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(a), pa.string()), "a": pa.array(a), "b": pa.array(b), "n": pa.array(table[a, b])})
+
+    counted = blocks.select("roles", "texts").mapInArrow(count, "kind string, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    emit, starts, pairs = np.zeros((STATES, CELLS)), np.zeros(n), np.zeros((n, n))
     for r in counted.collect():
-        emit[r["state"], r["cell"]] = r["n"]
-    at = turns.where(F.col("role").isin(ROLES)).groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
-    for r in at.where("turn = 0").groupBy("role").agg(F.sum("n").alias("n")).collect():
-        starts[ROLES.index(r["role"])] = r["n"]
-    after = at.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"), F.col("n").alias("m"))
-    both = at.join(after, ["conv_id", "turn"]).groupBy("role", "then").agg(F.sum(F.least("n", "m")).alias("n"))
-    for r in both.collect():
-        pairs[ROLES.index(r["role"]), ROLES.index(r["then"])] = r["n"]
+        (emit if r["kind"] == "emit" else pairs)[r["a"], r["b"]] += r["n"]
+    # a block's first turn follows the block before it, or begins the conversation
+    along = Window.partitionBy("conv_id").orderBy("at")
+    ends = blocks.select("conv_id", "at", F.element_at("roles", 1).alias("role"), F.element_at("roles", -1).alias("last"))
+    edges = ends.select(F.lag("at").over(along).isNull().alias("begins"), F.lag("last").over(along).alias("before"), "role")
+    for r in edges.where(F.col("role").isin(ROLES)).groupBy("begins", "before", "role").agg(F.count("*").alias("n")).where(F.col("begins") | F.col("before").isin(ROLES)).collect():
+        if r["begins"]:
+            starts[ROLES.index(r["role"])] += r["n"]
+        else:
+            pairs[ROLES.index(r["before"]), ROLES.index(r["role"])] += r["n"]
     return Model.of(emit, starts, pairs)
 
 
-def _blocks(turns: DataFrame) -> DataFrame:
-    """BLOCKS: turns in order; a block is open unless its conversation lies inside it."""
+def pack_turns(turns: DataFrame) -> DataFrame:
+    """BLOCKS of turns(conv_id, turn, text[, role]): turns in order; a block is open unless its conversation lies inside it."""
     known = F.col("role") if "role" in turns.columns else F.lit(None)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"), known.cast("string").alias("role"))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -210,11 +222,70 @@ def render(texts: list[str], states: np.ndarray, ends: list[int], first: bool, l
     return "".join(out) + ("<|im_end|>\n" if last and texts else "")
 
 
-def parse_transcripts(turns: DataFrame, model: Model) -> DataFrame:
-    """PIECES of turns(conv_id, turn, text[, role]): the rendered pieces of a conversation, in the
-    order of at, are the whole; role only counts how many lines are right."""
-    shared = turns.sparkSession.sparkContext.broadcast(model)
-    blocks = _blocks(turns)
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def _best_way(outer: np.ndarray | None, inner: np.ndarray, before: int | None, last: int | None) -> list[int]:
+    """The last state of each of a row of matrices, on the best way from the state before (None: the
+    first begins the conversation, with scores outer) to the state last (None: any)."""
+    score, back = outer if before is None else inner[0][before], []
+    for m in inner[1:]:
+        step = score[:, None] + m
+        back.append(step.argmax(axis=0))
+        score = step.max(axis=0)
+    ends = [int(score.argmax()) if last is None else last]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    return ends[::-1]
+
+
+_NODE, _FOUND = "conv_id long, at long, inner array<long>, outer array<long>", "conv_id long, at long, before int, last int"
+
+
+def _matrices(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    table = table.sort_by("at")
+    inner, outer = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("inner", "outer"))
+    return table, inner.reshape(-1, STATES, STATES), outer.reshape(-1, STATES)
+
+
+def _placed(table: pa.Table, ends: list[int], before: int | None) -> pa.Table:
+    return pa.table({"conv_id": table.column("conv_id"), "at": table.column("at"), "before": pa.array([before, *ends[:-1]], pa.int32()), "last": pa.array(ends, pa.int32())})
+
+
+def entry_states(nodes: DataFrame, level: int = 1) -> DataFrame:
+    """_FOUND: the states before and at the end of each node of _NODE, whose at is its order."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        table, inner, outer = _matrices(table)
+        return _placed(table, _best_way(outer[0], inner, None, None), None)
+
+    def product(table: pa.Table) -> pa.Table:
+        table, inner, outer = _matrices(table)
+        total, first = inner[0], outer[0]
+        for m in inner[1:]:
+            total, first = _times(total, m), (first[:, None] + m).max(axis=0)
+        return pa.table({"conv_id": table.column("conv_id").slice(0, 1), "at": table.column("at").slice(0, 1), "inner": pa.array([total.ravel().tolist()], pa.list_(pa.int64())), "outer": pa.array([first.tolist()], pa.list_(pa.int64()))})
+
+    def inside(table: pa.Table, parent: pa.Table) -> pa.Table:
+        table, inner, outer = _matrices(table)
+        before, last = parent.column("before")[0].as_py(), parent.column("last")[0].as_py()
+        return _placed(table, _best_way(outer[0], inner, before, last), before)
+
+    most = nodes.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= 1 << FAN_BITS or FAN_BITS * level > 62:
+        return nodes.groupBy("conv_id").applyInArrow(whole, _FOUND)
+    group = F.shiftright("at", FAN_BITS * level).alias("group")
+    parents = keep(nodes.groupBy("conv_id", group).applyInArrow(product, _NODE), "matrices")
+    found = entry_states(parents, level + 1)
+    return nodes.groupBy("conv_id", group).cogroup(found.groupBy("conv_id", group)).applyInArrow(inside, _FOUND)
+
+
+def parse_transcripts(blocks: DataFrame, model: Model) -> DataFrame:
+    """PIECES of blocks: the rendered pieces of a conversation, in the order of piece, are the
+    whole; roles only count how many lines are right."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
 
     def cells_of(texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
         lines = [x for t in texts for x in _lines(t)]
@@ -229,21 +300,6 @@ def parse_transcripts(turns: DataFrame, model: Model) -> DataFrame:
             outer = [shared.value.matrix(c, True)[0].tolist() for c in seen]
             yield pa.RecordBatch.from_arrays([conv, at, pa.array(inner, pa.list_(pa.int64())), pa.array(outer, pa.list_(pa.int64()))], ["conv_id", "at", "inner", "outer"])
 
-    def chain(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        inner, outer = table.column("inner").to_pylist(), table.column("outer").to_pylist()
-        score, back = np.array(outer[0]), []
-        for m in inner[1:]:
-            step = score[:, None] + np.array(m).reshape(STATES, STATES)
-            back.append(step.argmax(axis=0))
-            score = step.max(axis=0)
-        last = [int(score.argmax())]
-        for b in reversed(back):
-            last.append(int(b[last[-1]]))
-        last.reverse()
-        n = len(last)
-        return pa.table({"conv_id": table.column("conv_id"), "at": table.column("at"), "before": pa.array([None, *last[:-1]], pa.int32()), "last": pa.array(last, pa.int32()), "ends": pa.array([False] * (n - 1) + [True])})
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -256,19 +312,25 @@ def parse_transcripts(turns: DataFrame, model: Model) -> DataFrame:
                 right = sum(a == b for a, b in zip(got, known))
                 crc = sum(zlib.crc32(f"{g}:{s % 2}:{line}".encode()) for g, s, line in zip(got, states.tolist(), lines))
                 begins = int((states % 2 == 0).sum()) + (r["before"] is None and bool(len(states)) and int(states[0] % 2))
-                rows.append((r["conv_id"], r["at"], begins, len(lines), right, sum(k in ROLES for k in known), crc, render(lines, states, ends, r["before"] is None, r["ends"])))
+                rows.append((r["conv_id"], r["piece"], begins, len(lines), right, sum(k in ROLES for k in known), crc, render(lines, states, ends, r["before"] is None, r["ends"])))
             kinds = [pa.int64()] * 7 + [pa.string()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    whole = blocks.where("not open").selectExpr("conv_id", "at", "texts", "roles", "cast(null as int) before", "cast(null as int) last", "true ends")
+    whole = blocks.where("not open").selectExpr("conv_id", "1L as piece", "texts", "roles", "cast(null as int) before", "cast(null as int) last", "true ends")
     open_ = blocks.where("open")
-    chained = open_.select("conv_id", "at", "texts").mapInArrow(matrices, "conv_id long, at long, inner array<long>, outer array<long>")
-    chained = chained.groupBy("conv_id").applyInArrow(chain, "conv_id long, at long, before int, last int, ends boolean")
-    cut = open_.select("conv_id", "at", "texts", "roles").join(chained.drop("conv_id"), "at").select(whole.columns)
+    nodes = keep(open_.select("conv_id", "at", "texts").mapInArrow(matrices, _NODE), "matrices")
+    along = Window.partitionBy("conv_id").orderBy("at")
+    order = nodes.select("at", F.row_number().over(along).cast("long").alias("piece"), F.lead("at").over(along).isNull().alias("ends"))
+    cut = open_.join(entry_states(nodes).select("at", "before", "last"), "at").join(order, "at").select(whole.columns)
     return whole.unionByName(cut).mapInArrow(decode, PIECES)
 
 
+def held_out(conv_id: str = "conv_id") -> Column:
+    """Every third conversation, by a hash, is kept from the training."""
+    return F.coalesce(F.crc32(F.col(conv_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations as raw transcripts: one marker style a conversation, and every fourth turn
     or so, by a hash, without its marker."""
@@ -284,7 +346,6 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    pieces = parse_transcripts(turns, train(turns))
-    sums = [F.sum(c).alias(c) for c in ("n_turns", "n_lines", "n_right", "n_known", "lines_crc")]
-    return pieces.groupBy("conv_id").agg(*sums, F.sum(F.char_length("rendered")).alias("rendered_chars"))
+    """A row a piece of a conversation: rendered, and how many of its lines have the right role."""
+    blocks = pack_turns(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return parse_transcripts(blocks, train(blocks.where(~held_out()))).withColumn("held_out", held_out())
