@@ -6,11 +6,9 @@ a random rank order of the signature's slots, so that slots are filled without r
 run for all shingles of a block at once and a document stops once all its slots hold a smaller
 level. Bands of ROWS slots make buckets. In every bucket members are compared with a pivot, three
 pivots in turn while the bucket spans several components. What then still spans several is
-compared in full, in cells of two blocks of about CELL members each. A bucket of more than one
-cell is first parted by prefixes: with shingles in one order, rare ones first, two sets at the
-threshold share one of the first |set| - ceil(threshold * |set|) + 1 of either, so only members
-that share one meet. No bucket is one task's work and no pair list is written. Links count if
-threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
+compared in full, those outside the bucket's largest component with all, in cells of two blocks of
+about CELL members each (fewer where sets are large), so that no bucket is one task's work and no
+pair list is written. Links count if threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
 
 Banding misses a link at the threshold with a probability under 1e-6. Null or empty text, or
 without words: empty set, linked with nothing. Null doc_id: n_shingles, a null component_id,
@@ -31,7 +29,7 @@ from . import textvec as tv
 from .graph import components
 
 SLOTS, ROWS, CELL, CELL_SHINGLES = 64, 3, 256, 2_000_000
-SALTS, COUNTERS = 8, 1 << 20
+SALTS = 8
 _LEVEL = np.uint32(25)
 
 
@@ -236,9 +234,6 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
     return sets, joined.where("copies > 1 or component_id <> cid").select("h1", "h2", "n_shingles", "component_id")
 
 
-_OPEN = ["key", "salt", "cid", "n_shingles", "label"]
-
-
 def _open_rows(here: DataFrame) -> DataFrame:
     """Rows of the buckets that span several labels, with the bucket's largest label, its members
     and what they weigh; buckets with the same members count once."""
@@ -247,7 +242,7 @@ def _open_rows(here: DataFrame) -> DataFrame:
         F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("weight").alias("weight"), F.count("*").alias("labels"), F.bit_xor("mark").alias("mark"), F.bit_xor("mark2").alias("mark2")
     ).where("labels > 1")
     once = buckets.groupBy("all", "mark", "mark2").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("most", "key").alias("most"), F.min_by("weight", "key").alias("weight"))
-    return here.select(*_OPEN).join(_salted(once.select("key", "main", "all", "most", "weight")), ["key", "salt"])
+    return here.join(_salted(once.select("key", "main", "all", "most", "weight")), ["key", "salt"])
 
 
 def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
@@ -255,12 +250,6 @@ def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingl
     bucket's largest component against all, block by block."""
     here = placed.where("members > 2").select("key", "salt", "cid", "n_shingles").join(labels, "cid")
     rows = keep(_open_rows(here), "open", small=True)
-    one_cell = (F.col("all") <= CELL) & (F.col("weight") <= CELL_SHINGLES)
-    wide = rows.where(~one_cell)
-    rows = rows.where(one_cell)
-    if not wide.isEmpty():
-        parted = _prefixes(wide.select(*_OPEN), texts, shingle, threshold)
-        rows = rows.unionByName(_open_rows(parted))
     cells = F.greatest(F.ceil(F.col("all") / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
     few = F.greatest(F.ceil((F.col("all") - F.col("most")) / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
     block = lambda n: F.pmod(F.xxhash64("cid"), n)
@@ -270,38 +259,6 @@ def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingl
     return both.join(texts, "cid").groupBy("key", "i", "j").applyInArrow(_compare_cell(shingle, threshold), "a long, b long")
 
 
-def _prefixes(wide: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """The rows of wide in smaller buckets, one for each shingle of a member's prefix. How often
-    shingles occur is known by COUNTERS counters, a table of fixed size; any order keeps all links,
-    this one keeps the buckets small."""
-    members = keep(texts.join(wide.select("cid").distinct(), "cid", "left_semi"), "wide")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
-        for batch in tv.blocks(batches):
-            (h,), _, _ = shingle_sets(batch.column("text"), shingle)
-            n += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(some, pa.int32()), "n": pa.array(n[some])})
-
-    table = members.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[table["at"].to_numpy()] = table["n"].to_numpy()
-    shared = members.sparkSession.sparkContext.broadcast(counts)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.blocks(batches):
-            (h,), doc, n_docs = shingle_sets(batch.column("text"), shingle)
-            order = np.lexsort((h, shared.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], doc))
-            h, size = h[order], np.bincount(doc, minlength=n_docs)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            chosen = place <= (size - -(-threshold[0] * size // threshold[1]))[doc]
-            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(doc[chosen])), pa.array(h[chosen].view(np.int64))], ["cid", "part"])
-
-    parts = members.select("cid", "text").mapInArrow(cut, "cid long, part long")
-    return wide.join(parts, "cid").withColumn("key", F.xxhash64("key", "part")).drop("part")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept for each row of docs."""
     sets, classes = class_labels(docs, shingle, threshold)
