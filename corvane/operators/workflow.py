@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # State and action -> next state; every other pair is illegal and changes nothing.
@@ -21,19 +21,49 @@ TRANSITIONS = {
 }
 
 
-def _next(state: Column, action: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for (s, a), t in TRANSITIONS.items() for x in (f"{s}>{a}", t)))
-    return F.element_at(known, F.concat_ws(">", state, action))
+STATES = ["NONE", *sorted({state for pair in TRANSITIONS for state in (pair[0], TRANSITIONS[pair])} - {"NONE"})]
+BLOCK_BITS = 12
+
+
+def _move(to: int, bad: int) -> Column:
+    return F.struct(F.lit(to).alias("to"), F.lit(bad).cast("long").alias("bad"))
+
+
+def _moves(action: Column) -> Column:
+    """What an action does from each state: the place of the next state and illegal actions. One
+    that is null or not known is illegal everywhere."""
+    known = []
+    for name in sorted({a for _, a in TRANSITIONS}):
+        after = [TRANSITIONS.get((s, name)) for s in STATES]
+        known += [F.lit(name), F.array(*(_move(STATES.index(t or s), int(t is None)) for s, t in zip(STATES, after)))]
+    return F.coalesce(F.element_at(F.create_map(*known), action), F.array(*(_move(k, 1) for k in range(len(STATES)))))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """Moves one after the other."""
+    after = lambda x: F.get(second, x["to"])
+    return F.transform(first, lambda x: F.struct(after(x)["to"].alias("to"), (x["bad"] + after(x)["bad"]).alias("bad")))
+
+
+def _composed(history: str, moves) -> Column:
+    return F.aggregate(history, F.array(*(_move(k, 0) for k in range(len(STATES)))), lambda m, x: _then(m, moves(x)))
 
 
 def folded(actions: DataFrame) -> DataFrame:
-    """(app_id, status, n_actions, n_illegal) after all actions(app_id, seq, action) in order. The
-    history of one request is folded inside one row, without Python."""
-    history = actions.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("h"))
-    start = F.struct(F.lit("NONE").alias("status"), F.lit(0).cast("long").alias("bad"))
-    end = F.aggregate("h", start, lambda s, x: F.struct(F.coalesce(_next(s["status"], x["action"]), s["status"]).alias("status"), (s["bad"] + _next(s["status"], x["action"]).isNull().cast("long")).alias("bad")))
-    done = history.select("app_id", F.size("h").cast("long").alias("n_actions"), end.alias("end"))
-    return done.select("app_id", F.col("end.status").alias("status"), "n_actions", F.col("end.bad").alias("n_illegal"))
+    """(app_id, status, n_actions, n_illegal) after all actions(app_id, seq, action) in order, those
+    of one seq by action. A request's history is cut into blocks of at most 4096 rows by ranges of
+    (app_id, seq); a block becomes its moves from every state, and moves are joined by block, by
+    range and by request, so no history is held in one row. Null seqs come first."""
+    ranged = actions.select("app_id", "seq", "action").repartitionByRange("app_id", "seq", "action").sortWithinPartitions("app_id", "seq", "action")
+    placed = ranged.withColumn("at", F.monotonically_increasing_id())  # the range in the upper 31 bits
+    placed = placed.select("app_id", F.shiftright("at", 33).alias("range"), F.shiftright("at", BLOCK_BITS).alias("block"), "at", "action")
+    rows = placed.groupBy("app_id", "range", "block").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("h"), F.count("*").alias("n"))
+    rows = rows.select("app_id", "range", "block", "n", _composed("h", lambda x: _moves(x["action"])).alias("m"))
+    for keys, order in (["app_id", "range"], "block"), (["app_id"], "range"):
+        joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "m"))).alias("h"), F.sum("n").alias("n"))
+        rows = joined.select(*keys, "n", _composed("h", lambda x: x["m"]).alias("m"))
+    end = F.get("m", F.lit(STATES.index("NONE")))
+    return rows.select("app_id", F.get(F.array(*map(F.lit, STATES)), end["to"]).alias("status"), F.col("n").alias("n_actions"), end["bad"].alias("n_illegal"))
 
 
 def submitted(applications: DataFrame) -> DataFrame:
@@ -88,11 +118,21 @@ def triaged(pool: DataFrame) -> DataFrame:
 
 
 def reused(requests: DataFrame, done: DataFrame, seconds: int) -> DataFrame:
-    """Each request with the newest result of its hash and environment at most `seconds` older."""
-    pairs = requests.alias("r").join(done.alias("d"), ["sql_hash", "env"])
-    near = pairs.where((F.col("d.at") <= F.col("r.at")) & (F.col("d.at") >= F.col("r.at") - seconds))
-    best = near.groupBy("r.id").agg(F.max(F.struct(F.col("d.at").alias("at"), F.col("d.id").alias("result"))).alias("top"))
-    return requests.join(best, "id", "left").select("id", F.col("top.result").alias("result"))
+    """Each row of requests(id, sql_hash, env, at) with the newest result of done at most `seconds`
+    older, of several the largest id. It lies in the request's own stretch of `seconds`, where a
+    running maximum finds it, or is the newest of the stretch before; no pairs are made. Null
+    hashes, environments and times meet nothing."""
+    key = ["sql_hash", "env", "since"]
+    since = F.col("at") - F.pmod(F.col("at"), F.lit(seconds))
+    result = F.struct("at", F.col("id").alias("result"))
+    found = done.where("sql_hash is not null and env is not null and at is not null").select("sql_hash", "env", since.alias("since"), "at", F.lit(0).alias("asks"), F.lit(None).alias("id"), result.alias("top"))
+    asked = requests.select("sql_hash", "env", since.alias("since"), "at", F.lit(1).alias("asks"), "id", F.lit(None).alias("top"))
+    so_far = Window.partitionBy(*key).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    own = asked.unionByName(found).withColumn("top", F.max("top").over(so_far)).where("asks = 1")
+    before = found.groupBy("sql_hash", "env", (F.col("since") + seconds).alias("since")).agg(F.max("top").alias("last"))
+    both = own.join(before, key, "left")
+    last = F.when(F.col("last.at") >= F.col("at") - seconds, F.col("last.result"))
+    return both.select("id", F.coalesce("top.result", last).alias("result"))
 
 
 def queue(rows: DataFrame, limit: int) -> DataFrame:
