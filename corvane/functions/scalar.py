@@ -43,14 +43,53 @@ def domain_key(project: Column | str, package: Column | str) -> Column:
     return F.coalesce(F.nullif(parent, F.lit("")), F.nullif(module, F.lit("")), F.nullif(fourth, F.lit("")), F.lit("platform"))
 
 
+# Parts of a path that tell a table's domain, in order, with / for every separator.
+TABLE_DOMAINS = {
+    "deposit": ["/dept/", "/deptbase/", "/ltdept", "/itdept", "/kdp"],
+    "loan": ["/loan/", "/loanbase/", "/lnacct", "/lnctrct", "/lntran", "/kln"],
+    "settlement": ["/sett/", "/settbase/", "/stt", "/kst"],
+}
+# Whole names in a path or module that tell public tables.
+PUBLIC_NAMES = ["comm", "common"]
+PUBLIC_MODULES = ["comm", "unvr", "stmt", "medu", "inbu"]
+PUBLIC_PATHS = ["common", "comm", "unvr", "apcptable", "sysdbtable", "syscommfieldtable", "stmt"]
+# Business projects; only loan is a table's domain by the same name.
+PROJECTS = ["loan", "dept", "comm", "sett", "dict"]
+
+
+def table_domain(module: Column | str, package: Column | str, path: Column | str) -> Column:
+    """Domain of a table: its module where that is a loan project or, not blank, none of the
+    business projects; else what its package tells, then its path; public names; the package's
+    fourth part; public."""
+    slashes = lambda c: F.translate(F.lower(F.coalesce(col(c), F.lit(""))), "\\.-_", "////")
+    named = lambda text, names: F.rlike(text, F.lit(rf"(?:^|/)(?:{'|'.join(names)})(?:/|$)"))
+    name, mod, pkg, file = F.lower(trimmed(module)), slashes(module), slashes(package), slashes(path)
+    project = F.regexp_extract(name, rf"^(?:({'|'.join(PROJECTS)})-parent$|ccbs-({'|'.join(PROJECTS)})-)", 0)
+    by_module = F.when(name == "", None).when(project == "", "platform").when(project.contains("loan"), "loan")
+
+    def told(text: Column) -> Column:
+        tests = [F.when(reduce(lambda a, b: a | b, map(text.contains, parts)), domain) for domain, parts in TABLE_DOMAINS.items()]
+        return F.coalesce(*tests, F.when(named(text, PUBLIC_NAMES), "public"))
+
+    public = F.when(named(mod, PUBLIC_MODULES) | named(pkg, PUBLIC_PATHS) | named(file, PUBLIC_PATHS), "public")
+    fourth = F.get(F.split(F.coalesce(col(package), F.lit("")), r"\."), 3)
+    left = F.when(fourth == "loan", "loan").when(fourth.isin(PROJECTS), "public").otherwise("platform")
+    return F.coalesce(by_module, told(pkg), told(file), public, left)
+
+
 def cost(raw: Column | str) -> Column:
     """The first run of digits without commas, else 0."""
     digits = F.regexp_extract(F.regexp_replace(col(raw), ",", ""), r"(\d+)", 1)
     return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without blanks and control characters at both ends."""
+    return F.btrim(col(text), F.lit("".join(map(chr, range(33)))))
+
+
 def text_hash(text: Column | str) -> Column:
-    return F.sha2(F.trim(col(text)), 256)
+    return F.sha2(trimmed(text), 256)
 
 
 def next_round(day: str, name: str) -> Column:

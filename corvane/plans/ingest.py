@@ -276,6 +276,15 @@ def sc23(spark, sf_dir):
     return made(spark, sf_dir, PLANS).select("k", P.plan_facts("plan").alias("f")).select("k", "f.*")
 
 
+TREES = f"SELECT o_orderkey AS k, o_custkey AS n, CASE o_orderkey % 4 WHEN 0 THEN concat('[{{\"Plan\": {{\"Node Type\": \"Nested Loop\", \"Total Cost\": ', {N('o_custkey')}, '.5, \"Plan Rows\": ', {N('o_orderkey')}, ', \"Plan Width\": 8, \"Plans\": [{{\"Node Type\": \"Seq Scan\", \"Relation Name\": \"t', {N('o_custkey % 5')}, '\", \"Filter\": \"(x = 1)\"}}, {{\"Node Type\": \"Index Only Scan\", \"Index Name\": \"i1\", \"Relation Name\": \"a\"}}, {{\"Node Type\": \"Seq Scan\", \"Relation Name\": \"a\"}}]}}}}]') WHEN 1 THEN '{{\"Plan\": {{\"Node Type\": \"Incremental Sort\", \"One-Time Filter\": \" False \"}}}}' WHEN 2 THEN '[{{\"Plan' END AS plan FROM orders"
+
+
+@PLAN.query("op_sc23_plan_result", f"SELECT k, k % 4 < 2 AS ok, CASE WHEN k % 4 = 0 THEN n + 0.5::DOUBLE ELSE 0 END AS cost, CASE WHEN k % 4 = 0 THEN k ELSE 0 END AS n_rows, CASE WHEN k % 4 = 0 THEN 8 ELSE 0 END::INT AS width, CASE k % 4 WHEN 0 THEN 'Nested Loop,Seq Scan,Index Only Scan' WHEN 1 THEN 'Incremental Sort' ELSE '' END AS nodes, CASE WHEN k % 4 = 0 THEN 't' || (n % 5) || ',a' ELSE '' END AS tables, CASE WHEN k % 4 = 0 THEN 'i1' ELSE '' END AS indexes, k % 4 = 0 AS seq_scan, k % 4 = 0 AS index_scan, false AS sorts, k % 4 = 0 AS joins, k % 4 = 1 AS never FROM ({TREES})")
+def sc23_result(spark, sf_dir):
+    """Facts of plan trees; a quarter is broken off and a quarter missing."""
+    return made(spark, sf_dir, TREES).select("k", P.plan_result("plan").alias("f")).select("k", "f.*")
+
+
 @PLAN.query("op_src27_plan_input", f"WITH s AS ({PLANS}) SELECT n, count(*) AS plans FROM s GROUP BY 1")
 def src27(spark, sf_dir):
     """Plans are an input column; here those that read each table."""

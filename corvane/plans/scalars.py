@@ -34,7 +34,7 @@ scalar("op_sc03_biz_kind", "SELECT event_id AS k, concat(CASE event_id % 4 WHEN
     "CASE WHEN lower(s) LIKE '%hotspot%' THEN '热点账户' WHEN lower(s) LIKE '%batch%' THEN '批量' WHEN lower(s) LIKE '%online%' THEN '联机' END AS kind", kind=lambda: S.biz_kind("s"))
 scalar("op_sc04_cost", f"SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN concat({N('o_custkey')}, ',', {N('o_orderkey % 900 + 100')}, 'ms') WHEN 1 THEN concat('cost=', {N('o_custkey')}, 'ms of 7') WHEN 2 THEN 'n/a' END AS raw FROM orders",
     "coalesce(try_cast(regexp_extract(replace(raw, ',', ''), '([0-9]+)', 1) AS BIGINT), 0) AS cost", cost=lambda: S.cost("raw"))
-scalar("op_sc05_text_hash", "SELECT doc_id AS k, text AS t FROM documents", "sha256(trim(t)) AS h", h=lambda: S.text_hash("t"))
+scalar("op_sc05_text_hash", "SELECT doc_id AS k, text AS t FROM documents", "sha256(trim(t, array_to_string(list_transform(range(33), lambda i: chr(i::INT)), ''))) AS h", h=lambda: S.text_hash("t"))
 scalar("op_sc07_valid_round", f"SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN concat('2026-', {N('o_orderkey')}) WHEN 1 THEN '  ' WHEN 2 THEN 'a,b' WHEN 3 THEN '012345678901234567890' END AS r FROM orders",
     "coalesce(trim(r) <> '' AND length(r) <= 20 AND NOT contains(r, ','), false) AS ok", ok=lambda: S.valid_round("r"))
 scalar("op_sc08_location", f"SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN concat(' [ODB:q', {N('o_custkey')}, '] ') WHEN 1 THEN '[[nsql:a.b]]' WHEN 2 THEN 'x.Y' WHEN 3 THEN '[]' WHEN 4 THEN 'odb:z' END AS raw FROM orders",
@@ -65,6 +65,8 @@ scalar("op_sc30_renamed", PATHS, "replace(p, '{a => b}', 'b') AS path", path=lam
 scalar("op_sc31_module", PATHS, "'loan-bcc' AS module", module=lambda: S.module_of("p"))
 scalar("op_sc32_node_kind", f"SELECT s_suppkey AS k, concat(CASE s_suppkey % 5 WHEN 0 THEN 'PbcbX' WHEN 1 THEN 'pbcp' WHEN 2 THEN 'PBS' WHEN 3 THEN 'pcs' ELSE 'z' END, {N('s_suppkey')}) AS n FROM supplier", "CASE k % 5 WHEN 0 THEN 'pbcb' WHEN 1 THEN 'pbcp' WHEN 2 THEN 'pbs' WHEN 3 THEN 'pcs' ELSE 'service' END AS kind, k % 5 < 2 AS component", kind=lambda: S.node_kind("n"), component=lambda: S.is_component("n"))
 scalar("op_sc33_table_domain", "SELECT p_partkey AS k, lower(p_name) AS t FROM part", "CASE WHEN contains(replace(replace(t, '-', '_'), ' ', '_'), 'a_') THEN 'dept' WHEN contains(replace(replace(t, '-', '_'), ' ', '_'), 'e') THEN 'loan' END AS domain", domain=lambda: F.when(F.translate("t", "- ", "__").contains("a_"), "dept").when(F.translate("t", "- ", "__").contains("e"), "loan"))
+HOMES = f"SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'ccbs-loan-bcc' WHEN 1 THEN 'misc' WHEN 2 THEN ' ' WHEN 3 THEN 'Dept-parent' ELSE 'ccbs-comm-x' END AS module, CASE p_partkey % 4 WHEN 0 THEN 'com.bank.LTdept_x' WHEN 1 THEN 'a.b.c.loan' WHEN 2 THEN concat('a.b.c.d', {N('p_size')}) END AS package, CASE p_partkey % 3 WHEN 0 THEN '/w/kst-1/t.xml' WHEN 1 THEN '/w/stmt/t.xml' ELSE concat('/w/t', {N('p_partkey')}, '.xml') END AS path FROM part"
+scalar("op_sc33_domain_rules", HOMES, "CASE WHEN k % 5 = 0 THEN 'loan' WHEN k % 5 = 1 THEN 'platform' WHEN k % 4 = 0 THEN 'deposit' WHEN k % 3 = 0 THEN 'settlement' WHEN k % 5 = 4 OR k % 3 = 1 THEN 'public' WHEN k % 4 = 1 THEN 'loan' ELSE 'platform' END AS domain", domain=lambda: S.table_domain("module", "package", "path"))
 scalar("op_sc35_status_label", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'PENDING_L1' END AS s FROM orders", "coalesce(CASE s WHEN 'APPROVED' THEN 'approved' WHEN 'PENDING_L1' THEN 'first level' END, '-') AS label", label=lambda: F.coalesce(F.element_at(F.create_map(*map(F.lit, ("APPROVED", "approved", "PENDING_L1", "first level"))), F.col("s")), F.lit("-")))
 scalar("op_sc35_whitelist_label", "SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'PENDING_L1' WHEN 1 THEN 'PENDING_L2' WHEN 2 THEN 'APPROVED' WHEN 3 THEN 'REJECTED_L1' WHEN 4 THEN 'REJECTED_L2' WHEN 5 THEN 'CANCELLED' WHEN 6 THEN ' ' WHEN 7 THEN 'odd' END AS s FROM orders", "CASE k % 9 WHEN 0 THEN '待一级' WHEN 1 THEN '待二级' WHEN 2 THEN '已通过' WHEN 3 THEN '一级退回' WHEN 4 THEN '二级退回' WHEN 5 THEN '已取消' WHEN 7 THEN 'odd' ELSE '未申请' END AS label", label=lambda: S.whitelist_label("s"))
 scalar("op_sc37_build_type", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '成功' WHEN 1 THEN '触发失败' END AS a, CASE o_orderkey % 5 WHEN 0 THEN 'Failed' WHEN 1 THEN 'SUCCESS' END AS s FROM orders", "CASE WHEN k % 3 = 0 THEN 'success' WHEN k % 3 = 1 THEN 'error' WHEN k % 5 = 0 THEN 'error' WHEN k % 5 = 1 THEN 'success' ELSE 'running' END AS type", type=lambda: S.build_status("a", "s")["type"])

@@ -387,6 +387,33 @@ def plan_facts(plan: Column | str) -> Column:
     return F.struct(F.array_join(nodes, ",").alias("nodes"), F.array_join(tables, ",").alias("tables"), has("Seq Scan").alias("seq_scan"), has("Index").alias("index_scan"), has("Sort").alias("sorts"), (has("Join") | has("Nested Loop")).alias("joins"))
 
 
+def plan_result(plan: Column | str) -> Column:
+    """All facts of a plan as JSON text, of the first of a list: names in the order of the tree, each
+    once. ok is false for what isn't a plan; never says that the top node's filter is always false."""
+    text = F.col(plan) if isinstance(plan, str) else plan
+    top = F.coalesce(F.get_json_object(text, "$[0]['Plan']"), F.get_json_object(text, "$['Plan']"))
+    ok = top.isNotNull()
+    tree = F.coalesce(top, F.lit(""))
+    names = lambda key: F.array_distinct(F.regexp_extract_all(tree, F.lit(rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1)))
+    number = lambda key, kind: F.coalesce(F.get_json_object(tree, f"$['{key}']").try_cast("double"), F.lit(0.0)).cast(kind)
+    nodes = names("Node Type")
+    has = lambda test: F.exists(nodes, test)
+    return F.struct(
+        ok.alias("ok"),
+        number("Total Cost", "double").alias("cost"),
+        number("Plan Rows", "long").alias("n_rows"),
+        number("Plan Width", "int").alias("width"),
+        F.array_join(nodes, ",").alias("nodes"),
+        F.array_join(names("Relation Name"), ",").alias("tables"),
+        F.array_join(names("Index Name"), ",").alias("indexes"),
+        has(lambda x: x.contains("Seq Scan")).alias("seq_scan"),
+        has(lambda x: x.contains("Index Scan") | x.contains("Index Only Scan")).alias("index_scan"),
+        has(lambda x: x == "Sort").alias("sorts"),
+        has(lambda x: x.contains("Join") | (x == "Nested Loop")).alias("joins"),
+        F.coalesce(F.lower(F.trim(F.get_json_object(tree, "$['One-Time Filter']"))) == "false", F.lit(False)).alias("never"),
+    )
+
+
 def salvaged(answer: Column | str) -> Column:
     """JSON text from a model's answer: no thoughts and fences, from the first brace on, illegal
     escapes dropped; braces that are still open are closed."""
