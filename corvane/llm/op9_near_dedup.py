@@ -4,8 +4,9 @@ A document's set is its distinct word shingles; equal sets (by size and two inde
 hashes) are one class, which only its smallest doc_id represents. SuperMinHash gives each shingle
 a random rank order of the signature's slots, so that slots are filled without repetition; levels
 run for all shingles of a block at once and a document stops once all its slots hold a smaller
-level. Bands of ROWS slots make buckets. In every bucket members are compared with a pivot, three
-pivots in turn while the bucket spans several components. What then still spans several is
+level. Bands of ROWS slots make buckets, each with its smallest doc_id as pivot. A document is first
+compared with the pivot that most of its buckets have; then, in buckets that still span several
+components, with the bucket's pivot and with another one. What then still spans several is
 compared in full, those outside the bucket's largest component with all, in cells of two blocks of
 about CELL members each (fewer where sets are large), so that no bucket is one task's work and no
 pair list is written. Links count if threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
@@ -126,14 +127,20 @@ def _verify(shingle: int, threshold: tuple[int, int]):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.blocks(batches, "text_a"):
-            pairs = batch.num_rows
+            # each text once, however many pairs it has here
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            ids, at = np.unique(np.concatenate([a, b]), return_index=True)
             both = pa.concat_arrays([batch.column("text_a").cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())])
-            number, doc, _ = exact_sets(both, shingle)
-            pair = doc % pairs
-            order = np.lexsort((number, pair))
-            number, pair = number[order], pair[order]
-            same = np.bincount(pair[1:][(number[1:] == number[:-1]) & (pair[1:] == pair[:-1])], minlength=pairs)
-            union = np.bincount(pair, minlength=pairs) - same
+            number, doc, _ = exact_sets(both.take(pa.array(at)), shingle)
+            a, b, size = np.searchsorted(ids, a), np.searchsorted(ids, b), np.bincount(doc, minlength=len(ids))
+            width = int(number.max(initial=0)) + 1
+            key = doc * width + number
+            pair = np.repeat(np.arange(len(a)), size[a])
+            mine = number[np.arange(len(pair)) + ((np.cumsum(size) - size)[a] - (np.cumsum(size[a]) - size[a]))[pair]]
+            probe = b[pair] * width + mine
+            found = key[np.minimum(np.searchsorted(key, probe), len(key) - 1)] == probe
+            same = np.bincount(pair[found], minlength=len(a))
+            union = size[a] + size[b] - same
             yield batch.filter(pa.array(threshold[1] * same >= threshold[0] * union)).select(["a", "b"])
 
     return verify
@@ -218,16 +225,16 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
         joined = components(new.distinct()).select(F.col("v").alias("label"), F.col("label").alias("low"))
         return keep(labels.join(joined, "label", "left").select("cid", F.coalesce("low", "label").alias("label")), "labels", small=True)
 
-    for turn in range(3):
-        if turn:
-            here = keep(placed.where("members > 2").select("key", "salt", "cid").join(labels, "cid"), "here", small=True)
-            # the pivot comes from the bucket's largest label or another each turn: a hash decides
-            spread = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot"))
-            spread = spread.where("low <> high")
-            named = spread.join(labels.select(F.col("cid").alias("pivot"), F.col("label").alias("of")), "pivot")
-            pairs = here.join(_salted(named.select("key", "pivot", "of")), ["key", "salt"]).where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-        else:
-            pairs = placed.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+    # first each document meets the pivot that most of its buckets have, the likeliest link
+    first = placed.where("cid <> pivot").groupBy(F.col("cid").alias("a")).agg(F.mode("pivot", True).alias("b"))
+    labels = merged(verified(first), labels)
+    for turn in range(2):
+        here = keep((placed.where("members > 2") if turn else placed).select("key", "salt", "cid", "pivot").join(labels, "cid"), "here", small=True)
+        # the pivot comes from the bucket's largest label or another each turn: a hash decides
+        pivot = F.min_by("cid", F.xxhash64("cid", F.lit(turn))) if turn else F.min("pivot")
+        spread = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("pivot"))
+        named = spread.where("low <> high").join(labels.select(F.col("cid").alias("pivot"), F.col("label").alias("of")), "pivot")
+        pairs = here.drop("pivot").join(_salted(named.select("key", "pivot", "of")), ["key", "salt"]).where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         labels = merged(verified(pairs.distinct()), labels)
     labels = merged(_full_compare(placed, labels, texts, shingle, threshold), labels)
     joined = classes.join(labels, "cid", "left").withColumn("component_id", F.coalesce("label", "cid"))
