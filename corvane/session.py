@@ -41,11 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: the lineage ends
     there, and a lost executor costs no recomputation. The table goes when the program ends.
-    small: rows are few and narrow for the tasks that would write them, so an eighth of the
-    partitions do it; every file costs calls to the store, and several processes on a local one."""
+    small: rows are few and narrow for the tasks that make them, so they are dealt to fewer that
+    write them, as every file costs calls to the store: as many as adaptive execution finds by
+    their bytes, or an eighth of the shuffle partitions where it may not merge any."""
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        sized = all(spark.conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "coalescePartitions.enabled"))
+        df = df.hint("rebalance") if sized else df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
@@ -66,10 +68,11 @@ def drop_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def keep_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """keep, and how many rows it wrote; the write itself counts them."""
+def keep_counted(df: DataFrame, name: str, of: str | None = None) -> tuple[DataFrame, int]:
+    """keep, and how many rows it wrote, or in how many the condition `of` holds; the write itself
+    counts them."""
     rows = Observation()
-    kept = keep(df.observe(rows, F.count(F.lit(1)).alias("n")), name)
+    kept = keep(df.observe(rows, F.count(F.expr(f"CASE WHEN {of} THEN 1 END") if of else F.lit(1)).alias("n")), name)
     return kept, rows.get["n"]
 
 
