@@ -97,7 +97,7 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 64
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def wide_eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every place as one number; beyond the end there are zeros."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
@@ -110,7 +110,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
     or exact_codes follows."""
     n = end - start
     h = mix(n.astype(np.uint64) + np.uint64((2 * lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-    wide = _eights(data)
+    wide = wide_eights(data)
     open_, at = np.flatnonzero((n > 0) & (n <= _LONG)), 0
     while len(open_):
         left = n[open_] - at
@@ -127,7 +127,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
 
 def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether the n bytes from a and from b agree, for each."""
-    out, wide, at = np.ones(len(a), bool), _eights(data), 0
+    out, wide, at = np.ones(len(a), bool), wide_eights(data), 0
     open_ = np.flatnonzero((n > 0) & (a != b))
     while len(open_) and at < 512:
         left = n[open_] - at
@@ -161,7 +161,7 @@ def exact_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndar
 
 def window_hash(data: np.ndarray, at: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     """span_hash of the spans of one length from each place, without BLAKE2b."""
-    wide = _eights(data)
+    wide = wide_eights(data)
     h = np.full(len(at), np.uint64((2 * lane + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
     for k in range(0, length, 8):
         part = wide[at + k] & _MASK[min(8, length - k)]
