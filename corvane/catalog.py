@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "op_gr14_table_impact"
-PLANS = "ingest rounds inspection ownership relations graph impact workflow scalars".split()
+PLANS = "ingest sources rounds inspection ownership relations graph impact workflow scalars".split()
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
 from ..operators import dashboards, writes
-from ..session import shared_dir
+from ..session import keep, shared_dir
+from ..sources import java
 from ..sources import parsers as P
 
 PLAN = Plan()
@@ -42,7 +43,10 @@ JAVA = f"SELECT c_custkey AS k, concat('public class Cls', {N('c_custkey')}, CAS
 
 @PLAN.query("op_src03_declarations", f"WITH s AS ({JAVA}) SELECT k, 'class' AS kind, 'Cls' || k AS name, CASE WHEN k % 2 = 0 THEN 'Base' ELSE '' END AS parent, 'Api' || regexp_extract(content, 'Api([0-9]+)', 1) AS interfaces FROM s")
 def src03(spark, sf_dir):
-    return made(spark, sf_dir, JAVA).select("k", F.explode(P.declarations("content")).alias("d")).select("k", "d.kind", "d.name", "d.parent", "d.interfaces")
+    found = keep(java.facts(made(spark, sf_dir, JAVA).select(F.col("k").cast("string").alias("path"), "content")), "facts")
+    parents = lambda fact, name: found.where(F.col("fact") == fact).select("path", "pos", F.array_join("items", ", ").alias(name))
+    whole = java.types(found).join(parents("extends", "parent"), ["path", "pos"], "left").join(parents("implements", "interfaces"), ["path", "pos"], "left")
+    return whole.select(F.col("path").cast("long").alias("k"), "kind", "name", F.coalesce("parent", F.lit("")).alias("parent"), F.coalesce("interfaces", F.lit("")).alias("interfaces"))
 
 
 CALLS = "SELECT event_id AS k, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SysUtil.getInstance(Api.class)' WHEN 2 THEN 'pkg.AccountDao' WHEN 3 THEN 'helper' ELSE '' END AS scope, CASE event_id % 7 WHEN 0 THEN 'toString' ELSE 'run' END AS name FROM events"
@@ -55,12 +59,14 @@ def src04(spark, sf_dir):
 
 @PLAN.query("op_src10_statements", f"WITH s AS ({JAVA}) SELECT k, 'select ' || k AS q FROM s")
 def src10(spark, sf_dir):
-    return made(spark, sf_dir, JAVA).select("k", F.explode(P.statements("content")).alias("q"))
+    found = java.facts(made(spark, sf_dir, JAVA).select(F.col("k").cast("string").alias("path"), "content"))
+    return java.statements(found).select(F.col("path").cast("long").alias("k"), F.col("sql").alias("q"))
 
 
 @PLAN.query("op_src20_throws", f"WITH s AS ({JAVA}) SELECT k, 'E' || (1000 + k % 50) AS code FROM s")
 def src20(spark, sf_dir):
-    return made(spark, sf_dir, JAVA).select("k", F.explode(P.throws("content")).alias("code"))
+    found = java.facts(made(spark, sf_dir, JAVA).select(F.col("k").cast("string").alias("path"), "content"))
+    return java.thrown(found).select(F.col("path").cast("long").alias("k"), "code")
 
 
 FLOW = f"SELECT o_orderkey AS k, concat('<flow id=\"TX', {N('o_orderkey')}, '\"><block><step id=\"a', {N('o_custkey')}, '\"/></block><step id=\"b\"/><case><when><step id=\"c\"/></when></case></flow>') AS xml FROM orders"
@@ -339,9 +345,7 @@ def src01(spark, sf_dir):
     for k, folder in enumerate(("src/main/java", "src/test/java", "docs")):
         # one text file a partition; a file has many classes
         files.where(F.col("k") % 3 == k).select("content").write.option("lineSep", "\u0001").text(f"{path}/{folder}")
-    spark_files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    kept = spark_files.where(P.java_path("path"))
-    return kept.select(F.explode(P.declarations("value")).alias("d")).agg(F.count("*").alias("n"))
+    return java.types(java.facts(P.java_files(spark, [path], glob="*.txt"))).agg(F.count("*").alias("n"))
 
 
 @PLAN.query("op_src11_first_sheet", REP + " SELECT abstract_sql, exec_params, max(cost_ms) AS cost FROM slow_raw GROUP BY 1, 2")

@@ -18,10 +18,10 @@ from ..operators.windows import best, carried
 MAX_KB = 500
 
 
-def java_files(spark: SparkSession, roots: list[str], max_kb: int = MAX_KB) -> DataFrame:
+def java_files(spark: SparkSession, roots: list[str], max_kb: int = MAX_KB, glob: str = "*.java") -> DataFrame:
     """path, content of Java files outside tests; content is null where a file is too large."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(roots)
-    return raw.where(java_path("path")).select("path", F.when(F.col("length") <= max_kb * 1024, F.decode("content", F.lit("UTF-8"))).alias("content"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
+    return raw.where(java_path("path")).select("path", F.when(F.col("length") <= max_kb * 1024, F.decode("content", "UTF-8")).alias("content"))
 
 
 def java_path(path: str) -> Column:
@@ -43,14 +43,6 @@ def raw_cell(cells: list[str]) -> Column:
     return F.coalesce(third, arrow, F.array_join(F.filter(all_, lambda x: F.trim(x) != ""), " "))
 
 
-def declarations(content: Column | str) -> Column:
-    """array<struct<kind,name,parents>> of class and interface declarations."""
-    pattern = r"\b(class|interface)\s+(\w+)(?:\s+extends\s+([\w, ]+?))?(?:\s+implements\s+([\w, ]+?))?\s*\{"
-    text = F.col(content) if isinstance(content, str) else content
-    part = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
-    return F.arrays_zip(part(1).alias("kind"), part(2).alias("name"), part(3).alias("parent"), part(4).alias("interfaces"))
-
-
 def call_kind(scope: Column, name: Column) -> Column:
     """Kind of a call by the text before its name, in order of precedence."""
     of_object = name.isin("equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone")
@@ -62,20 +54,6 @@ def call_kind(scope: Column, name: Column) -> Column:
     )
 
 
-def statements(content: Column | str) -> Column:
-    """SQL texts of @Statement(sql = "a" + "b") annotations, their literals joined."""
-    text = F.col(content) if isinstance(content, str) else content
-    found = F.regexp_extract_all(text, F.lit(r'@Statement\s*\(\s*sql\s*=\s*((?:"(?:[^"\\]|\\.)*"\s*\+?\s*)+)'), F.lit(1))
-    joined = F.transform(found, lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), ""))
-    return F.transform(joined, lambda x: F.regexp_replace(F.regexp_replace(x, r'\\"', '"'), r"\\n", "\n"))
-
-
-def throws(content: Column | str) -> Column:
-    """Codes of throw Scope.X1234(...), without those in comments; a scope is needed."""
-    text = F.regexp_replace(F.col(content) if isinstance(content, str) else content, r"//[^\n]*|(?s)/\*.*?\*/", "")
-    return F.regexp_extract_all(text, F.lit(r"\bthrow\s+\w+\.([A-Z]\d{3,4})\s*\("), F.lit(1))
-
-
 def _root(xml: str | None, strict: bool = False) -> tuple[str, dict, list] | None:
     """The root (tag, attributes that aren't blank, trimmed, and children) of an XML text; None if it
     is broken. strict: attributes as they stand, and a DOCTYPE counts as broken."""
