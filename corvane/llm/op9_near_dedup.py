@@ -1,7 +1,7 @@
 """Near-duplicates by SuperMinHash, banding, verification on full sets and union-find.
 
-A document's set is its distinct word shingles; equal sets (by size and two independent 64-bit
-hashes) are one class, which only its smallest doc_id represents. SuperMinHash gives each shingle
+A document's set is its distinct word shingles; documents of the same words (by a 128-bit BLAKE2b
+of them, lower-cased) are one class, which only its smallest doc_id represents. SuperMinHash gives each shingle
 a random rank order of the signature's slots, so that slots are filled without repetition; levels
 run for all shingles of a block at once and a document stops once all its slots hold a smaller
 level. Bands of ROWS slots make buckets, each with its smallest doc_id as pivot. A document is first
@@ -9,15 +9,20 @@ compared with the pivot that most of its buckets have; then, in buckets that sti
 components, with the bucket's pivot and with another one. What then still spans several is
 compared in full, those outside the bucket's largest component with all, in cells of two blocks of
 about CELL members each (fewer where sets are large), so that no bucket is one task's work and no
-pair list is written. Links count if threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
+pair list is written. A pair with a pivot is first judged by its signatures: one that agrees in fewer
+slots than five standard deviations below the threshold is none. Links count if threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
 
-Banding misses a link at the threshold with a probability under 1e-6. Null or empty text, or
+Banding and signatures each miss a link at the threshold with a probability under 1e-6. Keys of over
+HOT rows are dealt to more tasks the more rows they have: which they are stands in a table of at most
+SLOTS_OF_KEYS rows, which is broadcast. Null or empty text, or
 without words: empty set, linked with nothing. Null doc_id: n_shingles, a null component_id,
-kept. Repeated rows: the same result on each; of rows with one doc_id and several texts one stands
-for the doc_id. Empty tables: no rows."""
+kept. Repeated rows: the same result on each. Of rows with one doc_id and several texts the text with
+the smallest digest stands for the doc_id, in any order of rows; all of them get its component.
+Empty tables: no rows."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,28 +30,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import discard, keep
 from . import textvec as tv
 from .graph import components
 
 SLOTS, ROWS, CELL, CELL_SHINGLES = 64, 3, 256, 2_000_000
-SALTS = 8
+#: Rows of a key that one task takes, and slots of the table of keys with more.
+HOT, SLOTS_OF_KEYS = 4096, 1 << 16
 _LEVEL = np.uint32(25)
 
 
-def shingle_sets(text: pa.Array, n: int, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """(hashes, document) of the distinct shingles of a block, by document and first hash; its
-    documents. A hash for each lane."""
+def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, document) of the distinct shingles of a block, by document and hash; its documents."""
     data, off = tv.text_bytes(text)
     data = tv.LOWER[data]
     spans = tv.words(data, off)
-    (h, doc), *others = (tv.shingles(tv.span_hash(data, spans.start, spans.end, lane), spans, n) for lane in range(lanes))
+    h, doc = tv.shingles(tv.span_hash(data, spans.start, spans.end), spans, n)
     bits = max(1, int(len(off) - 1).bit_length())
     order = np.argsort((doc.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return [h[new], *(g[order][new] for g, _ in others)], doc[new], len(off) - 1
+    return h[new], doc[new], len(off) - 1
+
+
+def word_digests(text: pa.Array) -> np.ndarray:
+    """Two 64-bit numbers a document: BLAKE2b of its words, A-Z lower-cased, joined by spaces."""
+    raw = [b" ".join(t.lower().split()) for t in text.fill_null("").cast(pa.large_binary()).to_pylist()]
+    return np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in raw), np.int64).reshape(-1, 2)
 
 
 def exact_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -105,23 +116,36 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(shingle: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.blocks(batches):
-            lanes, doc, n_docs = shingle_sets(batch.column("text"), shingle, 2)
+            h, doc, n_docs = shingle_sets(batch.column("text"), shingle)
             count = np.bincount(doc, minlength=n_docs)
-            some = np.flatnonzero(count)
-            at = (np.cumsum(count) - count)[some]
-            sums = np.zeros((2, n_docs), np.uint64)
-            for total, h in zip(sums, lanes):
-                if len(some):
-                    total[some] = np.add.reduceat(tv.mix(h), at)
-            keys = bands(superminhash(lanes[0], doc, n_docs)).view(np.int64)
+            digest = word_digests(batch.column("text"))
+            sig = superminhash(h, doc, n_docs)
+            keys = bands(sig).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))],
-                ["doc_id", "n_shingles", "h1", "h2", "keys"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(count.astype(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())), pa.array([x.tobytes() for x in sig], pa.binary())],
+                ["doc_id", "n_shingles", "h1", "h2", "keys", "sig"],
             )
 
     return sign
 
 
+def _likely(least: int):
+    """Rows (a, b, sig_a, sig_b) -> the (a, b) whose signatures agree in so many slots at least."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(tv.text_bytes(batch.column(c))[0].tobytes(), np.uint32).reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
+            yield batch.filter(pa.array((a == b).sum(axis=1) >= least)).select(["a", "b"])
+
+    return likely
+
+
+def least_slots(threshold: tuple[int, int]) -> int:
+    """Slots in which the signatures of a pair at the threshold agree, less five standard deviations."""
+    t = threshold[0] / threshold[1]
+    return int(SLOTS * t - 5 * (SLOTS * t * (1 - t)) ** 0.5)
+
+
 def _verify(shingle: int, threshold: tuple[int, int]):
     """Rows (a, b, text_a, text_b) -> the linked (a, b)."""
 
@@ -190,30 +214,59 @@ def _compare_cell(shingle: int, threshold: tuple[int, int]):
     return compare
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    """Each row for every salt: members of one bucket meet it in SALTS tasks."""
-    return df.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+def hot_slots(counts: DataFrame, key: list[str], n: str) -> DataFrame:
+    """(slot, salts) of the keys with over HOT rows: a table of bounded size. A key that shares the slot
+    of a hot one is dealt out with it."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS_OF_KEYS)).alias("slot")
+    return counts.where(F.col(n) > HOT).groupBy(slot).agg(F.ceil(F.max(n) / HOT).cast("int").alias("salts"))
+
+
+def dealt(df: DataFrame, key: list[str], slots: DataFrame, by: str | None) -> DataFrame:
+    """df with a salt: rows of a hot key are dealt by the column `by` over the key's salts; without
+    it, a row is there for each salt, so that both meet on the key and the salt."""
+    there = df.withColumn("slot", F.pmod(F.xxhash64(*key), F.lit(SLOTS_OF_KEYS))).join(F.broadcast(slots), "slot", "left").drop("slot")
+    salts = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(by), salts).cast("int") if by else F.explode(F.sequence(F.lit(0), salts - 1))
+    return there.withColumn("salt", salt).drop("salts")
 
 
 def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(sets, classes): a row (doc_id, n_shingles, h1, h2) for each document, and of each class
-    (h1, h2, n_shingles) of several documents, or linked with another, the label of its component."""
-    signed = keep(docs.select("doc_id", "text").mapInArrow(_sign(shingle), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signed")
-    sets = signed.drop("keys")
-    classes = keep(sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
-    rows = signed.join(classes.select("h1", "h2", F.col("cid").alias("doc_id")).distinct(), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
-    placed = keep(rows.select(F.col("doc_id").alias("cid"), salt, "n_shingles", F.explode("keys").alias("key")), "placed")
-    full = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1")
-    placed = keep(placed.join(_salted(full), ["key", "salt"]), "buckets", small=True)
-    members = placed.select("cid").distinct()
-    texts = keep(docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid", "left_semi").dropDuplicates(["cid"]), "texts")
-    labels = members.select("cid", F.col("cid").alias("label"))
+    """(sets, classes): a row (doc_id, n_shingles, h1, h2) for each document, where h1 and h2 name its
+    class, and of each class of several documents, or linked with another, (h1, h2, label, copies)."""
+    signed = keep(docs.select("doc_id", "text").mapInArrow(_sign(shingle), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signed")
+    one = F.struct("h1", "h2", F.col("n_shingles").alias("n"))
+    several = keep(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(one).alias("one"), F.max(one).alias("other")).where("one <> other").select("doc_id", "one"), "several", small=True)
+    spoken = signed.drop("keys", "sig").join(several, "doc_id", "left")
+    sets = spoken.select("doc_id", "n_shingles", F.coalesce("one.h1", "h1").alias("h1"), F.coalesce("one.h2", "h2").alias("h2"), F.coalesce("one.n", "n_shingles").alias("n"))
+    classes = keep(sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
+    rows = signed.join(classes.select("h1", "h2", F.col("cid").alias("doc_id")), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
+    placed = keep(rows.select(F.col("doc_id").alias("cid"), "n_shingles", F.explode("keys").alias("key")), "placed")
+    full = keep(placed.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).where("members > 1"), "full", small=True)
+    slots = keep(hot_slots(full, ["key"], "members"), "slots", small=True)
+    told, placed_ = dealt(full, ["key"], slots, None), placed
+    placed = keep(dealt(placed, ["key"], slots, "cid").join(told, ["key", "salt"]), "buckets", small=True)
+    discard(placed_, full)
+    labels = keep(placed.select("cid", F.col("cid").alias("label")).distinct(), "labels", small=True)
+    members = labels.select("cid")
+    signatures = keep(rows.select(F.col("doc_id").alias("cid"), "sig").join(members, "cid", "left_semi"), "signatures")
+    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(members, "cid", "left_semi")
+    if not several.isEmpty():
+        told = texts.join(several.select(F.col("doc_id").alias("cid"), "one"), "cid", "left")
+        texts = told.mapInArrow(_standing, "cid long, text string")
+    texts = keep(texts.dropDuplicates(["cid"]), "texts")
+
+    def met(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+        """Pairs with both sides' columns; a pivot of many pairs meets them in many tasks."""
+        slots = keep(hot_slots(pairs.groupBy("b").agg(F.count("*").alias("n")), ["b"], "n"), "slots", small=True)
+        with_a = dealt(pairs, ["b"], slots, "a").join(table.select(F.col("cid").alias("a"), F.col(what).alias(f"{what}_a")), "a")
+        pivots = table.select(F.col("cid").alias("b"), F.col(what).alias(f"{what}_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+        return with_a.join(dealt(pivots, ["b"], slots, None), ["b", "salt"]).select("a", "b", f"{what}_a", f"{what}_b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, threshold), "a long, b long")
+        pairs = keep(pairs, "pairs", small=True)
+        likely = keep(met(pairs, signatures, "sig").mapInArrow(_likely(least_slots(threshold)), "a long, b long"), "likely", small=True)
+        discard(pairs)
+        return met(likely, texts, "text").mapInArrow(_verify(shingle, threshold), "a long, b long")
 
     def merged(found: DataFrame, labels: DataFrame) -> DataFrame:
         """Only links between different labels go on, as links of the labels."""
@@ -234,14 +287,25 @@ def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> t
         pivot = F.min_by("cid", F.xxhash64("cid", F.lit(turn))) if turn else F.min("pivot")
         spread = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("pivot"))
         named = spread.where("low <> high").join(labels.select(F.col("cid").alias("pivot"), F.col("label").alias("of")), "pivot")
-        pairs = here.drop("pivot").join(_salted(named.select("key", "pivot", "of")), ["key", "salt"]).where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+        pairs = here.drop("pivot").join(dealt(named.select("key", "pivot", "of"), ["key"], slots, None), ["key", "salt"]).where("label <> of").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         labels = merged(verified(pairs.distinct()), labels)
-    labels = merged(_full_compare(placed, labels, texts, shingle, threshold), labels)
+        discard(here)
+    labels = merged(_full_compare(placed, labels, texts, slots, shingle, threshold), labels)
+    discard(placed, texts, signatures)
     joined = classes.join(labels, "cid", "left").withColumn("component_id", F.coalesce("label", "cid"))
-    return sets, joined.where("copies > 1 or component_id <> cid").select("h1", "h2", "n_shingles", "component_id")
+    return sets, joined.where("copies > 1 or component_id <> cid").select("h1", "h2", "component_id", "copies")
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cid, text, one) -> those whose text has the digest that stands for its doc_id, if one does."""
+    for batch in batches:
+        one = batch.column("one")
+        known = np.array([x is None for x in one.to_pylist()], bool)
+        wanted = np.array([(0, 0) if x is None else (x["h1"], x["h2"]) for x in one.to_pylist()], np.int64).reshape(-1, 2)
+        yield batch.filter(pa.array(known | (word_digests(batch.column("text")) == wanted).all(axis=1))).select(["cid", "text"])
 
 
-def _open_rows(here: DataFrame) -> DataFrame:
+def _open_rows(here: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows of the buckets that span several labels, with the bucket's largest label, its members
     and what they weigh; buckets with the same members count once."""
     by_label = here.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("mark"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("mark2"))
@@ -249,14 +313,14 @@ def _open_rows(here: DataFrame) -> DataFrame:
         F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("weight").alias("weight"), F.count("*").alias("labels"), F.bit_xor("mark").alias("mark"), F.bit_xor("mark2").alias("mark2")
     ).where("labels > 1")
     once = buckets.groupBy("all", "mark", "mark2").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("most", "key").alias("most"), F.min_by("weight", "key").alias("weight"))
-    return here.join(_salted(once.select("key", "main", "all", "most", "weight")), ["key", "salt"])
+    return here.join(dealt(once.select("key", "main", "all", "most", "weight"), ["key"], slots, None), ["key", "salt"])
 
 
-def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, slots: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """Links between components inside buckets of three and more members: those outside the
     bucket's largest component against all, block by block."""
     here = placed.where("members > 2").select("key", "salt", "cid", "n_shingles").join(labels, "cid")
-    rows = keep(_open_rows(here), "open", small=True)
+    rows = keep(_open_rows(here, slots), "open", small=True)
     cells = F.greatest(F.ceil(F.col("all") / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
     few = F.greatest(F.ceil((F.col("all") - F.col("most")) / CELL), F.ceil(F.col("weight") / CELL_SHINGLES))
     block = lambda n: F.pmod(F.xxhash64("cid"), n)
@@ -269,9 +333,10 @@ def _full_compare(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingl
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept for each row of docs."""
     sets, classes = class_labels(docs, shingle, threshold)
-    # copies of one text meet their class in SALTS tasks
-    spread = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = spread.join(_salted(classes), ["h1", "h2", "n_shingles", "salt"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    # copies of one text meet their class in many tasks
+    slots = keep(hot_slots(classes, ["h1", "h2"], "copies"), "slots", small=True)
+    out = dealt(sets, ["h1", "h2"], slots, "doc_id").join(dealt(classes.drop("copies"), ["h1", "h2"], slots, None), ["h1", "h2", "salt"], "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
