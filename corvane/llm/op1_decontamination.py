@@ -158,7 +158,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
     chars = benchmark.agg(F.coalesce(F.sum(F.char_length("text") + 8), F.lit(0))).first()[0]
     n = -(-chars // block_chars)
     for k in range(n):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(n)) == k)
+        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k)
         yield benchmark.sparkSession.sparkContext.broadcast(Items.of(part.toArrow()))
 
 

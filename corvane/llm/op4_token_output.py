@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import partitions
 from ..session import drop_at_exit, shared_dir
 from . import textvec as tv
 
@@ -298,7 +299,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         if held:
             yield packed()
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = partitions(docs.select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     ordered = rows.repartitionByRange(shards, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import partitions
 from ..session import keep
 
 ROLES = ["system", "user", "assistant"]
@@ -163,7 +164,7 @@ def pack_turns(turns: DataFrame) -> DataFrame:
     """BLOCKS of turns(conv_id, turn, text[, role]): turns in order; a block is open unless its conversation lies inside it."""
     known = F.col("role") if "role" in turns.columns else F.lit(None)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"), known.cast("string").alias("role"))
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(rows)
     order = ["conv_id", "turn", "text"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import dealt, hot_slots
 from ..session import drop, keep, shared_dir
 from . import textvec as tv
 
@@ -418,8 +419,10 @@ def _copies(shards: DataFrame, length: int) -> DataFrame:
     """REPLY rows of pass 0: the rows whose whole text, no shorter than length, a smaller document has."""
     rank = F.coalesce("doc_id", F.lit(_LAST)).alias("rank")
     rows = shards.where(F.col("size") >= length).select("shard", "row", "digest", rank)
-    first = rows.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
-    found = rows.join(first, "digest").where("rank > least")
+    first = rows.groupBy("digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("n")).where("least < most")
+    first = keep(first, "digests", small=True)
+    slots = keep(hot_slots(first, ["digest"], "n"), "slots", small=True)
+    found = dealt(rows, ["digest"], slots, "rank").join(dealt(first.select("digest", "least"), ["digest"], slots, None), ["digest", "salt"]).where("rank > least")
     return found.selectExpr("shard", "0 as pass", "row as p", "0L as n", "cast('' as binary) as bits")
 
 
@@ -428,7 +431,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, ranges = max(parts, -(-size // BUCKET_BYTES)), max(2 * parts, -(-size // RANGE_BYTES))
+    # shards share buckets beyond what a table may have
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    buckets, ranges = min(most, max(parts, -(-size // BUCKET_BYTES))), max(2 * parts, -(-size // RANGE_BYTES))
     shards = _shard_table(docs, shard_bytes, buckets)
 
     def visit(replies: DataFrame, f, schema: str) -> DataFrame:

@@ -3,13 +3,15 @@
 Base kinds are found by pattern and check (see PATTERNS). High-recall generators propose further,
 overlapping spans: words with a digit and numbers with separators. A candidate has format and
 context features of a few values each, so all candidates of a corpus fall into at most
-prod(SIZES) cells. Cells are counted over all rows with a distant label (the span overlaps a
-checked base span, or a secret's name stands before it); no feature tells what a label rests on:
-the words that name secrets are no cue, and checks of base spans are not repeated. Boosted
-regression trees are
-fitted to the cells' weighted counts, their scores calibrated by pooling adjacent violators, and
-the threshold of each generator is the smallest score with a calibrated share of `precision`.
-The trees become one SQL expression. Selected candidates that overlap no base span are added as
+prod(SIZES) cells. Cells are counted over all rows with a distant label: the span overlaps a
+checked base span, or its name stands before it (a secret's before a word, a contact's or an
+account's before a number); no feature tells what a label rests on: those names are no cue of
+theirs, and checks of base spans are not repeated. Boosted regression trees are fitted to the
+cells' weighted counts. Only candidates outside base spans can be added, so only they calibrate:
+their scores are pooled where adjacent ones violate the order, and the threshold of each generator
+is the smallest score of a pool whose share of named ones, with half a named one among one more
+candidate added to it, reaches `precision`. That rule holds at every size; at 0.95 it takes nine
+named candidates without another. The trees become one SQL expression. Selected candidates that overlap no base span are added as
 kind secret or number; where two overlap, secret goes first.
 
 Positions are code points, end exclusive. Null or empty text: no spans. Null doc_id and repeated
@@ -43,7 +45,7 @@ CUES = r"(?i)(?:tel|phone|call|fax|mobile|contact|card|account|iban|ssn|host|ser
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
 FEATURES = ["generator", "size", "digits", "hex", "parts", "opens", "cue", "assigned", "quoted"]
 SIZES = [2, 4, 5, 2, 3, 2, 2, 2, 2]
-PRECISION, ROUNDS, RATE, DEPTH, LEAST = 0.95, 24, 0.3, 3, 20
+PRECISION, ROUNDS, RATE, DEPTH = 0.95, 24, 0.3, 3
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -105,13 +107,13 @@ def _described(text: Column, span: Column, generator: int) -> Column:
         F.rlike(value, F.lit("^[0-9a-f]+$")).cast("int"),
         F.least(F.lit(2), F.size(F.regexp_extract_all(value, F.lit(r"[\x20()._-]+"), F.lit(0)))),
         F.rlike(value, F.lit(r"^[+(]")).cast("int"),
-        F.rlike(before, F.lit(CUES)).cast("int"),
+        F.rlike(before, F.lit(CUES)).cast("int") if generator == 0 else F.lit(0),
         F.rlike(before, F.lit(r"[=:]\s?[\x22\x27]?$")).cast("int"),
         F.rlike(before, F.lit(r"[\x22\x27]$")).cast("int"),
     ]
     return F.struct(
         span["start"].alias("start"), span["end"].alias("end"), F.lit(list(GENERATORS)[generator]).alias("kind"),
-        F.struct(*(x.cast("int").alias(n) for n, x in zip(FEATURES, features))).alias("f"), F.rlike(before, F.lit(SECRET_NAMES)).alias("named"),
+        F.struct(*(x.cast("int").alias(n) for n, x in zip(FEATURES, features))).alias("f"), F.rlike(before, F.lit((SECRET_NAMES, CUES)[generator])).alias("named"),
     )
 
 
@@ -179,25 +181,27 @@ def _value(tree, features: tuple[int, ...]) -> float:
 def _threshold(scored: list[tuple[float, float, float]], precision: float) -> float:
     """The smallest score whose calibrated share of positives reaches precision, infinite if none."""
     pools: list[list[float]] = []
-    for s, pos, neg in sorted(scored):
+    for s, pos, neg in sorted(x for x in scored if x[1] + x[2]):
         pools.append([s, pos, neg])
         while len(pools) > 1 and pools[-2][1] * sum(pools[-1][1:]) >= pools[-1][1] * sum(pools[-2][1:]):
             s0, p0, n0 = pools.pop(-2)
             pools[-1] = [s0, pools[-1][1] + p0, pools[-1][2] + n0]
-    return min((s for s, pos, neg in pools if pos + neg >= LEAST and pos >= precision * (pos + neg)), default=math.inf)
+    return min((s for s, pos, neg in pools if pos + 0.5 >= precision * (pos + neg + 1)), default=math.inf)
 
 
 def train(proposed: DataFrame, precision: float = PRECISION) -> tuple[list, list[float]]:
     """(trees, threshold of each generator) from rows with base and proposed. What reaches the
     driver is a count of each cell, at most prod(SIZES)."""
     one = proposed.select("base", F.explode("proposed").alias("c"))
-    label = F.col("c.named") | _overlaps(F.col("c"), F.col("base"))
-    counted = one.groupBy(*(F.col(f"c.f.{n}").alias(n) for n in FEATURES)).agg(F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"))
-    cells = sorted((tuple(r[n] for n in FEATURES), float(r["pos"]), float(r["neg"])) for r in counted.collect())
+    over, named = _overlaps(F.col("c"), F.col("base")), F.col("c.named")
+    count = lambda what, name: F.count_if(what).cast("double").alias(name)
+    counted = one.groupBy(*(F.col(f"c.f.{n}").alias(n) for n in FEATURES)).agg(count(named | over, "pos"), count(~(named | over), "neg"), count(named & ~over, "free_pos"), count(~named & ~over, "free_neg"))
+    rows = sorted((tuple(r[n] for n in FEATURES), r["pos"], r["neg"], r["free_pos"], r["free_neg"]) for r in counted.collect())
+    cells = [r[:3] for r in rows]
     if not any(c[1] for c in cells) or not any(c[2] for c in cells):
         return [], [math.inf] * len(GENERATORS)
     trees = _boost(cells)
-    scored = [(c[0][0], sum(_value(t, c[0]) for t in trees), c[1], c[2]) for c in cells]
+    scored = [(r[0][0], sum(_value(t, r[0]) for t in trees), r[3], r[4]) for r in rows]
     return trees, [_threshold([x[1:] for x in scored if x[0] == g], precision) for g in range(len(GENERATORS))]
 
 

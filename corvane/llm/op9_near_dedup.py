@@ -12,9 +12,9 @@ about CELL members each (fewer where sets are large), so that no bucket is one t
 pair list is written. A pair with a pivot is first judged by its signatures: one that agrees in fewer
 slots than five standard deviations below the threshold is none. Links count if threshold[1] * intersection >= threshold[0] * union, by the words themselves and not their hashes.
 
-Banding and signatures each miss a link at the threshold with a probability under 1e-6. Keys of over
-HOT rows are dealt to more tasks the more rows they have: which they are stands in a table of at most
-SLOTS_OF_KEYS rows, which is broadcast. Null or empty text, or
+Banding and signatures each miss a link at the threshold with a probability under 1e-6. Keys of
+over skew.HOT rows are dealt to more tasks the more rows they have: which they are stands in a table
+of at most skew.SLOTS rows, which is broadcast. Null or empty text, or
 without words: empty set, linked with nothing. Null doc_id: n_shingles, a null component_id,
 kept. Repeated rows: the same result on each. Of rows with one doc_id and several texts the text with
 the smallest digest stands for the doc_id, in any order of rows; all of them get its component.
@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import dealt, hot_slots
 from ..session import discard, keep
 from . import textvec as tv
 from .graph import components
 
 SLOTS, ROWS, CELL, CELL_SHINGLES = 64, 3, 256, 2_000_000
-#: Rows of a key that one task takes, and slots of the table of keys with more.
-HOT, SLOTS_OF_KEYS = 4096, 1 << 16
 _LEVEL = np.uint32(25)
 
 
@@ -214,22 +213,6 @@ def _compare_cell(shingle: int, threshold: tuple[int, int]):
     return compare
 
 
-def hot_slots(counts: DataFrame, key: list[str], n: str) -> DataFrame:
-    """(slot, salts) of the keys with over HOT rows: a table of bounded size. A key that shares the slot
-    of a hot one is dealt out with it."""
-    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS_OF_KEYS)).alias("slot")
-    return counts.where(F.col(n) > HOT).groupBy(slot).agg(F.ceil(F.max(n) / HOT).cast("int").alias("salts"))
-
-
-def dealt(df: DataFrame, key: list[str], slots: DataFrame, by: str | None) -> DataFrame:
-    """df with a salt: rows of a hot key are dealt by the column `by` over the key's salts; without
-    it, a row is there for each salt, so that both meet on the key and the salt."""
-    there = df.withColumn("slot", F.pmod(F.xxhash64(*key), F.lit(SLOTS_OF_KEYS))).join(F.broadcast(slots), "slot", "left").drop("slot")
-    salts = F.coalesce("salts", F.lit(1))
-    salt = F.pmod(F.xxhash64(by), salts).cast("int") if by else F.explode(F.sequence(F.lit(0), salts - 1))
-    return there.withColumn("salt", salt).drop("salts")
-
-
 def class_labels(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): a row (doc_id, n_shingles, h1, h2) for each document, where h1 and h2 name its
     class, and of each class of several documents, or linked with another, (h1, h2, label, copies)."""
