@@ -79,6 +79,21 @@ VIEWS: dict[str, str] = {
     "actions": """
         SELECT event_id AS seq, user_id AS app_id, CASE event_id % 6 WHEN 0 THEN 'SUBMIT' WHEN 1 THEN 'APPROVE_L1' WHEN 2 THEN 'APPROVE_L2' WHEN 3 THEN 'REJECT_L1' WHEN 4 THEN 'REJECT_L2' ELSE 'CANCEL' END AS action
         FROM events""",
+    # requests by their number, and actions on them with who acts and which state they expect
+    "requests": """
+        SELECT c_custkey AS app_id, concat('u', CAST(c_custkey % 20 AS VARCHAR(20))) AS applicant, concat('u', CAST(c_custkey % 7 AS VARCHAR(20))) AS l1_approver, concat('u', CAST(c_custkey % 5 AS VARCHAR(20))) AS l2_approver
+        FROM customer WHERE c_custkey % 17 <> 4""",
+    "tries": """
+        SELECT event_id AS seq, user_id % 150 AS app_id, CASE event_id % 6 WHEN 0 THEN 'SUBMIT' WHEN 1 THEN 'APPROVE_L1' WHEN 2 THEN 'APPROVE_L2' WHEN 3 THEN 'REJECT_L1' WHEN 4 THEN 'REJECT_L2' ELSE 'CANCEL' END AS action,
+          concat('u', CAST(CASE WHEN event_id % 11 = 3 THEN 99 WHEN event_id % 6 IN (0, 5) THEN user_id % 150 % 20 WHEN event_id % 6 IN (1, 3) THEN user_id % 150 % 7 ELSE user_id % 150 % 5 END AS VARCHAR(20))) AS actor,
+          CASE WHEN event_id % 5 < 3 THEN NULL WHEN event_id % 6 IN (1, 3, 5) THEN 'PENDING_L1' WHEN event_id % 6 = 0 THEN 'NONE' ELSE 'PENDING_L2' END AS expected
+        FROM events""",
+    # commits of repositories as a topological log: every ninth is a merge, every thirteenth on a side branch
+    "commits": """
+        SELECT c_nationkey AS repo_id, c_custkey AS seq, concat('s', CAST(c_custkey AS VARCHAR(20))) AS sha,
+          CASE WHEN c_custkey + 50 > n THEN NULL ELSE concat('s', CAST(c_custkey + CASE WHEN c_custkey % 13 = 5 THEN 50 ELSE 25 END AS VARCHAR(20))) END AS parent,
+          CASE WHEN c_custkey % 9 = 2 AND c_custkey + 100 < n THEN concat('s', CAST(c_custkey + 75 AS VARCHAR(20))) END AS parent2
+        FROM (SELECT c_custkey, c_custkey % 25 AS c_nationkey, count(*) OVER () AS n FROM customer)""",
     # code ownership facts
     "owned": """
         SELECT l_linenumber AS repo_id, concat('/x-', p_brand, '/src/main/java/org/bank/', CASE l_partkey % 4 WHEN 0 THEN 'dept' WHEN 1 THEN 'loan' WHEN 2 THEN 'comm' ELSE 'sett' END, '/F', CAST(l_partkey AS VARCHAR(20)), '.java') AS file_path,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import reach
+
 # State and action -> next state; every other pair is illegal and changes nothing.
 TRANSITIONS = {
     ("NONE", "SUBMIT"): "PENDING_L1",
@@ -25,45 +27,88 @@ STATES = ["NONE", *sorted({state for pair in TRANSITIONS for state in (pair[0],
 BLOCK_BITS = 12
 
 
-def _move(to: int, bad: int) -> Column:
-    return F.struct(F.lit(to).alias("to"), F.lit(bad).cast("long").alias("bad"))
+#: Who may do what, by the column of the request that names the actor.
+ACTORS = {"SUBMIT": "applicant", "CANCEL": "applicant", "APPROVE_L1": "l1_approver", "REJECT_L1": "l1_approver", "APPROVE_L2": "l2_approver", "REJECT_L2": "l2_approver"}
+COUNTS = ["bad", "denied", "stale"]
+
+
+def _move(to, **counts) -> Column:
+    number = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(number(to).cast("int").alias("to"), *(number(counts.get(c, 0)).cast("long").alias(c) for c in COUNTS))
 
 
 def _moves(action: Column) -> Column:
-    """What an action does from each state: the place of the next state and illegal actions. One
+    """What an action does from each state: the place of the next state and what is counted. One
     that is null or not known is illegal everywhere."""
     known = []
     for name in sorted({a for _, a in TRANSITIONS}):
         after = [TRANSITIONS.get((s, name)) for s in STATES]
-        known += [F.lit(name), F.array(*(_move(STATES.index(t or s), int(t is None)) for s, t in zip(STATES, after)))]
-    return F.coalesce(F.element_at(F.create_map(*known), action), F.array(*(_move(k, 1) for k in range(len(STATES)))))
+        known += [F.lit(name), F.array(*(_move(STATES.index(t or s), bad=int(t is None)) for s, t in zip(STATES, after)))]
+    return F.coalesce(F.element_at(F.create_map(*known), action), F.array(*(_move(k, bad=1) for k in range(len(STATES)))))
+
+
+def _guarded(moves: Column, allowed: Column, expected: Column, skips: Column) -> Column:
+    """Moves that hold only from the expected state, if one is named, and for an allowed actor. What
+    is refused changes nothing and counts as stale, else illegal, else denied. skips: a submission
+    passes the first level."""
+    l1, l2 = STATES.index("PENDING_L1"), STATES.index("PENDING_L2")
+    stays = lambda k, **count: _move(k, **count)
+    past = lambda x: F.when(skips & (x["to"] == l1) & (x["bad"] == 0), _move(l2)).otherwise(x)
+    return F.transform(moves, lambda x, k: F.when(expected != F.get(F.array(*map(F.lit, STATES)), k), stays(k, stale=1)).when(x["bad"] > 0, x).when(~allowed, stays(k, denied=1)).otherwise(past(x)))
 
 
 def _then(first: Column, second: Column) -> Column:
     """Moves one after the other."""
     after = lambda x: F.get(second, x["to"])
-    return F.transform(first, lambda x: F.struct(after(x)["to"].alias("to"), (x["bad"] + after(x)["bad"]).alias("bad")))
+    return F.transform(first, lambda x: F.struct(after(x)["to"].alias("to"), *((x[c] + after(x)[c]).alias(c) for c in COUNTS)))
 
 
 def _composed(history: str, moves) -> Column:
-    return F.aggregate(history, F.array(*(_move(k, 0) for k in range(len(STATES)))), lambda m, x: _then(m, moves(x)))
+    return F.aggregate(history, F.array(*(_move(k) for k in range(len(STATES)))), lambda m, x: _then(m, moves(x)))
 
 
-def folded(actions: DataFrame) -> DataFrame:
-    """(app_id, status, n_actions, n_illegal) after all actions(app_id, seq, action) in order, those
-    of one seq by action. A request's history is cut into blocks of at most 4096 rows by ranges of
+def _ends(actions: DataFrame, what: list[str], moves) -> DataFrame:
+    """(app_id, n, m) after all actions(app_id, seq, action, ...) in order: their number and the moves
+    from every state. A request's history is cut into blocks of at most 4096 rows by ranges of
     (app_id, seq); a block becomes its moves from every state, and moves are joined by block, by
-    range and by request, so no history is held in one row. Null seqs come first."""
-    ranged = actions.select("app_id", "seq", "action").repartitionByRange("app_id", "seq", "action").sortWithinPartitions("app_id", "seq", "action")
+    range and by request, so no history is held in one row."""
+    by = ["app_id", "seq", *what]
+    ranged = actions.select(*by).repartitionByRange(*by).sortWithinPartitions(*by)
     placed = ranged.withColumn("at", F.monotonically_increasing_id())  # the range in the upper 31 bits
-    placed = placed.select("app_id", F.shiftright("at", 33).alias("range"), F.shiftright("at", BLOCK_BITS).alias("block"), "at", "action")
-    rows = placed.groupBy("app_id", "range", "block").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("h"), F.count("*").alias("n"))
-    rows = rows.select("app_id", "range", "block", "n", _composed("h", lambda x: _moves(x["action"])).alias("m"))
+    placed = placed.select("app_id", F.shiftright("at", 33).alias("range"), F.shiftright("at", BLOCK_BITS).alias("block"), "at", *what)
+    rows = placed.groupBy("app_id", "range", "block").agg(F.array_sort(F.collect_list(F.struct("at", *what))).alias("h"), F.count("*").alias("n"))
+    rows = rows.select("app_id", "range", "block", "n", _composed("h", moves).alias("m"))
     for keys, order in (["app_id", "range"], "block"), (["app_id"], "range"):
         joined = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "m"))).alias("h"), F.sum("n").alias("n"))
         rows = joined.select(*keys, "n", _composed("h", lambda x: x["m"]).alias("m"))
-    end = F.get("m", F.lit(STATES.index("NONE")))
-    return rows.select("app_id", F.get(F.array(*map(F.lit, STATES)), end["to"]).alias("status"), F.col("n").alias("n_actions"), end["bad"].alias("n_illegal"))
+    return rows.select("app_id", "n", F.get("m", F.lit(STATES.index("NONE"))).alias("end"))
+
+
+def folded(actions: DataFrame) -> DataFrame:
+    """(app_id, status, n_actions, n_illegal) after all actions(app_id, seq, action) in order, those
+    of one seq by action. Null seqs come first."""
+    rows = _ends(actions, ["action"], lambda x: _moves(x["action"]))
+    return rows.select("app_id", F.get(F.array(*map(F.lit, STATES)), F.col("end.to")).alias("status"), F.col("n").alias("n_actions"), F.col("end.bad").alias("n_illegal"))
+
+
+def attempts(applications: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions with whether their actor may do them and whether a submission passes the first level
+    (the applicant approves it themself); applications(app_id, applicant, l1_approver, l2_approver).
+    Actions of an unknown request may be done by nobody."""
+    both = actions.join(applications.select("app_id", *sorted(set(ACTORS.values()))), "app_id", "left")
+    role = F.coalesce(*(F.when(F.col("action") == a, F.col(c)) for a, c in ACTORS.items()))
+    return both.select("app_id", "seq", "action", "expected", F.coalesce(role == F.col("actor"), F.lit(False)).alias("allowed"), F.coalesce(F.col("applicant") == F.col("l1_approver"), F.lit(False)).alias("skips"))
+
+
+def decided(applications: DataFrame, actions: DataFrame) -> DataFrame:
+    """(app_id, status, n_actions, n_illegal, n_denied, n_stale) after all actions(app_id, seq, action,
+    actor, expected): compare and set. An action holds only from the state that its actor expects (any
+    if null) and by the actor whom its request names: the applicant submits and cancels, each level's
+    approver decides. A refused one changes nothing and is counted once, as stale, else illegal, else denied."""
+    moves = lambda x: _guarded(_moves(x["action"]), x["allowed"], x["expected"], x["skips"])
+    rows = _ends(attempts(applications, actions), ["action", "expected", "allowed", "skips"], moves)
+    counts = [F.col(f"end.{c}").alias(n) for c, n in zip(COUNTS, ("n_illegal", "n_denied", "n_stale"))]
+    return rows.select("app_id", F.get(F.array(*map(F.lit, STATES)), F.col("end.to")).alias("status"), F.col("n").alias("n_actions"), *counts)
 
 
 def submitted(applications: DataFrame) -> DataFrame:
@@ -148,3 +193,20 @@ def changes(lines: DataFrame) -> DataFrame:
     one = lambda path, change: F.struct(path.alias("path"), F.lit(change).alias("change"))
     rows = F.when(code.isin("A", "M", "T"), F.array(one(parts[1], "CHANGED"))).when(code == "D", F.array(one(parts[1], "REMOVED"))).when(code == "R", F.array(one(parts[1], "REMOVED"), one(F.get(parts, 2), "CHANGED"))).when(code == "C", F.array(one(F.get(parts, 2), "CHANGED")))
     return lines.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def modes(repos: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo_id, mode): how repos(repo_id, head, base) are read again. UNCHANGED where the base is the
+    head; INCREMENTAL where it is an ancestor of the head; else FULL (no base, one that is gone, or one
+    that a rebase left aside). commits(repo_id, seq, sha, parents): seq is the line of a topological
+    log, in which children stand before their parents. So an ancestor stands further down, and the
+    search goes from the heads of all repositories at once, only as far down as their bases."""
+    name = lambda sha: F.concat_ws(":", "repo_id", sha)
+    known = commits.select(name("sha").alias("node"), "seq")
+    ends = repos.where("base <> head").select("repo_id", name("head").alias("head"), name("base").alias("base"))
+    ends = ends.join(known.select(F.col("node").alias("head"), F.col("seq").alias("top")), "head").join(known.select(F.col("node").alias("base"), F.col("seq").alias("bottom")), "base").where("top < bottom")
+    between = commits.join(ends.groupBy("repo_id").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")), "repo_id").where("seq BETWEEN top AND bottom")
+    edges = between.select(name("sha").alias("src"), F.explode("parents").alias("parent"), "repo_id").select("src", name("parent").alias("dst"))
+    found = reach(edges, ends.select(F.col("repo_id").alias("seed"), F.col("head").alias("node")))
+    below = found.join(ends.select(F.col("repo_id").alias("seed"), F.col("base").alias("node")), ["seed", "node"], "left_semi").select(F.col("seed").alias("repo_id"), F.lit("INCREMENTAL").alias("found")).distinct()
+    return repos.join(below, "repo_id", "left").select("repo_id", F.when(F.col("base") == F.col("head"), "UNCHANGED").otherwise(F.coalesce("found", F.lit("FULL"))).alias("mode"))

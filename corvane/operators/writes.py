@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +58,43 @@ def exported(df: DataFrame, path: str, columns: list[Column | str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def once_a_day(spark: SparkSession, runs: DataFrame, env: str, day: str) -> bool:
-    """Whether a run may begin: none of the environment is running on that day."""
-    return runs.where((F.col("env") == env) & (F.col("day") == day) & (F.col("status") == "RUNNING")).isEmpty()
+def _claim(spark: SparkSession, path: str, env: str, day: str) -> str:
+    if not env or not env.strip():
+        raise ValueError("a run needs an environment")
+    return f"{path}/claims/{quote(env, safe='')}/{quote(day, safe='')}"
+
+
+def begin(spark: SparkSession, path: str, env: str, day: str) -> bool:
+    """Claims the day's run of an environment; False where one is running. The claim is a marker that
+    only one start can create: by an exclusive open on a local or mounted folder, elsewhere by the
+    store's create without overwriting, which name nodes do at once. A finished run's marker is gone, so
+    the next start takes its place; one whose driver has died keeps the day until the marker is removed."""
+    claim = _claim(spark, path, env, day)
+    files, at = _folder(spark, claim)
+    files.mkdirs(at(claim).getParent())
+    if files.getScheme() == "file":
+        try:
+            os.close(os.open(at(claim).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        files.create(at(claim), False).close()
+    except Exception as e:
+        if files.exists(at(claim)):
+            return False
+        raise e
+    return True
+
+
+def finish(spark: SparkSession, path: str, env: str, day: str, rows: DataFrame | None) -> None:
+    """Ends a claimed run: its rows take the place of those of the same environment and day, and of no
+    others; None leaves what is there. Then the day may be claimed again."""
+    if rows is not None:
+        published(rows.withColumn("env", F.lit(env)).withColumn("day", F.lit(day)), f"{path}/items", "env", "day")
+    claim = _claim(spark, path, env, day)
+    files, at = _folder(spark, claim)
+    files.delete(at(claim), False)
 
 
 def staged(df: DataFrame, path: str, wanted: Column | None = None) -> bool:

@@ -382,3 +382,23 @@ def snk12(spark, sf_dir):
 def snk10(spark, sf_dir):
     """Environments in which a run may begin."""
     return view(spark, sf_dir, "tasks").groupBy("env").agg((F.count_if(F.col("status") == "RUNNING") == 0).alias("may_begin"))
+
+
+@PLAN.query(
+    "op_snk10_runs",
+    ctes("items", "tasks") + ", e AS (SELECT env, count(*) FILTER (status = 'RUNNING') > 0 AS running FROM tasks WHERE env <> '' GROUP BY 1) SELECT e.env, id, CASE WHEN running THEN 1 ELSE 2 END::INT AS attempt FROM e, items WHERE running OR id % 2 = 0",
+)
+def snk10_runs(spark, sf_dir):
+    """Two runs a day for each environment: the second overwrites the first's rows, unless the first
+    has been claimed again and is running."""
+    path = f"{shared_dir(spark)}/corvane/runs-{uuid.uuid4().hex}"
+    items = view(spark, sf_dir, "items").select("id")
+    tasks = view(spark, sf_dir, "tasks").where("env <> ''").groupBy("env").agg((F.count_if(F.col("status") == "RUNNING") > 0).alias("running"))
+    for env, running in tasks.collect():  # a row an environment
+        writes.begin(spark, path, env, "2026-01-01")
+        writes.finish(spark, path, env, "2026-01-01", items.withColumn("attempt", F.lit(1)))
+        if running:
+            writes.begin(spark, path, env, "2026-01-01")
+        if writes.begin(spark, path, env, "2026-01-01"):
+            writes.finish(spark, path, env, "2026-01-01", items.where("id % 2 = 0").withColumn("attempt", F.lit(2)))
+    return spark.read.parquet(f"{path}/items").select("env", "id", "attempt")

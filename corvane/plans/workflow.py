@@ -28,6 +28,44 @@ def st05_stream(spark, sf_dir):
     return S.run_to_end(S.approvals(actions), ["app_id"])
 
 
+ROLES = "CASE WHEN action IN ('SUBMIT', 'CANCEL') THEN applicant WHEN action IN ('APPROVE_L1', 'REJECT_L1') THEN l1_approver ELSE l2_approver END"
+DECIDE = ctes("requests", "tries") + f""", rules AS (SELECT * FROM (VALUES {RULES}) v(state, action, next)),
+o AS (SELECT t.*, coalesce({ROLES} = actor, false) AS allowed, coalesce(applicant = l1_approver, false) AS skips, row_number() OVER (PARTITION BY t.app_id ORDER BY seq) AS k FROM tries t LEFT JOIN requests USING (app_id)),
+f AS (SELECT DISTINCT app_id, 0::BIGINT AS k, 'NONE' AS status, 0::BIGINT AS bad, 0::BIGINT AS denied, 0::BIGINT AS stale FROM tries
+  UNION ALL SELECT f.app_id, o.k, CASE WHEN expected <> status OR next IS NULL OR NOT allowed THEN status WHEN skips AND next = 'PENDING_L1' THEN 'PENDING_L2' ELSE next END,
+    bad + (NOT coalesce(expected <> status, false) AND next IS NULL)::BIGINT, denied + (NOT coalesce(expected <> status, false) AND next IS NOT NULL AND NOT allowed)::BIGINT, stale + coalesce(expected <> status, false)::BIGINT
+  FROM f JOIN o ON o.app_id = f.app_id AND o.k = f.k + 1 LEFT JOIN rules r ON r.state = f.status AND r.action = o.action)
+SELECT app_id, status, k AS n_actions, bad AS n_illegal, denied AS n_denied, stale AS n_stale FROM f QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY k DESC) = 1"""
+
+
+@PLAN.query("op_st05_decided", DECIDE)
+def st05_decided(spark, sf_dir):
+    """Compare and set: the actor whom the request names, from the state they expect."""
+    return W.decided(view(spark, sf_dir, "requests"), view(spark, sf_dir, "tries"))
+
+
+@PLAN.query("op_st05_decided_stream", DECIDE)
+def st05_decided_stream(spark, sf_dir):
+    """The same over a stream of the table's files."""
+    tries = view(spark, sf_dir, "tries", {"events": stream(spark, sf_dir, "events")})
+    return S.run_to_end(S.decisions(view(spark, sf_dir, "requests"), tries), ["app_id"])
+
+
+REPOS = "SELECT r.repo_id, h.sha AS head, CASE r.repo_id % 5 WHEN 0 THEN h.sha WHEN 1 THEN NULL WHEN 2 THEN 'gone' ELSE b.sha END AS base FROM (SELECT repo_id, min(seq) AS top, min(seq) + 25 * (2 + repo_id % 3) AS bottom FROM {c} GROUP BY repo_id) r JOIN {c} h ON h.repo_id = r.repo_id AND h.seq = r.top LEFT JOIN {c} b ON b.repo_id = r.repo_id AND b.seq = r.bottom"
+
+
+@PLAN.query(
+    "op_st12_modes",
+    ctes("commits") + ", repos AS (" + REPOS.format(c="commits") + "), e AS (SELECT repo_id, sha, parent AS up FROM commits UNION ALL SELECT repo_id, sha, parent2 FROM commits), a AS (SELECT repo_id, head AS sha FROM repos UNION SELECT a.repo_id, e.up FROM a JOIN e ON e.repo_id = a.repo_id AND e.sha = a.sha WHERE e.up IS NOT NULL) "
+    "SELECT repo_id, CASE WHEN base = head THEN 'UNCHANGED' WHEN EXISTS (SELECT 1 FROM a WHERE a.repo_id = repos.repo_id AND a.sha = repos.base) AND base IN (SELECT sha FROM commits) THEN 'INCREMENTAL' ELSE 'FULL' END AS mode FROM repos",
+)
+def st12_modes(spark, sf_dir):
+    """How each repository is read again: unchanged, incremental, or in full after a rebase."""
+    commits = view(spark, sf_dir, "commits")
+    repos = spark.sql(REPOS, c=commits)
+    return W.modes(repos, commits.select("repo_id", "seq", "sha", F.array_compact(F.array("parent", "parent2")).alias("parents")))
+
+
 @PLAN.query("op_st06_submitted", ctes("applications") + ", a AS (SELECT sql_hash, min(id) AS first_id FROM applications WHERE status IN ('PENDING_L1', 'PENDING_L2', 'APPROVED') GROUP BY 1) SELECT id, CASE WHEN first_id < id THEN 'DUPLICATE' WHEN applicant = l1_approver THEN 'PENDING_L2' ELSE 'PENDING_L1' END AS first_status FROM applications LEFT JOIN a USING (sql_hash)")
 def st06(spark, sf_dir):
     return W.submitted(view(spark, sf_dir, "applications"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import last_wins
-from ..operators.workflow import TRANSITIONS
+from ..operators.workflow import TRANSITIONS, attempts
 from ..session import shared_dir
 
 ACTIONS = sorted({action for _, action in TRANSITIONS})
@@ -38,6 +38,32 @@ def approvals(actions: DataFrame) -> DataFrame:
     return actions.groupBy("app_id").applyInPandasWithState(step, OUT, "status string, n long, bad long", "update", GroupStateTimeout.NoTimeout)
 
 
+def decisions(applications: DataFrame, actions: DataFrame) -> DataFrame:
+    """workflow.decided over a stream of actions; applications is a table. Each request's status and
+    counts after every micro-batch."""
+    tried = attempts(applications, actions)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, n, bad, denied, stale = state.get if state.exists else ("NONE", 0, 0, 0, 0)
+        rows = [r for b in batches for r in b[["seq", "action", "expected", "allowed", "skips"]].itertuples(index=False)]
+        text = lambda x: x if isinstance(x, str) else None
+        for _, action, expected, allowed, skips in sorted(rows, key=lambda r: (r[0], text(r[1]) or "", text(r[2]) or "", r[3])):
+            after, n = TRANSITIONS.get((status, action)), n + 1
+            if text(expected) is not None and expected != status:
+                stale += 1
+            elif after is None:
+                bad += 1
+            elif not allowed:
+                denied += 1
+            else:
+                status = "PENDING_L2" if after == "PENDING_L1" and skips else after
+        state.update((status, n, bad, denied, stale))
+        yield pd.DataFrame({"app_id": [key[0]], "status": [status], "n_actions": [n], "n_illegal": [bad], "n_denied": [denied], "n_stale": [stale]})
+
+    out = f"{OUT}, n_denied long, n_stale long"
+    return tried.groupBy("app_id").applyInPandasWithState(step, out, "status string, n long, bad long, denied long, stale long", "update", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(stream: DataFrame, key: list[str]) -> DataFrame:
     """Runs what is there and returns the newest row of each key; micro-batches are written with
     their number, so that one that is repeated overwrites itself."""
