@@ -195,18 +195,22 @@ def skew_level(top_share: Column | str) -> Column:
     return F.when(col(top_share) > 0.5, "HIGH").when(col(top_share) > 0.2, "MEDIUM").otherwise("LOW")
 
 
-# Widths of column types in an index key, in order of their prefixes.
-TYPE_WIDTHS = {"bigint": 8, "smallint": 2, "int": 4, "timestamp": 8, "date": 4, "numeric": 16, "double": 8, "bool": 1, "text": 1000}
+# Widths of column types in an index key, by their prefixes in this order.
+TYPE_WIDTHS = {
+    "text": 1000, "json": 1000, "bytea": 1000, "xml": 1000, "uuid": 16, "bigint": 8, "numeric": 8, "decimal": 8, "double precision": 8, "timestamp": 8,
+    "integer": 4, "int4": 4, "real": 4, "date": 4, "time": 4, "smallint": 2, "int2": 2, "boolean": 1,
+}
 
 
 def key_width(kind: Column | str) -> Column:
-    """Declared length of a varchar or char, 1000 without one, else the type's fixed width."""
+    """Declared length of a varchar or char, 1000 without one, else the type's fixed width, 8 if it is
+    not known."""
     k = F.lower(F.trim(col(kind)))
-    declared = F.regexp_extract(k, r"char(?:acter)?(?: varying)?\s*\((\d+)\)", 1).try_cast("int")
-    out = F.when(declared.isNotNull(), declared).when(k.contains("char"), 1000)
+    text = k.startswith("varchar") | k.startswith("char")
+    out = F.when(text, F.coalesce(F.regexp_extract(k, r"\(\s*(\d+)", 1).try_cast("int"), F.lit(1000)))
     for name, width in TYPE_WIDTHS.items():
         out = out.when(k.startswith(name), width)
-    return out.otherwise(8)
+    return out.when(k == "bool", 1).otherwise(8)
 
 
 # Literals by type prefix; the order of the prefixes counts.

@@ -54,11 +54,11 @@ def snk05(spark, sf_dir):
     return writes.decisions_kept(new, new.withColumn("status", F.when(n == 0, "CONFIRMED").when(n == 1, "IGNORED").otherwise("AUTO")), key)
 
 
-@PLAN.query("op_snk06_stale_purged", ER + ", t AS (SELECT from_table, to_table, join_columns, CASE length(to_table) % 2 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTO' END AS status FROM rel) SELECT * FROM t WHERE status <> 'AUTO' OR from_table <> 'part'")
+@PLAN.query("op_snk06_stale_purged", ER + ", t AS (SELECT from_table, to_table, join_columns, CASE length(to_table) % 2 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTO' END AS status FROM rel) SELECT * FROM t WHERE status <> 'AUTO' OR from_table NOT LIKE 't1%'")
 def snk06(spark, sf_dir):
     key = ["from_table", "to_table", "join_columns"]
     table = er(spark, sf_dir).select(*key, F.when(F.length("to_table") % 2 == 0, "CONFIRMED").otherwise("AUTO").alias("status"))
-    return writes.stale_purged(table, table.where("from_table <> 'part'"), key)
+    return writes.stale_purged(table, table.where("from_table NOT LIKE 't1%'"), key)
 
 
 ATTR = ctes("throws", "reached") + ", a AS (SELECT throw_seq, error_code, error_scope, t.class_fqn, t.method_name, line_no, tx_id, domain_key, component_code, CASE WHEN r.class_fqn IS NULL THEN 'UNMATCHED' ELSE 'MATCHED' END AS match_status FROM throws t LEFT JOIN reached r USING (class_fqn, method_name))"

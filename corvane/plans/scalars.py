@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
 from ..functions import scalar as S
+from ..sources import ddl as D
 
 PLAN = Plan()
 
@@ -46,7 +47,7 @@ scalar("op_sc11_placeholders", SQLS, "replace(replace(replace(q, '#id#', '?'), '
 scalar("op_sc12_table_names", SQLS, "CASE k % 7 WHEN 0 THEN 'orders,customer' WHEN 1 THEN 't1' WHEN 2 THEN 't2' WHEN 3 THEN 't3' WHEN 4 THEN 't4,t5' WHEN 5 THEN 'q' ELSE '' END AS names", names=lambda: S.table_names("q"))
 TYPES = f"SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN concat('VARCHAR(', {N('p_size')}, ')') WHEN 1 THEN 'character varying' WHEN 2 THEN 'int4' WHEN 3 THEN 'bigint' WHEN 4 THEN 'timestamp without time zone' WHEN 5 THEN 'date' WHEN 6 THEN 'interval' WHEN 7 THEN 'numeric(10,2)' END AS t, p_size AS n FROM part"
 scalar("op_sc14_safe_literal", TYPES, "CASE k % 9 WHEN 2 THEN '1' WHEN 3 THEN '1' WHEN 4 THEN '''2000-01-01 00:00:00''' WHEN 5 THEN '''2000-01-01''' WHEN 6 THEN '1' WHEN 7 THEN '1' ELSE '''X''' END AS lit", lit=lambda: S.safe_literal("t"))
-scalar("op_sc26_key_width", TYPES, "CASE k % 9 WHEN 0 THEN n WHEN 1 THEN 1000 WHEN 2 THEN 4 WHEN 3 THEN 8 WHEN 4 THEN 8 WHEN 5 THEN 4 WHEN 6 THEN 4 WHEN 7 THEN 16 ELSE 8 END::INT AS w, coalesce(CASE k % 9 WHEN 0 THEN n WHEN 1 THEN 1000 WHEN 7 THEN 16 ELSE 8 END > 200, false) AS too_long", w=lambda: S.key_width("t"), too_long=lambda: S.key_width("t") > 200)
+scalar("op_sc26_key_width", TYPES, "CASE k % 9 WHEN 0 THEN n WHEN 1 THEN 1000 WHEN 2 THEN 4 WHEN 3 THEN 8 WHEN 4 THEN 8 WHEN 5 THEN 4 ELSE 8 END::INT AS w, coalesce(CASE k % 9 WHEN 0 THEN n WHEN 1 THEN 1000 ELSE 8 END > 200, false) AS too_long", w=lambda: S.key_width("t"), too_long=lambda: S.key_width("t") > 200)
 scalar("op_sc16_share_percent", "SELECT o_orderkey AS k, o_custkey % 97 AS a, o_custkey % 89 AS b FROM orders", "CASE WHEN b = 0 THEN 0.0 ELSE floor(a * 1000.0::DOUBLE / b + 0.5) / 10.0 END AS share", share=lambda: S.share_percent(F.col("a"), F.col("b")))
 scalar("op_sc17_person_type", f"SELECT s_suppkey AS k, concat(CASE s_suppkey % 3 WHEN 0 THEN 'T-' WHEN 1 THEN 'c-' ELSE 'x' END, 'a@b') AS e, CASE WHEN s_suppkey % 5 = 0 THEN 'STAFF' END AS a FROM supplier", "coalesce(a, CASE WHEN k % 3 < 2 THEN 'VENDOR' ELSE 'STAFF' END) AS kind", kind=lambda: S.person_type("e", "a"))
 scalar("op_sc18_ellipsis", "SELECT doc_id AS k, text AS t FROM documents", "CASE WHEN length(t) > 500 THEN left(t, 497) || '...' ELSE t END AS short", short=lambda: S.ellipsis("t", 500))
@@ -102,10 +103,23 @@ def sc34(spark, sf_dir):
     return view(spark, sf_dir, "items").select("id", F.array_join(F.transform(found, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["text"])), "; ").alias("findings"))
 
 
-@PLAN.query("op_sc28_length_guard", ctes("table_columns") + " SELECT table_name, count(*) * 100 AS width, count(*) * 100 > 200 AS too_long FROM table_columns GROUP BY 1")
-def sc28(spark, sf_dir):
-    """Widths of an index over all columns of a table, each a varchar(100)."""
-    wide = view(spark, sf_dir, "table_columns").withColumn("w", S.key_width(F.lit("varchar(100)")).cast("long"))
-    return wide.groupBy("table_name").agg(F.sum("w").alias("width")).withColumn("too_long", F.col("width") > 200)
+TABLE_DDL = f"""SELECT o_orderkey AS id, concat('-- CREATE TABLE no (x text)', chr(10), 'create table if not exists corp."T', {N('o_orderkey')}, '" ( id bigint not null, name VARCHAR( ', {N('o_custkey % 300')}, ' ) default ''a, (b'', ',
+  'amount numeric(10, 2) check (amount > 0), note text /* , gone int */, "Made at" timestamp with time zone, constraint pk primary key (id, name), unique (amount))') AS ddl FROM orders"""
+INDEX_DDL = f"""SELECT o_orderkey AS id, concat('CREATE ', CASE WHEN o_orderkey % 2 = 0 THEN 'UNIQUE ' ELSE '' END, 'INDEX ix ON corp.t', {N('o_orderkey + o_orderkey % 2')}, CASE o_orderkey % 3 WHEN 0 THEN ' using btree (name DESC, id)' WHEN 1 THEN '(amount, other)' ELSE ' (lower(x), NAME)' END) AS ddl FROM orders"""
+
 
+@PLAN.query("op_sc26_ddl_columns", f"WITH d AS ({TABLE_DDL}), c AS (SELECT * FROM (VALUES (1, 'id', 'bigint'), (2, 'name', NULL), (3, 'amount', 'numeric(10,2)'), (4, 'note', 'text'), (5, 'Made at', 'timestamp with time zone')) v(at_, column_name, t)) SELECT id, 'T' || id AS table_name, at_::INT AS at, column_name, coalesce(t, 'VARCHAR(' || regexp_extract(ddl, 'VARCHAR. ([0-9]+)', 1) || ')') AS data_type FROM d, c")
+def sc26_columns(spark, sf_dir):
+    """Columns of tables out of DDL, past comments, quotes, checks and constraints."""
+    return D.columns(made(spark, sf_dir, TABLE_DDL), "id", "ddl").select("id", "table_name", "at", "column_name", "data_type")
 
+
+@PLAN.query(
+    "op_sc28_length_guard",
+    f"WITH t AS (SELECT o_orderkey AS k, o_custkey % 300 AS w FROM orders), i AS (SELECT o_orderkey AS id, o_orderkey + o_orderkey % 2 AS k, o_orderkey % 3 AS kind FROM orders), w AS (SELECT id, t.k, CASE kind WHEN 0 THEN w + 8 WHEN 1 THEN 16 ELSE w + 8 END AS n, CASE kind WHEN 0 THEN 'name(' || w || ') + id(8)' WHEN 1 THEN 'amount(8) + other(8)' ELSE 'lower(8) + NAME(' || w || ')' END AS parts FROM i JOIN t USING (k)) "
+    "SELECT id, 't' || k AS table_name, n::BIGINT AS key_length, n > 200 AS exceeds, CASE WHEN n > 200 THEN 'check | ⚠️ 该 DDL 新建索引键长 = ' || parts || ' = ' || n || ' > 200，不建议执行' ELSE 'check' END AS warning FROM w",
+)
+def sc28(spark, sf_dir):
+    """Suggested indexes by the widths of their tables' columns, both out of DDL."""
+    tables, indexes = (D.columns(made(spark, sf_dir, sql), "id", "ddl") for sql in (TABLE_DDL, INDEX_DDL))
+    return D.key_lengths(indexes, tables, "id").select("id", "table_name", "key_length", "exceeds", D.guarded(F.lit("check")).alias("warning"))
