@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
 from ..operators import dashboards, writes
 from ..session import keep, shared_dir
-from ..sources import java
+from ..sources import java, xlsx
 from ..sources import parsers as P
 
 PLAN = Plan()
@@ -402,3 +406,30 @@ def snk10_runs(spark, sf_dir):
         if writes.begin(spark, path, env, "2026-01-01"):
             writes.finish(spark, path, env, "2026-01-01", items.where("id % 2 = 0").withColumn("attempt", F.lit(2)))
     return spark.read.parquet(f"{path}/items").select("env", "id", "attempt")
+
+
+def workbook(rows: list[list[str]]) -> bytes:
+    """A workbook of one sheet of shared strings; empty cells are left out."""
+    shared = {x: k for k, x in enumerate(dict.fromkeys(c for r in rows for c in r if c))}
+    cell = lambda r, c, x: f'<c r="{chr(65 + c)}{r}" t="s"><v>{shared[x]}</v></c>' if x else ""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{escape(x)}</t></si>" for x in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>" + "".join(f'<row r="{k}">' + "".join(cell(k, c, x) for c, x in enumerate(r)) + "</row>" for k, r in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def _workbooks(table: pa.Table) -> pa.Table:
+    rows = [["" if x is None else str(x) for x in r.values()] for r in table.drop_columns(["book"]).to_pylist()]
+    return pa.table({"path": [f"book{table.column('book')[0].as_py()}.xlsx"], "content": pa.array([workbook([list(table.column_names[1:]), *rows])], pa.binary())})
+
+
+@PLAN.query("op_src11_workbooks", f"WITH s AS ({CELLS}) SELECT 'book' || (k % 50) || '.xlsx' AS path, k::VARCHAR AS k, a, coalesce(b, '') AS b, c FROM s")
+def src11_workbooks(spark, sf_dir):
+    """Rows of fifty workbooks, header skipped and empty cells kept."""
+    cells = made(spark, sf_dir, CELLS).select((F.col("k") % 50).alias("book"), "k", "a", "b", "c")
+    books = cells.groupBy("book").applyInArrow(_workbooks, "path string, content binary")
+    return xlsx.rows(books, ["k", "a", "b", "c"]).drop("row")

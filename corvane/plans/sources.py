@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..session import keep
-from ..sources import java
+from ..sources import java, where
 from .ingest import N, made
 
 PLAN = Plan()
@@ -117,3 +117,24 @@ def src10_sqls(spark, sf_dir):
 def src20_thrown(spark, sf_dir):
     """Error codes thrown, with the innermost named type and method around them."""
     return java.thrown(found(spark, sf_dir)).select("path", "code", "scope", "class_fqn", "method_name")
+
+
+#: Statements with aliases, joins and subqueries.
+SQLS = f"""SELECT doc_id AS id, CASE doc_id % 10 WHEN 3 THEN NULL WHEN 1 THEN 'POOR' WHEN 2 THEN 'POOR' ELSE 'GOOD' END AS rating,
+  concat('select o.id, (select max(x.v) from Rates x where x.k = o.k and x.day >= ?) from ', CASE doc_id % 3 WHEN 0 THEN 'corp.Orders o' ELSE 'orders as o join cust c on c.id = o.cust_id' END,
+    ' where o.a', {N('doc_id % 13')}, CASE doc_id % 2 WHEN 0 THEN ' = ? and ' ELSE ' in (1, 2) or ' END, 'o.note <> ? and lower(o.b) = ? and exists (select 1 from items where order_id = o.id) -- and o.z = 1') AS sql FROM documents"""
+
+
+@PLAN.query(
+    "op_agg24_predicates",
+    f"""WITH s AS ({SQLS}), p AS (
+      SELECT id, rating, 'rates' AS table_name, 'k' AS fields FROM s UNION ALL SELECT id, rating, 'items', 'order_id' FROM s UNION ALL SELECT id, rating, 'cust', 'id' FROM s WHERE id % 3 <> 0
+      UNION ALL SELECT id, rating, 'orders', 'a' || (id % 13) || CASE WHEN id % 3 = 0 THEN '' ELSE ',cust_id' END || ',id,k' FROM s),
+    r AS (SELECT table_name, fields, coalesce(rating, 'UNKNOWN') AS rating, count(*) AS k FROM p GROUP BY ALL),
+    t AS (SELECT table_name, fields, sum(k)::BIGINT AS n, string_agg(rating || '=' || k, ',' ORDER BY rating) AS ratings FROM r GROUP BY ALL)
+    SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY n DESC, fields) AS rank, fields, n, ratings FROM t QUALIFY rank <= 10""",
+)
+def agg24_predicates(spark, sf_dir):
+    """How statements reach each table: the ten commonest sets of compared columns, by rating."""
+    sqls = made(spark, sf_dir, SQLS)
+    return where.access_patterns(sqls, where.predicates(sqls, "id", "sql"), "id")
