@@ -163,8 +163,9 @@ def first_nonblank(*columns: Column | str) -> Column:
 
 
 def log_line(line: Column | str) -> Column:
-    """(ts, named, sql) of '[ts]...->[named] [sql]', nulls where it isn't one."""
-    pattern = r"(?s)^\[([^\]]*)\].*?->\[([^\]]+)\] \[(.*?)\](?: failed.*)?$"
+    """(ts, named, sql) of '[ts]...->[named] [sql]' anywhere in a line, the first brackets that close;
+    nulls where there is none."""
+    pattern = r"(?s)\[([^\]]+)\].*?->\s*\[([^\]]+)\]\s*\[(.+?)\]"
     part = lambda k: F.nullif(F.regexp_extract(col(line), pattern, k), F.lit(""))
     return F.struct(part(1).alias("ts"), part(2).alias("named"), part(3).alias("sql"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..fixtures import ctes, view
+from ..operators import imports, writes
 from ..operators import relations as X
-from ..operators import writes
+from ..session import keep
+from .ingest import N, made
 
 PLAN = Plan()
 ER = ctes("key_sets", "table_columns") + """, sized AS (SELECT table_name, key_id, count(*) AS key_columns, string_agg(column_name, ',' ORDER BY column_name) AS join_columns, min(column_name) AS one FROM key_sets GROUP BY 1, 2),
@@ -154,6 +156,32 @@ def agg28(spark, sf_dir):
     return snk04(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+LINES = f"""SELECT event_id AS k, CASE event_id % 13 WHEN 0 THEN ' ' WHEN 1 THEN 'broken line' WHEN 2 THEN concat('[2026-01-02 03:04:05]x->[', repeat('n', 501), '] [select 1]')
+  WHEN 3 THEN concat('[2026-01-02 03:04:05]->[n', {N('user_id % 9')}, '.find] [', repeat('y', CASE WHEN event_id % 26 = 3 THEN 60001 ELSE 60 END), ']') WHEN 4 THEN '[2026-01-02 03:04:05] ->[aEntity.q] [x]'
+  ELSE concat('pre [2026-01-02 03:04:0', {N('event_id % 10')}, CASE event_id % 3 WHEN 0 THEN '.12' WHEN 1 THEN '' ELSE 'bad' END, '][W]', chr(10), '->  [n', {N('user_id % 9')}, '.find]  [ select', chr(10), {N('event_id % 40')}, ' ] failed') END AS line FROM events"""
+LOADED = f"""WITH s AS ({LINES}), p AS (SELECT k, trim(regexp_extract(line, P, 1)) AS ts, trim(regexp_extract(line, P, 2)) AS named_sql, trim(regexp_extract(line, P, 3), ' ' || chr(10)) AS sql_text FROM s, (SELECT '(?s)\\[([^\\]]+)\\].*?->\\s*\\[([^\\]]+)\\]\\s*\\[(.+?)\\]' AS P) WHERE trim(line) <> ''),
+t AS (SELECT *, CASE WHEN named_sql = '' OR sql_text = '' THEN 'MALFORMED' WHEN contains(named_sql, 'Entity') THEN 'ENTITY' WHEN length(named_sql) > 500 THEN 'MALFORMED' WHEN length(sql_text) > 60000 THEN 'OVERSIZE' ELSE 'OK' END AS reason,
+  coalesce(try_cast(CASE WHEN ts LIKE '%bad' THEN NULL ELSE left(ts, 19) END AS TIMESTAMP), TIMESTAMP '2026-02-01') AS log_ts FROM p),
+b AS (SELECT named_sql, sql_text, max(log_ts) AS log_ts, count(*) AS k FROM t WHERE reason = 'OK' GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN sql_text LIKE '%1' THEN 'INSERTED' WHEN sql_text LIKE '%2' THEN 'UNCHANGED' ELSE 'UPDATED' END AS outcome, CASE split_part(named_sql, '.', 1) WHEN 'n1' THEN 'p1' WHEN 'n2' THEN 'p3' ELSE 'other' END AS project FROM b)"""
+
+
+@PLAN.query(
+    "op_agg28_import_report",
+    LOADED + """ SELECT 'reason' AS part, reason AS name, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'lines', 'SCANNED', count(*) FROM t UNION ALL SELECT 'lines', 'DUPLICATED', (sum(k) - count(*))::BIGINT FROM d
+    UNION ALL SELECT 'outcome', outcome, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'project', project, count(*) FROM d GROUP BY ALL""",
+)
+def agg28_report(spark, sf_dir):
+    """The report of an import: a pool knows all statements but those that end in 1, those that end in 2
+    with their newest time."""
+    rows = keep(imports.tagged(made(spark, sf_dir, LINES), "line", F.lit("2026-02-01").cast("timestamp")), "lines")
+    batch = keep(imports.merged(rows), "batch")
+    was = F.when(F.col("sql_text").endswith("2"), F.col("log_ts")).otherwise(F.col("log_ts") - F.expr("INTERVAL 1 DAY"))
+    pool = batch.where(~F.col("sql_text").endswith("1")).select("named_sql", "sql_hash", was.alias("log_ts"))
+    projects = spark.createDataFrame([(1, "n1", "p1"), (2, "n2", "p2"), (3, "n2", "p3")], "seq long, sqls_id string, project string")  # the last wins
+    return imports.report(rows, imports.imported(batch, pool, projects))
+
+
 @PLAN.query("op_snk07_latest_wins", ctes("slow_raw") + " SELECT abstract_sql, seq, cost_ms FROM slow_raw QUALIFY row_number() OVER (PARTITION BY abstract_sql ORDER BY (seq % 2 = 1) DESC, seq DESC) = 1")
 def snk07(spark, sf_dir):
     raw = view(spark, sf_dir, "slow_raw").select("abstract_sql", "seq", "cost_ms")
