@@ -138,3 +138,17 @@ def agg24_predicates(spark, sf_dir):
     """How statements reach each table: the ten commonest sets of compared columns, by rating."""
     sqls = made(spark, sf_dir, SQLS)
     return where.access_patterns(sqls, where.predicates(sqls, "id", "sql"), "id")
+
+
+@PLAN.query(
+    "op_gr25_chain_snippets",
+    f"""WITH s AS ({FILES}), c AS (SELECT k % 40 AS tx, k AS ord, 'N' || k AS node, path, CASE k % 3 WHEN 0 THEN 'run' WHEN 1 THEN 'size' ELSE 'gone' END AS method_name, content FROM s),
+    m AS (SELECT *, CASE method_name WHEN 'run' THEN regexp_extract(content, '(?s)@Statement.*?\n  [}}]') ELSE regexp_extract(content, 'int size.*?helper.*?; [}}]') END AS body, row_number() OVER (PARTITION BY tx ORDER BY ord) AS rank FROM c WHERE method_name <> 'gone')
+    SELECT tx, rank, node, path, method_name, CASE method_name WHEN 'run' THEN 7 ELSE 6 END::INT AS start_line, CASE method_name WHEN 'run' THEN 13 ELSE 6 END::INT AS end_line, CASE WHEN length(body) > 100 THEN left(body, 100) || chr(10) || '// ... snippet truncated ...' ELSE body END AS content FROM m WHERE rank <= 3""",
+)
+def gr25_chain(spark, sf_dir):
+    """The first three nodes of every chain whose method is found, with its text."""
+    files = made(spark, sf_dir, FILES)
+    method = F.element_at(F.array(F.lit("run"), F.lit("size"), F.lit("gone")), (F.col("k") % 3 + 1).cast("int"))
+    chain = files.select((F.col("k") % 40).alias("tx"), F.col("k").alias("ord"), F.concat(F.lit("N"), F.col("k").cast("string")).alias("node"), "path", method.alias("method_name"))
+    return java.snippets(chain, found(spark, sf_dir), files, 3, 100)

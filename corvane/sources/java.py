@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import best
+from ..operators.windows import best, top_per
 
 MAX_BYTES = 2 << 20
 
@@ -564,3 +564,22 @@ def statements(found: DataFrame) -> DataFrame:
     first = types(found).groupBy("path").agg(F.min_by("fqn", "pos").alias("class_fqn"))
     rows = found.where("fact IN ('sql', 'oversized')").select("path", F.col("pos").alias("at"), F.col("detail").alias("sql"), (F.col("fact") == "oversized").alias("oversized"))
     return rows.join(first, "path", "left").select("path", "at", F.coalesce("class_fqn", F.element_at(F.split("path", "/"), -1)).alias("class_fqn"), "sql", "oversized")
+
+
+# Fixed value: what stands under a snippet that was cut.
+CUT = "\n// ... snippet truncated ..."
+
+
+def snippets(chain: DataFrame, found: DataFrame, files: DataFrame, limit: int, most: int) -> DataFrame:
+    """(tx, rank, node, path, method_name, start_line, end_line, content): of each chain(tx, ord, node,
+    path, method_name) the first `limit` nodes whose file has a method of that name, with the first such
+    method's text, cut after `most` characters under a mark. Ranks are dealt before contents are read,
+    and a file's text meets only the methods that are shown."""
+    named = found.where("fact = 'method'").groupBy("path", F.col("name").alias("method_name")).agg(F.min(F.struct("pos", "stop", "line")).alias("m"))
+    shown = top_per(chain.select("tx", "ord", "node", "path", "method_name").join(named, ["path", "method_name"]), ["tx"], limit, F.asc("ord"), F.asc("node"))
+    body = F.col("content").substr(F.col("m.pos") + 1, F.col("m.stop") - F.col("m.pos") + 1)
+    texts = shown.select("path", "method_name", "m").distinct().join(files.select("path", "content"), "path").select("path", "method_name", body.alias("body"))
+    whole = shown.join(texts, ["path", "method_name"])
+    lines = F.col("m.line") + F.length("body") - F.length(F.translate("body", "\n", ""))
+    cut = F.when(F.char_length("body") > most, F.concat(F.left("body", F.lit(most)), F.lit(CUT))).otherwise(F.col("body"))
+    return whole.select("tx", "rank", "node", "path", "method_name", F.col("m.line").alias("start_line"), lines.alias("end_line"), cut.alias("content"))

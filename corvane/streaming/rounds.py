@@ -1,29 +1,19 @@
-"""Regression detection over a stream of observations: each micro-batch is one import."""
+"""Regression detection over a stream of observations."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import rounds, writes
-from ..session import shared_dir
+from ..operators import rounds
+from .approvals import run_to_end
 
 
 def regressions_to_end(raw: DataFrame, state: DataFrame) -> DataFrame:
-    """The state after all micro-batches of a stream of observations. Each batch writes the next
-    version of the state, which counts only when it is whole; a batch that is repeated after a
-    failure changes nothing more, as a regression doesn't count twice."""
-    spark = state.sparkSession
-    path = f"{shared_dir(spark)}/corvane/regressions-{uuid.uuid4().hex}"
-    writes.staged(state, f"{path}/state")
-
-    def newest() -> DataFrame:
-        return spark.read.schema(state.schema).parquet(f"{path}/state/{writes.current(spark, f'{path}/state')}")
-
-    def step(batch: DataFrame, number: int) -> None:
-        writes.staged(rounds.regressions(batch, newest()).select(state.columns), f"{path}/state")
-
-    query = raw.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return newest()
+    """The state after all micro-batches of a stream of observations, each one an import. A key's latest
+    round is kept in Spark's state store and only keys of the state are; a batch writes the keys whose
+    latest round it has moved, and reads no other. What a round means for a key does not depend on
+    the batches between, as a later round can only make it regress, so the table of marks is met once."""
+    known = state.select(*rounds.KEY).distinct()
+    latest = raw.select(*rounds.KEY, "round").join(known, rounds.KEY, "left_semi").groupBy(*rounds.KEY).agg(F.max("round").alias("round"))
+    return rounds.regressions(run_to_end(latest, rounds.KEY), state).select(state.columns)
