@@ -369,3 +369,43 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = turns.select("conv_id").distinct().alias("c").join(found, _same("c", "r"), "left")
     zero = [F.coalesce(f"r.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return all_.select("c.conv_id", *zero, F.coalesce("r.audit", F.lit("")).alias("audit"), F.coalesce("r.repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: The same by dynamic programming over turns and states; the texts go along, so this is for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: CAST(unicode(ch) AS BIGINT))),
+      lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) % 20 AS d FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE d <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS initial FROM damaged),
+told AS (
+  SELECT *, shown = '' AS blank, shown <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(shown, 1) NOT IN ('.', '!', '?') AS cut,
+    coalesce((lag(initial) OVER (PARTITION BY conv_id ORDER BY i), initial) NOT IN ((1, 2), (2, 3), (3, 2)) AND i > 1, false) AS illegal FROM ordered),
+faults AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM told GROUP BY conv_id),
+after AS (SELECT * FROM (VALUES (0, 1, 1), (0, 2, 2), (1, 2, 2), (2, 3, 3), (3, 2, 2)) v(s1, r, s2)),
+moves AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (0, 1, 2, 'I', ['user:']), (0, 2, 3, 'II', ['user:', 'assistant:']), (1, 0, 1, '', []), (1, 1, 2, 'I', ['user:']), (1, 2, 3, 'II', ['user:', 'assistant:']),
+  (2, 0, 2, '', []), (2, 1, 3, 'I', ['assistant:']), (2, 2, 2, 'II', ['assistant:', 'user:']), (3, 0, 3, '', []), (3, 1, 2, 'I', ['user:']), (3, 2, 3, 'II', ['user:', 'assistant:'])) v(s, t, s1, ia, it)),
+options AS (
+  SELECT conv_id, i, s1, s1 AS s2, 2 AS price, 'D' AS letter, []::VARCHAR[] AS said FROM told, (SELECT unnest(range(4)) AS s1)
+  UNION ALL SELECT conv_id, i, s1, s2, CASE WHEN cut THEN 5 ELSE 0 END, 'K', [role || ':' || text] FROM told JOIN after ON r = initial WHERE NOT blank AND NOT again
+  UNION ALL SELECT conv_id, i, s1, s2, CASE WHEN cut THEN 6 ELSE 1 END, 'R', [CASE r WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] FROM told, after WHERE r > 1 AND NOT blank AND NOT again),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS s, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS x FROM faults
+  UNION ALL
+  SELECT o.conv_id, o.i, o.s2::BIGINT, min({'c': (x.c + 5 * t + price)::BIGINT, 'a': x.a || ia || letter, 't': list_concat(list_concat(x.t, it), said)})
+  FROM dp JOIN moves m ON m.s = dp.s JOIN options o ON o.conv_id IS NOT DISTINCT FROM dp.conv_id AND o.i = dp.i + 1 AND o.s1 = m.s1 GROUP BY o.conv_id, o.i, o.s2),
+ends AS (
+  SELECT f.conv_id, min({'c': x.c + 5 * len(e.ea), 'a': x.a || e.ea, 't': list_concat(x.t, e.et)}) AS x
+  FROM faults f JOIN dp ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND dp.i = f.n JOIN (VALUES (0, '', []), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])) e(s, ea, et) ON e.s = dp.s GROUP BY f.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
