@@ -79,3 +79,28 @@ def current_approver(names: list[str], part: str | None = None) -> Column:
     """The approver whose turn it is, by list or by part of the name."""
     by = (lambda c: F.col(c).contains(part)) if part else (lambda c: F.col(c).isin(names))
     return (F.col("status").isin("PENDING_L1", "REJECTED_L2") & by("l1_approver")) | ((F.col("status") == "PENDING_L2") & by("l2_approver"))
+
+
+def wanted_file(path: str, extensions: list[str], denied: list[str]) -> Column:
+    """Files of these extensions, in any case, and always xml, outside the denied prefixes; without
+    extensions all. Blank paths are not wanted."""
+    p = F.trim(path)
+    open_ = reduce(lambda a, d: a & ~p.startswith(d), denied, p != "")
+    if not extensions:
+        return open_
+    extension = F.when(p.contains("."), F.lower(F.substring_index(p, ".", -1))).otherwise("")
+    return open_ & extension.isin(*{*(e.lower() for e in extensions), "xml"})
+
+
+def included_package(package: str, prefixes: str) -> Column:
+    """Packages that begin with one of the comma-separated prefixes; a null or blank one does not."""
+    p = F.coalesce(F.col(package), F.lit(""))
+    return (F.trim(p) != "") & reduce(lambda a, x: a | p.startswith(x.strip()), prefixes.split(","), F.lit(False))
+
+
+# The domains whose tables are shown.
+DOMAINS = ["deposit", "loan", "public", "settlement", "platform"]
+
+
+def allowed_domain(domain: str, domains: list[str] = DOMAINS) -> Column:
+    return F.coalesce(F.col(domain).isin(*domains), F.lit(False))

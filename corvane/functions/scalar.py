@@ -306,3 +306,28 @@ def chain_findings(services: Column | str, components: Column | str, tables: Col
         hit = n >= least if least else n == 0
         found.append(F.when(hit, F.struct(F.lit(key).alias("key"), F.lit(severity).alias("severity"), F.concat(F.lit(f"{name}="), n.cast("string")).alias("evidence"))))
     return F.array_compact(F.array(*found))
+
+
+def _listed(json: Column | str, fields: list[str], shown, between: str) -> Column:
+    """A JSON list of objects as text, blank where it is; what cannot be read stays as it is."""
+    text = col(json)
+    found = F.from_json(text, f"array<struct<{','.join(f'{f}:string' for f in fields)}>>")
+    lines = F.array_join(F.transform(found, shown), between)
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "").when(found.isNull(), text).otherwise(lines)
+
+
+def findings_text(json: Column | str) -> Column:
+    """[SEVERITY] type - description, a line a finding; LOW is the severity of those without."""
+    part = lambda x, f, other="": F.coalesce(x[f], F.lit(other))
+    tail = lambda x: F.when(part(x, "description") != "", F.concat(F.lit(" - "), x["description"])).otherwise("")
+    return _listed(json, ["severity", "type", "description"], lambda x: F.concat(F.lit("["), part(x, "severity", "LOW"), F.lit("] "), part(x, "type"), tail(x)), "\n")
+
+
+def suggestions_text(json: Column | str) -> Column:
+    """Suggestions with their scope, reason, DDL and new SQL, a blank line between."""
+    # The labels of the parts.
+    part = lambda x, f: F.coalesce(x[f], F.lit(""))
+    line = lambda x, f, label, end: F.when(part(x, f) != "", F.concat(F.lit(label), x[f], F.lit(end))).otherwise("")
+    scope = lambda x: F.when(F.upper(F.coalesce(x["scope"], F.lit("SQL"))) == "TABLE", "【表级】").otherwise("【SQL 级】")
+    whole = lambda x: F.concat(scope(x), part(x, "type"), F.lit("\n"), line(x, "reason", "理由：", "\n"), line(x, "ddl", "DDL：", "\n"), line(x, "newSql", "新 SQL：", ""))
+    return F.regexp_replace(_listed(json, ["scope", "type", "reason", "ddl", "newSql"], whole, "\n\n"), r"^\s+|\s+$", "")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
+from ..functions import scalar
 from ..operators import dashboards, writes
 from ..session import keep, shared_dir
 from ..sources import java, xlsx
@@ -433,3 +434,31 @@ def src11_workbooks(spark, sf_dir):
     cells = made(spark, sf_dir, CELLS).select((F.col("k") % 50).alias("book"), "k", "a", "b", "c")
     books = cells.groupBy("book").applyInArrow(_workbooks, "path string, content binary")
     return xlsx.rows(books, ["k", "a", "b", "c"]).drop("row")
+
+
+INDEXED = f"SELECT p_partkey AS seq, concat('/w/', CASE p_partkey % 3 WHEN 0 THEN 'loan-bcc' ELSE 'dept-bcc' END, '/f', {N('p_partkey')}, '.tables.xml') AS path, CASE p_partkey % 8 WHEN 0 THEN 'broken <' WHEN 1 THEN '<schema/>' ELSE concat('<schema id=\"S', {N('p_partkey % 60')}, '\"><x/></schema>') END AS xml FROM part"
+
+
+@PLAN.query(
+    "op_src08_module_index",
+    f"WITH s AS ({INDEXED}), i AS (SELECT 'S' || (seq % 60) AS id, seq, regexp_extract(path, '[a-z]+-bcc') AS module FROM s WHERE seq % 8 > 1) SELECT id, arg_max(module, seq) AS module, count(DISTINCT module) > 1 AS conflict FROM i GROUP BY 1",
+)
+def src08_index(spark, sf_dir):
+    """Modules by the ids of files' roots, out of their text: the last scanned wins, conflicts are told."""
+    files = made(spark, sf_dir, INDEXED).select("seq", P.root_id("xml").alias("id"), scalar.module_of("path").alias("module")).where("id IS NOT NULL")
+    last, conflicts = P.last_put(files, ["id"], "seq")
+    return last.join(conflicts, "id", "left").select("id", "module", F.col("n_modules").isNotNull().alias("conflict"))
+
+
+@PLAN.query(
+    "op_src09_schema_lookup",
+    f"WITH s AS ({INDEXED}), i AS (SELECT CASE WHEN seq % 8 > 1 THEN 'S' || (seq % 60) ELSE 'f' || seq END AS id, seq, regexp_extract(path, '[a-z]+-bcc') AS module FROM s), e AS (SELECT id, arg_max(module, seq) AS module FROM i GROUP BY 1), l AS (SELECT lower(id) AS id, arg_max(module, seq) AS module FROM i GROUP BY 1), "
+    "n AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'S' || (c_custkey % 80) WHEN 1 THEN 's' || (c_custkey % 80) ELSE 'F' || (c_custkey % 50) END AS name FROM customer) SELECT k, name, coalesce(e.module, l.module) AS module FROM n LEFT JOIN e ON e.id = name LEFT JOIN l ON l.id = lower(name)",
+)
+def src09_lookup(spark, sf_dir):
+    """Names looked up among schema files, which are named by their root or else by the file: as they
+    stand, then in lower case."""
+    index = made(spark, sf_dir, INDEXED).select("seq", P.schema_id("xml", "path").alias("id"), scalar.module_of("path").alias("module"))
+    name = lambda c, m: F.concat(F.lit(c), (F.col("c_custkey") % m).cast("string"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, name("S", 80)).when(F.col("c_custkey") % 3 == 1, name("s", 80)).otherwise(name("F", 50)).alias("name"))
+    return P.looked_up(names, index).select("k", "name", "module")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import Plan
 from ..fixtures import ctes, table, view
+from ..functions import predicates as Q
 from ..functions import scalar as S
 from ..sources import ddl as D
+from ..sources import parsers as P
 
 PLAN = Plan()
 
@@ -74,11 +76,31 @@ scalar("op_sc37_build_type", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0
 scalar("op_sc37_build_status", "SELECT o_orderkey AS k, o_orderkey % 4 AS n FROM orders", "CASE n WHEN 0 THEN 'success' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'unknown' END AS status", status=lambda: F.when(F.col("n") == 0, "success").when(F.col("n") == 1, "running").when(F.col("n") == 2, "failed").otherwise("unknown"))
 scalar("op_sc38_keyword", "SELECT p_partkey AS k, p_name AS n FROM part", "lower(n) LIKE '%ar%' AS hit", hit=lambda: S.contains_any(" AR ", "n"))
 scalar("op_flt10_prefix_blocklist", SQLS, "upper(trim(q)) LIKE 'SELECT%' OR upper(trim(q)) LIKE 'DELETE%' AS blocked", blocked=lambda: S.starts_with_any("q", ["select", "Delete"]))
-scalar("op_flt12_extensions", f"SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 4 = 0 THEN '/tmp/' ELSE '/src/' END, {N('p_partkey')}, CASE p_partkey % 3 WHEN 0 THEN '.java' WHEN 1 THEN '.xml' ELSE '.md' END) AS p FROM part", "k % 3 < 2 AND k % 4 > 0 AS wanted", wanted=lambda: F.substring_index("p", ".", -1).isin("java", "xml") & ~F.col("p").startswith("/tmp/"))
-scalar("op_flt13_packages", f"SELECT p_partkey AS k, concat(CASE p_partkey % 3 WHEN 0 THEN 'org.bank.' WHEN 1 THEN 'com.bank.' ELSE 'net.' END, 'x') AS p FROM part", "k % 3 < 2 AS allowed", allowed=lambda: F.col("p").startswith("org.bank") | F.col("p").startswith("com.bank"))
-scalar("op_flt14_domains", "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'dept' WHEN 1 THEN 'loan' WHEN 2 THEN 'x' END AS d FROM customer", "coalesce(d IN ('dept', 'loan', 'platform'), false) AS allowed", allowed=lambda: F.coalesce(F.col("d").isin("dept", "loan", "platform"), F.lit(False)))
+scalar("op_flt12_extensions", f"SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 4 = 0 THEN '/tmp/' ELSE '/src/' END, {N('p_partkey')}, CASE p_partkey % 3 WHEN 0 THEN '.java' WHEN 1 THEN '.xml' ELSE '.md' END) AS p FROM part", "k % 3 < 2 AND k % 4 > 0 AS wanted", wanted=lambda: Q.wanted_file("p", ["Java"], ["/tmp/"]))
+scalar("op_flt13_packages", f"SELECT p_partkey AS k, concat(CASE p_partkey % 3 WHEN 0 THEN 'org.bank.' WHEN 1 THEN 'com.bank.' ELSE 'net.' END, 'x') AS p FROM part", "k % 3 < 2 AS allowed", allowed=lambda: Q.included_package("p", "org.bank, com.bank"))
+scalar("op_flt14_domains", "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'dept' WHEN 1 THEN 'loan' WHEN 2 THEN 'x' END AS d FROM customer", "coalesce(d IN ('dept', 'loan', 'platform'), false) AS allowed", allowed=lambda: Q.allowed_domain("d", ["dept", "loan", "platform"]))
 scalar("op_src02_size_guard", "SELECT doc_id AS k, text AS t FROM documents", "strlen(t) <= 500 * 1024 AS whole, CASE WHEN strlen(t) <= 4096 THEN length(t) END AS n", whole=lambda: F.octet_length("t") <= 500 * 1024, n=lambda: F.when(F.octet_length("t") <= 4096, F.char_length("t").cast("long")))
 
+MIXED = f"SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN '/no/F.java' ELSE concat('/w/a-bcc', CASE p_partkey % 4 WHEN 0 THEN '/loan-bcc/src' WHEN 1 THEN '/x/dept-bcc' WHEN 2 THEN '/bcc' ELSE '' END, '/F', {N('p_partkey')}, '.java') END AS p FROM part"
+scalar("op_sc31_modules", MIXED, "CASE WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN 'loan-bcc' WHEN k % 4 = 1 THEN 'dept-bcc' ELSE 'a-bcc' END AS module", module=lambda: S.module_of("p"))
+MARKED = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'OPTIMIZED' WHEN 1 THEN 'REGRESSED' WHEN 2 THEN ' ' END AS s, concat('r', CAST(o_custkey % 9 AS VARCHAR(20))) AS a, CASE WHEN o_orderkey % 3 = 0 THEN concat('q', CAST(o_custkey % 7 AS VARCHAR(20))) END AS b FROM orders"
+scalar("op_sc35_optimise_label", MARKED, "CASE k % 4 WHEN 0 THEN '已优化@' || a WHEN 1 THEN '优化未生效(' || a || '标→' || coalesce(b, '') || '现)' ELSE '未处理' END AS label, CASE WHEN b IS NULL THEN a ELSE a || '(' || b || ')' END AS who", label=lambda: S.optimise_label("s", "a", "b"), who=lambda: S.optimise_operator("a", "b"))
+JSONS = f"""SELECT doc_id AS k, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '[]' WHEN 2 THEN 'no json' ELSE concat('[{{{{"severity":"HIGH","type":"T', {N('doc_id % 9')}, '","description":"d"}}}},{{{{"type":"U","scope":"table","reason":"r', {N('doc_id % 7')}, '","newSql":"select ', {N('doc_id')}, '"}}}}]') END AS j FROM documents"""
+scalar("op_sc34_formatted", JSONS.replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"), "CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN j ELSE '[HIGH] T' || (k % 9) || ' - d' || chr(10) || '[LOW] U' END AS findings, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN j ELSE '【SQL 级】T' || (k % 9) || repeat(chr(10), 3) || '【表级】U' || chr(10) || '理由：r' || (k % 7) || chr(10) || '新 SQL：select ' || k END AS suggestions", findings=lambda: S.findings_text("j"), suggestions=lambda: S.suggestions_text("j"))
+LARGE = f"SELECT p_partkey AS k, concat(CASE p_partkey % 4 WHEN 0 THEN '/r/src/main/java/' WHEN 1 THEN 'C:\\\\r\\\\target\\\\gen\\\\' WHEN 2 THEN '/r/generated-sources/' ELSE '/r/other/' END, 'org/bank/F', {N('p_partkey')}, '.java') AS p FROM part"
+scalar("op_src22_inferred_fqn", LARGE.replace("'C:\\\\r\\\\target\\\\gen\\\\'", "concat('C:', chr(92), 'r', chr(92), 'target', chr(92), 'gen', chr(92))"), "CASE WHEN k % 4 < 3 THEN 'org.bank.F' || k END AS fqn", fqn=lambda: P.inferred_fqn("p"))
+
+
+CHAINS = "SELECT l_orderkey AS k, count(*) AS n_services, count(DISTINCT l_suppkey) + 4 AS n_components, count(DISTINCT l_partkey) + 2 AS n_tables, CASE WHEN l_orderkey % 3 > 0 THEN count(*) END AS n_snippets FROM lineitem GROUP BY 1"
+
+
+@PLAN.query("op_sc36_chain_findings", f"WITH c AS ({CHAINS}), f AS (SELECT k, 1 AS ord, 'deep-service-chain' AS key, 'serviceCount=' || n_services AS evidence FROM c WHERE n_services >= 8 UNION ALL SELECT k, 2, 'wide-component-fanout', 'componentCount=' || n_components FROM c WHERE n_components >= 10 UNION ALL SELECT k, 3, 'multi-table-access', 'tableCount=' || n_tables FROM c WHERE n_tables >= 8 UNION ALL SELECT k, 4, 'missing-snippets', 'codeSnippets=0' FROM c WHERE n_snippets IS NULL) SELECT k, key, CASE WHEN ord = 4 THEN 'info' ELSE 'medium' END AS severity, evidence FROM f")
+def sc36_findings(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
+    chains = lines.agg(F.count("*").alias("a"), (F.count_distinct("l_suppkey") + 4).alias("b"), (F.count_distinct("l_partkey") + 2).alias("c")).withColumn("d", F.when(F.col("k") % 3 > 0, F.col("a")))
+    return chains.select("k", F.explode(S.chain_findings("a", "b", "c", "d")).alias("x")).select("k", "x.key", "x.severity", "x.evidence")
+
+
 RULES = [("n_services", 8, "MANY_SERVICES"), ("n_components", 10, "MANY_COMPONENTS"), ("n_tables", 8, "MANY_TABLES")]
 
 
