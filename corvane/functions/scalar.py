@@ -238,7 +238,7 @@ def renamed(path: Column | str) -> Column:
 
 def module_of(path: Column | str) -> Column:
     """The last part that ends in -bcc."""
-    return F.element_at(F.filter(F.split(col(path), "/"), lambda x: x.endswith("-bcc")), -1)
+    return F.try_element_at(F.filter(F.split(col(path), "/"), lambda x: x.endswith("-bcc")), F.lit(-1))
 
 
 def node_kind(name: Column | str) -> Column:
