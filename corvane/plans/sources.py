@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import Plan
+from ..operators import backfill
 from ..session import keep
 from ..sources import java, where
 from .ingest import N, made
@@ -152,3 +153,49 @@ def gr25_chain(spark, sf_dir):
     method = F.element_at(F.array(F.lit("run"), F.lit("size"), F.lit("gone")), (F.col("k") % 3 + 1).cast("int"))
     chain = files.select((F.col("k") % 40).alias("tx"), F.col("k").alias("ord"), F.concat(F.lit("N"), F.col("k").cast("string")).alias("node"), "path", method.alias("method_name"))
     return java.snippets(chain, found(spark, sf_dir), files, 3, 100)
+
+
+#: Service types of two interfaces a package and their operations; a third has no metadata.
+SERVICES = f"SELECT concat('ST', {N('n_nationkey')}, '_0') AS service_id, concat(' com.corp.m', {N('n_nationkey')}, '.Svc0 ') AS interface_fqn, concat('ST', {N('n_nationkey')}, '_1') AS other_id, concat('com.corp.m', {N('n_nationkey')}, '.Svc1') AS other_fqn FROM nation"
+
+
+def services(spark, sf_dir):
+    both = made(spark, sf_dir, SERVICES)
+    return both.select("service_id", F.trim("interface_fqn").alias("interface_fqn")).union(both.select("other_id", "other_fqn"))
+
+
+@PLAN.query(
+    "op_join12_operations",
+    f"WITH s AS ({FILES}) SELECT 'com.corp.m' || n || '.Cls' || k || '#run(String)' AS caller, 'SVOP:ST' || n || '_' || (k % 3) || '.open' AS operation, 'open' AS method_name, CAST(10 AS INTEGER) AS line_no FROM s WHERE k % 3 < 2",
+)
+def join12_operations(spark, sf_dir):
+    """Look-ups in source text lead to the operations that service metadata declares."""
+    facts, types = found(spark, sf_dir), services(spark, sf_dir)
+    offered = types.select("service_id", F.concat(F.lit("SVOP:"), "service_id", F.lit(".open")).alias("operation"), F.lit("open").alias("method_name"))
+    return backfill.operations(java.calls(facts), java.methods(facts), types, offered)
+
+
+@PLAN.query(
+    "op_join12_interfaces",
+    f"WITH s AS ({FILES}), v AS ({SERVICES}), d AS (SELECT DISTINCT 'com.corp.m' || n || '.I' || k AS fqn, 'I' || k AS simple_name FROM s WHERE k % 3 > 0) SELECT fqn, simple_name, true AS declared FROM d UNION ALL SELECT DISTINCT trim(interface_fqn), 'Svc0', false FROM v UNION ALL SELECT DISTINCT other_fqn, 'Svc1', false FROM v",
+)
+def join12_interfaces(spark, sf_dir):
+    """Interfaces of the sources, and those that only metadata names."""
+    declared = java.types(found(spark, sf_dir)).where("kind = 'interface'").select("fqn", F.col("name").alias("simple_name"))
+    return backfill.interfaces(declared, services(spark, sf_dir))
+
+
+@PLAN.query(
+    "op_agg30_code_stats",
+    f"""WITH s AS ({FILES}), c AS (SELECT count(*) AS n, count(*) FILTER (k % 3 > 0) AS i, count(DISTINCT k % 5) AS d FROM s)
+    SELECT unnest(['classCount', 'interfaceCount', 'methodCount', 'tableNodeCount', 'daoNodeCount', 'transactionCount', 'flowMethodStepCount', 'flowServiceStepCount', 'serviceTypeCount', 'serviceOperationCount', 'callsEdgeCount', 'sysUtilEdgeCount', 'daoEdgeCount', 'tableDaoEdgeCount', 'selfCallEdgeCount', 'implementsCount']) AS name,
+      unnest([2 * n, i, 2 * n + i, 0, d + 1, 0, 0, 0, 0, 0, 3 * n, 2 * n, 2 * n, 0, 2 * n, 2 * n]) AS n FROM c""",
+)
+def agg30_code(spark, sf_dir):
+    """The sixteen counts of the sources' graph: methods of classes and interfaces, calls by their form."""
+    facts = found(spark, sf_dir)
+    called = keep(java.calls(facts), "calls")
+    label = F.when(F.col("kind") == "class", "Class").when(F.col("kind") == "interface", "Interface")
+    nodes = java.types(facts).select(label.alias("label"), F.col("fqn").alias("id")).where("label IS NOT NULL")
+    nodes = nodes.union(java.methods(facts).where("owner_kind IN ('class', 'interface')").select(F.lit("Method"), "signature")).union(called.where("etype = 'DAO_CALLS'").select(F.lit("DaoMethod"), "target"))
+    return backfill.stats(nodes, called.select("etype").unionByName(java.type_edges(facts).select("etype")))
