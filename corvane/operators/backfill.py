@@ -22,7 +22,7 @@ def interfaces(declared: DataFrame, *metadata: DataFrame) -> DataFrame:
 def implements(edges: DataFrame, classes: DataFrame, interfaces: DataFrame) -> DataFrame:
     """(src, dst) of the edges(src, dst) whose class and interface exist, each once."""
     a, b = classes.select(F.col("fqn").alias("src")).distinct(), interfaces.select(F.col("fqn").alias("dst")).distinct()
-    return edges.select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi")
+    return edges.select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
 
 
 def operations(calls: DataFrame, methods: DataFrame, services: DataFrame, operations: DataFrame) -> DataFrame:
