@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# States of a request that is not decided.
 APPLYING = ["PENDING_L1", "PENDING_L2", "REJECTED_L1", "REJECTED_L2"]
 
 

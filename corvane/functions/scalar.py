@@ -262,6 +262,7 @@ def contains_any(keyword: str, *columns: Column | str) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.lower(col(c)).contains(keyword.strip().lower()), F.lit(False)) for c in columns))
 
 
+# Labels of approval states.
 WHITELIST_LABELS = {"PENDING_L1": "待一级", "PENDING_L2": "待二级", "APPROVED": "已通过", "REJECTED_L1": "一级退回", "REJECTED_L2": "二级退回", "CANCELLED": "已取消"}
 
 
@@ -278,6 +279,7 @@ def whitelist_label(status: Column | str) -> Column:
 
 def optimise_label(status: Column | str, optimised: Column | str, reappeared: Column | str) -> Column:
     """Label of an optimisation state with the rounds in which it was marked and came back."""
+    # The labels.
     s, first, again = col(status), F.coalesce(col(optimised), F.lit("")), F.coalesce(col(reappeared), F.lit(""))
     return F.when(_blank(s), "未处理").when(s == "OPTIMIZED", F.concat(F.lit("已优化@"), first)).when(s == "REGRESSED", F.concat(F.lit("优化未生效("), first, F.lit("标→"), again, F.lit("现)"))).otherwise(s)
 
@@ -290,6 +292,7 @@ def optimise_operator(name: Column | str, number: Column | str) -> Column:
 
 def build_status(stage: Column | str, status: Column | str) -> Column:
     """(text, type) of a build: the stage of the asynchronous build before its status."""
+    # The stages, states and texts.
     n = F.regexp_replace(F.coalesce(col(stage), F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     s = F.upper(col(status))
     good = F.struct(F.lit("成功").alias("text"), F.lit("success").alias("type"))
@@ -299,6 +302,7 @@ def build_status(stage: Column | str, status: Column | str) -> Column:
 
 def chain_findings(services: Column | str, components: Column | str, tables: Column | str, snippets: Column | str) -> Column:
     """Findings (key, severity, evidence) of a chain's counts; no count is 0."""
+    # Keys, severities and limits.
     rules = [(services, "deep-service-chain", "medium", "serviceCount", 8), (components, "wide-component-fanout", "medium", "componentCount", 10), (tables, "multi-table-access", "medium", "tableCount", 8), (snippets, "missing-snippets", "info", "codeSnippets", None)]
     found = []
     for column, key, severity, name, least in rules:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.scalar import domain_label
 
+# The ratings.
 RATED = ["EXCELLENT", "GOOD", "POOR"]
 
 

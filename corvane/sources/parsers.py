@@ -45,6 +45,7 @@ def raw_cell(cells: list[str]) -> Column:
 
 def call_kind(scope: Column, name: Column) -> Column:
     """Kind of a call by the text before its name, in order of precedence."""
+    # Methods of Object.
     of_object = name.isin("equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone")
     blank = F.coalesce(scope, F.lit("")) == ""
     return (
