@@ -344,12 +344,12 @@ def snk13(spark, sf_dir):
 
 @PLAN.query("op_src01_java_files", f"WITH s AS ({JAVA}) SELECT count(*) AS n FROM s WHERE k % 3 = 0")
 def src01(spark, sf_dir):
-    """Files written below src/main/java and src/test/java; only the first are read."""
+    """Files written below src/main/java and src/test/java; only the first are read. A file has many
+    classes, but never so many that it is too large to be read as a source."""
     path = f"{shared_dir(spark)}/corvane/java-{uuid.uuid4().hex}"
     files = made(spark, sf_dir, JAVA)
     for k, folder in enumerate(("src/main/java", "src/test/java", "docs")):
-        # one text file a partition; a file has many classes
-        files.where(F.col("k") % 3 == k).select("content").write.option("lineSep", "\u0001").text(f"{path}/{folder}")
+        files.where(F.col("k") % 3 == k).select("content").write.option("lineSep", "\u0001").option("maxRecordsPerFile", 1000).text(f"{path}/{folder}")
     return java.types(java.facts(P.java_files(spark, [path], glob="*.txt"))).agg(F.count("*").alias("n"))
 
 
