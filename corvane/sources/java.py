@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import partitions
 from ..operators.windows import best, top_per
 
 MAX_BYTES = 2 << 20
+#: Facts that leave a task at once, or those of one file more.
+BATCH = 8192
 
 FACT = "path string, fact string, pos int, stop int, line int, kind string, name string, detail string, items array<string>"
 FIELDS = [x.split()[0] for x in FACT.split(", ")]
@@ -425,12 +428,19 @@ def unescaped(literal: str) -> str:
 
 def facts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """files(path, content) -> a row a fact; those of files over max_bytes are none but `oversized`,
-    null contents have none."""
+    null contents have none. Reading a file takes far longer than moving it, so files are dealt to
+    tasks by their paths, however few the tasks that bring them; facts leave a task in batches of
+    many files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], FIELDS)
+
+        rows: list[tuple] = []
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
                 if content is None:
                     continue
                 if len(content.encode()) > max_bytes:
@@ -438,9 +448,15 @@ def facts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
                 else:
                     statements = sqls(content) if "@Statement" in content else []
                     found = scanned(content) + [("sql", k, 0, 0, None, None, x, None) for k, x in enumerate(statements)]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), kinds[0]), *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds[1:]))], FIELDS)
-
-    return files.select("path", "content").mapInArrow(run, FACT)
+                rows.extend((path, *x) for x in found)
+                if len(rows) >= BATCH:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    files = files.select("path", "content")
+    return files.repartition(partitions(files), "path").mapInArrow(run, FACT)
 
 
 def _fqn(package: str, name: str) -> Column:
