@@ -76,23 +76,30 @@ def models(layers: Layers) -> Models:
     return Models(of_tx, roots, down, services, comps)
 
 
-def model(layers: Layers) -> DataFrame:
-    """(tx, kind, code): the nodes of each transaction's model, its tables too."""
-    m = models(layers)
+def _nodes(m: Models, layers: Layers) -> DataFrame:
+    """(m, kind, code): the nodes of each model; a table is there once for each node that uses it."""
     service, comp = m.services.select("m", F.col("svc").alias("code")), m.comps.select("m", F.col("comp").alias("code"))
-    used = service.join(layers.svc_table, F.col("code") == F.col("src")).select("m", "dst").union(comp.join(layers.comp_table, F.col("code") == F.col("src")).select("m", "dst")).distinct()
+    used = service.join(layers.svc_table, F.col("code") == F.col("src")).select("m", "dst").union(comp.join(layers.comp_table, F.col("code") == F.col("src")).select("m", "dst"))
     kinds = (("SERVICE", service), ("COMPONENT", comp), ("TABLE", used.withColumnRenamed("dst", "code")))
-    nodes = [df.select("m", F.lit(kind).alias("kind"), "code") for kind, df in kinds]
-    return m.of_tx.join(reduce(DataFrame.unionByName, nodes), "m").select("tx", "kind", "code")
+    return reduce(DataFrame.unionByName, [df.select("m", F.lit(kind).alias("kind"), "code") for kind, df in kinds])
+
+
+def model(layers: Layers) -> DataFrame:
+    """(tx, kind, code): the nodes of each transaction's model, its tables too. Nodes are dealt by their
+    model once: repeats go there, and transactions meet them there."""
+    m = models(layers)
+    return m.of_tx.join(_nodes(m, layers).repartition("m").distinct(), "m").select("tx", "kind", "code")
 
 
 def layer_counts(layers: Layers) -> DataFrame:
     """One document a transaction: how many nodes its layers have, and the nodes, comma-joined in
-    order."""
-    nodes = model(layers).groupBy("tx", "kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("code")).cast("array<string>"), ",").alias("codes"))
+    order. Documents are made once a model and then go to all of its transactions."""
+    m = models(layers)
+    codes = _nodes(m, layers).groupBy("m", "kind").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.max(F.col("code").isNull().cast("int")).alias("blank"))
+    texts = codes.select("m", "kind", (F.size("codes") + F.col("blank")).cast("long").alias("n"), F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     cols = [x for kind, name in (("SERVICE", "services"), ("COMPONENT", "components"), ("TABLE", "tables")) for x in (F.coalesce(of(kind, "n"), F.lit(0)).alias(f"n_{name}"), F.coalesce(of(kind, "codes"), F.lit("")).alias(name))]
-    return nodes.groupBy("tx").agg(*cols)
+    return m.of_tx.join(texts.groupBy("m").agg(*cols), "m").drop("m")
 
 
 def component_closure(layers: Layers) -> DataFrame:
