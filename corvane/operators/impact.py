@@ -4,17 +4,20 @@ A transaction's model holds the services that its root services reach and the co
 those services, or the transaction's own component steps, reach. Components are followed in both
 directions, but only inside one model and never from one model into another; services are followed
 to their callers, which all lie in the model. Nothing is computed twice for equal inputs:
-transactions with the same steps share a model, and tables with the same users share their rows."""
+transactions with the same steps share their roots, those that reach the same nodes share a model,
+connected groups of components with the same members share labels, and tables with the same users
+share their rows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from copy import copy
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import discard, keep
 from .graph import components, reach
 
 
@@ -31,49 +34,88 @@ class Layers:
     svc_table: DataFrame
     comp_steps: DataFrame | None = None
 
+    @cached_property
+    def below(self) -> DataFrame:
+        """(root, svc) of all root services, whatever the transaction."""
+        return reach(self.svc_svc, _selves(self.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
+
 
 @dataclass
 class Models:
-    """of_tx(tx, m), roots(m, root), down(root, svc), services(m, svc), comps(m, comp, label): label
-    is the smallest of the components connected with comp inside the model."""
+    """of_tx(tx, r, m), roots(r, m, root), down(root, svc), seeds(m, kind, code), services(m, svc),
+    comps(m, comp, label): r stands for transactions with the same steps, m for those with the same
+    nodes; label is the smallest of the components connected with comp inside the model."""
 
     of_tx: DataFrame
     roots: DataFrame
     down: DataFrame
+    seeds: DataFrame
     services: DataFrame
-    comps: DataFrame
-
-
-def _alike(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    """(key, first): the smallest key with the same set of cols; sets are told apart by their size
-    and 128 bits of hashes."""
+    comps: DataFrame | None = None
+
+    def widest(self) -> Models:
+        """Without models that a larger one holds: what is connected or reached inside a model is so
+        inside every model that holds it. A model is compared with one other, the largest that has
+        its rarest seed; one that stays beside a larger one costs time and changes nothing."""
+        nodes = self.services.select("m", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(self.comps.select("m", F.lit("C"), "comp"))
+        size = nodes.groupBy("m").agg(F.count("*").alias("n"))
+        at = nodes.join(size, "m").groupBy("kind", "code").agg(F.count("*").alias("held"), F.max(F.struct("n", "m")).alias("big"))
+        rarest = self.seeds.join(at, ["kind", "code"]).groupBy("m").agg(F.count("*").alias("n_seeds"), F.min(F.struct("held", "kind", "code", "big"))["big"].alias("big"))
+        other = rarest.join(size, "m").where("big.n > n").select("m", "n_seeds", F.col("big.m").alias("other"))
+        shared = other.join(self.seeds, "m").join(nodes.withColumnRenamed("m", "other"), ["other", "kind", "code"])
+        inside = shared.groupBy("m", "n_seeds").agg(F.count("*").alias("n")).where("n = n_seeds")
+        left = keep(size.select("m").join(inside, "m", "left_anti"), "widest")
+        of = lambda df, name: keep(df.join(left, "m", "left_semi"), name)
+        return replace(self, services=of(self.services, "widest-services"), comps=of(self.comps, "widest-components"))
+
+
+def _alike(df: DataFrame, key: str, *cols: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *by, first): the smallest key with the same set of cols, among equal values of by; sets
+    are told apart by their size and 128 bits of hashes."""
     h = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), *cols))
-    marks = df.select(key, *cols).distinct().groupBy(key).agg(F.count("*").alias("n"), h("a").alias("h1"), h("b").alias("h2"))
-    same = marks.groupBy("n", "h1", "h2").agg(F.min(key).alias("first"))
-    return marks.join(same, ["n", "h1", "h2"]).select(key, "first")
+    marks = df.select(key, *by, *cols).distinct().groupBy(key, *by).agg(F.count("*").alias("n"), h("a").alias("h1"), h("b").alias("h2"))
+    same = marks.groupBy(*by, "n", "h1", "h2").agg(F.min(key).alias("first"))
+    return marks.join(same, [*by, "n", "h1", "h2"]).select(key, *by, "first")
 
 
 def _selves(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("seed"), F.col(column).alias("node")).distinct()
 
 
-def models(layers: Layers) -> Models:
+def models(layers: Layers, with_comps: bool = True) -> Models:
+    """with_comps: components too, which callers of services do without."""
     seeds = layers.steps.select("tx", F.lit("S").alias("kind"), F.col("svc").alias("code"))
     if layers.comp_steps is not None:
         seeds = seeds.union(layers.comp_steps.select("tx", F.lit("C"), "comp"))
-    of_tx = keep(_alike(seeds, "tx", "kind", "code").withColumnRenamed("first", "m"), "models")
-    own = keep(seeds.distinct().join(of_tx.where("tx = m"), "tx").select("m", "kind", "code"), "seeds")
-    roots = own.where("kind = 'S'").select("m", F.col("code").alias("root"))
-    down = reach(layers.svc_svc, _selves(roots, "root")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
-    services = keep(roots.join(down, "root").select("m", "svc").distinct(), "services")
-    first = services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").select("m", "comp")
-    first = keep(first.union(own.where("kind = 'C'").select("m", "code")).distinct(), "first-components")
+    alike = keep(_alike(seeds, "tx", "kind", "code").withColumnRenamed("first", "r"), "models")
+    own = keep(seeds.distinct().join(alike.where("tx = r"), "tx").select("r", "kind", "code"), "seeds")
+    roots, down = own.where("kind = 'S'").select("r", F.col("code").alias("root")), layers.below
+    reached = keep(roots.join(down, "root").select("r", "svc").distinct(), "reached-services")
+    nodes = reached.select("r", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(own.where("kind = 'C'"))
+    same = keep(_alike(nodes, "r", "kind", "code").withColumnRenamed("first", "m"), "same-nodes")
+    first = same.where("r = m")
+    services = keep(reached.join(first, "r").select("m", "svc"), "services")
+    discard(reached)
+    found = Models(alike.join(same, "r").select("tx", "r", "m"), roots.join(same, "r").select("r", "m", "root"), down, own.join(first, "r").select("m", "kind", "code"), services)
+    return replace(found, comps=_comps(layers, found)) if with_comps else found
+
+
+def _comps(layers: Layers, m: Models) -> DataFrame:
+    """(m, comp, label). What a model has of a connected group of components is labelled once for all
+    models that have the same of it."""
+    links = layers.comp_comp.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    first = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").select("m", "comp")
+    first = keep(first.union(m.seeds.where("kind = 'C'").select("m", "code")).distinct(), "first-components")
     below = reach(layers.comp_comp, _selves(first, "comp")).select(F.col("seed").alias("comp"), F.col("node").alias("below"))
-    comps = keep(first.join(below, "comp").select("m", F.col("below").alias("comp")).distinct(), "components")
-    inner = layers.comp_comp.where("src <> dst").join(comps.withColumnRenamed("comp", "src"), "src").select("m", F.col("src").alias("a"), F.col("dst").alias("b"))
-    labels = components(inner, ("m",)).withColumnRenamed("v", "comp")
-    comps = keep(comps.join(labels, ["m", "comp"], "left").select("m", "comp", F.coalesce("label", "comp").alias("label")), "labelled")
-    return Models(of_tx, roots, down, services, comps)
+    comps = first.join(below, "comp").select("m", F.col("below").alias("comp")).distinct()
+    whole = components(links).select(F.col("v").alias("comp"), F.col("label").alias("whole"))
+    comps = keep(comps.join(whole, "comp", "left").select("m", "comp", F.coalesce("whole", "comp").alias("whole")), "components")
+    parts = keep(_alike(comps, "m", "comp", by=("whole",)), "parts")
+    shown = comps.join(parts.where("m = first"), ["m", "whole"]).select("m", F.col("comp").alias("a"))
+    labels = components(links.join(shown, "a"), ("m",)).select(F.col("m").alias("first"), F.col("v").alias("comp"), "label")
+    labelled = keep(comps.join(parts, ["m", "whole"]).join(labels, ["first", "comp"], "left").select("m", "comp", F.coalesce("label", "comp").alias("label")), "labelled")
+    discard(first, comps, parts)
+    return labelled
 
 
 def _nodes(m: Models, layers: Layers) -> DataFrame:
@@ -99,7 +141,7 @@ def layer_counts(layers: Layers) -> DataFrame:
     texts = codes.select("m", "kind", (F.size("codes") + F.col("blank")).cast("long").alias("n"), F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     cols = [x for kind, name in (("SERVICE", "services"), ("COMPONENT", "components"), ("TABLE", "tables")) for x in (F.coalesce(of(kind, "n"), F.lit(0)).alias(f"n_{name}"), F.coalesce(of(kind, "codes"), F.lit("")).alias(name))]
-    return m.of_tx.join(texts.groupBy("m").agg(*cols), "m").drop("m")
+    return m.of_tx.join(texts.groupBy("m").agg(*cols), "m").drop("r", "m")
 
 
 def component_closure(layers: Layers) -> DataFrame:
@@ -111,21 +153,35 @@ def component_closure(layers: Layers) -> DataFrame:
 
 def caller_closure(layers: Layers, matched: DataFrame) -> DataFrame:
     """(tx, svc, caller): services of matched(svc) in a transaction's model, and the model's services
-    that call them, directly or not, themselves included."""
-    m = models(layers)
-    down = reach(layers.svc_svc, _selves(m.services, "svc")).select(F.col("seed").alias("caller"), F.col("node").alias("svc"))
-    pairs = down.join(matched.select("svc").distinct(), "svc", "left_semi")
+    that call them, directly or not, themselves included. A model holds all that its services call, so
+    callers are followed from the matched services, without the model."""
+    m = models(layers, with_comps=False)
+    pairs = _callers(layers, m, matched.select("svc").join(m.services, "svc", "left_semi"))
     return m.of_tx.join(m.services.withColumnRenamed("svc", "caller").join(pairs, "caller"), "m").select("tx", "svc", "caller")
 
 
+def _alive(layers: Layers, m: Models) -> DataFrame:
+    """(src, dst): calls of services that some model has; it has their targets too."""
+    return layers.svc_svc.join(m.services.select(F.col("svc").alias("src")), "src", "left_semi")
+
+
+def _callers(layers: Layers, m: Models, services: DataFrame) -> DataFrame:
+    """(svc, caller): services and those of models that call them, directly or not."""
+    back = _alive(layers, m).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach(back, _selves(services, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
+
+
 def transactions_of(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
     """Transactions of the roots of hits(root, *on), one a name: the smallest id represents a name,
     with its domain; items are counted over all transactions of the name. named(*on, tx_name, first)."""
-    once = hits.join(named, on).groupBy(root, "tx_name", item).agg(F.min("first").alias("first"))
-    one = once.groupBy(root, "tx_name").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    one = _named(hits, named, root, on, item).groupBy(root, "tx_name").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     return one.select(root, F.col("first.tx").alias("tx"), "tx_name", F.col("first.domain_key").alias("domain_key"), "n")
 
 
+def _named(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
+    return hits.join(named, on).groupBy(root, "tx_name", item).agg(F.min("first").alias("first"))
+
+
 def _first() -> Column:
     return F.min(F.struct("tx", "domain_key")).alias("first")
 
@@ -154,24 +210,40 @@ class Tables:
         return self.classes.join(df, "c").drop("c")
 
     def hits(self) -> DataFrame:
-        """(c, m, root): root services from which a service is reached that uses the tables, or calls
-        a component connected to one that does."""
+        """(c, r, root): root services from which a service is reached that uses the tables, or calls
+        a component connected to one that does. Hits are dealt once, by what names them."""
         m = self.models
-        below = m.roots.join(m.down, "root").select("m", "root", "svc")
-        over = below.join(self.called, ["m", "svc"]).select("m", "root", "label").distinct()
-        return over.join(self.groups, ["m", "label"]).select("c", "m", "root").union(below.join(self.svcs, "svc").select("c", "m", "root")).distinct()
+        below = m.roots.join(m.down, "root").select("r", "m", "root", "svc")
+        over = below.join(self.called, ["m", "svc"]).select("r", "m", "root", "label").distinct()
+        both = over.join(self.groups, ["m", "label"]).select("c", "r", "root").union(below.join(self.svcs, "svc").select("c", "r", "root"))
+        return both.repartition("r", "root").distinct()
 
-    def impact(self) -> DataFrame:
-        named = self.layers.steps.join(self.models.of_tx, "tx").groupBy("m", F.col("svc").alias("root"), "tx_name").agg(_first())
-        return transactions_of(self.hits(), named, "c", ["m", "root"], "root")
+    def names(self) -> DataFrame:
+        return self.layers.steps.join(self.models.of_tx, "tx").groupBy("r", F.col("svc").alias("root"), "tx_name").agg(_first())
 
-    def services(self) -> DataFrame:
-        """(c, m, svc): the services of a model from which the tables are reached."""
-        m, links = self.models, self.layers.svc_svc
-        direct = self.groups.join(self.called, ["m", "label"]).select("c", "m", "svc").union(m.services.join(self.svcs, "svc").select("c", "m", "svc"))
-        up = reach(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _selves(m.services, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
-        callers = direct.distinct().join(up, "svc").select("c", "m", F.col("caller").alias("svc")).distinct()
-        return keep(callers.join(m.services, ["m", "svc"], "left_semi"), "table-services")
+    def impact(self) -> DataFrame:
+        return transactions_of(self.hits(), self.names(), "c", ["r", "root"], "root")
+
+    def shown(self) -> DataFrame:
+        """(c, root, tx): root services and the transactions that represent their names."""
+        once = _named(self.hits(), self.names(), "c", ["r", "root"], "root")
+        return once.select("c", "root", F.min("first").over(Window.partitionBy("c", "tx_name"))["tx"].alias("tx")).distinct()
+
+    def widest(self) -> Tables:
+        """The same of the models that no larger one holds, for what no transaction is asked of."""
+        t = copy(self)
+        t.models = self.models.widest()
+        left = t.models.services.select("m").distinct()
+        t.groups, t.called = (df.join(left, "m", "left_semi") for df in (self.groups, self.called))
+        return t
+
+    def services(self) -> tuple[DataFrame, DataFrame]:
+        """(m, label, svc) and (c, svc): services of a model from which a group of its components is
+        reached, and those of any model from which services are that use the tables themselves."""
+        m = self.models
+        up = _callers(self.layers, m, m.services)
+        over = self.called.join(up, "svc").select("m", "label", F.col("caller").alias("svc")).distinct().join(m.services, ["m", "svc"], "left_semi")
+        return keep(over, "group-services"), keep(self.svcs.join(up, "svc").select("c", F.col("caller").alias("svc")).distinct(), "table-services")
 
 
 def table_impact(layers: Layers) -> DataFrame:
@@ -180,15 +252,10 @@ def table_impact(layers: Layers) -> DataFrame:
     return t.spread(t.impact()).withColumnRenamed("n", "n_services")
 
 
-def _below(layers: Layers) -> DataFrame:
-    """(root, svc) of all root services, whatever the transaction."""
-    return reach(layers.svc_svc, _selves(layers.steps, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
-
-
 def component_impact(layers: Layers) -> DataFrame:
     """Services that call the component directly, without its closure, and their callers."""
     calls = layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))
-    hits = _below(layers).join(calls, "svc").select("comp", "root").distinct()
+    hits = layers.below.join(calls, "svc").select("comp", "root").distinct()
     named = layers.steps.groupBy(F.col("svc").alias("root"), "tx_name").agg(_first())
     return transactions_of(hits, named, "comp", ["root"], "root").withColumnRenamed("n", "n_services")
 
@@ -210,7 +277,7 @@ def orchestration_refs(service_steps: DataFrame, method_steps: DataFrame, implem
 def upstream(layers: Layers, callable_: DataFrame) -> DataFrame:
     """(root, svc): every service and the callable services that call it, directly or over other
     callable ones, where a transaction reaches them. callable_(svc)."""
-    alive = _below(layers).select("svc").distinct().join(callable_.select("svc").distinct(), "svc", "left_semi")
+    alive = layers.below.select("svc").distinct().join(callable_.select("svc").distinct(), "svc", "left_semi")
     back = layers.svc_svc.join(alive.withColumnRenamed("svc", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     nodes = layers.svc_svc.select("src").union(layers.svc_svc.select("dst")).union(layers.steps.select("svc")).toDF("svc")
     return reach(back, _selves(nodes, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
@@ -234,39 +301,50 @@ def table_edges(layers: Layers) -> DataFrame:
     (5), service to the transaction that represents its name (6). Cross edges point away from the
     table, inner ones from caller to callee."""
     t = Tables(layers)
-    m, code = t.models, lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    w, code = t.widest(), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    m = w.models
 
     def edge(df: DataFrame, src: Column | None, dst: Column, phase: int) -> DataFrame:
         return df.select("c", (F.lit(None).cast("string") if src is None else src).alias("src"), dst.alias("dst"), F.lit(phase).alias("phase"))
 
     links = layers.comp_comp.where("src <> dst").join(m.comps.withColumnRenamed("comp", "src"), "src").select("m", "label", "src", "dst")
-    calls = t.called.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").join(m.comps, ["m", "comp", "label"]).select("m", "label", "svc", "comp")
-    services = t.services()
-    both = services.join(layers.svc_svc.where("src <> dst").select(F.col("src").alias("svc"), "dst"), "svc").join(services.withColumnRenamed("svc", "dst"), ["c", "m", "dst"], "left_semi")
-    hits, impact = t.hits().select("c", "m", "root"), t.impact().select("c", "tx_name", "tx")
-    steps = layers.steps.join(m.of_tx, "tx").select("m", F.col("svc").alias("root"), "tx_name").distinct()
+    calls = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").join(m.comps, ["m", "comp"]).select("m", "label", "svc", "comp")
+    of_groups, of_tables = (df.withColumnRenamed("svc", "dst") for df in w.services())
+    above = _alive(layers, m).where("src <> dst").distinct()
+    inner = of_groups.join(above, "dst").join(m.services.withColumnRenamed("svc", "src"), ["m", "src"], "left_semi")
+    of_class = lambda df, *cols: w.groups.join(df, ["m", "label"]).select("c", *cols).distinct()
+    # an edge's ends tell its phase, so no two phases have one edge
     parts = [
         edge(t.comps.join(m.comps, "comp", "left_semi"), None, code("C", "comp"), 1),
-        edge(t.groups.join(links, ["m", "label"]), code("C", "src"), code("C", "dst"), 2),
+        edge(of_class(links, "src", "dst"), code("C", "src"), code("C", "dst"), 2),
         edge(t.svcs.join(m.services, "svc", "left_semi"), None, code("S", "svc"), 3),
-        edge(t.groups.join(calls, ["m", "label"]), code("C", "comp"), code("S", "svc"), 4),
-        edge(both, code("S", "svc"), code("S", "dst"), 5),
-        edge(hits.join(steps, ["m", "root"]).join(impact, ["c", "tx_name"]), code("S", "root"), code("X", "tx"), 6),
+        edge(of_class(calls, "comp", "svc"), code("C", "comp"), code("S", "svc"), 4),
+        edge(w.groups.join(inner, ["m", "label"]).select("c", "src", "dst").union(of_tables.join(above, "dst").select("c", "src", "dst")).distinct(), code("S", "src"), code("S", "dst"), 5),
+        edge(t.shown(), code("S", "root"), code("X", "tx"), 6),
     ]
-    once = reduce(DataFrame.unionByName, parts).groupBy("c", "src", "dst").agg(F.min("phase").alias("phase"))
-    return t.spread(once).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
+    return t.spread(reduce(DataFrame.unionByName, parts)).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
 
 
 def export_summary(layers: Layers) -> DataFrame:
-    """Sizes of the layers of every table's graph."""
-    edges = table_edges(layers)
-    ends = edges.select("tab", "src").union(edges.select("tab", "dst")).toDF("tab", "node").distinct()
-    count = lambda kind: F.count_if(F.col("node").startswith(kind))
-    return ends.groupBy("tab").agg(count("C").alias("n_components"), count("S").alias("n_services"), count("X").alias("n_transactions"))
+    """(tab, n_components, n_services, n_transactions): sizes of the layers of every table's graph, as
+    table_edges has them. Nodes are counted by class of tables and without their edges: a service of
+    the graph uses the tables, calls one of its components, or calls another of its services."""
+    t = Tables(layers)
+    w = t.widest()
+    of_groups, of_tables = w.services()
+    count = lambda df, name: df.groupBy("c").agg(F.count("*").alias(name))
+    comps = count(w.groups.join(w.models.comps, ["m", "label"]).select("c", "comp").distinct(), "n_components")
+    services = count(w.groups.join(of_groups, ["m", "label"]).select("c", "svc").union(of_tables).distinct(), "n_services")
+    shown = t.impact().groupBy("c").agg(F.count_distinct("tx").alias("n_transactions"))
+    names = ("n_components", "n_services", "n_transactions")
+    sizes = comps.join(services, "c", "full").join(shown, "c", "full").select("c", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    return t.spread(sizes)
 
 
 def all_roots(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
     """(mode, root, n_transactions, n_domains) of every table, component and service with impact."""
-    by_mode = (("table", "tab", table_impact(layers)), ("component", "comp", component_impact(layers)), ("service", "root", service_impact(layers, callable_, refs)))
-    rows = [df.select(F.lit(mode).alias("mode"), F.col(root).alias("root"), "domain_key") for mode, root, df in by_mode]
-    return reduce(DataFrame.unionByName, rows).groupBy("mode", "root").agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
+    t = Tables(layers)
+    count = lambda df, root: df.groupBy(root).agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
+    by_mode = (("table", "tab", t.spread(count(t.impact(), "c"))), ("component", "comp", count(component_impact(layers), "comp")), ("service", "root", count(service_impact(layers, callable_, refs), "root")))
+    rows = [df.select(F.lit(mode).alias("mode"), F.col(root).alias("root"), "n_transactions", "n_domains") for mode, root, df in by_mode]
+    return reduce(DataFrame.unionByName, rows)
