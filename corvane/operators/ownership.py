@@ -24,10 +24,12 @@ def author_summary(people: DataFrame) -> DataFrame:
 
 
 def by_transaction(people: DataFrame, files: DataFrame) -> DataFrame:
-    """A file shared by transactions counts fully for each. Lines are summed per file before the join."""
+    """A file shared by transactions counts fully for each. Lines are summed per file before the join, so a file
+    is one row of its transaction and needs no count of distinct paths."""
     of_file = people.groupBy("repo_id", "file_path", "person_type").agg(F.sum("owned_lines").alias("lines"))
-    joined = of_file.join(files.select("repo_id", "file_path", "tx_id"), ["repo_id", "file_path"])
-    return joined.groupBy("repo_id", "tx_id", "person_type").agg(F.sum("lines").alias("owned_lines"), F.count_distinct("file_path").alias("n_files"))
+    n_of = files.groupBy("repo_id", "file_path", "tx_id").agg(F.count("*").alias("n"))
+    joined = of_file.join(n_of, ["repo_id", "file_path"])
+    return joined.groupBy("repo_id", "tx_id", "person_type").agg(F.sum(F.col("lines") * F.col("n")).alias("owned_lines"), F.count("*").alias("n_files"))
 
 
 def by_domain(people: DataFrame, *more: str) -> DataFrame:
