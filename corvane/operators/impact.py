@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, keep
 from .graph import components, reach
+from .skew import dealt, hot_slots
 
 
 @dataclass
@@ -166,9 +167,11 @@ def _alive(layers: Layers, m: Models) -> DataFrame:
 
 
 def _callers(layers: Layers, m: Models, services: DataFrame) -> DataFrame:
-    """(svc, caller): services and those of models that call them, directly or not."""
-    back = _alive(layers, m).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach(back, _selves(services, "svc")).select(F.col("seed").alias("svc"), F.col("node").alias("caller"))
+    """(svc, caller): services and those of models that call them, directly or not. What roots reach
+    is known, so only the models' other services are followed anew."""
+    rest = _selves(m.services, "svc").join(m.down.select(F.col("root").alias("seed")).distinct(), "seed", "left_anti")
+    below = m.down.withColumnRenamed("root", "caller").unionByName(reach(layers.svc_svc, rest).select(F.col("seed").alias("caller"), F.col("node").alias("svc")))
+    return below.join(services.select("svc").distinct(), "svc", "left_semi").select("svc", "caller")
 
 
 def transactions_of(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
@@ -209,6 +212,14 @@ class Tables:
         """A row for each table of the class of every row."""
         return self.classes.join(df, "c").drop("c")
 
+    def spread_edges(self, edges: DataFrame) -> DataFrame:
+        """The same of edges(c, src, dst, phase), each once a table. Edges are dealt once, by class; those
+        of a class with very many users are dealt to more tasks, by src."""
+        users = self.comps.select("c").union(self.svcs.select("c")).groupBy("c").agg(F.count("*").alias("n"))
+        slots = keep(hot_slots(users, ["c"], "n"), "hot-classes")
+        once = dealt(edges, ["c"], slots, "src").repartition("c", "salt").distinct()
+        return dealt(self.classes, ["c"], slots, None).hint("shuffle_hash").join(once, ["c", "salt"]).drop("c", "salt")
+
     def hits(self) -> DataFrame:
         """(c, r, root): root services from which a service is reached that uses the tables, or calls
         a component connected to one that does. Hits are dealt once, by what names them."""
@@ -225,9 +236,9 @@ class Tables:
         return transactions_of(self.hits(), self.names(), "c", ["r", "root"], "root")
 
     def shown(self) -> DataFrame:
-        """(c, root, tx): root services and the transactions that represent their names."""
-        once = _named(self.hits(), self.names(), "c", ["r", "root"], "root")
-        return once.select("c", "root", F.min("first").over(Window.partitionBy("c", "tx_name"))["tx"].alias("tx")).distinct()
+        """(c, root, tx): root services and the transactions that represent their names; rows can repeat."""
+        named = self.hits().join(self.names(), ["r", "root"])
+        return named.select("c", "root", F.min("first.tx").over(Window.partitionBy("c", "tx_name")).alias("tx"))
 
     def widest(self) -> Tables:
         """The same of the models that no larger one holds, for what no transaction is asked of."""
@@ -312,17 +323,17 @@ def table_edges(layers: Layers) -> DataFrame:
     of_groups, of_tables = (df.withColumnRenamed("svc", "dst") for df in w.services())
     above = _alive(layers, m).where("src <> dst").distinct()
     inner = of_groups.join(above, "dst").join(m.services.withColumnRenamed("svc", "src"), ["m", "src"], "left_semi")
-    of_class = lambda df, *cols: w.groups.join(df, ["m", "label"]).select("c", *cols).distinct()
-    # an edge's ends tell its phase, so no two phases have one edge
+    of_class = lambda df, *cols: w.groups.join(df, ["m", "label"]).select("c", *cols)
+    # an edge's ends tell its phase, so no two phases have one edge; edges repeat until they are spread
     parts = [
         edge(t.comps.join(m.comps, "comp", "left_semi"), None, code("C", "comp"), 1),
         edge(of_class(links, "src", "dst"), code("C", "src"), code("C", "dst"), 2),
         edge(t.svcs.join(m.services, "svc", "left_semi"), None, code("S", "svc"), 3),
         edge(of_class(calls, "comp", "svc"), code("C", "comp"), code("S", "svc"), 4),
-        edge(w.groups.join(inner, ["m", "label"]).select("c", "src", "dst").union(of_tables.join(above, "dst").select("c", "src", "dst")).distinct(), code("S", "src"), code("S", "dst"), 5),
+        edge(of_class(inner, "src", "dst").union(of_tables.join(above, "dst").select("c", "src", "dst")), code("S", "src"), code("S", "dst"), 5),
         edge(t.shown(), code("S", "root"), code("X", "tx"), 6),
     ]
-    return t.spread(reduce(DataFrame.unionByName, parts)).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
+    return t.spread_edges(reduce(DataFrame.unionByName, parts)).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
 
 
 def export_summary(layers: Layers) -> DataFrame:
