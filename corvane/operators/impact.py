@@ -263,12 +263,15 @@ def table_impact(layers: Layers) -> DataFrame:
     return t.spread(t.impact()).withColumnRenamed("n", "n_services")
 
 
+def _component_hits(layers: Layers) -> DataFrame:
+    calls = layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))
+    return layers.below.join(calls, "svc").select("comp", "root").distinct()
+
+
 def component_impact(layers: Layers) -> DataFrame:
     """Services that call the component directly, without its closure, and their callers."""
-    calls = layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))
-    hits = layers.below.join(calls, "svc").select("comp", "root").distinct()
     named = layers.steps.groupBy(F.col("svc").alias("root"), "tx_name").agg(_first())
-    return transactions_of(hits, named, "comp", ["root"], "root").withColumnRenamed("n", "n_services")
+    return transactions_of(_component_hits(layers), named, "comp", ["root"], "root").withColumnRenamed("n", "n_services")
 
 
 def orchestration_refs(service_steps: DataFrame, method_steps: DataFrame, implements: DataFrame, transactions: DataFrame, domains: DataFrame) -> DataFrame:
@@ -353,9 +356,17 @@ def export_summary(layers: Layers) -> DataFrame:
 
 
 def all_roots(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
-    """(mode, root, n_transactions, n_domains) of every table, component and service with impact."""
+    """(mode, root, n_transactions, n_domains) of every table, component and service with impact. Only
+    names and their first transactions are asked for, so a name's roots, and its orchestrations, are
+    not told apart."""
     t = Tables(layers)
-    count = lambda df, root: df.groupBy(root).agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
-    by_mode = (("table", "tab", t.spread(count(t.impact(), "c"))), ("component", "comp", count(component_impact(layers), "comp")), ("service", "root", count(service_impact(layers, callable_, refs), "root")))
+
+    def count(hits: DataFrame, named: DataFrame, root: str, on: list[str]) -> DataFrame:
+        one = hits.join(named, on).groupBy(root, "tx_name").agg(F.min("first")["domain_key"].alias("domain_key"))
+        return one.groupBy(root).agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
+
+    by_root, by_svc = (df.groupBy(*on, "tx_name").agg(_first()) for df, on in ((layers.steps.withColumnRenamed("svc", "root"), ["root"]), (refs, ["svc"])))
+    tables, comps = count(t.hits(), t.names(), "c", ["r", "root"]), count(_component_hits(layers), by_root, "comp", ["root"])
+    by_mode = (("table", "tab", t.spread(tables)), ("component", "comp", comps), ("service", "root", count(upstream(layers, callable_), by_svc, "root", ["svc"])))
     rows = [df.select(F.lit(mode).alias("mode"), F.col(root).alias("root"), "n_transactions", "n_domains") for mode, root, df in by_mode]
     return reduce(DataFrame.unionByName, rows)
