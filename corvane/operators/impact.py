@@ -76,7 +76,13 @@ def _alike(df: DataFrame, key: str, *cols: str, by: tuple[str, ...] = ()) -> Dat
     h = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), *cols))
     marks = df.select(key, *by, *cols).distinct().groupBy(key, *by).agg(F.count("*").alias("n"), h("a").alias("h1"), h("b").alias("h2"))
     same = marks.groupBy(*by, "n", "h1", "h2").agg(F.min(key).alias("first"))
-    return marks.join(same, [*by, "n", "h1", "h2"]).select(key, *by, "first")
+    return marks.join(_unique(same), [*by, "n", "h1", "h2"]).select(key, *by, "first")
+
+
+def _unique(df: DataFrame) -> DataFrame:
+    """df, with one row a key, for a join with many more rows: each task holds its share of the keys,
+    which no frequent key makes larger, and sorts nothing."""
+    return df.hint("shuffle_hash")
 
 
 def _selves(df: DataFrame, column: str) -> DataFrame:
@@ -88,8 +94,9 @@ def models(layers: Layers, with_comps: bool = True) -> Models:
     seeds = layers.steps.select("tx", F.lit("S").alias("kind"), F.col("svc").alias("code"))
     if layers.comp_steps is not None:
         seeds = seeds.union(layers.comp_steps.select("tx", F.lit("C"), "comp"))
-    alike = keep(_alike(seeds, "tx", "kind", "code").withColumnRenamed("first", "r"), "models")
-    own = keep(seeds.distinct().join(alike.where("tx = r"), "tx").select("r", "kind", "code"), "seeds")
+    # dealt by their transaction once: repeats go there, and marks are made there
+    alike = keep(_alike(seeds.repartition("tx").distinct(), "tx", "kind", "code").withColumnRenamed("first", "r"), "models")
+    own = keep(seeds.join(_unique(alike.where("tx = r")), "tx").select("r", "kind", "code").distinct(), "seeds")
     roots, down = own.where("kind = 'S'").select("r", F.col("code").alias("root")), layers.below
     reached = keep(roots.join(down, "root").select("r", "svc").distinct(), "reached-services")
     nodes = reached.select("r", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(own.where("kind = 'C'"))
@@ -97,7 +104,7 @@ def models(layers: Layers, with_comps: bool = True) -> Models:
     first = same.where("r = m")
     services = keep(reached.join(first, "r").select("m", "svc"), "services")
     discard(reached)
-    found = Models(alike.join(same, "r").select("tx", "r", "m"), roots.join(same, "r").select("r", "m", "root"), down, own.join(first, "r").select("m", "kind", "code"), services)
+    found = Models(alike.join(_unique(same), "r").select("tx", "r", "m"), roots.join(same, "r").select("r", "m", "root"), down, own.join(first, "r").select("m", "kind", "code"), services)
     return replace(found, comps=_comps(layers, found)) if with_comps else found
 
 
