@@ -4,8 +4,8 @@ A transaction's model holds the services that its root services reach and the co
 those services, or the transaction's own component steps, reach. Components are followed in both
 directions, but only inside one model and never from one model into another; services are followed
 to their callers, which all lie in the model. Nothing is computed twice for equal inputs:
-transactions with the same steps share their roots, those that reach the same nodes share a model,
-connected groups of components with the same members share labels, and tables with the same users
+transactions with the same steps share their roots, roots that reach the same services share what
+they reach, transactions that reach the same nodes share a model, connected groups of components with the same members share labels, and tables with the same users
 share their rows."""
 
 from __future__ import annotations
@@ -43,17 +43,26 @@ class Layers:
 
 @dataclass
 class Models:
-    """of_tx(tx, r, m), roots(r, m, root), down(root, svc), seeds(m, kind, code), services(m, svc),
-    comps(m, comp, label): r stands for transactions with the same steps, m for those with the same
-    nodes; label is the smallest of the components connected with comp inside the model."""
+    """alike(tx, r), same(r, m), down(root, svc), heads(root, d), below(d, svc), tops(m, d), seeds(m,
+    kind, code), services(m, svc), comps(m, comp, label): r stands for transactions with the same
+    steps, d for roots that reach the same services, m for transactions with the same nodes; label is
+    the smallest of the components connected with comp inside the model."""
 
-    of_tx: DataFrame
-    roots: DataFrame
+    alike: DataFrame
+    same: DataFrame
     down: DataFrame
+    heads: DataFrame
+    below: DataFrame
+    tops: DataFrame
     seeds: DataFrame
     services: DataFrame
     comps: DataFrame | None = None
 
+    @property
+    def of_tx(self) -> DataFrame:
+        """(tx, m)"""
+        return self.alike.join(_unique(self.same), "r").select("tx", "m")
+
     def widest(self) -> Models:
         """Without models that a larger one holds: what is connected or reached inside a model is so
         inside every model that holds it. A model is compared with one other, the largest that has
@@ -97,14 +106,19 @@ def models(layers: Layers, with_comps: bool = True) -> Models:
     # dealt by their transaction once: repeats go there, and marks are made there
     alike = keep(_alike(seeds.repartition("tx").distinct(), "tx", "kind", "code").withColumnRenamed("first", "r"), "models")
     own = keep(seeds.join(_unique(alike.where("tx = r")), "tx").select("r", "kind", "code").distinct(), "seeds")
-    roots, down = own.where("kind = 'S'").select("r", F.col("code").alias("root")), layers.below
-    reached = keep(roots.join(down, "root").select("r", "svc").distinct(), "reached-services")
+    down = layers.below
+    # roots stand for what they reach, but callers are asked for one by one
+    heads = keep(_alike(down, "root", "svc").withColumnRenamed("first", "d"), "heads") if with_comps else down.select("root", F.col("root").alias("d")).distinct()
+    below = down.join(heads.where("root = d"), "root").select("d", "svc") if with_comps else down.withColumnRenamed("root", "d")
+    tops = own.where("kind = 'S'").select("r", F.col("code").alias("root"))
+    tops = keep(tops.join(heads, "root").select("r", "d").distinct(), "tops") if with_comps else tops.withColumnRenamed("root", "d")
+    reached = keep(tops.join(below, "d").select("r", "svc").distinct(), "reached-services")
     nodes = reached.select("r", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(own.where("kind = 'C'"))
     same = keep(_alike(nodes, "r", "kind", "code").withColumnRenamed("first", "m"), "same-nodes")
     first = same.where("r = m")
     services = keep(reached.join(first, "r").select("m", "svc"), "services")
     discard(reached)
-    found = Models(alike.join(_unique(same), "r").select("tx", "r", "m"), roots.join(same, "r").select("r", "m", "root"), down, own.join(first, "r").select("m", "kind", "code"), services)
+    found = Models(alike, same, down, heads, below, tops.join(same, "r").select("m", "d").distinct(), own.join(first, "r").select("m", "kind", "code"), services)
     return replace(found, comps=_comps(layers, found)) if with_comps else found
 
 
@@ -149,7 +163,7 @@ def layer_counts(layers: Layers) -> DataFrame:
     texts = codes.select("m", "kind", (F.size("codes") + F.col("blank")).cast("long").alias("n"), F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     cols = [x for kind, name in (("SERVICE", "services"), ("COMPONENT", "components"), ("TABLE", "tables")) for x in (F.coalesce(of(kind, "n"), F.lit(0)).alias(f"n_{name}"), F.coalesce(of(kind, "codes"), F.lit("")).alias(name))]
-    return m.of_tx.join(texts.groupBy("m").agg(*cols), "m").drop("r", "m")
+    return m.of_tx.join(texts.groupBy("m").agg(*cols), "m").drop("m")
 
 
 def component_closure(layers: Layers) -> DataFrame:
@@ -228,23 +242,47 @@ class Tables:
         return dealt(self.classes, ["c"], slots, None).hint("shuffle_hash").join(once, ["c", "salt"]).drop("c", "salt")
 
     def hits(self) -> DataFrame:
-        """(c, r, root): root services from which a service is reached that uses the tables, or calls
-        a component connected to one that does. Hits are dealt once, by what names them."""
+        """(c, m, d): root services, by what they reach, from which in a model a service is reached that
+        uses the tables, or calls a component connected to one that does. Hits are dealt once, by
+        what names them."""
         m = self.models
-        below = m.roots.join(m.down, "root").select("r", "m", "root", "svc")
-        over = below.join(self.called, ["m", "svc"]).select("r", "m", "root", "label").distinct()
-        both = over.join(self.groups, ["m", "label"]).select("c", "r", "root").union(below.join(self.svcs, "svc").select("c", "r", "root"))
-        return both.repartition("r", "root").distinct()
+        below = m.tops.join(m.below, "d").select("m", "d", "svc")
+        over = below.join(self.called, ["m", "svc"]).select("m", "d", "label").distinct()
+        both = over.join(self.groups, ["m", "label"]).select("c", "m", "d").union(below.join(self.svcs, "svc").select("c", "m", "d"))
+        return both.repartition("m", "d").distinct()
+
+    def _firsts(self, steps: DataFrame, *cols: str) -> DataFrame:
+        """(m, d, root, *cols, tx): the first transaction of steps(tx, svc, *cols) for each root and cols."""
+        least = steps.join(_unique(self.models.alike), "tx").groupBy("r", F.col("svc").alias("root"), *cols).agg(F.min("tx").alias("tx"))
+        known = least.join(_unique(self.models.same), "r").join(_unique(self.models.heads), "root")
+        return known.groupBy("m", "d", "root", *cols).agg(F.min("tx").alias("tx"))
 
     def names(self) -> DataFrame:
-        return self.layers.steps.join(self.models.of_tx, "tx").groupBy("r", F.col("svc").alias("root"), "tx_name").agg(_first())
+        return self._firsts(self.layers.steps, "tx_name", "domain_key").groupBy("m", "d", "root", "tx_name").agg(_first())
 
     def impact(self) -> DataFrame:
-        return transactions_of(self.hits(), self.names(), "c", ["r", "root"], "root")
+        """(c, tx, tx_name, domain_key, n): transactions_of the hits. Names with their domains are numbered
+        (k, and `name` for the name alone), so that sums over hits are made of numbers only. A root
+        that has a name in one model and domain is counted before its tables are known; another one
+        can meet a table more than once and is counted once there."""
+        steps, same = self.layers.steps, lambda a, b: F.col(a).eqNullSafe(F.col(b))
+        ids = keep(steps.select(F.col("tx_name").alias("of"), F.col("domain_key").alias("domain")).distinct().withColumn("k", F.monotonically_increasing_id()), "domains")
+        ids = ids.join(ids.groupBy(F.col("of").alias("other")).agg(F.min("k").alias("name")), same("of", "other")).select("of", "domain", "k", "name")
+        named = keep(self._firsts(steps.join(ids, same("tx_name", "of") & same("domain_key", "domain")).select("tx", "svc", "k", "name"), "k", "name"), "names")
+        shared = keep(named.groupBy("root", "name").agg(F.count("*").alias("n")).where("n > 1").select("root", "name"), "shared-names")
+        alone = named.join(shared, ["root", "name"], "left_anti").groupBy("m", "d", "k").agg(F.min("tx").alias("tx"), F.count("*").alias("n"))
+        hits = keep(self.hits(), "hits")
+        sums = hits.join(alone, ["m", "d"]).groupBy("c", "k").agg(F.min("tx").alias("tx"), F.sum("n").alias("n"))
+        first = F.struct("tx", F.col("domain").alias("domain_key")).alias("first")
+        sums = sums.join(ids, "k").select("c", "of", first, "n")
+        again = hits.join(named.join(shared, ["root", "name"], "left_semi"), ["m", "d"]).join(ids.select("k", "of", "domain"), "k")
+        again = again.select("c", "of", "root", first).groupBy("c", "of", "root").agg(F.min("first").alias("first"))
+        one = sums.unionByName(again.select("c", "of", "first", F.lit(1).cast("long").alias("n"))).groupBy("c", "of").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        return one.select("c", F.col("first.tx").alias("tx"), F.col("of").alias("tx_name"), F.col("first.domain_key").alias("domain_key"), "n")
 
     def shown(self) -> DataFrame:
         """(c, root, tx): root services and the transactions that represent their names; rows can repeat."""
-        named = self.hits().join(self.names(), ["r", "root"])
+        named = self.hits().join(self.names(), ["m", "d"])
         return named.select("c", "root", F.min("first.tx").over(Window.partitionBy("c", "tx_name")).alias("tx"))
 
     def widest(self) -> Tables:
@@ -373,7 +411,7 @@ def all_roots(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFram
         return one.groupBy(root).agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
 
     by_root, by_svc = (df.groupBy(*on, "tx_name").agg(_first()) for df, on in ((layers.steps.withColumnRenamed("svc", "root"), ["root"]), (refs, ["svc"])))
-    tables, comps = count(t.hits(), t.names(), "c", ["r", "root"]), count(_component_hits(layers), by_root, "comp", ["root"])
+    tables, comps = count(t.hits(), t.names(), "c", ["m", "d"]), count(_component_hits(layers), by_root, "comp", ["root"])
     by_mode = (("table", "tab", t.spread(tables)), ("component", "comp", comps), ("service", "root", count(upstream(layers, callable_), by_svc, "root", ["svc"])))
     rows = [df.select(F.lit(mode).alias("mode"), F.col(root).alias("root"), "n_transactions", "n_domains") for mode, root, df in by_mode]
     return reduce(DataFrame.unionByName, rows)
