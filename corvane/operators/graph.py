@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, keep
+from ..session import discard, keep, keep_counted
+from .skew import apart
 
 
 LEVELS, MERGE = 3, 4
@@ -17,17 +18,19 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, tag: str
     at depth 0, with the least number of steps; at most `most` steps, or to the fixpoint. Only
     what the last level found new goes on; a table holds LEVELS levels, and every MERGE tables the
     known ones become one, so that reads grow with the levels and not with their square."""
-    steps = keep(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
-    known = frontier = keep(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
+    steps, n_steps = keep_counted(edges.select(F.col("src").alias("node"), "dst").distinct(), "edges")
+    known, n_known = keep_counted(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "reach")
+    frontier = known
     depth, parts = 0, [known]
     while (most is None or depth < most) and not frontier.isEmpty():
         here, found = frontier.select(tag, "node"), None
         for depth in range(depth + 1, min(depth + LEVELS, most or depth + LEVELS) + 1):
-            here = here.join(steps, "node").select(tag, F.col("dst").alias("node")).distinct()
+            here = here.join(apart(steps, n_steps), "node").select(tag, F.col("dst").alias("node")).distinct()
             level = here.withColumn("depth", F.lit(depth))
             found = level if found is None else found.unionByName(level)
         first = found.groupBy(tag, "node").agg(F.min("depth").alias("depth"))
-        new = keep(first.join(known.select(tag, "node"), [tag, "node"], "left_anti"), "reach")
+        new, n_new = keep_counted(first.join(apart(known.select(tag, "node"), n_known), [tag, "node"], "left_anti"), "reach")
+        n_known += n_new
         parts.append(new)
         known = known.unionByName(new)
         if len(parts) == MERGE:
@@ -46,17 +49,17 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     are jumped, so that depths halve each round."""
     cols = [F.col(c) for c in by]
     both = keep(edges.select(*cols, F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(*cols, "b", "a")).distinct(), "both", small=True)
-    labels = keep(both.groupBy(*by, "v").agg(F.min("w").alias("w")).select(*by, "v", F.least("v", "w").alias("label")), "labels", small=True)
+    labels, n = keep_counted(both.groupBy(*by, "v").agg(F.min("w").alias("w")).select(*by, "v", F.least("v", "w").alias("label")), "labels", small=True)
     while True:
         near, far = labels.withColumnRenamed("label", "near"), labels.select(*by, F.col("v").alias("w"), F.col("label").alias("far"))
-        cross = keep(both.where("v < w").join(near, [*by, "v"]).join(far, [*by, "w"]).where("near <> far").select(*by, "near", "far").distinct(), "cross", small=True)
+        cross = keep(both.where("v < w").join(apart(near, n), [*by, "v"]).join(apart(far, n), [*by, "w"]).where("near <> far").select(*by, "near", "far").distinct(), "cross", small=True)
         if cross.isEmpty():
             discard(both, cross)
             return labels
         # what is left is a graph of labels; its smallest label, the component's smallest id, stays
         hooks = cross.union(cross.select(*by, "far", "near")).groupBy(*by, F.col("near").alias("label")).agg(F.min("far").alias("low"))
-        hooked = labels.join(hooks, [*by, "label"], "left").select(*by, "v", F.least("label", "low").alias("label"))
-        jumped = hooked.join(hooked.select(*by, F.col("v").alias("label"), F.col("label").alias("up")), [*by, "label"])
+        hooked = labels.join(apart(hooks, n), [*by, "label"], "left").select(*by, "v", F.least("label", "low").alias("label"))
+        jumped = hooked.join(apart(hooked.select(*by, F.col("v").alias("label"), F.col("label").alias("up")), n), [*by, "label"])
         before, labels = labels, keep(jumped.select(*by, "v", F.least("label", "up").alias("label")), "labels", small=True)
         discard(before, cross)
 

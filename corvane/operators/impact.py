@@ -17,9 +17,9 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, keep
+from ..session import discard, keep, keep_counted
 from .graph import components, reach
-from .skew import dealt, hot_slots
+from .skew import apart, dealt, hot_slots
 
 
 @dataclass
@@ -69,13 +69,13 @@ class Models:
         its rarest seed; one that stays beside a larger one costs time and changes nothing."""
         nodes = self.services.select("m", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(self.comps.select("m", F.lit("C"), "comp"))
         size = nodes.groupBy("m").agg(F.count("*").alias("n"))
-        at = nodes.join(size, "m").groupBy("kind", "code").agg(F.count("*").alias("held"), F.max(F.struct("n", "m")).alias("big"))
-        rarest = self.seeds.join(at, ["kind", "code"]).groupBy("m").agg(F.count("*").alias("n_seeds"), F.min(F.struct("held", "kind", "code", "big"))["big"].alias("big"))
-        other = rarest.join(size, "m").where("big.n > n").select("m", "n_seeds", F.col("big.m").alias("other"))
-        shared = other.join(self.seeds, "m").join(nodes.withColumnRenamed("m", "other"), ["other", "kind", "code"])
+        at = nodes.join(apart(size), "m").groupBy("kind", "code").agg(F.count("*").alias("held"), F.max(F.struct("n", "m")).alias("big"))
+        rarest = self.seeds.join(apart(at), ["kind", "code"]).groupBy("m").agg(F.count("*").alias("n_seeds"), F.min(F.struct("held", "kind", "code", "big"))["big"].alias("big"))
+        other = rarest.join(apart(size), "m").where("big.n > n").select("m", "n_seeds", F.col("big.m").alias("other"))
+        shared = other.join(apart(self.seeds), "m").join(apart(nodes.withColumnRenamed("m", "other")), ["other", "kind", "code"])
         inside = shared.groupBy("m", "n_seeds").agg(F.count("*").alias("n")).where("n = n_seeds")
-        left = keep(size.select("m").join(inside, "m", "left_anti"), "widest")
-        of = lambda df, name: keep(df.join(left, "m", "left_semi"), name)
+        left = keep(size.select("m").join(apart(inside), "m", "left_anti"), "widest")
+        of = lambda df, name: keep(df.join(apart(left), "m", "left_semi"), name)
         return replace(self, services=of(self.services, "widest-services"), comps=of(self.comps, "widest-components"))
 
 
@@ -109,16 +109,16 @@ def models(layers: Layers, with_comps: bool = True) -> Models:
     down = layers.below
     # roots stand for what they reach, but callers are asked for one by one
     heads = keep(_alike(down, "root", "svc").withColumnRenamed("first", "d"), "heads") if with_comps else down.select("root", F.col("root").alias("d")).distinct()
-    below = down.join(heads.where("root = d"), "root").select("d", "svc") if with_comps else down.withColumnRenamed("root", "d")
+    below = down.join(apart(heads.where("root = d")), "root").select("d", "svc") if with_comps else down.withColumnRenamed("root", "d")
     tops = own.where("kind = 'S'").select("r", F.col("code").alias("root"))
-    tops = keep(tops.join(heads, "root").select("r", "d").distinct(), "tops") if with_comps else tops.withColumnRenamed("root", "d")
-    reached = keep(tops.join(below, "d").select("r", "svc").distinct(), "reached-services")
+    tops = keep(tops.join(apart(heads), "root").select("r", "d").distinct(), "tops") if with_comps else tops.withColumnRenamed("root", "d")
+    reached = keep(tops.join(apart(below), "d").select("r", "svc").distinct(), "reached-services")
     nodes = reached.select("r", F.lit("S").alias("kind"), F.col("svc").alias("code")).union(own.where("kind = 'C'"))
     same = keep(_alike(nodes, "r", "kind", "code").withColumnRenamed("first", "m"), "same-nodes")
     first = same.where("r = m")
-    services = keep(reached.join(first, "r").select("m", "svc"), "services")
+    services = keep(reached.join(apart(first), "r").select("m", "svc"), "services")
     discard(reached)
-    found = Models(alike, same, down, heads, below, tops.join(same, "r").select("m", "d").distinct(), own.join(first, "r").select("m", "kind", "code"), services)
+    found = Models(alike, same, down, heads, below, tops.join(apart(same), "r").select("m", "d").distinct(), own.join(apart(first), "r").select("m", "kind", "code"), services)
     return replace(found, comps=_comps(layers, found)) if with_comps else found
 
 
@@ -126,16 +126,16 @@ def _comps(layers: Layers, m: Models) -> DataFrame:
     """(m, comp, label). What a model has of a connected group of components is labelled once for all
     models that have the same of it."""
     links = layers.comp_comp.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    first = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").select("m", "comp")
+    first = m.services.join(apart(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))), "svc").select("m", "comp")
     first = keep(first.union(m.seeds.where("kind = 'C'").select("m", "code")).distinct(), "first-components")
     below = reach(layers.comp_comp, _selves(first, "comp")).select(F.col("seed").alias("comp"), F.col("node").alias("below"))
-    comps = first.join(below, "comp").select("m", F.col("below").alias("comp")).distinct()
+    comps = first.join(apart(below), "comp").select("m", F.col("below").alias("comp")).distinct()
     whole = components(links).select(F.col("v").alias("comp"), F.col("label").alias("whole"))
-    comps = keep(comps.join(whole, "comp", "left").select("m", "comp", F.coalesce("whole", "comp").alias("whole")), "components")
+    comps = keep(comps.join(apart(whole), "comp", "left").select("m", "comp", F.coalesce("whole", "comp").alias("whole")), "components")
     parts = keep(_alike(comps, "m", "comp", by=("whole",)), "parts")
-    shown = comps.join(parts.where("m = first"), ["m", "whole"]).select("m", F.col("comp").alias("a"))
-    labels = components(links.join(shown, "a"), ("m",)).select(F.col("m").alias("first"), F.col("v").alias("comp"), "label")
-    labelled = keep(comps.join(parts, ["m", "whole"]).join(labels, ["first", "comp"], "left").select("m", "comp", F.coalesce("label", "comp").alias("label")), "labelled")
+    shown = comps.join(apart(parts.where("m = first")), ["m", "whole"]).select("m", F.col("comp").alias("a"))
+    labels = components(links.join(apart(shown), "a"), ("m",)).select(F.col("m").alias("first"), F.col("v").alias("comp"), "label")
+    labelled = keep(comps.join(apart(parts), ["m", "whole"]).join(apart(labels), ["first", "comp"], "left").select("m", "comp", F.coalesce("label", "comp").alias("label")), "labelled")
     discard(first, comps, parts)
     return labelled
 
@@ -143,7 +143,7 @@ def _comps(layers: Layers, m: Models) -> DataFrame:
 def _nodes(m: Models, layers: Layers) -> DataFrame:
     """(m, kind, code): the nodes of each model; a table is there once for each node that uses it."""
     service, comp = m.services.select("m", F.col("svc").alias("code")), m.comps.select("m", F.col("comp").alias("code"))
-    used = service.join(layers.svc_table, F.col("code") == F.col("src")).select("m", "dst").union(comp.join(layers.comp_table, F.col("code") == F.col("src")).select("m", "dst"))
+    used = service.join(apart(layers.svc_table), F.col("code") == F.col("src")).select("m", "dst").union(comp.join(apart(layers.comp_table), F.col("code") == F.col("src")).select("m", "dst"))
     kinds = (("SERVICE", service), ("COMPONENT", comp), ("TABLE", used.withColumnRenamed("dst", "code")))
     return reduce(DataFrame.unionByName, [df.select("m", F.lit(kind).alias("kind"), "code") for kind, df in kinds])
 
@@ -170,7 +170,7 @@ def component_closure(layers: Layers) -> DataFrame:
     """(tx, comp, label): components with one label are connected, over calls in either direction,
     inside the transaction's model."""
     m = models(layers)
-    return m.of_tx.join(m.comps, "m").select("tx", "comp", "label")
+    return m.of_tx.join(apart(m.comps), "m").select("tx", "comp", "label")
 
 
 def caller_closure(layers: Layers, matched: DataFrame) -> DataFrame:
@@ -178,8 +178,8 @@ def caller_closure(layers: Layers, matched: DataFrame) -> DataFrame:
     that call them, directly or not, themselves included. A model holds all that its services call, so
     callers are followed from the matched services, without the model."""
     m = models(layers, with_comps=False)
-    pairs = _callers(layers, m, matched.select("svc").join(m.services, "svc", "left_semi"))
-    return m.of_tx.join(m.services.withColumnRenamed("svc", "caller").join(pairs, "caller"), "m").select("tx", "svc", "caller")
+    pairs = _callers(layers, m, matched.select("svc").join(apart(m.services), "svc", "left_semi"))
+    return m.of_tx.join(m.services.withColumnRenamed("svc", "caller").join(apart(pairs), "caller"), "m").select("tx", "svc", "caller")
 
 
 def _alive(layers: Layers, m: Models) -> DataFrame:
@@ -190,9 +190,9 @@ def _alive(layers: Layers, m: Models) -> DataFrame:
 def _callers(layers: Layers, m: Models, services: DataFrame) -> DataFrame:
     """(svc, caller): services and those of models that call them, directly or not. What roots reach
     is known, so only the models' other services are followed anew."""
-    rest = _selves(m.services, "svc").join(m.down.select(F.col("root").alias("seed")).distinct(), "seed", "left_anti")
+    rest = _selves(m.services, "svc").join(apart(m.down.select(F.col("root").alias("seed")).distinct()), "seed", "left_anti")
     below = m.down.withColumnRenamed("root", "caller").unionByName(reach(layers.svc_svc, rest).select(F.col("seed").alias("caller"), F.col("node").alias("svc")))
-    return below.join(services.select("svc").distinct(), "svc", "left_semi").select("svc", "caller")
+    return below.join(apart(services.select("svc").distinct()), "svc", "left_semi").select("svc", "caller")
 
 
 def transactions_of(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
@@ -203,7 +203,7 @@ def transactions_of(hits: DataFrame, named: DataFrame, root: str, on: list[str],
 
 
 def _named(hits: DataFrame, named: DataFrame, root: str, on: list[str], item: str) -> DataFrame:
-    return hits.join(named, on).groupBy(root, "tx_name", item).agg(F.min("first").alias("first"))
+    return hits.join(apart(named), on).groupBy(root, "tx_name", item).agg(F.min("first").alias("first"))
 
 
 def _first() -> Column:
@@ -219,19 +219,19 @@ class Tables:
         users = layers.comp_table.select(F.col("dst").alias("tab"), F.lit("C").alias("kind"), F.col("src").alias("user"))
         users = users.union(layers.svc_table.select("dst", F.lit("S"), "src")).distinct()
         self.classes = keep(_alike(users, "tab", "kind", "user").withColumnRenamed("first", "c"), "table-classes")
-        own = keep(users.join(self.classes.where("tab = c"), "tab").select("c", "kind", "user"), "users")
+        own = keep(users.join(apart(self.classes.where("tab = c")), "tab").select("c", "kind", "user"), "users")
         self.comps = own.where("kind = 'C'").select("c", F.col("user").alias("comp"))
         self.svcs = own.where("kind = 'S'").select("c", F.col("user").alias("svc"))
         m = self.models
         #: (c, m, label): groups of connected components that use the tables
-        self.groups = keep(m.comps.join(self.comps, "comp").select("c", "m", "label").distinct(), "groups")
+        self.groups = keep(m.comps.join(apart(self.comps), "comp").select("c", "m", "label").distinct(), "groups")
         #: (m, svc, label): services of a model and the groups that they call
-        called = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc")
-        self.called = keep(called.join(m.comps, ["m", "comp"]).select("m", "svc", "label").distinct(), "called")
+        called = m.services.join(apart(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))), "svc")
+        self.called = keep(called.join(apart(m.comps), ["m", "comp"]).select("m", "svc", "label").distinct(), "called")
 
     def spread(self, df: DataFrame) -> DataFrame:
         """A row for each table of the class of every row."""
-        return self.classes.join(df, "c").drop("c")
+        return self.classes.join(apart(df), "c").drop("c")
 
     def spread_edges(self, edges: DataFrame) -> DataFrame:
         """The same of edges(c, src, dst, phase), each once a table. Edges are dealt once, by class; those
@@ -246,9 +246,9 @@ class Tables:
         uses the tables, or calls a component connected to one that does. Hits are dealt once, by
         what names them."""
         m = self.models
-        below = m.tops.join(m.below, "d").select("m", "d", "svc")
-        over = below.join(self.called, ["m", "svc"]).select("m", "d", "label").distinct()
-        both = over.join(self.groups, ["m", "label"]).select("c", "m", "d").union(below.join(self.svcs, "svc").select("c", "m", "d"))
+        below = m.tops.join(apart(m.below), "d").select("m", "d", "svc")
+        over = below.join(apart(self.called), ["m", "svc"]).select("m", "d", "label").distinct()
+        both = over.join(apart(self.groups), ["m", "label"]).select("c", "m", "d").union(below.join(apart(self.svcs), "svc").select("c", "m", "d"))
         return both.repartition("m", "d").distinct()
 
     def _firsts(self, steps: DataFrame, *cols: str) -> DataFrame:
@@ -266,16 +266,16 @@ class Tables:
         that has a name in one model and domain is counted before its tables are known; another one
         can meet a table more than once and is counted once there."""
         steps, same = self.layers.steps, lambda a, b: F.col(a).eqNullSafe(F.col(b))
-        ids = keep(steps.select(F.col("tx_name").alias("of"), F.col("domain_key").alias("domain")).distinct().withColumn("k", F.monotonically_increasing_id()), "domains")
-        ids = ids.join(ids.groupBy(F.col("of").alias("other")).agg(F.min("k").alias("name")), same("of", "other")).select("of", "domain", "k", "name")
+        ids, n_ids = keep_counted(steps.select(F.col("tx_name").alias("of"), F.col("domain_key").alias("domain")).distinct().withColumn("k", F.monotonically_increasing_id()), "domains")
+        ids = apart(ids.join(apart(ids.groupBy(F.col("of").alias("other")).agg(F.min("k").alias("name")), n_ids), same("of", "other")).select("of", "domain", "k", "name"), n_ids)
         named = keep(self._firsts(steps.join(ids, same("tx_name", "of") & same("domain_key", "domain")).select("tx", "svc", "k", "name"), "k", "name"), "names")
-        shared = keep(named.groupBy("root", "name").agg(F.count("*").alias("n")).where("n > 1").select("root", "name"), "shared-names")
+        shared = apart(*keep_counted(named.groupBy("root", "name").agg(F.count("*").alias("n")).where("n > 1").select("root", "name"), "shared-names"))
         alone = named.join(shared, ["root", "name"], "left_anti").groupBy("m", "d", "k").agg(F.min("tx").alias("tx"), F.count("*").alias("n"))
         hits = keep(self.hits(), "hits")
-        sums = hits.join(alone, ["m", "d"]).groupBy("c", "k").agg(F.min("tx").alias("tx"), F.sum("n").alias("n"))
+        sums = hits.join(apart(alone), ["m", "d"]).groupBy("c", "k").agg(F.min("tx").alias("tx"), F.sum("n").alias("n"))
         first = F.struct("tx", F.col("domain").alias("domain_key")).alias("first")
         sums = sums.join(ids, "k").select("c", "of", first, "n")
-        again = hits.join(named.join(shared, ["root", "name"], "left_semi"), ["m", "d"]).join(ids.select("k", "of", "domain"), "k")
+        again = hits.join(apart(named.join(shared, ["root", "name"], "left_semi")), ["m", "d"]).join(ids.select("k", "of", "domain"), "k")
         again = again.select("c", "of", "root", first).groupBy("c", "of", "root").agg(F.min("first").alias("first"))
         one = sums.unionByName(again.select("c", "of", "first", F.lit(1).cast("long").alias("n"))).groupBy("c", "of").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
         return one.select("c", F.col("first.tx").alias("tx"), F.col("of").alias("tx_name"), F.col("first.domain_key").alias("domain_key"), "n")
@@ -290,7 +290,7 @@ class Tables:
         t = copy(self)
         t.models = self.models.widest()
         left = t.models.services.select("m").distinct()
-        t.groups, t.called = (df.join(left, "m", "left_semi") for df in (self.groups, self.called))
+        t.groups, t.called = (df.join(apart(left), "m", "left_semi") for df in (self.groups, self.called))
         return t
 
     def services(self) -> tuple[DataFrame, DataFrame]:
@@ -298,8 +298,8 @@ class Tables:
         reached, and those of any model from which services are that use the tables themselves."""
         m = self.models
         up = _callers(self.layers, m, m.services)
-        over = self.called.join(up, "svc").select("m", "label", F.col("caller").alias("svc")).distinct().join(m.services, ["m", "svc"], "left_semi")
-        return keep(over, "group-services"), keep(self.svcs.join(up, "svc").select("c", F.col("caller").alias("svc")).distinct(), "table-services")
+        over = self.called.join(apart(up), "svc").select("m", "label", F.col("caller").alias("svc")).distinct().join(apart(m.services), ["m", "svc"], "left_semi")
+        return keep(over, "group-services"), keep(self.svcs.join(apart(up), "svc").select("c", F.col("caller").alias("svc")).distinct(), "table-services")
 
 
 def table_impact(layers: Layers) -> DataFrame:
@@ -310,7 +310,7 @@ def table_impact(layers: Layers) -> DataFrame:
 
 def _component_hits(layers: Layers) -> DataFrame:
     calls = layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))
-    return layers.below.join(calls, "svc").select("comp", "root").distinct()
+    return layers.below.join(apart(calls), "svc").select("comp", "root").distinct()
 
 
 def component_impact(layers: Layers) -> DataFrame:
@@ -337,14 +337,14 @@ def upstream(layers: Layers, callable_: DataFrame) -> DataFrame:
     """(root, svc): every service and the callable services that call it, directly or over other
     callable ones, where a transaction reaches them. callable_(svc)."""
     alive = layers.below.select("svc").distinct().join(callable_.select("svc").distinct(), "svc", "left_semi")
-    back = layers.svc_svc.join(alive.withColumnRenamed("svc", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = layers.svc_svc.join(apart(alive.withColumnRenamed("svc", "src")), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     nodes = layers.svc_svc.select("src").union(layers.svc_svc.select("dst")).union(layers.steps.select("svc")).toDF("svc")
     return reach(back, _selves(nodes, "svc")).select(F.col("seed").alias("root"), F.col("node").alias("svc"))
 
 
 def service_orchestrations(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
     """(root, orch, step_type, tx, tx_name, domain_key): the orchestration layer of each service."""
-    return upstream(layers, callable_).join(refs, "svc").drop("svc").distinct()
+    return upstream(layers, callable_).join(apart(refs), "svc").drop("svc").distinct()
 
 
 def service_impact(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFrame:
@@ -392,8 +392,8 @@ def export_summary(layers: Layers) -> DataFrame:
     w = t.widest()
     of_groups, of_tables = w.services()
     count = lambda df, name: df.groupBy("c").agg(F.count("*").alias(name))
-    comps = count(w.groups.join(w.models.comps, ["m", "label"]).select("c", "comp").distinct(), "n_components")
-    services = count(w.groups.join(of_groups, ["m", "label"]).select("c", "svc").union(of_tables).distinct(), "n_services")
+    comps = count(w.groups.join(apart(w.models.comps), ["m", "label"]).select("c", "comp").distinct(), "n_components")
+    services = count(w.groups.join(apart(of_groups), ["m", "label"]).select("c", "svc").union(of_tables).distinct(), "n_services")
     shown = t.impact().groupBy("c").agg(F.count_distinct("tx").alias("n_transactions"))
     names = ("n_components", "n_services", "n_transactions")
     sizes = comps.join(services, "c", "full").join(shown, "c", "full").select("c", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
@@ -407,7 +407,7 @@ def all_roots(layers: Layers, callable_: DataFrame, refs: DataFrame) -> DataFram
     t = Tables(layers)
 
     def count(hits: DataFrame, named: DataFrame, root: str, on: list[str]) -> DataFrame:
-        one = hits.join(named, on).groupBy(root, "tx_name").agg(F.min("first")["domain_key"].alias("domain_key"))
+        one = hits.join(apart(named), on).groupBy(root, "tx_name").agg(F.min("first")["domain_key"].alias("domain_key"))
         return one.groupBy(root).agg(F.count("*").alias("n_transactions"), F.count_distinct("domain_key").alias("n_domains"))
 
     by_root, by_svc = (df.groupBy(*on, "tx_name").agg(_first()) for df, on in ((layers.steps.withColumnRenamed("svc", "root"), ["root"]), (refs, ["svc"])))

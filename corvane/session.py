@@ -68,11 +68,11 @@ def drop_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def keep_counted(df: DataFrame, name: str, of: str | None = None) -> tuple[DataFrame, int]:
+def keep_counted(df: DataFrame, name: str, of: str | None = None, small: bool = False) -> tuple[DataFrame, int]:
     """keep, and how many rows it wrote, or in how many the condition `of` holds; the write itself
     counts them."""
     rows = Observation()
-    kept = keep(df.observe(rows, F.count(F.expr(f"CASE WHEN {of} THEN 1 END") if of else F.lit(1)).alias("n")), name)
+    kept = keep(df.observe(rows, F.count(F.expr(f"CASE WHEN {of} THEN 1 END") if of else F.lit(1)).alias("n")), name, small)
     return kept, rows.get["n"]
 
 
