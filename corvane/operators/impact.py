@@ -184,7 +184,7 @@ def caller_closure(layers: Layers, matched: DataFrame) -> DataFrame:
 
 def _alive(layers: Layers, m: Models) -> DataFrame:
     """(src, dst): calls of services that some model has; it has their targets too."""
-    return layers.svc_svc.join(m.services.select(F.col("svc").alias("src")), "src", "left_semi")
+    return layers.svc_svc.join(apart(m.services.select(F.col("svc").alias("src"))), "src", "left_semi")
 
 
 def _callers(layers: Layers, m: Models, services: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ class Tables:
 
     def shown(self) -> DataFrame:
         """(c, root, tx): root services and the transactions that represent their names; rows can repeat."""
-        named = self.hits().join(self.names(), ["m", "d"])
+        named = self.hits().join(apart(self.names()), ["m", "d"])
         return named.select("c", "root", F.min("first.tx").over(Window.partitionBy("c", "tx_name")).alias("tx"))
 
     def widest(self) -> Tables:
@@ -366,19 +366,19 @@ def table_edges(layers: Layers) -> DataFrame:
     def edge(df: DataFrame, src: Column | None, dst: Column, phase: int) -> DataFrame:
         return df.select("c", (F.lit(None).cast("string") if src is None else src).alias("src"), dst.alias("dst"), F.lit(phase).alias("phase"))
 
-    links = layers.comp_comp.where("src <> dst").join(m.comps.withColumnRenamed("comp", "src"), "src").select("m", "label", "src", "dst")
-    calls = m.services.join(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp")), "svc").join(m.comps, ["m", "comp"]).select("m", "label", "svc", "comp")
+    links = layers.comp_comp.where("src <> dst").join(apart(m.comps.withColumnRenamed("comp", "src")), "src").select("m", "label", "src", "dst")
+    calls = m.services.join(apart(layers.svc_comp.select(F.col("src").alias("svc"), F.col("dst").alias("comp"))), "svc").join(apart(m.comps), ["m", "comp"]).select("m", "label", "svc", "comp")
     of_groups, of_tables = (df.withColumnRenamed("svc", "dst") for df in w.services())
     above = _alive(layers, m).where("src <> dst").distinct()
-    inner = of_groups.join(above, "dst").join(m.services.withColumnRenamed("svc", "src"), ["m", "src"], "left_semi")
-    of_class = lambda df, *cols: w.groups.join(df, ["m", "label"]).select("c", *cols)
+    inner = of_groups.join(apart(above), "dst").join(apart(m.services.withColumnRenamed("svc", "src")), ["m", "src"], "left_semi")
+    of_class = lambda df, *cols: w.groups.join(apart(df), ["m", "label"]).select("c", *cols)
     # an edge's ends tell its phase, so no two phases have one edge; edges repeat until they are spread
     parts = [
-        edge(t.comps.join(m.comps, "comp", "left_semi"), None, code("C", "comp"), 1),
+        edge(t.comps.join(apart(m.comps), "comp", "left_semi"), None, code("C", "comp"), 1),
         edge(of_class(links, "src", "dst"), code("C", "src"), code("C", "dst"), 2),
-        edge(t.svcs.join(m.services, "svc", "left_semi"), None, code("S", "svc"), 3),
+        edge(t.svcs.join(apart(m.services), "svc", "left_semi"), None, code("S", "svc"), 3),
         edge(of_class(calls, "comp", "svc"), code("C", "comp"), code("S", "svc"), 4),
-        edge(of_class(inner, "src", "dst").union(of_tables.join(above, "dst").select("c", "src", "dst")), code("S", "src"), code("S", "dst"), 5),
+        edge(of_class(inner, "src", "dst").union(of_tables.join(apart(above), "dst").select("c", "src", "dst")), code("S", "src"), code("S", "dst"), 5),
         edge(t.shown(), code("S", "root"), code("X", "tx"), 6),
     ]
     return t.spread_edges(reduce(DataFrame.unionByName, parts)).select("tab", F.coalesce("src", code("T", "tab")).alias("src"), "dst", "phase")
